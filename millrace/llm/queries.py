@@ -7,20 +7,45 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import exact_dedup, mixing
+import public_tokenizers
+
+from millrace.llm import bpe, exact_dedup, langid, mixing
 from millrace.llm.common import table
 
+#: The vocabulary files, by path.
+BPE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return mixing.mix_sources(docs, weights=(5, 2, 1), ratio=1.5, most=2.0).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit_unheld(docs, langid.load_pieces(PIECES))
+    found = langid.identify(docs, model)
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.bpe_encode(table(spark, sf_dir, "documents"), bpe.load_vocabulary(BPE_VOCABULARY), decoded=True)
+    return encoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
+    "op4_language_id": op4_language_id,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_bpe": op10_bpe,
 }
