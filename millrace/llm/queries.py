@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from millrace.llm import bpe, embedding, exact_dedup, langid, minhash, mixing
+from millrace.llm import bpe, embedding, exact_dedup, langid, minhash, mixing, secret_scan, url_filter
 from millrace.llm.common import table
 
 #: The vocabulary files, by path.
@@ -17,6 +17,14 @@ BPE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+#: (verdict, host, path), as the blocklist in use has them.
+URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
+
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan_secrets(table(spark, sf_dir, "documents")))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return mixing.mix_sources(docs, weights=(5, 2, 1), ratio=1.5, most=2.0).select("doc_id", "size", "source_size", "target", "taken")
@@ -37,6 +45,10 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.98)
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -52,10 +64,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_secrets": op2_secrets,
     "op3_mixing": op3_mixing,
     "op4_language_id": op4_language_id,
     "op5_minhash": op5_minhash,
     "op7_embedding_dedup": op7_embedding_dedup,
+    "op8_url_filter": op8_url_filter,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_bpe": op10_bpe,
 }
