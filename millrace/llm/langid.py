@@ -11,6 +11,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -196,6 +197,26 @@ class Scorer:
 _SCORERS: dict[bytes, Scorer] = {}
 
 
+def _predicted(batches: Iterator[pa.RecordBatch], model: dict, place: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of the batches with each row's language and score; the text is the column at place."""
+    key = repr(model["languages"]).encode() + model["p"].tobytes()
+    if key not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[key] = Scorer(model)
+    scorer, names = _SCORERS[key], np.array([*model["languages"], "und"], object)
+    for batch in batches:
+        texts = batch.column(place)
+        for start, end in _slices(pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist()):
+            found = scorer.score([t or "" for t in texts.slice(start, end - start).to_pylist()])
+            best, score = np.full(len(found), -1), np.zeros(len(found))
+            if scorer.n:
+                logs = found[:, :-1]
+                share = np.exp(logs - logs.max(axis=1, keepdims=True))
+                best = np.where(found[:, -1] > 0, logs.argmax(axis=1), -1)
+                score = np.where(best >= 0, 1 / share.sum(axis=1), 0.0)
+            yield batch.slice(start, end - start), names[best], score
+
+
 def identify(docs: DataFrame, model: dict, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Predict the language of every whole text: id, lang_pred, score.
 
@@ -207,27 +228,27 @@ def identify(docs: DataFrame, model: dict, id: str = "doc_id", text: str = "text
     schema = T.StructType([T.StructField("id", docs.schema[id].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
-        key = repr(model["languages"]).encode() + model["p"].tobytes()[:4096] + bytes(str(model["p"].sum()), "ascii")
-        if key not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[key] = Scorer(model)
-        scorer, names = _SCORERS[key], np.array([*model["languages"], "und"], object)
-        for batch in batches:
-            texts = batch.column(1)
-            for start, end in _slices(pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist()):
-                found = scorer.score([t or "" for t in texts.slice(start, end - start).to_pylist()])
-                best, score = np.full(len(found), -1), np.zeros(len(found))
-                if scorer.n:
-                    logs = found[:, :-1]
-                    share = np.exp(logs - logs.max(axis=1, keepdims=True))
-                    best = np.where(found[:, -1] > 0, logs.argmax(axis=1), -1)
-                    score = np.where(best >= 0, 1 / share.sum(axis=1), 0.0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), pa.array(names[best], pa.string()), pa.array(score)], ["id", "lang_pred", "score"])
+        for rows, names, scores in _predicted(batches, held.value, 1):
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(names, pa.string()), pa.array(scores)], ["id", "lang_pred", "score"])
 
     return docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id)
 
 
+def keep_identified(docs: DataFrame, model: dict, least: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose language is one of the model's with a score of at least `least`.
+
+    Null and empty texts and texts without a letter are rejected, as are texts that no language explains better than
+    the others together. One pass without a shuffle.
+    """
+    held, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, names, scores in _predicted(batches, held.value, place):
+            yield rows.filter(pa.array((names != "und") & (scores >= least)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id: Column) -> Column:
     """Rows that no model may learn from: crc32 of the id as text leaves 1 when divided by 3. Null ids are none."""
     return F.coalesce(F.crc32(id.cast("string").cast("binary")) % 3 == 1, F.lit(False))

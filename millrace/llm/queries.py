@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from millrace.llm import bpe, embedding, exact_dedup, langid, minhash, mixing, secret_scan, url_filter
+from millrace.llm import bpe, embedding, exact_dedup, langid, license_scan, minhash, mixing, pii, secret_scan, url_filter
 from millrace.llm.common import table
 
 #: The vocabulary files, by path.
@@ -21,6 +21,11 @@ PIECES = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.digest(pii.find_personal_data(docs, pii.fit(docs)))
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan_secrets(table(spark, sf_dir, "documents")))
 
@@ -41,6 +46,10 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digest(license_scan.scan_licenses(table(spark, sf_dir, "documents")))
+
+
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.98)
 
@@ -64,10 +73,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_secrets": op2_secrets,
     "op3_mixing": op3_mixing,
     "op4_language_id": op4_language_id,
     "op5_minhash": op5_minhash,
+    "op6_license_scan": op6_license_scan,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_url_filter": op8_url_filter,
     "op9_exact_dedup": op9_exact_dedup,

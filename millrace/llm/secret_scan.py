@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import written
+from millrace.llm.common import joined_spans, kind_count, written
 
 
 @dataclass(frozen=True)
@@ -57,10 +57,6 @@ def _spans(kind: Kind, order: int) -> Column:
     return F.when(F.expr(kind.maybe) & F.col("text").rlike(kind.pattern), found).otherwise(empty)
 
 
-def _joined(spans: Column) -> Column:
-    return F.array_join(F.transform(F.sort_array(spans), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-
-
 def scan_secrets(docs: DataFrame, id: str = "doc_id", text: str = "text", owner: str = "source", repository: Sequence[str] = ("source", "lang"), most_owners: int = 2, kinds: Sequence[Kind] = KINDS) -> DataFrame:
     """Find secrets in every whole text and tell owner-specific ones from widely copied examples.
 
@@ -99,8 +95,5 @@ def scan_secrets(docs: DataFrame, id: str = "doc_id", text: str = "text", owner:
 
 def digest(found: DataFrame, id: str = "doc_id", kinds: Sequence[Kind] = KINDS) -> DataFrame:
     """Counts of the base kinds, a hash of the base spans and all spans as text."""
-    def count(name: str) -> Column:
-        return F.size(F.filter("base", lambda s: s["kind"] == name)).cast("long").alias(f"n_{name}")
-
-    counts = [count(k.name) for k in kinds if k.base]
-    return found.select(id, *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), F.col("live").alias("n_live"), F.col("example").alias("n_example"))
+    counts = [kind_count("base", k.name).alias(f"n_{k.name}") for k in kinds if k.base]
+    return found.select(id, *counts, F.sha2(joined_spans(F.col("base")), 256).alias("base_sha256"), joined_spans(F.col("spans")).alias("spans"), F.col("live").alias("n_live"), F.col("example").alias("n_example"))
