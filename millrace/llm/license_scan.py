@@ -137,11 +137,12 @@ def scan_text(text: str) -> tuple[int, list[tuple[int, str, bool]], bool | None,
                 doubt *= 1 - weight
     free: bool | None = None
     if tagged:
+        word = at = 0
         for m in _TAG.finditer(text):
+            word, at = word + len(text[at : m.start()].encode().translate(_WORDS).split()), m.start()
             postfix = to_postfix(m[1])
             value = evaluate(postfix) if postfix else None
             if value:
-                word = len(text[: m.start()].encode().translate(_WORDS).split()) if len(places) < 1000 else 0
                 places += [(word, x, False) for x in sorted(value[0])]
                 free = value[1] if free is None else free and value[1]
                 doubt *= 0.05

@@ -102,12 +102,11 @@ def mix_sources(
 def mixed_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
     """The mix itself: the rows of docs, each as often as the mix takes it (whole documents, boundary="nearest").
 
-    Documents without words are in no mix. Copies of a row are made by the task that holds it.
+    Documents without words are in no mix. Copies of a row are made by the task that holds it. Rows that repeat id, source and
+    size are taken alike, as often as the one that is taken most.
     """
     plan = mix_sources(docs, boundary="nearest", id=id, text=text, source=source, **how).filter(F.col("taken") > 0)
-    times = plan.select(F.col(id).alias("_mix_id"), F.col(source).alias("_mix_source"), F.col("size").alias("_mix_size"), F.expr("int(taken div size)").alias("_mix_times")).distinct()
-    joined = docs.withColumn("_size", word_count(F.col(text))).join(
-        times,
-        F.col(id).eqNullSafe(F.col("_mix_id")) & F.col(source).eqNullSafe(F.col("_mix_source")) & (F.col("_size") == F.col("_mix_size")),
-    )
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_times")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    times = plan.groupBy(F.col(id).alias("id"), F.col(source).alias("source"), "size").agg(F.max(F.expr("int(taken div size)")).alias("times")).alias("p")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id).alias("id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")).alias("d")
+    same = F.col("d.id").eqNullSafe(F.col("p.id")) & F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.size") == F.col("p.size"))
+    return rows.join(times, same).select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
