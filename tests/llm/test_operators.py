@@ -1,0 +1,376 @@
+"""The operators against brute force, on small fixtures with nulls, empty and long texts, ties, repeats and clashing columns."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import public_tokenizers
+import pytest
+
+from millrace.llm import bpe, embedding, exact_dedup, langid, license_scan, minhash, mixing, pii, queries, secret_scan, url_filter
+from millrace.llm.oracles import ORACLES
+
+SCHEMA = "doc_id long, text string, lang string, source string, score string, size string, h string, t string, row string, kept string"
+
+
+def frame(spark, rows):
+    """Documents with further columns whose names clash with what operators use or return."""
+    return spark.createDataFrame([(i, t, lang, s, *["x"] * 6) for i, t, lang, s in rows], SCHEMA)
+
+
+EDGES = [(1, None, "en", "a"), (2, "", "en", "a"), (3, " \t\n", None, None), (4, "Word", "fr", "b"), (4, "Word", "fr", "b"), (5, "one two three four five six " * 400, "en", "a"), (6, "wORD", "de", "b"), (7, "ÉCOLE", "fr", "é"), (8, "école", "fr", "é"), (None, "lost id", "en", "a"), (9, "x" * 70_000, "en", None)]
+
+
+@pytest.mark.parametrize("name", sorted(set(ORACLES) & set(queries.QUERIES)))
+def test_queries_match_sql(name, same_as_sql):
+    same_as_sql(queries.QUERIES[name], ORACLES[name])
+
+
+# exact de-duplication
+
+
+def _low(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+
+
+def test_exact_dedup(spark):
+    rows = EDGES + [(20 + i, "Same TEXT" if i % 2 else "same text", "en", "a") for i in range(30)]
+    got = exact_dedup.exact_dedup(frame(spark, rows), keep="largest").collect()
+    groups = {}
+    for i, t, *_ in rows:
+        groups.setdefault(_low(t), []).append(i)
+    assert len(got) == len(rows)
+    want = sorted((str(i), str(max((x for x in groups[_low(t)] if x is not None), default=None)), len(groups[_low(t)]), hashlib.sha256(_low(t).encode()).hexdigest()) for i, t, *_ in rows)
+    assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.text_sha256) for r in got) == want
+    assert all(r.kept == (r.doc_id == r.keep_id) for r in got)
+    assert exact_dedup.exact_dedup(frame(spark, []).limit(0)).count() == 0
+    kept = exact_dedup.distinct_documents(frame(spark, rows), keep="smallest")
+    assert kept.columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ")
+    ids = [r.doc_id for r in kept.collect()]
+    assert len(ids) == len(groups) and set(ids) == {min((x for x in g if x is not None), default=None) for g in groups.values()}
+
+
+# mixing
+
+
+def test_mixing(spark):
+    rows = EDGES + [(100 + i, "w " * (i % 17 + 1), "en", f"s{i % 5}") for i in range(200)]
+    docs = frame(spark, rows)
+    got = mixing.mix_sources(docs).collect()
+    assert len(got) == len(rows)
+    size = {}
+    for r in got:
+        size[r.source] = size.get(r.source, 0) + r.size
+    assert all(r.source_size == size[r.source] for r in got) and sum(size.values()) == sum(len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t, *_ in rows)
+    order = sorted([s for s in size if s is not None]) + [None] * (None in size)
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    target, free, left = {}, set(size), 1.5 * sum(size.values())
+    while True:  # share, cap, share the excess again
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = [s for s in free if share[s] > 2 * size[s]]
+        if not over:
+            break
+        for s in over:
+            target[s], left = 2 * size[s], left - 2 * size[s]
+            free.discard(s)
+    target |= share
+    for s in size:
+        mine = [r for r in got if r.source == s]
+        assert all(abs(r.target - target[s]) < 1e-6 for r in mine)
+        assert abs(sum(r.taken for r in mine) - target[s]) <= 1
+        assert all(0 <= r.taken <= 2 * r.size for r in mine)
+    again = mixing.mix_sources(docs.repartition(3)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+    assert mixing.mix_sources(frame(spark, []).limit(0)).count() == 0
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    counts = {}
+    for r in mixed.collect():
+        counts[r.source] = counts.get(r.source, 0) + len(re.findall(r"[^\x20\x09-\x0D]+", r.text))
+    longest = {s: max(r.size for r in got if r.source == s) for s in size}
+    assert all(abs(counts.get(s, 0) - target[s]) <= longest[s] for s in size)
+
+
+def test_heavier_documents_come_first(spark):
+    rows = [(i, "w " * 10, "en", "a") for i in range(2000)] + [(5000, "w " * 20_000, "en", "b")]
+    quality = lambda text, size: mixing.F.when(mixing.F.col("id") % 2 == 0, 4.0).otherwise(1.0)
+    got = [r for r in mixing.mix_sources(frame(spark, rows), weights=(1, 1), ratio=0.5, quality=quality).collect() if r.source == "a"]
+    even, odd = sum(r.taken for r in got if r.doc_id % 2 == 0), sum(r.taken for r in got if r.doc_id % 2)
+    assert 0.2 < sum(r.taken for r in got) / 20_000 <= 1 and even >= odd
+
+
+# language identification
+
+
+def test_forward_sums_all_segmentations():
+    pieces = ["a", "b", "ab", " a", " ab", "ba", "b a"]
+    lattice = langid.Lattice(pieces)
+    p = np.random.default_rng(1).random((len(pieces) + 2, 3))
+    p[0], p[1] = 0, langid.FLOOR
+
+    def brute(word):
+        if not word:
+            return np.ones(3)
+        total = np.zeros(3)
+        for k in range(1, min(langid.MOST, len(word)) + 1):
+            row = lattice.row.get(word[:k], 1 if k == 1 else 0)
+            total += p[row] * brute(word[k:])
+        return total
+
+    for word in (" abab", " ba", " zab", " a"):
+        assert np.allclose(np.exp(lattice.log_score([word], p)[0]), brute(word))
+    long = " " + "ab" * 40
+    assert np.allclose(lattice.log_score([long], p)[0], np.log(lattice.forward(lattice.rows([long]), p)[-1][0]))
+
+
+def test_language_id(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    model = langid.fit_unheld(docs, langid.load_pieces(queries.PIECES))
+    found = {r.doc_id: r for r in langid.identify(docs, model).collect()}
+    held = [(r.doc_id, r.lang) for r in docs.filter(langid.held_out(docs.doc_id)).collect()]
+    assert held and sum(found[i].lang_pred == lang for i, lang in held) >= 0.95 * len(held)
+    edge = {str(r.doc_id) + r.lang_pred: r for r in langid.identify(frame(spark, EDGES), model).collect()}
+    assert all(f"{i}und" in edge and edge[f"{i}und"].score == 0 for i in (1, 2, 3))
+    assert all(0 <= r.score <= 1 for r in edge.values())
+    kept = langid.keep_identified(frame(spark, EDGES), model)
+    assert kept.columns == frame(spark, EDGES).columns and {1, 2, 3}.isdisjoint({r.doc_id for r in kept.collect()})
+    nothing = langid.fit_unheld(frame(spark, []).limit(0), ["a"])
+    assert [r.lang_pred for r in langid.identify(frame(spark, EDGES[3:4]), nothing).collect()] == ["und"]
+
+
+# MinHash
+
+
+def _shingles(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", _low(text))
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+
+def _groups(ids, linked):
+    low = {i: i for i in ids}
+
+    def find(x):
+        while low[x] != x:
+            x = low[x]
+        return x
+
+    for a, b in linked:
+        a, b = find(a), find(b)
+        low[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+def test_minhash_against_brute_force(spark):
+    pick = random.Random(5)
+    base = [[pick.choice("abcdefgh") + str(pick.randrange(300)) for _ in range(90)] for _ in range(6)]
+    rows = [(i, t, x, s) for i, t, x, s in EDGES]
+    for k in range(260):
+        words = list(base[k % 6])
+        for _ in range(pick.choice([0, 0, 1, 1, 2, 3, 5, 9])):
+            words[pick.randrange(90)] = "z" + str(pick.randrange(10_000))
+        rows.append((1000 + k, (" " if k % 2 else "\n").join(words).upper() if k % 3 else " ".join(words), "en", "a"))
+    got = minhash.near_duplicates(frame(spark, rows)).collect()
+    sets = {i: _shingles(t) for i, t, *_ in rows if i is not None}
+    ids = sorted(sets)
+    linked = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    want = _groups(ids, linked)
+    assert len(got) == len(rows) and len(linked) > 500
+    for r in got:
+        if r.doc_id is None:
+            assert r.component_id is None and r.kept
+        else:
+            assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), want[r.doc_id], want[r.doc_id] == r.doc_id)
+    assert minhash.near_duplicates(frame(spark, []).limit(0)).count() == 0
+
+
+def test_small_blocks_lose_nothing():
+    pick = np.random.default_rng(3)
+    sets = [np.unique(pick.integers(0, 60, 40).astype(np.uint64)) for _ in range(50)]
+    a, b = minhash._exact(sets, np.arange(20), np.arange(20, 50), 60)
+    want = [(i, j) for i in range(20) for j in range(30) if 100 * len(np.intersect1d(sets[i], sets[20 + j])) >= 60 * len(np.union1d(sets[i], sets[20 + j]))]
+    assert list(zip(a.tolist(), b.tolist(), strict=True)) == want
+
+
+def test_signatures_agree_as_sets_do():
+    one, two = minhash.shingle_sets([" ".join(map(str, range(400))), " ".join(map(str, range(40, 440)))])
+    agree = (minhash._signature(one) == minhash._signature(two)).mean()
+    assert abs(agree - len(np.intersect1d(one, two)) / len(np.union1d(one, two))) < 0.3
+
+
+# embeddings
+
+
+def test_embeddings_against_brute_force(spark):
+    pick = np.random.default_rng(2)
+    centre = pick.normal(size=(40, 16))
+    v = [(centre[k % 40] + pick.normal(size=16) * pick.choice([0.02, 0.1, 0.14])).tolist() for k in range(600)]
+    v += [v[0]] * 30
+    rows = [(i, x, int(i % 3 == 0)) for i, x in enumerate(v)]
+    rows += [(9001, None, 0), (9002, [0.0] * 16, 0), (9003, [float("nan")] + [1.0] * 15, 0), (9004, [1.0] * 16, None), (9005, [None] + [1.0] * 15, 1), (9006, [], 1), (9007, [1.0, 2.0], 1), (None, [1.0] * 16, 1), (9008, [float("inf")] * 16, 1)]
+    data = spark.createDataFrame([(*r, "x", "y", 1) for r in rows], "vec_id long, embedding array<double>, label int, rep string, v string, cell int")
+    got = {r.vec_id: r for r in embedding.near_duplicates(data, cell_rows=60).collect()}
+    unit = np.array(v) / np.linalg.norm(v, axis=1, keepdims=True)
+    label = np.arange(len(v)) % 3 == 0
+    link = (unit @ unit.T >= 0.98) & (label[:, None] == label[None, :])
+    np.fill_diagonal(link, False)
+    want = _groups(range(len(v)), zip(*np.nonzero(np.triu(link)), strict=True))
+    assert link.sum() > 2000 and len(got) == len(rows)
+    for i in range(len(v)):
+        assert (got[i].n_links, got[i].component_id, got[i].kept) == (link[i].sum(), want[i], want[i] == i)
+    for i in (9001, 9002, 9003, 9004, 9005, 9006, 9007, 9008, None):
+        assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
+    assert embedding.near_duplicates(data.limit(0)).count() == 0
+
+
+# URLs
+
+
+def test_url_rules_and_trust(spark):
+    good = '<a href="https://friend.net/x">a</a>'
+    bad = "<p><A class=x HREF='http://www.bad.com/de/1'>b</A><a href=/local>c</a>"
+    rows = [(1, "https://x.ORG/a?b#c", good), (2, "http://www.bad.com/de/7", ""), (3, "http://shady.net/p", bad), (4, "https://friend.net", None), (5, None, bad), (6, "no scheme", None), (7, "http://x.org", ""), (8, "ftp://Sub.example.org/es/q?x", ""), (9, "http://example.org/en/12", ""), (10, "http://com/fr/", ""), (10, "http://com/fr/", ""), (11, "http://lonely.net/" + "p" * 50_000, "<a" * 5000)]
+    data = spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, host string")
+    got = {r.page_id: r for r in url_filter.judge_urls(data, queries.URL_RULES).collect()}
+    assert (got[1].host, got[1].path, got[1].rule, got[1].verdict) == ("x.org", "/a", "org/", "allow")
+    assert (got[2].rule, got[2].verdict) == ("com/de/", "block")
+    assert (got[3].rule, got[3].verdict) == (None, "block")  # it links to a blocked host
+    assert (got[4].rule, got[4].path, got[4].verdict) == (None, "", "allow") and got[4].standing > 0
+    assert (got[5].host, got[5].path, got[6].host, got[6].verdict) == ("", "", "", "allow")
+    assert (got[7].path, got[7].rule) == ("", None)
+    assert (got[8].rule, got[9].rule, got[10].rule) == ("example.org/es/", "example.org/en/1", "com/fr/")
+    assert got[11].verdict == "allow"
+    assert url_filter.judge_urls(data, queries.URL_RULES).count() == len(rows)
+    assert url_filter.judge_urls(data.limit(0), queries.URL_RULES).count() == 0
+
+
+def test_pagerank_sums_by_hand(spark):
+    edges = spark.createDataFrame([("a", "b", 1.0), ("a", "c", 3.0), ("b", "a", 1.0)], "source string, target string, weight double")
+    seeds = spark.createDataFrame([("a", 1.0)], "host string, seed double")
+    got = {r.host: r["rank"] for r in url_filter.propagate(edges, seeds, 0.5, 2).collect()}
+    assert got == pytest.approx({"a": 0.5 + 0.5 * 0.0625, "b": 0.0625, "c": 0.1875})
+
+
+# personal data, secrets, licences
+
+
+def _noise(pick, pool, n=3000, size=60):
+    return ["".join(pick.choice(pool) for _ in range(pick.randrange(size))) for _ in range(n)]
+
+
+def test_personal_data_base_against_patterns():
+    patterns = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    luhn = lambda d: sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+    good = [lambda s: True, lambda s: all(int(p) <= 255 for p in s.split(".")), lambda s: 12 <= len(digits(s)) <= 19 and luhn(digits(s)), lambda s: 9 <= len(digits(s)) <= 15]
+    pick = random.Random(4)
+    texts = _noise(pick, "ab@@..-1 ") + _noise(pick, "0123456789. -") + _noise(pick, "+(1234) -.5") + _noise(pick, "4111 0a.@+") + ["x.42@mail8.example.com", "1." * 50, "4111 1111 1111 1111", "é" * 3 + "+1 (988) 555-2485"]
+    for text in texts:
+        want = sorted((m.start(), k, m.end()) for k, p in enumerate(patterns) for m in re.finditer(p, text) if good[k](m[0]))
+        assert [s[:3] for s in pii.candidates(text) if s[3]] == want, text
+    for hostile in ("a" * 200_000 + "@", "1" * 200_000, "1 " * 100_000, "+1" + " " * 200_000, "1." * 100_000, "a@" * 50_000):
+        pii.candidates(hostile)
+
+
+def test_personal_data(spark):
+    pick = random.Random(1)
+    name = lambda: "".join(pick.choice("abcdefgh") for _ in range(6))
+    rows = EDGES + [(100 + i, f"call {name()} phone +1 ({pick.randrange(200, 999)}) 555-{pick.randrange(1000, 9999)} or order 1234567890123{i} version 1.2.3.{300 + i}", "en", "a") for i in range(300)]
+    rows.append((5000, "phone (415) 555-2671 today", "en", "a"))
+    docs = frame(spark, rows)
+    model = pii.fit(docs)
+    got = {r.doc_id: r for r in pii.digest(pii.find_personal_data(docs, model)).collect()}
+    assert got[1].spans == "" and got[1].base_sha256 == hashlib.sha256(b"").hexdigest()
+    assert all(got[100 + i].n_phone == 1 and got[100 + i].n_ip == 0 for i in range(300))
+    assert got[5000].n_phone == 0
+    assert pii.find_personal_data(docs.limit(0), pii.fit(docs.limit(0))).count() == 0
+
+
+def test_boosted_trees_learn_an_interaction():
+    pick = np.random.default_rng(0)
+    x = pick.random((2000, 4))
+    y = ((x[:, 0] > 0.5) & (x[:, 2] < 0.4)).astype(float)
+    raw = pii.BoostedTrees().fit(x[:1000], y[:1000]).raw(x[1000:])
+    assert ((raw > 0) == (y[1000:] > 0.5)).mean() > 0.93
+
+
+def test_secrets_against_patterns(spark):
+    assign = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    pick = random.Random(6)
+    noise = ["".join(pick.choice(["token", "API_KEY", "apikey", " ", "=", ":", "'", "abcdef12", "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "é", "\n", "Password"]) for _ in range(pick.randrange(14))) for _ in range(1500)]
+    jwt = "eyJhbGciOiJI." + "eyJzdWIiOiIx." + "SflKxwRJSMeKK"
+    rows = EDGES + [(100 + i, t, "en", f"s{i % 7}") for i, t in enumerate(noise)] + [(9000, f"see {jwt} here", "en", "own"), *[(9100 + i, f"copied {jwt[:-1]}Z all over", "en", f"o{i}") for i in range(6)]]
+    got = {}
+    for r in secret_scan.digest(secret_scan.scan_secrets(frame(spark, rows))).collect():
+        got.setdefault(r.doc_id, r)
+    assert len(got) == len({r[0] for r in rows})
+    for i, text, *_ in rows:
+        t = text or ""
+        spans = [(m.start(), 0, "assign", m.end()) for m in assign.finditer(t) if len(m[2]) >= 6]
+        spans += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20] + [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+        shown = ",".join(f"{k}:{a}:{e}" for a, _, k, e in sorted(spans))
+        assert got[i].base_sha256 == hashlib.sha256(shown.encode()).hexdigest(), text
+        assert set(filter(None, shown.split(","))) <= set(got[i].spans.split(","))
+    assert "jwt:4:" in got[9000].spans and got[9000].n_live == 1
+    assert got[9100].spans == "" and got[9100].n_example == 1
+    assert secret_scan.scan_secrets(frame(spark, []).limit(0)).count() == 0
+
+
+def test_license_expressions():
+    value = lambda e: license_scan.evaluate(license_scan.to_postfix(e))
+    assert license_scan.to_postfix("MIT OR Apache-2.0 AND BSD-3-Clause") == ["mit", "apache-2.0", "bsd-3-clause", "and", "or"]
+    assert value("GPL-2.0-only WITH Classpath-exception-2.0 OR MIT") == ({"gpl-2.0-only with classpath-exception-2.0", "mit"}, True)
+    assert value("(MIT OR GPL-3.0) AND GPL-2.0")[1] is False and value("mit */ text")[0] == {"mit"}
+    for broken in ("OR MIT", "(MIT", "MIT AND", "", "()"):
+        assert license_scan.to_postfix(broken) is None, broken
+
+
+def test_licenses_against_patterns(spark):
+    pick = random.Random(8)
+    bits = ["Under the MIT License", "apache LICENSE, version 2.0", "CC BY-NC", "cc", "by", "nc", "é", "under", "\n", "x1", "(SPDX-License-Identifier: MIT OR GPL-3.0)\n", "CC-BY-NC BY NC", "---"]
+    rows = EDGES + [(100 + i, " ".join(pick.choice(bits) for _ in range(pick.randrange(9))), "en", "a") for i in range(800)]
+    got = {r.doc_id: r for r in license_scan.digest(license_scan.scan_licenses(frame(spark, rows))).collect()}
+    phrases = [(p.split(), label) for p, label in license_scan.BASE]
+    for i, text, *_ in rows:
+        w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", _low(text))
+        at = [(k, label) for p, label in phrases for k in range(len(w)) if w[k : k + len(p)] == p]
+        r = got[i]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (len(w), len(at), min((k for k, _ in at), default=None), max((k for k, _ in at), default=None), ",".join(sorted({x for _, x in at}))), text
+        assert 0 <= r.score <= 1 and set(r.base_labels.split(",")) - {""} <= set(r.labels.split(","))
+        if "SPDX" in (text or ""):
+            assert {"mit", "gpl-3.0"} <= set(r.labels.split(",")) and r.permissive
+    assert license_scan.scan_licenses(frame(spark, []).limit(0)).count() == 0
+
+
+# byte-pair encoding
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    return bpe.load_vocabulary(queries.BPE_VOCABULARY)
+
+
+def test_bpe_equals_the_library(spark, vocabulary):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pick = random.Random(3)
+    texts = _noise(pick, "abc'sdtremvl xX \n\t\r 0123²½ªéÉßαβЖ中文😀\xa0\x85\x1c\x0b<|endoftext|>AAAA.,!?-_", 3000)
+    texts += ["<|endoftext|>", "a<|endoftext|>b <|endoftext|>", "x" * 5000, "aA" * 700, "=" * 3000, " " * 100, "the " * 50 + "  \n\n ", "", None]
+    data = frame(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    got = {r.doc_id: r for r in bpe.bpe_encode(data, vocabulary, decoded=True).collect()}
+    for i, text in enumerate(texts):
+        want = library.encode(text or "", add_special_tokens=False).ids
+        assert got[i].ids == want, text
+        assert got[i].decoded == library.decode(want, skip_special_tokens=False) == (text or "")
+    encoded = bpe.bpe_encode(data, vocabulary)
+    assert {r.doc_id: r.decoded for r in bpe.bpe_decode(encoded, vocabulary).collect()} == {i: t or "" for i, t in enumerate(texts)}
+    assert bpe.bpe_encode(data.limit(0), vocabulary).count() == 0
+    odd = spark.createDataFrame([(1, [999_999, None, -4, 65]), (2, None)], "doc_id long, ids array<int>")
+    assert len(bpe.bpe_decode(odd, vocabulary).collect()) == 2
+
+
+def test_each_gadget_by_hand():
+    pieces = [b"x", b"y", b"xx", b"xxx", b"xxy"]
+    automaton = bpe.Automaton({"pieces": pieces, "merges": [(0, 0, 2), (2, 0, 3), (2, 1, 4)], "special": {}})
+    assert automaton.encode(b"xxxx") == [2, 2] and automaton.encode(b"xxx") == [3] and automaton.encode(b"xxy") == [4] and automaton.encode(b"xyx") == [0, 1, 0]
