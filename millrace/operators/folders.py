@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.text import let
+
 
 def folder_paths(folders: DataFrame, depth: int = 64) -> DataFrame:
     """Add path (/a/b) from the chain of parents: a join for each level, until a level is empty. Folders in a cycle, or
@@ -37,8 +39,7 @@ def folder_tree(paths: DataFrame, root: str) -> DataFrame:
 
 def ancestors(path: str = "path"):
     """All prefixes of a path that are folders, the path itself included."""
-    parts = F.split(path, "/")
-    return F.transform(F.sequence(F.lit(2), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    return let(F.split(path, "/"), lambda parts: F.transform(F.sequence(F.lit(2), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/")))
 
 
 def move_folders(paths: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame]:

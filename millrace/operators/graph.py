@@ -17,8 +17,10 @@ def relation_type(c: Column) -> Column:
 
 
 def canonical_mentions(mentions: DataFrame) -> DataFrame:
-    """Mentions with their key; nameless ones are left out, the type defaults to UNKNOWN."""
-    return mentions.withColumns({"canonical": canonical_name(F.col("name")), "type": F.coalesce("type", F.lit("UNKNOWN"))}).filter("canonical <> ''")
+    """Mentions with their key; nameless ones are left out, the type defaults to UNKNOWN. The patterns run once for each distinct
+    spelling; Spark broadcasts the spellings where they are few and splits large partitions where they are not."""
+    keys = mentions.select("name").distinct().select("name", canonical_name(F.col("name")).alias("canonical")).filter("canonical <> ''")
+    return mentions.withColumn("type", F.coalesce("type", F.lit("UNKNOWN"))).join(keys, "name")
 
 
 def build_vertices(mentions: DataFrame) -> DataFrame:
@@ -38,10 +40,13 @@ def build_mentions(mentions: DataFrame) -> DataFrame:
 def build_edges(relations: DataFrame, vertices: DataFrame) -> DataFrame:
     """Directed edges between known vertices: weight = occurrences; description, confidence and document of the first.
 
-    Relations are aggregated before the ends are looked up, so the semi-joins see edges, not occurrences.
+    Relations are aggregated by their spelling first, then by their keys, and only then are the ends looked up: the patterns run
+    for distinct spellings and the semi-joins see edges, not occurrences.
     """
-    rows = relations.select(canonical_name(F.col("source")).alias("src"), canonical_name(F.col("target")).alias("dst"), relation_type(F.col("type")).alias("rel"), F.struct(*FIRST).alias("at"), "description", F.coalesce("confidence", F.lit(0.5)).alias("confidence"), F.col("doc_id").alias("source_document_id"))
-    sums = rows.groupBy("src", "dst", "rel").agg(F.count(F.lit(1)).alias("weight"), F.min(F.struct("at", "description", "confidence", "source_document_id")).alias("f"))
+    raw = relations.select("source", "target", "type", F.struct(F.struct(*FIRST).alias("at"), "description", F.coalesce("confidence", F.lit(0.5)).alias("confidence"), F.col("doc_id").alias("source_document_id")).alias("f"))
+    spelt = raw.groupBy("source", "target", "type").agg(F.count(F.lit(1)).alias("n"), F.min("f").alias("f"))
+    rows = spelt.select(canonical_name(F.col("source")).alias("src"), canonical_name(F.col("target")).alias("dst"), relation_type(F.col("type")).alias("rel"), "n", "f")
+    sums = rows.groupBy("src", "dst", "rel").agg(F.sum("n").alias("weight"), F.min("f").alias("f"))
     known = sums.join(vertices.select(F.col("canonical").alias("src")), "src", "left_semi").join(vertices.select(F.col("canonical").alias("dst")), "dst", "left_semi")
     return known.select("src", "dst", "rel", "weight", "f.description", "f.confidence", "f.source_document_id")
 

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.text import let
 from millrace.sources.shared import written
 
 #: Words that are not indexed, and the weights of fields.
@@ -93,12 +94,15 @@ def top_k(scored: DataFrame, k: int, by: str = "query_id", id: str = "doc_id") -
 
 def highlight(text: Column, words: Column, around: int = 20) -> Column:
     """A snippet of about 2 * around words about the first hit, hits in <mark>; the beginning if there is none."""
-    tokens = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    bare = F.transform(tokens, lambda w: F.regexp_replace(F.lower(w), r"[^\p{L}\p{N}]", ""))
-    first = F.array_min(F.transform(words, lambda w: F.when(F.array_position(bare, w) > 0, F.array_position(bare, w))))
-    begin = F.greatest(F.lit(1).cast("long"), F.coalesce(first, F.lit(1)) - around)
-    shown = F.slice(tokens, begin.cast("int"), 2 * around)
-    return F.array_join(F.transform(shown, lambda w: F.when(F.array_contains(words, F.regexp_replace(F.lower(w), r"[^\p{L}\p{N}]", "")), F.concat(F.lit("<mark>"), w, F.lit("</mark>"))).otherwise(w)), " ")
+    def shown(tokens: Column) -> Column:
+        bare = F.transform(tokens, lambda w: F.regexp_replace(F.lower(w), r"[^\p{L}\p{N}]", ""))
+        first = let(bare, lambda known: F.array_min(F.transform(words, lambda w: F.when(F.array_position(known, w) > 0, F.array_position(known, w)))))
+        return F.slice(tokens, F.greatest(F.lit(1).cast("long"), F.coalesce(first, F.lit(1)) - around).cast("int"), 2 * around)
+
+    def marked(w: Column) -> Column:
+        return F.when(F.array_contains(words, F.regexp_replace(F.lower(w), r"[^\p{L}\p{N}]", "")), F.concat(F.lit("<mark>"), w, F.lit("</mark>"))).otherwise(w)
+
+    return F.array_join(F.transform(let(F.filter(F.split(text, r"\s+"), lambda w: w != ""), shown), marked), " ")
 
 
 def semantic_search(queries: DataFrame, corpus: DataFrame, k: int = 20, query_id: str = "query_id", id: str = "doc_id", vector: str = "embedding", least: float | None = None, before: str | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from millrace.operators import search as S
 from millrace.plans import testbed as t
 from millrace.plans.testbed import with_tables
+from millrace.sources.shared import written
 
 Q, SQL = {}, {}
 
@@ -29,7 +30,8 @@ weighed AS (SELECT *, tf * CASE field WHEN 'title' THEN 1.0::DOUBLE WHEN 'summar
 
 
 def _postings(spark, sf):
-    return S.build_postings(t.docs(spark, sf))
+    """The index as a lake holds it: built, written and read."""
+    return written(S.build_postings(t.docs(spark, sf)), "postings")
 
 
 def _queries(spark, sf):
@@ -41,7 +43,7 @@ def _queries(spark, sf):
 
 @query("build_postings", with_tables("docs", more=_POSTED) + "SELECT term, doc_id, field, tf FROM posts")
 def build_postings(spark, sf):
-    return _postings(spark, sf).drop("positions")
+    return S.build_postings(t.docs(spark, sf)).drop("positions")
 
 
 _ASKED = f"""q AS (SELECT item_id AS query_id, regexp_split_to_array(text, '\\s+') AS w FROM benchmark),

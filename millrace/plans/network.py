@@ -8,6 +8,7 @@ from millrace.functions.text import canonical_name
 from millrace.operators import graph as G
 from millrace.plans import testbed as t
 from millrace.plans.testbed import canonical_sql, with_tables
+from millrace.sources.shared import written
 
 Q, SQL = {}, {}
 
@@ -23,11 +24,12 @@ def query(name: str, sql: str | None = None):
 
 
 def _vertices(spark, sf):
-    return G.build_vertices(t.mentions(spark, sf))
+    """The vertices as a lake holds them: built, written and read."""
+    return written(G.build_vertices(t.mentions(spark, sf)), "vertices")
 
 
-def _edges(spark, sf):
-    return G.build_edges(t.relations(spark, sf), _vertices(spark, sf))
+def _edges(spark, sf, vertices=None):
+    return written(G.build_edges(t.relations(spark, sf), _vertices(spark, sf) if vertices is None else vertices), "graph-edges")
 
 
 _TABLES = with_tables("edges")
@@ -87,11 +89,12 @@ def search_entities(spark, sf):
 @query("entity_detail", _TABLES + "SELECT v.canonical, name, entity_type, direction, other, rel, weight FROM vertices v JOIN (SELECT src AS canonical, 'out' AS direction, dst AS other, rel, weight FROM edges UNION ALL SELECT dst, 'in', src, rel, weight FROM edges) USING (canonical) WHERE v.canonical IN ('brand#11', 'brand#32', 'supplier#000000007')")
 def entity_detail(spark, sf):
     ids = spark.createDataFrame([("brand#11",), ("brand#32",), ("supplier#000000007",)], "canonical string")
-    return G.entity_detail(_vertices(spark, sf), _edges(spark, sf), ids)
+    vertices = _vertices(spark, sf)
+    return G.entity_detail(vertices, _edges(spark, sf, vertices), ids)
 
 
-def _seeds(spark, sf):
-    return _vertices(spark, sf).filter("canonical LIKE 'brand#%2' OR canonical LIKE 'supplier%5'").select(F.col("canonical").alias("seed"))
+def _seeds(vertices):
+    return vertices.filter("canonical LIKE 'brand#%2' OR canonical LIKE 'supplier%5'").select(F.col("canonical").alias("seed"))
 
 
 @query("neighbors", _TABLES + _PAIRS + """, strong AS (SELECT a, b FROM pairs WHERE weight >= 4), seeds AS (SELECT canonical AS seed FROM vertices WHERE canonical LIKE 'brand#%2' OR canonical LIKE 'supplier%5'),
@@ -99,14 +102,16 @@ walk AS (SELECT seed, seed AS node, 0 AS hop FROM seeds UNION SELECT seed, b, ho
 SELECT seed, node, min(hop)::INT AS hop FROM walk WHERE node <> seed GROUP BY seed, node""".replace(", strong", "\n, strong", 1))
 def neighbors(spark, sf):
     """Along edges that are heavy in either direction."""
-    return G.neighbors(_edges(spark, sf).filter("weight >= 4"), _seeds(spark, sf), 3)
+    vertices = _vertices(spark, sf)
+    return G.neighbors(_edges(spark, sf, vertices).filter("weight >= 4"), _seeds(vertices), 3)
 
 
 @query("neighborhood_edges", _TABLES + _PAIRS + """, strong AS (SELECT a, b FROM pairs WHERE weight >= 4), seeds AS (SELECT canonical AS seed FROM vertices WHERE canonical LIKE 'brand#%2'), n AS (SELECT seed, seed AS node FROM seeds UNION SELECT seed, b FROM seeds JOIN strong ON seed = a)
 SELECT x.seed, src, dst, rel, weight FROM edges JOIN n x ON src = x.node JOIN n y ON dst = y.node AND x.seed = y.seed WHERE weight >= 5""")
 def neighborhood_edges(spark, sf):
-    edges = _edges(spark, sf).filter("weight >= 4")
-    return G.neighborhood_edges(edges, G.neighbors(edges, _seeds(spark, sf).filter("seed LIKE 'brand%'"), 1), 5)
+    vertices = _vertices(spark, sf)
+    edges = _edges(spark, sf, vertices).filter("weight >= 4")
+    return G.neighborhood_edges(edges, G.neighbors(edges, _seeds(vertices).filter("seed LIKE 'brand%'"), 1), 5)
 
 
 @query("shortest_path", _TABLES + _PAIRS + """, w AS (SELECT x.canonical AS src, y.canonical AS dst FROM vertices x, vertices y WHERE x.canonical LIKE 'supplier%7' AND (y.canonical LIKE 'brand#%3' OR y.canonical LIKE 'supplier%8')),
@@ -118,7 +123,7 @@ SELECT w.src, w.dst, array_to_string(path, ' > ') AS path, hops, weight::BIGINT
 def shortest_path(spark, sf):
     v = _vertices(spark, sf)
     wanted = v.filter("canonical LIKE 'supplier%7'").select(F.col("canonical").alias("src"), F.lit(1).alias("k")).join(v.filter("canonical LIKE 'brand#%3' OR canonical LIKE 'supplier%8'").select(F.col("canonical").alias("dst"), F.lit(1).alias("k")), "k")
-    return G.shortest_path(_edges(spark, sf), wanted, 2)
+    return G.shortest_path(_edges(spark, sf, v), wanted, 2)
 
 
 @query("entity_documents", with_tables("canon_mentions") + "SELECT DISTINCT canonical, doc_id, created_at FROM canon_mentions WHERE canonical IN ('brand#11', 'supplier#000000003')")
