@@ -48,7 +48,9 @@ def plain(frame):
     def one(v):
         if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return "null"
-        return repr(round(float(v), 9)) if isinstance(v, (float, np.floating)) else str(v)
+        if isinstance(v, (float, np.floating)):  # pandas makes whole numbers floats where some are null
+            return str(int(v)) if float(v).is_integer() else repr(round(float(v), 9))
+        return str(v)
 
     frame = frame[sorted(frame.columns)]
     return sorted(tuple(map(one, row)) for row in frame.itertuples(index=False, name=None))
