@@ -150,7 +150,7 @@ def line_diff(pairs: DataFrame, before: str = "before_text", after: str = "after
     return pairs.withColumn("ops", ops(F.col(before), F.col(after)))
 
 
-def text_similarity(a: Column, b: Column, most: int = 20_000) -> Column:
+def text_similarity(a: Column, b: Column, most: int = 4_000) -> Column:
     """Matching blocks' share of two texts' characters. It is quadratic: texts that are equal, or together longer than `most`,
     are settled by comparing words."""
     @F.pandas_udf("double")

@@ -84,11 +84,11 @@ def semantic_search(spark, sf):
     return _semantic(spark, sf).withColumn("score", F.round("score", 6))
 
 
-@query("hybrid_search", with_tables("docs", more=_POSTED + ", " + _ASKED + ", " + _SEM) + """, j AS (SELECT coalesce(k.query_id, s.query_id) AS query_id, coalesce(k.doc_id, s.doc_id) AS doc_id, k.rank AS rk, s.rank AS rs FROM kw k FULL JOIN (SELECT * FROM sem WHERE query_id < 400) s ON k.query_id = s.query_id AND k.doc_id = s.doc_id),
+@query("hybrid_search", with_tables("docs", more=_POSTED + ", " + _ASKED + ", " + _SEM) + """, j AS (SELECT coalesce(k.query_id, s.query_id) AS query_id, coalesce(k.doc_id, s.doc_id) AS doc_id, k.rank AS rk, s.rank AS rs FROM kw k FULL JOIN sem s ON k.query_id = s.query_id AND k.doc_id = s.doc_id),
 f AS (SELECT query_id, doc_id, round(coalesce(0.4::DOUBLE / (60 + rk), 0) + coalesce(0.6::DOUBLE / (60 + rs), 0), 6) AS score, rk, rs FROM j)
 SELECT query_id, doc_id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rk NULLS LAST, rs NULLS LAST, doc_id) AS rank FROM f) WHERE rank <= 20""")
 def hybrid_search(spark, sf):
-    return S.hybrid_search(S.keyword_search(_queries(spark, sf), _postings(spark, sf), 20), _semantic(spark, sf).filter("query_id < 400"))
+    return S.hybrid_search(S.keyword_search(_queries(spark, sf), _postings(spark, sf), 20), _semantic(spark, sf))
 
 
 @query("apply_filters", with_tables("entities") + "SELECT doc_id, category FROM entities WHERE category = 'research' AND created_at >= DATE '2024-01-03' AND created_at < DATE '2024-03-02' AND list_contains(names, 'That')")

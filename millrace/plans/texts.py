@@ -386,4 +386,4 @@ def line_diff(spark, sf):
 
 @query("text_similarity")
 def text_similarity(spark, sf):
-    return _changed(spark, sf).select("doc_id", F.round(V.text_similarity(F.substring("before_text", 1, 2000), F.substring("after_text", 1, 2000)), 6).alias("similarity"))
+    return _changed(spark, sf).select("doc_id", F.round(V.text_similarity(F.col("before_text"), F.col("after_text")), 6).alias("similarity"))

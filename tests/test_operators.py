@@ -108,8 +108,8 @@ def test_merge_equals_rebuild(spark):
 
 
 def test_costs(spark):
-    rows = spark.createDataFrame([(1, "p", "sonnet-1", 1000, 500), (2, "p", "opus-2", 1000, 1000), (3, "q", "x", 5, 5)], "id int, provider string, model string, input_tokens long, output_tokens long")
-    prices = spark.createDataFrame([(1, "p", "sonnet*", 0.003, 0.015), (2, "p", "opus-?", 0.015, 0.075)], "priority int, provider string, glob string, input_price double, output_price double")
+    rows = spark.createDataFrame([(1, "p", "small-1", 1000, 500), (2, "p", "large-2", 1000, 1000), (3, "q", "x", 5, 5)], "id int, provider string, model string, input_tokens long, output_tokens long")
+    prices = spark.createDataFrame([(1, "p", "small*", 0.003, 0.015), (2, "p", "large-?", 0.015, 0.075)], "priority int, provider string, glob string, input_price double, output_price double")
     assert [round(r.estimated, 6) for r in ledger.estimate_cost(rows, prices).orderBy("id").collect()] == [0.0105, 0.09, 0.0]
 
 
