@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.text import let
 from millrace.llm.common import joined_spans, kind_count, written
 
 
@@ -33,28 +34,41 @@ KINDS = (
     Kind("login", r"[a-z][a-z0-9+.-]{1,12}://[^\s/:@?#]{1,64}:([^\s/:@?#]{6,128})@", 1, 6, "contains(text, '://') and contains(text, '@')", False),
     Kind("blob", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{0,200}[0-9])(?=[A-Za-z0-9+/_-]{0,200}[A-Z])(?=[A-Za-z0-9+/_-]{0,200}[a-z])[A-Za-z0-9+/_-]{32,200}(?![A-Za-z0-9+/_-])", 0, 32, "text rlike '[A-Za-z0-9+/_-]{32}'", False),
 )
+#: Matches of a text whose places are summed together.
+BLOCK = 256
 PLACEHOLDER = r"(?i)example|sample|dummy|changeme|placeholder|your[_-]?|xxxx|^(.)\1+$|^0?12345"
 
 
 def _spans(kind: Kind, order: int) -> Column:
     """The matches of a kind in column text, leftmost and not overlapping: array of (start, rank, end, kind, value).
 
-    split() gives what lies between matches, so running sums of both lengths are the places, in code points.
+    split() gives what lies between matches, so running sums of both lengths are the places, in code points. The sums run
+    inside blocks of BLOCK matches, then over the blocks: growing one array match by match would copy it each time.
     """
     pattern = F.lit(kind.pattern)
     empty = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,value:string>>")
     whole, value = F.regexp_extract_all("text", pattern, F.lit(0)), F.regexp_extract_all("text", pattern, F.lit(kind.group))
     parts = F.arrays_zip(F.split("text", kind.pattern, -1).alias("gap"), whole.alias("whole"), value.alias("value"))
 
+    def span(start: Column, end: Column, value: Column) -> Column:
+        return F.struct(start.alias("start"), F.lit(order).alias("rank"), end.alias("end"), F.lit(kind.name).alias("kind"), value.alias("value"))
+
     def step(seen: Column, part: Column) -> Column:
         start = seen["at"] + F.char_length(part["gap"])
         end = start + F.coalesce(F.char_length(part["whole"]), F.lit(0))
-        span = F.struct(start.alias("start"), F.lit(order).alias("rank"), end.alias("end"), F.lit(kind.name).alias("kind"), part["value"].alias("value"))
         good = F.char_length(part["value"]) >= kind.least
-        return F.struct(end.alias("at"), F.when(good, F.concat(seen["found"], F.array(span))).otherwise(seen["found"]).alias("found"))
+        return F.struct(end.alias("at"), F.when(good, F.concat(seen["found"], F.array(span(start, end, part["value"])))).otherwise(seen["found"]).alias("found"))
+
+    def block(parts: Column, b: Column) -> Column:
+        return F.aggregate(F.slice(parts, b * BLOCK + 1, F.lit(BLOCK)), F.struct(F.lit(0).alias("at"), empty.alias("found")), step)
+
+    def placed(blocks: Column) -> Column:
+        ends = F.aggregate(blocks, F.array(F.lit(0)), lambda ends, b: F.concat(ends, F.array(F.element_at(ends, -1) + b["at"])))
+        shift = lambda b, at: F.transform(b["found"], lambda s: span(s["start"] + at, s["end"] + at, s["value"]))
+        return let(ends, lambda ends: F.flatten(F.transform(blocks, lambda b, i: shift(b, ends[i]))))
 
-    found = F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty.alias("found")), step)["found"]
-    return F.when(F.expr(kind.maybe) & F.col("text").rlike(kind.pattern), found).otherwise(empty)
+    blocked = let(parts, lambda parts: F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / BLOCK).cast("int")), lambda b: block(parts, b)))
+    return F.when(F.expr(kind.maybe) & F.col("text").rlike(kind.pattern), let(blocked, placed)).otherwise(empty)
 
 
 def scan_secrets(docs: DataFrame, id: str = "doc_id", text: str = "text", owner: str = "source", repository: Sequence[str] = ("source", "lang"), most_owners: int = 2, kinds: Sequence[Kind] = KINDS) -> DataFrame:

@@ -300,6 +300,7 @@ def test_secrets_against_patterns(spark):
     noise = ["".join(pick.choice(["token", "API_KEY", "apikey", " ", "=", ":", "'", "abcdef12", "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "é", "\n", "Password"]) for _ in range(pick.randrange(14))) for _ in range(1500)]
     jwt = "eyJhbGciOiJI." + "eyJzdWIiOiIx." + "SflKxwRJSMeKK"
     rows = EDGES + [(100 + i, t, "en", f"s{i % 7}") for i, t in enumerate(noise)] + [(9000, f"see {jwt} here", "en", "own"), *[(9100 + i, f"copied {jwt[:-1]}Z all over", "en", f"o{i}") for i in range(6)]]
+    rows += [(9500 + n, "é token=abcdef12 secret: ab " * (n // 2) + "passwd=abcdef9" * (n % 2), "en", "own") for n in (2 * secret_scan.BLOCK - 1, 2 * secret_scan.BLOCK, 1500)]
     got = {}
     for r in secret_scan.digest(secret_scan.scan_secrets(frame(spark, rows))).collect():
         got.setdefault(r.doc_id, r)
