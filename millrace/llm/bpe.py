@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.llm.common import worker_cache
+
 #: The pre-split of the byte-level vocabulary.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The same for texts below U+0100, with the classes written out: the standard module needs a third of the time.
@@ -185,15 +187,9 @@ class Encoder(dict):
         return b"".join(out)
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def _encoder(vocabulary: dict) -> Encoder:
     """One for each Python worker and vocabulary, kept between tasks."""
-    if vocabulary["digest"] not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[vocabulary["digest"]] = Encoder(vocabulary)
-    return _ENCODERS[vocabulary["digest"]]
+    return worker_cache(("encoder", vocabulary["digest"]), lambda: Encoder(vocabulary))
 
 
 def _slices(sizes: list[int]) -> Iterator[tuple[int, int]]:

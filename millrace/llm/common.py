@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +30,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_HELD: dict[Hashable, Any] = {}
+
+
+def worker_cache(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What a Python worker holds between tasks: one object at a time. Workers outlive stages, so the next operator that
+    asks frees what the one before it remembered."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. lower() has a fast path for texts that are all ASCII, where it means the same."""
     ascii_only = F.octet_length(text) == F.char_length(text)

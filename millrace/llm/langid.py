@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.bpe import _slices
+from millrace.llm.common import worker_cache
 
 #: A run of letters and the like; whether it has a letter is settled once for each word.
 _WORD = re.compile(r"[^\W\d_]+")
@@ -194,16 +195,10 @@ class Scorer:
         return out
 
 
-_SCORERS: dict[bytes, Scorer] = {}
-
-
 def _predicted(batches: Iterator[pa.RecordBatch], model: dict, place: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches with each row's language and score; the text is the column at place."""
     key = repr(model["languages"]).encode() + model["p"].tobytes()
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = Scorer(model)
-    scorer, names = _SCORERS[key], np.array([*model["languages"], "und"], object)
+    scorer, names = worker_cache(("scorer", key), lambda: Scorer(model)), np.array([*model["languages"], "und"], object)
     for batch in batches:
         texts = batch.column(place)
         for start, end in _slices(pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist()):

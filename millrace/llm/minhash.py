@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.bpe import _slices
-from millrace.llm.common import written
+from millrace.llm.common import worker_cache, written
 from millrace.llm.components import connected_components
 
 #: Words of a shingle; coordinates of a signature; how many must agree. Two sets at the similarity 0.85 agree in fewer
 #: than 16 of 32 coordinates once in two million pairs; sets that agree in 16 are mostly at 0.5 or more.
 WORDS, COORDINATES, AGREE = 5, 32, 16
 #: Rows of a block of signatures; rows and bytes of a block of sets; bytes hashed at a time.
-SIGNATURE_BLOCK, SET_BLOCK, SET_BYTES, CHUNK = 1024, 256, 8_000_000, 4_000_000
+SIGNATURE_BLOCK, SET_BLOCK, SET_BYTES, CHUNK = 1024, 256, 8_000_000, 500_000
 
 _PICK = np.random.Generator(np.random.PCG64(20240229))
 _OF_BYTE = _PICK.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -96,6 +96,7 @@ def _key(values: np.ndarray) -> bytes:
 
 def _each_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
     """Ids and sets, by slices of bounded size; the text is the last column."""
+    worker_cache("sets", tuple)  # nothing of our own: frees what an operator before remembered
     for batch in batches:
         texts = batch.column(batch.num_columns - 1)
         for start, end in _slices(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
