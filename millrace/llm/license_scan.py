@@ -37,7 +37,8 @@ NOTICES = (
 TAG = "spdx license identifier"
 #: Identifiers that permit use without reciprocal terms, by their beginning.
 PERMISSIVE = ("mit", "apache-", "bsd-", "isc", "zlib", "unlicense", "cc0-", "cc-by-4", "cc-by-3", "0bsd")
-_TAG = re.compile(r"SPDX-License-Identifier:[ \t]*([^\r\n]{1,400})", re.I)
+#: An expression goes to the end of its line, or to the next tag there.
+_TAG = re.compile(r"SPDX-License-Identifier:[ \t]*([^\r\n]*?)(?=SPDX-License-Identifier:|[\r\n]|\Z)", re.I)
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:-]+")
 _RANK = {"or": 1, "and": 2, "with": 3}
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -51,7 +52,8 @@ def to_postfix(expression: str) -> list[str] | None:
     out: list[str] = []
     stack: list[str] = []
     operand = False  # whether the last token ends an operand
-    for token in _TOKEN.findall(expression):
+    for found in _TOKEN.finditer(expression):
+        token = found[0]
         low = token.lower()
         if low in _RANK:
             if not operand:
@@ -91,7 +93,9 @@ def evaluate(postfix: Sequence[str]) -> tuple[set[str], bool] | None:
             if token == "with":  # the exception belongs to its licence
                 stack.append(({f"{x} with {y}" for x in a for y in b}, free_a))
             else:
-                stack.append((a | b, (free_a or free_b) if token == "or" else (free_a and free_b)))
+                small, large = sorted((a, b), key=len)
+                large |= small  # in place: a long expression would copy its set for each operator
+                stack.append((large, (free_a or free_b) if token == "or" else (free_a and free_b)))
         else:
             stack.append(({token}, token.startswith(PERMISSIVE)))
     return stack[0] if len(stack) == 1 else None

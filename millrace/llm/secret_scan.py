@@ -25,14 +25,15 @@ class Kind:
     base: bool = True
 
 
-#: The kinds in their order. hex takes runs of 24 and more at once: shorter runs are dropped anyway.
+#: The kinds in their order. hex takes runs of 24 and more at once: shorter runs are dropped anyway. login
+#: and blob take runs of any length whole (possessive, so in linear time); a login starts at the first letter of its scheme.
 KINDS = (
     Kind("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6, "text like '%=%' or text like '%:%'"),
     Kind("access", r"AKIA[A-Z0-9]+", 0, 20, "contains(text, 'AKIA')"),
     Kind("hex", r"[0-9a-f]{24,}", 0, 24, "true"),
     Kind("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 28, "contains(text, 'eyJ')", False),
-    Kind("login", r"[a-z][a-z0-9+.-]{1,12}://[^\s/:@?#]{1,64}:([^\s/:@?#]{6,128})@", 1, 6, "contains(text, '://') and contains(text, '@')", False),
-    Kind("blob", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{0,200}[0-9])(?=[A-Za-z0-9+/_-]{0,200}[A-Z])(?=[A-Za-z0-9+/_-]{0,200}[a-z])[A-Za-z0-9+/_-]{32,200}(?![A-Za-z0-9+/_-])", 0, 32, "text rlike '[A-Za-z0-9+/_-]{32}'", False),
+    Kind("login", r"(?:(?<![a-z0-9+.-])|(?<=[0-9+.-])(?<![a-z][0-9+.-]{1,64}))[a-z][a-z0-9+.-]++://[^\s/:@?#]++:([^\s/:@?#]{6,}+)@", 1, 6, "contains(text, '://') and contains(text, '@')", False),
+    Kind("blob", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])(?=[A-Z0-9+/_-]*+[a-z])[A-Za-z0-9+/_-]{32,}+", 0, 32, "text rlike '[A-Za-z0-9+/_-]{32}'", False),
 )
 #: Matches of a text whose places are summed together.
 BLOCK = 256

@@ -317,6 +317,19 @@ def test_secrets_against_patterns(spark):
     assert secret_scan.scan_secrets(frame(spark, []).limit(0)).count() == 0
 
 
+def test_secrets_of_any_length(spark):
+    key = lambda n, x: (f"Zq3{x}" + "aB7kLm9x" * n)[:n]
+    rows, want = [], {}
+    for i, n in enumerate((31, 32, 200, 201, 1000, 70_000)):
+        rows.append((i, f"é key {key(n, i)}, end", "en", "own"))
+        want[i] = f"blob:6:{6 + n}" if n >= 32 else ""
+    for i, (scheme, user, word) in enumerate([("db", "u", "pass-12"), ("https", "u" * 65, "pass-34"), ("https", "u", "pass-56." * 17), ("postgresql+psycopg2", "u.v" * 400, "pw-78.." * 900), ("db", "u", "short")], 100):
+        rows.append((i, f"1{scheme}://{user}:{word}@host", "en", "own"))
+        want[i] = f"login:1:{len(scheme) + len(user) + len(word) + 6}" if len(word) >= 6 else ""
+    got = {r.doc_id: r.spans for r in secret_scan.digest(secret_scan.scan_secrets(frame(spark, rows))).collect()}
+    assert {i: ",".join(x for x in s.split(",") if x.startswith(("blob", "login"))) for i, s in got.items()} == want
+
+
 def test_license_expressions():
     value = lambda e: license_scan.evaluate(license_scan.to_postfix(e))
     assert license_scan.to_postfix("MIT OR Apache-2.0 AND BSD-3-Clause") == ["mit", "apache-2.0", "bsd-3-clause", "and", "or"]
@@ -375,3 +388,13 @@ def test_each_gadget_by_hand():
     pieces = [b"x", b"y", b"xx", b"xxx", b"xxy"]
     automaton = bpe.Automaton({"pieces": pieces, "merges": [(0, 0, 2), (2, 0, 3), (2, 1, 4)], "special": {}})
     assert automaton.encode(b"xxxx") == [2, 2] and automaton.encode(b"xxx") == [3] and automaton.encode(b"xxy") == [4] and automaton.encode(b"xyx") == [0, 1, 0]
+
+
+def test_license_expressions_to_the_end_of_their_line():
+    names = [f"Lic-{i}.0" for i in range(3000)]
+    for n in (10, 60, 3000):
+        _, places, free, _ = license_scan.scan_text(f"// SPDX-License-Identifier: ({' OR '.join(names[:n])} OR MIT)\nAND GPL-2.0")
+        assert {x for _, x, _ in places} == {x.lower() for x in names[:n]} | {"mit"} and free is True
+    far = "word " * 200
+    _, places, free, _ = license_scan.scan_text(f"SPDX-License-Identifier: MIT */ {far} SPDX-License-Identifier: GPL-3.0 {far}")
+    assert [x for _, x, _ in places] == ["mit", "gpl-3.0"] and free is False
