@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.sources.shared import written
+
 KEYS = ("provider", "model", "caller_service", "purpose")
 
 
@@ -111,26 +111,54 @@ def rate_limit_aligned(requests: DataFrame, key: str, limit: int, window: str, a
     return rows.select(id, key, F.col("w").alias("window_start"), n.alias("nth"), (n <= limit).alias("allowed"), F.greatest(F.lit(0), limit - n).alias("remaining"))
 
 
+def _openings(times: DataFrame, width: int) -> DataFrame:
+    """The times (k, hour, t: distinct, hour = t div width) that open a window of `width`: a key's first, then always the first
+    that is a window later or more.
+
+    Each time's successor is in the next hour or is the first of a later one. Times after a pause of a window open one
+    in any case; from these, marks spread along 1, 2, 4, ... successors, so the rounds are the logarithm of the
+    windows between two pauses. Raw rows are only sorted inside a key's hour; a key's hours are one row each.
+    """
+    hours = times.groupBy("k", "hour").agg(F.min("t").alias("low"), F.max("t").alias("high"))
+    w = Window.partitionBy("k").orderBy("hour")
+    hours = hours.select("k", "hour", F.lag("high").over(w).alias("before"), F.lead("hour").over(w).alias("after"), F.lead("low").over(w).alias("then"), F.lead("low", 2).over(w).alias("later"))
+    near = times.join(hours, ["k", "hour"])
+    gap = F.col("t") - F.coalesce(F.lag("t").over(Window.partitionBy("k", "hour").orderBy("t")), "before")
+    near = near.withColumn("opens", gap.isNull() | (gap >= width))
+
+    # a question stands among the times of the next hour, at t + width; the least time from there on answers it
+    asked = near.select("k", (F.col("hour") + 1).alias("hour"), (F.col("t") + width).alias("t"), F.when(F.col("after") == F.col("hour") + 1, F.col("later")).otherwise(F.col("then")).alias("else"), F.col("t").alias("of"))
+    put = times.select("k", "hour", "t", F.lit(None).cast("long").alias("else"), F.lit(None).cast("long").alias("of"))
+    ahead = Window.partitionBy("k", "hour").orderBy("t").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    answer = F.first(F.when(F.col("of").isNull(), F.col("t")), ignorenulls=True).over(ahead)
+    answered = put.unionByName(asked).withColumn("next", F.coalesce(answer, F.col("else"))).filter("of IS NOT NULL AND next IS NOT NULL").select("k", F.col("of").alias("t"), "next")
+
+    first = written(near.filter("opens").select("k", "t"), "openings")
+    jumps = written(answered.join(first.withColumnRenamed("t", "next"), ["k", "next"], "left_anti").select("k", "t", "next"), "jumps")
+    marked = first
+    while not jumps.isEmpty():
+        marked = written(marked.unionByName(marked.join(jumps, ["k", "t"]).select("k", F.col("next").alias("t"))).distinct(), "openings")
+        jumps = written(jumps.join(jumps.select("k", F.col("t").alias("next"), F.col("next").alias("far")), ["k", "next"]).select("k", "t", F.col("far").alias("next")), "jumps")
+    return marked
+
+
 def rate_limit(requests: DataFrame, key: str, limit: int, seconds: int, at: str = "created_at", id: str = "id") -> DataFrame:
     """Windows that a key's first request opens: id, nth, allowed, remaining, reset_in (seconds).
 
-    The windows follow one another only through the opening request, so the rows of a key are first cut where
-    a pause is longer than a window: no window spans it. Each piece is then walked by itself, by jumps from window to window.
+    The windows follow one another only through the opening request; _openings finds these by joins. A span of a window's
+    length holds one opening at most, so a request's own is that of its hour or of the hour before. Requests are numbered
+    inside their window: what is sorted at once is a key's window, not its history. Times are exact microseconds.
     """
-    t = F.col(at).cast("timestamp").cast("double")
-    w = Window.partitionBy(key).orderBy(at, id)
-    rows = requests.select(F.col(id).alias("id"), F.col(key).alias("key"), t.alias("t"), F.when(t - F.lag(t).over(w) >= seconds, 1).otherwise(0).alias("cut"))
-    rows = rows.withColumn("piece", F.sum("cut").over(Window.partitionBy("key").orderBy("t", "id").rowsBetween(Window.unboundedPreceding, 0)))
-
-    def walk(piece: pd.DataFrame) -> pd.DataFrame:
-        piece = piece.sort_values(["t", "id"])
-        t, start, at = piece.t.to_numpy(), np.zeros(len(piece)), 0
-        first = np.zeros(len(piece), np.int64)
-        while at < len(t):
-            end = int(np.searchsorted(t, t[at] + seconds, "left"))
-            start[at:end], first[at:end], at = t[at], at, end
-        nth = np.arange(len(t)) - first + 1
-        return pd.DataFrame({"id": piece.id, "key": piece.key, "nth": nth, "allowed": nth <= limit, "remaining": np.maximum(0, limit - nth), "reset_in": np.ceil(start + seconds - t).astype(np.int64)})
-
-    kinds = dict(requests.dtypes)
-    return rows.groupBy("key", "piece").applyInPandas(walk, f"id {kinds[id]}, key {kinds[key]}, nth long, allowed boolean, remaining long, reset_in long")
+    width = seconds * 1_000_000
+    t = F.unix_micros(F.col(at).cast("timestamp"))
+    rows = requests.select(F.col(id).alias("id"), F.col(key).alias("key"), F.struct(F.col(key).alias("key")).alias("k"), t.alias("t"))
+    hour = F.floor(F.col("t") / width).cast("long")
+    rows = written(rows.withColumn("hour", hour), "requests")
+    opened = _openings(rows.filter("t IS NOT NULL").select("k", "hour", "t").distinct(), width).withColumn("hour", hour)
+    for name, back in (("here", 0), ("back", 1)):
+        rows = rows.join(opened.select("k", (F.col("hour") + back).alias("hour"), F.col("t").alias(name)), ["k", "hour"], "left")
+    start = F.when(F.col("here") <= F.col("t"), F.col("here")).otherwise(F.col("back"))
+    nth = F.row_number().over(Window.partitionBy("k", "start").orderBy("t", "id")).cast("long")
+    out = rows.withColumn("start", start).withColumn("nth", nth)
+    reset = F.ceil((F.col("start") + width - F.col("t")) / 1_000_000).cast("long")
+    return out.select("id", "key", "nth", (F.col("nth") <= limit).alias("allowed"), F.greatest(F.lit(0).cast("long"), limit - F.col("nth")).alias("remaining"), reset.alias("reset_in"))

@@ -146,3 +146,22 @@ def test_full_body(spark):
     cited = spark.createDataFrame([(1, 2, "b"), (1, 1, "a")], "doc_id long, citation_index int, source_locator string")
     body = citations.assemble_full_markdown(docs, cited).first().body_markdown
     assert body == "# T\n\nS\n\n## H\n\nhs\n- p1\n- p2\n\n## People\n\n- Ann (boss)\n- Bob\n\n## Key quotes\n\n> q\n\n## Citations\n\n[1] a\n[2] b"
+
+
+def test_rate_limit_of_steady_traffic(spark):
+    import random
+
+    pick, width, rows = random.Random(3), 60_000_000, []
+    for key, n, span in (("steady", 3000, 200), ("sparse", 300, 5000), ("even", 0, 0), (None, 50, 20)):
+        rows += [(len(rows) + i, key, 1_700_000_000_000_000 + pick.randrange(span * 60) * 1_000_000 + pick.choice((0, 0, 100_000))) for i in range(n)]
+    rows += [(len(rows) + i, "even", 1_700_000_000_100_000 + i * width + d) for i, d in enumerate([0] * 100 + [-1, 0, 1])]
+    frame = spark.createDataFrame(rows, "id long, key string, us long").selectExpr("id", "key", "timestamp_micros(us) AS created_at")
+    found = ledger.rate_limit(frame, "key", 4, 60)
+    want, state = {}, {}
+    for i, key, t in sorted(rows, key=lambda r: (r[2], r[0])):
+        start, n = state.get(key, (None, 0))
+        start, n = (t, 1) if start is None or t >= start + width else (start, n + 1)
+        state[key], want[i] = (start, n), (key, n, n <= 4, max(0, 4 - n), -((t - start - width) // 1_000_000))
+    assert {r.id: tuple(r)[1:] for r in found.collect()} == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "InPandas" not in plan  # no group of a key's history in one task
