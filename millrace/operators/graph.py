@@ -10,6 +10,8 @@ from millrace.sources.shared import written
 
 #: The order in which the first mention or relation counts.
 FIRST = ("created_at", "doc_id", "position")
+#: Names of a document that meet in one task.
+PAIR_BLOCK = 256
 
 
 def relation_type(c: Column) -> Column:
@@ -213,16 +215,22 @@ def ego_network(documents: DataFrame, name: str, most: int = 50) -> DataFrame:
     return others.groupBy("node").agg(F.count(F.lit(1)).alias("connections"), F.array_join(F.sort_array(F.collect_set("type")), ",").alias("types")).orderBy(F.desc("connections"), "node").limit(most)
 
 
-def entity_network(documents: DataFrame, per_document: int = 20, partners: int = 5) -> DataFrame:
+def entity_network(documents: DataFrame, partners: int = 5) -> DataFrame:
     """The cross-document table: canonical name, type of the first mention, documents, mentions, and the entities named with it most often.
 
-    Pairs are made inside each document from its first per_document entities, so no document squares a long list.
+    Pairs are made of all entities of a document. Its names are cut into blocks of about PAIR_BLOCK, and each two blocks
+    meet by themselves, so a long list is spread over tasks.
     """
     rows = _entities(documents).withColumn("canonical", canonical_name(F.col("name"))).filter("canonical <> ''")
     main = rows.groupBy("canonical").agg(F.min_by("type", F.struct("created_at", "doc_id", "name")).alias("type"), F.count_distinct("doc_id").alias("documents"), F.sum("mentions").alias("mentions"))
-    listed = rows.groupBy("doc_id").agg(F.slice(F.sort_array(F.collect_set("canonical")), 1, per_document).alias("names"))
-    pairs = listed.select(F.explode("names").alias("canonical"), "names").select("canonical", F.explode("names").alias("partner")).filter("canonical <> partner")
-    counts = pairs.groupBy("canonical", "partner").agg(F.count(F.lit(1)).alias("n"))
+    listed = rows.groupBy("doc_id").agg(F.collect_set("canonical").alias("names"))
+    named = listed.select("doc_id", F.ceil(F.size("names") / PAIR_BLOCK).cast("int").alias("blocks"), F.explode("names").alias("name"))
+    own, other = F.pmod(F.xxhash64("name"), F.col("blocks")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1))
+    left = named.select("doc_id", own.alias("p"), other.alias("q"), F.col("name").alias("canonical"))
+    right = named.select("doc_id", other.alias("p"), own.alias("q"), F.col("name").alias("partner"))
+    half = left.join(right, ["doc_id", "p", "q"]).filter("canonical < partner").groupBy("canonical", "partner").agg(F.count(F.lit(1)).alias("n"))
+    sides = F.array(F.struct("canonical", "partner"), F.struct(F.col("partner").alias("canonical"), F.col("canonical").alias("partner")))
+    counts = half.select("n", F.explode(sides).alias("s")).select("s.canonical", "s.partner", "n")
     best = counts.withColumn("k", F.row_number().over(Window.partitionBy("canonical").orderBy(F.desc("n"), "partner"))).filter(F.col("k") <= partners)
     top = best.groupBy("canonical").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "partner"))), lambda x: x["partner"]), ",").alias("partners"))
     return main.join(top, "canonical", "left").select("canonical", "type", "documents", "mentions", F.coalesce("partners", F.lit("")).alias("partners"))

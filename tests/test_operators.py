@@ -148,6 +148,20 @@ def test_full_body(spark):
     assert body == "# T\n\nS\n\n## H\n\nhs\n- p1\n- p2\n\n## People\n\n- Ann (boss)\n- Bob\n\n## Key quotes\n\n> q\n\n## Citations\n\n[1] a\n[2] b"
 
 
+def test_all_entities_of_a_document_are_partners(spark):
+    names = {1: [f"N{i:04}" for i in range(2 * graph.PAIR_BLOCK + 50)], 2: ["N0500", "N0561", "Zed"], 3: ["N0500", "N0561"], 4: ["Zed", "N0010"], 5: ["Alone"]}
+    rows = [(d, [(n, "person", "", 1) for n in ns]) for d, ns in names.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, entities array<struct<name:string,type:string,context:string,mentions:int>>").selectExpr("doc_id", "'t' AS title", "timestamp'2024-01-01' AS created_at", "true AS is_current", "entities")
+    got = {r.canonical: r.partners for r in graph.entity_network(docs, 2).collect()}
+    together = {}
+    for ns in names.values():
+        for a in ns:
+            for b in ns:
+                if a != b:
+                    together.setdefault(a.lower(), {}).setdefault(b.lower(), []).append(1)
+    assert got == {n.lower(): ",".join(sorted(together.get(n.lower(), {}), key=lambda b: (-len(together[n.lower()][b]), b))[:2]) for ns in names.values() for n in ns}
+
+
 def test_rate_limit_of_steady_traffic(spark):
     import random
 
