@@ -24,13 +24,15 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def build_postings(documents: DataFrame, body_chars: int = 10_000) -> DataFrame:
-    """term, doc_id, field, tf and positions of current documents, without stop words.
+def build_postings(documents: DataFrame, body_chars: int | None = None) -> DataFrame:
+    """term, doc_id, field, tf and positions of current documents, without stop words; of whole bodies, or of their first
+    body_chars characters.
 
     Occurrences of a term are gathered inside their document, whose rows are together already (one array is exploded), before
     anything is shuffled by term.
     """
-    fields = F.array(*(F.struct(F.lit(k).alias("field"), terms(F.substring("body", 1, body_chars) if k == "body" else F.col(k)).alias("words")) for k in WEIGHTS))
+    text = lambda k: F.col(k) if k != "body" or body_chars is None else F.substring(k, 1, body_chars)
+    fields = F.array(*(F.struct(F.lit(k).alias("field"), terms(text(k)).alias("words")) for k in WEIGHTS))
     rows = documents.filter("is_current").select("doc_id", F.explode(fields).alias("f")).select("doc_id", "f.field", F.posexplode("f.words").alias("position", "term"))
     kept = rows.filter(~F.col("term").isin(*STOP))
     return kept.groupBy("term", "doc_id", "field").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))

@@ -29,9 +29,13 @@ posts AS (SELECT term, doc_id, field, count(*) AS tf FROM words WHERE term NOT I
 weighed AS (SELECT *, tf * CASE field WHEN 'title' THEN 1.0::DOUBLE WHEN 'summary' THEN 0.4::DOUBLE ELSE 0.2::DOUBLE END AS s FROM posts)"""
 
 
-def _postings(spark, sf):
+#: What the SQL of this file reads of a body; queries that have SQL read as much, the others whole bodies.
+SQL_CHARS = 10_000
+
+
+def _postings(spark, sf, body_chars=SQL_CHARS):
     """The index as a lake holds it: built, written and read."""
-    return written(S.build_postings(t.docs(spark, sf)), "postings")
+    return written(S.build_postings(t.docs(spark, sf), body_chars), "postings")
 
 
 def _queries(spark, sf):
@@ -43,7 +47,7 @@ def _queries(spark, sf):
 
 @query("build_postings", with_tables("docs", more=_POSTED) + "SELECT term, doc_id, field, tf FROM posts")
 def build_postings(spark, sf):
-    return S.build_postings(t.docs(spark, sf)).drop("positions")
+    return S.build_postings(t.docs(spark, sf), SQL_CHARS).drop("positions")
 
 
 _ASKED = f"""q AS (SELECT item_id AS query_id, regexp_split_to_array(text, '\\s+') AS w FROM benchmark),
@@ -116,7 +120,7 @@ def _hard_queries(spark, sf):
 @query("search_with_fallback")
 def search_with_fallback(spark, sf):
     docs = t.docs(spark, sf)
-    return S.search_with_fallback(_hard_queries(spark, sf), docs, _postings(spark, sf))
+    return S.search_with_fallback(_hard_queries(spark, sf), docs, _postings(spark, sf, None))
 
 
 @query("retrieve_chunks", with_tables("docs", "chunks", more=_POSTED + ", " + _ASKED) + """SELECT query_id, doc_id, kw.rank::INT AS rank, chunk_index, content FROM kw JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) AS n FROM chunks) c USING (doc_id) WHERE kw.rank <= 8 AND n <= 5""")

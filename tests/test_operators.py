@@ -179,3 +179,11 @@ def test_rate_limit_of_steady_traffic(spark):
     assert {r.id: tuple(r)[1:] for r in found.collect()} == want
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "InPandas" not in plan  # no group of a key's history in one task
+
+
+def test_words_after_ten_thousand_characters_are_found(spark):
+    far = "filler " * 3000
+    docs = spark.createDataFrame([(1, far + "late red bird"), (2, "late bird"), (3, "late " + far + "banned")], "doc_id long, body string").selectExpr("doc_id", "'' AS title", "'' AS summary", "body", "true AS is_current")
+    asked = spark.createDataFrame([(1, "late"), (2, '"red bird"'), (3, "late -banned")], "query_id long, text string")
+    hits = search.keyword_search(asked, search.build_postings(docs), 5).collect()
+    assert sorted((r.query_id, r.doc_id) for r in hits) == [(1, 1), (1, 2), (1, 3), (2, 1), (3, 1), (3, 2)]
