@@ -16,8 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.bpe import _slices
-from millrace.llm.common import worker_cache
+from millrace.llm.common import slices, worker_cache
 
 #: A run of letters and the like; whether it has a letter is settled once for each word.
 _WORD = re.compile(r"[^\W\d_]+")
@@ -201,7 +200,7 @@ def _predicted(batches: Iterator[pa.RecordBatch], model: dict, place: int) -> It
     scorer, names = worker_cache(("scorer", key), lambda: Scorer(model)), np.array([*model["languages"], "und"], object)
     for batch in batches:
         texts = batch.column(place)
-        for start, end in _slices(pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist()):
+        for start, end in slices(pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist()):
             found = scorer.score([t or "" for t in texts.slice(start, end - start).to_pylist()])
             best, score = np.full(len(found), -1), np.zeros(len(found))
             if scorer.n:

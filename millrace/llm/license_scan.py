@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.bpe import _slices
+
+from millrace.llm.common import slices
 
 #: The base phrases and their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -170,7 +171,7 @@ def scan_licenses(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1)
-            for start, end in _slices(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+            for start, end in slices(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
                 rows = [scan_text(t or "") for t in texts.slice(start, end - start).to_pylist()]
                 columns = [[r[0] for r in rows], [[{"word": w, "label": x, "base": b} for w, x, b in r[1]] for r in rows], [r[2] for r in rows], [r[3] for r in rows]]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["id", "n_words", "places", "permissive", "score"])

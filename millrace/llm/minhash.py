@@ -11,8 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.bpe import _slices
-from millrace.llm.common import worker_cache, written
+from millrace.llm.common import slices, worker_cache, written
 from millrace.llm.components import connected_components
 
 #: Words of a shingle; coordinates of a signature; how many must agree. Two sets at the similarity 0.85 agree in fewer
@@ -99,7 +98,7 @@ def _each_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, l
     worker_cache("sets", tuple)  # nothing of our own: frees what an operator before remembered
     for batch in batches:
         texts = batch.column(batch.num_columns - 1)
-        for start, end in _slices(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        for start, end in slices(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
             yield batch.slice(start, end - start), shingle_sets([t or "" for t in texts.slice(start, end - start).to_pylist()])
 
 

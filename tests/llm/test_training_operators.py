@@ -369,7 +369,7 @@ def test_bpe_equals_the_library(spark, vocabulary):
 
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     pick = random.Random(3)
-    texts = _noise(pick, "abc'sdtremvl xX \n\t\r 0123²½ªéÉßαβЖ中文😀\xa0\x85\x1c\x0b<|endoftext|>AAAA.,!?-_", 3000)
+    texts = _noise(pick, "abc'sdtremvl xX \n\t\r 0123²½ªéÉßαβЖ中文😀\xa0\x85\x1c\x0b<|endoftext|>AAAA.,!?-_", 3000) + _noise(pick, "a1 \n.é" + "".join(map(chr, (0x558, 0x88F, 0xA7F1, 0x11DE0, 0x16FF4, 0x18E00, 0x2B73A, 0x33479, 0x3FC3F))), 500)
     texts += ["<|endoftext|>", "a<|endoftext|>b <|endoftext|>", "x" * 5000, "aA" * 700, "=" * 3000, " " * 100, "the " * 50 + "  \n\n ", "", None]
     data = frame(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
     got = {r.doc_id: r for r in bpe.bpe_encode(data, vocabulary, decoded=True).collect()}
@@ -382,12 +382,40 @@ def test_bpe_equals_the_library(spark, vocabulary):
     assert bpe.bpe_encode(data.limit(0), vocabulary).count() == 0
     odd = spark.createDataFrame([(1, [999_999, None, -4, 65]), (2, None)], "doc_id long, ids array<int>")
     assert len(bpe.bpe_decode(odd, vocabulary).collect()) == 2
-
-
-def test_each_gadget_by_hand():
-    pieces = [b"x", b"y", b"xx", b"xxx", b"xxy"]
-    automaton = bpe.Automaton({"pieces": pieces, "merges": [(0, 0, 2), (2, 0, 3), (2, 1, 4)], "special": {}})
-    assert automaton.encode(b"xxxx") == [2, 2] and automaton.encode(b"xxx") == [3] and automaton.encode(b"xxy") == [4] and automaton.encode(b"xyx") == [0, 1, 0]
+    twice = bpe.bpe_decode(encoded.filter("doc_id < 5").unionByName(encoded.filter("doc_id < 5")), vocabulary).collect()
+    assert len(twice) == 10 and len({(r.doc_id, r.decoded) for r in twice}) == 5
+    assert bpe.bpe_decode(encoded.limit(0), vocabulary).count() == 0
+
+
+def _by_merges(word, merges):
+    """The definition: the earliest merge that applies, at its leftmost place, until none does."""
+    word = list(word)
+    while True:
+        found = [(k, i) for i in range(len(word) - 1) for k, (u, v, _) in enumerate(merges) if (u, v) == (word[i], word[i + 1])]
+        if not found:
+            return word
+        k, i = min(found)
+        word[i : i + 2] = [merges[k][2]]
+
+
+def test_gadgets_spell_what_merges_make():
+    merges = [(0, 0, 2), (2, 0, 3), (2, 1, 4)]
+    automaton = bpe.Automaton([b"x", b"y", b"xx", b"xxx", b"xxy"], merges, {})
+    ids = lambda w: np.frombuffer(automaton.encode_long(w), np.int32).tolist()
+    assert ids(b"xxxx") == [2, 2] and ids(b"xxx") == [3] and ids(b"xxy") == [4] and ids(b"xyx") == [0, 1, 0]
+    pick = random.Random(9)
+    for _ in range(60):  # vocabularies by chance, with merges that earlier ones leave without effect
+        pieces, merges = [b"x", b"y", b"z"], []
+        for _ in range(pick.randrange(14)):
+            u, v = pick.randrange(len(pieces)), pick.randrange(len(pieces))
+            if pieces[u] + pieces[v] not in pieces:
+                merges.append((u, v, len(pieces)))
+                pieces.append(pieces[u] + pieces[v])
+        automaton = bpe.Automaton(pieces, merges, {})
+        words = [bytes(pick.choice(b"xyz") for _ in range(pick.randrange(1, 25))) for _ in range(60)]
+        for word, got in zip(words, automaton.encode_many(words), strict=True):
+            assert np.frombuffer(got, np.int32).tolist() == _by_merges(["xyz".index(chr(b)) for b in word], merges), (pieces, word)
+            assert got == automaton.encode_long(word)
 
 
 def test_license_expressions_to_the_end_of_their_line():
