@@ -2,32 +2,30 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Hashable, Iterator
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+from millrace.sources.shared import discard, shared_dir, written
 
+__all__ = ["discard", "shared_dir", "written"]  # with the helpers below
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a folder of our own where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(named)
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it again: the lineage ends at files that outlive executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """rows joined with a table that has one row a key, evenly even if one key holds most rows: weight, a column of table,
+    is how many rows a key has. A key with over 1 / (4 * shuffle partitions) of all rows is hot; so there are fewer than that
+    many hot keys, whatever the size of the data. Their table rows (small ones: ids, counts) are broadcast, and the rows of
+    hot keys are never shuffled. The other keys are shuffled. weight is dropped."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    hot = table.filter(F.col(weight) > max(1, total // (4 * parts))).drop(weight)
+    cold = table.filter(F.col(weight) <= max(1, total // (4 * parts))).drop(weight)
+    apart = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(hot), keys).unionByName(apart.join(cold, keys))
 
 
 _HELD: dict[Hashable, Any] = {}

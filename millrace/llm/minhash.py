@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from millrace.llm.common import slices, worker_cache, written
+from millrace.llm.common import slices, spread_join, worker_cache, written
 from millrace.llm.components import connected_components
 
-#: Words of a shingle; coordinates of a signature; how many must agree. Two sets at the similarity 0.85 agree in fewer
-#: than 16 of 32 coordinates once in two million pairs; sets that agree in 16 are mostly at 0.5 or more.
-WORDS, COORDINATES, AGREE = 5, 32, 16
+#: Words of a shingle; coordinates of a signature; how often a pair at the threshold may agree in too few of them.
+WORDS, COORDINATES, LOSS = 5, 32, 2e-6
 #: Rows of a block of signatures; rows and bytes of a block of sets; bytes hashed at a time.
 SIGNATURE_BLOCK, SET_BLOCK, SET_BYTES, CHUNK = 1024, 256, 8_000_000, 500_000
 
@@ -32,6 +31,16 @@ _XOR = _PICK.integers(0, 1 << 63, COORDINATES, np.uint64)
 _ODD = _PICK.integers(1, 1 << 63, COORDINATES, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def agreements(percent: int) -> int:
+    """How many coordinates must agree: the most that a pair at the threshold falls short of with a chance of LOSS at most
+    (85: 16, one pair in 1.7 million; 80: 14, one in 840,000)."""
+    p, short, k = percent / 100, 0.0, 0
+    while k < COORDINATES and short + math.comb(COORDINATES, k) * p**k * (1 - p) ** (COORDINATES - k) <= LOSS:
+        short += math.comb(COORDINATES, k) * p**k * (1 - p) ** (COORDINATES - k)
+        k += 1
+    return max(1, k)
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer, so that equal bits of sums don't survive."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -153,55 +162,23 @@ def _spanning(a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray
     return ids[moved], low[moved]
 
 
-def _agreeing(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the pairs of signatures that agree in AGREE coordinates at least."""
-    a, b = [], []
+def _agreeing(left: np.ndarray, right: np.ndarray, agree: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of signatures that agree in so many coordinates at least."""
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     step = max(1, 2_000_000 // max(1, right.size))
     for k in range(0, len(left), step):
-        same = (left[k : k + step, None, :] == right[None, :, :]).sum(axis=2, dtype=np.uint8) >= AGREE
+        same = (left[k : k + step, None, :] == right[None, :, :]).sum(axis=2, dtype=np.uint8) >= agree
         x, y = np.nonzero(same)
         a.append(x + k)
         b.append(y)
     return np.concatenate(a), np.concatenate(b)
 
 
-def _signatures(table: pa.Table) -> np.ndarray:
-    return table.column("sig").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, COORDINATES)
-
-
-def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the rows of the two blocks that meet; the same twice for a block with itself."""
-    part, p, q = (table.column(c).to_numpy() for c in ("part", "p", "q"))
-    left = np.flatnonzero(part == p[0])
-    return left, left if p[0] == q[0] else np.flatnonzero(part == q[0])
-
-
-_EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-
-def _edges(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in found]), pa.int64()) for i in (0, 1)], schema=_EDGES)
-
-
-def _similar_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Inside a posting list, or between two of its blocks: edges that span what AGREE joins, a row at most each."""
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    for table in _runs(batches, ["token", "p", "q"]):
-        left, right = _sides(table)
-        if len(left) and len(right) and table.num_rows > 1:
-            sig, ids = _signatures(table), table.column("rep").to_numpy()
-            a, b = _agreeing(sig[left], sig[right])
-            found.append(_spanning(left[a], right[b], ids))
-        if len(found) >= 2000:
-            yield _edges(found)
-            found = []
-    if found:
-        yield _edges(found)
-
-
-def _exact(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the pairs with 100 * shared >= percent * united, from products of membership matrices."""
+def _overlapping(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in left and right of the pairs with 100 * shared >= percent * united, from products of membership matrices."""
     sizes = np.array([len(s) for s in sets])
+    if not len(left) or not len(right):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     values, column = np.unique(np.concatenate(sets), return_inverse=True)
     row = np.repeat(np.arange(len(sets)), sizes)
     often = np.bincount(column, minlength=len(values)) > 1
@@ -219,15 +196,75 @@ def _exact(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent:
     return np.nonzero(100 * shared >= percent * united)
 
 
-def _confirm(percent: int):
+_EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _edges(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in found]), pa.int64()) for i in (0, 1)], schema=_EDGES)
+
+
+class Matcher:
+    """Which rows of a block are alike: by signatures that agree, or by whole sets. Both give places of pairs."""
+
+    def __init__(self, carried: str, least: int):
+        self.carried, self.least = carried, least
+
+    def load(self) -> Column:
+        """What a row takes of a block."""
+        return F.lit(1.0 / SIGNATURE_BLOCK) if self.carried == "sig" else F.greatest(F.lit(1.0 / SET_BLOCK), F.octet_length("set") / F.lit(float(SET_BYTES)))
+
+    def rows(self, table: pa.Table) -> np.ndarray | list[np.ndarray]:
+        column = table.column(self.carried)
+        if self.carried == "sig":
+            return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, COORDINATES)
+        return [np.frombuffer(s, np.uint64) for s in column.to_pylist()]
+
+    def pairs(self, rows: np.ndarray | list[np.ndarray], left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if self.carried == "sig":
+            a, b = _agreeing(rows[left], rows[right], self.least)
+        else:
+            used = np.union1d(left, right)
+            a, b = _overlapping([rows[i] for i in used], np.searchsorted(used, left), np.searchsorted(used, right), self.least)
+        return left[a], right[b]
+
+
+def _within(matcher: Matcher):
+    """Edges that span what a block joins, one a row at most. First all rows against the block's first row (in blocks of one
+    list or group, the same row for all); those alike are settled among each other, and only the rest meets all."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[np.ndarray, np.ndarray]] = []
-        for table in _runs(batches, ["group", "p", "q"]):
-            left, right = _sides(table)
-            if len(left) and len(right) and table.num_rows > 1:
-                ids = table.column("rep").to_numpy()
-                a, b = _exact([np.frombuffer(s, np.uint64) for s in table.column("set").to_pylist()], left, right, percent)
-                found.append(_spanning(left[a], right[b], ids))
+        for table in _runs(batches, ["token", "p"]):
+            if table.num_rows < 2:
+                continue
+            rows, ids = matcher.rows(table), table.column("rep").to_numpy()
+            every = np.arange(len(ids))
+            a, b = matcher.pairs(rows, np.array([ids.argmin()]), every)
+            rest = np.setdiff1d(every, b)
+            x, y = matcher.pairs(rows, rest, every)
+            found.append(_spanning(np.concatenate([a, x]), np.concatenate([b, y]), ids))
+            if len(found) >= 1000:
+                yield _edges(found)
+                found = []
+        if found:
+            yield _edges(found)
+
+    return run
+
+
+def _across(matcher: Matcher):
+    """The same between two blocks, for rows of different components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for table in _runs(batches, ["token", "p", "q"]):
+            part, p, q = (table.column(c).to_numpy() for c in ("part", "p", "q"))
+            left, right = np.flatnonzero(part == p[0]), np.flatnonzero(part == q[0])
+            if len(left) and len(right):
+                rows, ids, component = matcher.rows(table), table.column("rep").to_numpy(), table.column("component").to_numpy()
+                a, b = matcher.pairs(rows, left, right)
+                apart = component[a] != component[b]
+                found.append(_spanning(a[apart], b[apart], ids))
             if len(found) >= 500:
                 yield _edges(found)
                 found = []
@@ -237,13 +274,54 @@ def _confirm(percent: int):
     return run
 
 
-def _meet(rows: DataFrame, key: str, blocks: DataFrame, carried: list[str]) -> DataFrame:
-    """Cut each key's rows into blocks and let each two blocks meet, sorted for _runs."""
+def _upto(first: Column, end: Column) -> Column:
+    """first, first + 1, ... before end."""
+    return F.when(first < end, F.sequence(first, end - 1)).otherwise(F.array().cast("array<bigint>"))
+
+
+def _alike(rows: DataFrame, matcher: Matcher) -> DataFrame:
+    """Components (id, component) of the rows (token, rep and what matcher compares) that are alike inside one of the lists,
+    the rows of a token.
+
+    Lists are cut into blocks, each also with the list's first row, and a block is compared in itself. What this joins is
+    settled. Only lists of several blocks whose rows are still in several components go on: blocks that hold one large
+    component are not compared with each other, all other pairs of blocks are. So a list of n rows that are all alike
+    takes n comparisons, and one of n rows with m apart from the rest about n * m; no list has a cap.
+    """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = rows.join(blocks, key).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    out = out.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    out = out.select(key, F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "rep", *carried)
-    return out.repartition(parts, key, "p", "q").sortWithinPartitions(key, "p", "q")
+    pairs, zero, load = "a long, b long", F.lit(0).cast("long"), F.sum(matcher.load())
+    lists = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("first"), F.ceil(load - 1e-9).alias("blocks"))
+    lists = written(lists.filter("n > 1"), "lists")
+    placed = spread_join(rows, lists, ["token"], "n").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    at = F.explode(F.when(F.col("rep") == F.col("first"), _upto(zero, F.col("blocks"))).otherwise(F.array("own")))
+    one = placed.select("token", at.alias("p"), "rep", matcher.carried).repartition(parts, "token", "p").sortWithinPartitions("token", "p")
+    near = written(one.mapInArrow(_within(matcher), pairs), "near")
+    settled = connected_components(near)
+    long = written(lists.filter("blocks > 1").select("token", "n"), "long-lists")
+    if long.isEmpty():
+        return settled
+
+    held = spread_join(rows, long, ["token"], "n").join(settled.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    sizes = written(held.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n"), load.alias("load")), "list-components")
+    # the blocks of a list: first those with the rows of small components, then those of each large one
+    mixed = F.ceil(F.sum(F.when(F.col("load") <= 1, F.col("load")).otherwise(0.0)) - 1e-9).alias("mixed")
+    open_ = sizes.groupBy("token").agg(F.count(F.lit(1)).alias("components"), mixed).filter("components > 1")
+    turn = Window.partitionBy("token").orderBy("component").rowsBetween(Window.unboundedPreceding, -1)
+    large = sizes.filter("load > 1").withColumn("blocks", F.ceil("load")).withColumn("before", F.coalesce(F.sum("blocks").over(turn), zero))
+    ends = large.groupBy("token").agg(F.sum("blocks").alias("larges"))
+    plan = sizes.join(open_, "token").join(ends, "token", "left").join(large.select("token", "component", "blocks", "before"), ["token", "component"], "left")
+    counts = F.coalesce("blocks", zero).alias("blocks"), (F.col("mixed") + F.coalesce("before", zero)).alias("low"), (F.col("mixed") + F.coalesce("larges", zero)).alias("all")
+    plan = written(plan.select("token", "component", "n", "mixed", *counts), "plan")
+    if plan.isEmpty():
+        return settled
+    there, high = spread_join(held, plan, ["token", "component"], "n"), F.col("low") + F.col("blocks")
+    place = lambda n: F.pmod(F.xxhash64("rep"), F.greatest(n, F.lit(1)))
+    own = F.when(F.col("blocks") > 0, F.col("low") + place(F.col("blocks"))).otherwise(place(F.col("mixed")))
+    others = F.when(F.col("blocks") > 0, F.concat(_upto(zero, F.col("low")), _upto(high, F.col("all")))).otherwise(_upto(zero, F.col("all")))
+    there = there.withColumn("part", own).withColumn("other", F.explode(others))
+    two = there.select("token", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "rep", "component", matcher.carried)
+    far = two.repartition(parts, "token", "p", "q").sortWithinPartitions("token", "p", "q").mapInArrow(_across(matcher), pairs)
+    return connected_components(written(near.unionByName(far), "alike"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -251,48 +329,49 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id: str = "doc_id", text
 
     1. One scan gives each document its set's size, 128-bit key and signature; documents with the same set are one from
        here on, by an aggregation. 2. Each document is posted under coordinate-value pairs: its rarest ones, as
-       many as leave AGREE - 1 over. Two signatures that agree in AGREE places share one of these (the prefix), and pairs
-       in only one signature, or very common ones, have no list. 3. Lists are cut into blocks; a task compares the
-       signatures of a block, or of two, and gives edges that span what agrees, at most one a row. 4. Inside the groups
-       that these edges join, whole sets are compared, again by blocks, and give spanning edges of exact links.
-       5. Groups are connected components of those.
+       many as leave one fewer than must agree (agreements). Two signatures that agree so often share one of these (the
+       prefix); the lists of the common pairs are skipped, and what a candidate shares with them is counted from its
+       signature. 3. Inside a list, collisions are counted by blocks (see _alike), which gives edges that span what
+       agrees. 4. Inside the groups that these edges join, whole sets are compared in the same way. There a document
+       is listed under the class of its set's size and the next (classes are percent wide), since sets of more different
+       sizes cannot be similar. 5. Groups are connected components of those exact links.
 
-    Nothing is emitted for each pair, no list or group is whole in one task, and no list has a cap. Cost inside a group of
-    n different texts that are all alike is n * n / 2 comparisons, spread over tasks. Links hold on 64-bit hashes
-    of shingles. percent must be 85 or more for the bound on lost pairs given at AGREE.
+    Nothing is emitted for each pair, no list or group is whole in one task, and no list has a cap. A group of n texts that
+    are all alike takes about n comparisons in steps 3 and 4; what is in one group, but not linked, is compared in pairs.
+    Links hold on 64-bit hashes of shingles.
 
     Returns id, n_shingles, component_id (smallest id reachable), kept (id is that). Words are runs without ASCII white
     space, A-Z lower-cased; a text of fewer than five words is one shingle; one without words, or null, is empty and links
     with nothing, nor does a row with a null id. Rows that repeat an id are one vertex. An empty table gives an
     empty result; other columns are not read. Ids are long.
     """
+    agree = agreements(percent)
     source = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     base = written(source.mapInArrow(_sign, "id long, n long, key binary, sig array<int>"), "signatures")
     own = F.col("id").isNotNull() & (F.col("n") > 0)
-    reps = written(base.filter(own).groupBy("key", "n").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")), "sets")
+    reps = written(base.filter(own).groupBy("key", "n").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("copies")), "sets")
 
     token = F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
     tokens = reps.select("rep", F.posexplode("sig").alias("at", "value")).select("rep", token.alias("token"))
-    common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
-    shared = tokens.join(common, "token").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("posts"))
-    prefix = F.slice("posts", 1, F.size("posts") - (AGREE - 1))
-    likely = written(shared.filter(F.size("posts") >= AGREE).select("rep", prefix["token"].alias("tokens")).join(reps, "rep"), "likely")
-
+    common = written(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("often")).filter("often > 1").withColumn("n", F.col("often")), "tokens")
+    shared = spread_join(tokens, common, ["token"], "n").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("posts"))
+    prefix = F.slice("posts", 1, F.size("posts") - (agree - 1))
+    likely = written(shared.filter(F.size("posts") >= agree).select("rep", prefix["token"].alias("tokens")).join(reps, "rep"), "likely")
     posted = likely.select("rep", "sig", F.explode("tokens").alias("token"))
-    lists = posted.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("token", F.ceil(F.col("n") / SIGNATURE_BLOCK).alias("blocks"))
-    alike = connected_components(_meet(posted, "token", lists, ["sig"]).mapInArrow(_similar_signatures, "a long, b long"))
+    alike = _alike(posted, Matcher("sig", agree))
 
     member = alike.unionByName(alike.select(F.col("component").alias("id"), "component").distinct())
     wanted = member.withColumnRenamed("component", "group").join(likely.select(F.col("rep").alias("id"), "key"), "id")
     texts = source.join(wanted.select("id", "group").distinct(), "id").select("id", "group", "text")
-    sets = texts.mapInArrow(_full, T.StructType([T.StructField("id", T.LongType()), T.StructField("group", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("set", T.BinaryType())]))
+    sets = texts.mapInArrow(_full, "id long, group long, key binary, set binary")
     sets = written(sets.join(wanted.select("id", "key").distinct(), ["id", "key"], "left_semi").select(F.col("id").alias("rep"), "group", "set"), "full-sets")
-    weight = F.greatest(F.ceil(F.count(F.lit(1)) / SET_BLOCK), F.ceil(F.sum(F.octet_length("set")) / SET_BYTES))
-    groups = sets.groupBy("group").agg(weight.cast("long").alias("blocks"))
-    links = connected_components(_meet(sets, "group", groups, ["set"]).mapInArrow(_confirm(percent), "a long, b long"))
+    size = F.log(F.octet_length("set") / 8) / math.log(100 / percent)
+    classes = F.array_distinct(F.array(*(F.floor(size + more + slack) for more in (0, 1) for slack in (-1e-9, 1e-9))))
+    classed = sets.select("group", F.explode(classes).alias("class"), "rep", "set").select(F.xxhash64("group", "class").alias("token"), "rep", "set")
+    links = _alike(classed, Matcher("set", percent))
 
-    of_set = reps.join(links.withColumnRenamed("id", "rep"), "rep", "left").select("key", "n", F.coalesce("component", "rep").alias("component"))
-    linked = base.filter(own).join(of_set, ["key", "n"]).select("id", "n", "component")
+    of_set = reps.select("key", "n", "rep", "copies").join(links.withColumnRenamed("id", "rep"), "rep", "left").select("key", "n", F.coalesce("component", "rep").alias("component"), "copies")
+    linked = spread_join(base.filter(own).select("id", "n", "key"), written(of_set, "components"), ["key", "n"], "copies").select("id", "n", "component")
     out = linked.unionByName(base.filter(~own).select("id", "n", F.col("id").alias("component")))
     kept = F.col("id").eqNullSafe(F.col("component"))
     return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), kept.alias("kept"))
