@@ -72,13 +72,14 @@ def _spans(kind: Kind, order: int) -> Column:
     return F.when(F.expr(kind.maybe) & F.col("text").rlike(kind.pattern), let(blocked, placed)).otherwise(empty)
 
 
-def scan_secrets(docs: DataFrame, id: str = "doc_id", text: str = "text", owner: str = "source", repository: Sequence[str] = ("source", "lang"), most_owners: int = 2, kinds: Sequence[Kind] = KINDS) -> DataFrame:
+def scan_secrets(docs: DataFrame, id: str = "doc_id", text: str = "text", owner: str = "source", repository: Sequence[str] = ("source", "lang"), most_owners: int = 2, most_repositories: int = 4, kinds: Sequence[Kind] = KINDS) -> DataFrame:
     """Find secrets in every whole text and tell owner-specific ones from widely copied examples.
 
     The scan finds candidates of all kinds in one pass. Their hashes are then aggregated over the whole corpus by
     distinct repositories and owners (columns of docs; repository is a combination of columns), pre-aggregated by the
     tasks, so a string that a third of all rows hold is a row for each task and repository. A candidate that at most
-    most_owners owners hold and that is no placeholder looks live; the others are examples. Base kinds report all their
+    most_owners owners hold in at most most_repositories repositories together and that is no placeholder looks live; the others, more
+    widely copied, are examples. Base kinds report all their
     matches, the further kinds only the live-looking ones.
 
     Returns id, spans (array of structs start, rank, end, kind, value: by start, then kind as listed), base (those of base
@@ -95,7 +96,7 @@ def scan_secrets(docs: DataFrame, id: str = "doc_id", text: str = "text", owner:
     by_owner = each.groupBy("hash", "owner", "repository").agg(F.first("span.value").alias("value")).groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("n"), F.first("value").alias("value"))
     held = by_owner.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("n").alias("repositories"), F.first("value").alias("value"))
     varied = F.size(F.array_distinct(F.split("value", ""))) >= 5
-    live = (F.col("owners") <= most_owners) & ~F.col("value").rlike(PLACEHOLDER) & varied
+    live = (F.col("owners") <= most_owners) & (F.col("repositories") <= most_repositories) & ~F.col("value").rlike(PLACEHOLDER) & varied
     judged = each.select("mark", "span", "hash").distinct().join(held.select("hash", live.alias("live")), "hash")
 
     further = [k.name for k in kinds if not k.base]
