@@ -114,7 +114,7 @@ def fit(labelled: DataFrame, pieces: list[str], id: str = "doc_id", text: str =
     """Learn the pieces' probabilities in each language from labelled rows.
 
     The fit uses a bounded sample: about sample_docs documents of each language, chosen by a hash of their id, and the
-    sample_words most frequent words of those. Spark counts the words; expectation-maximisation over all segmentations
+    sample_words most frequent words of those, of fewer than PLAIN (38) characters; predictions score words of any length. Spark counts the words; expectation-maximisation over all segmentations
     of these words runs on the driver, in memory bounded by languages x sample_words. Rows without text or
     language are left out. Returns the model: languages, pieces, p (one row a piece, one column a language).
     """
