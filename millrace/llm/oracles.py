@@ -43,15 +43,15 @@ FROM p
 LOWER_HOST = LOWER.format("coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '')")
 
 
-def _ranks(name: str, seed: str, source: str, target: str, rounds: int = 8) -> str:
-    """Common table expressions for personalised PageRank, a round each; the last is {name}{rounds}."""
+def _ranks(name: str, seed: str, source: str, target: str, rounds: int = 43) -> str:
+    """Common table expressions for personalised PageRank, a round each (43: 0.85 ** 43 < 0.001); the last is {name}{rounds}."""
     parts = [
         f"{name}s AS (SELECT host, {seed}::DOUBLE / (SELECT sum({seed}) FROM hosts) * (1 - 0.85::DOUBLE) AS rank FROM hosts WHERE {seed} > 0)",
         f"{name}e AS (SELECT {source} AS a, {target} AS b, weight / sum(weight) OVER (PARTITION BY {source}) * 0.85::DOUBLE AS step FROM edges)",
         f"{name}0 AS (SELECT * FROM {name}s)",
     ]
     for i in range(rounds):
-        parts.append(f"{name}{i + 1} AS (SELECT host, sum(rank) AS rank FROM (SELECT b AS host, rank * step AS rank FROM {name}e JOIN {name}{i} ON a = host UNION ALL SELECT * FROM {name}s) GROUP BY host)")
+        parts.append(f"{name}{i + 1} AS MATERIALIZED (SELECT host, sum(rank) AS rank FROM (SELECT b AS host, rank * step AS rank FROM {name}e JOIN {name}{i} ON a = host UNION ALL SELECT * FROM {name}s) GROUP BY host)")
     return ",\n".join(parts)
 
 
@@ -70,7 +70,7 @@ j AS (SELECT *, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS
 c AS (SELECT host, count(*) FILTER (ruled = 'allow') AS allowed, count(*) FILTER (ruled = 'block') AS bad FROM j WHERE host <> '' GROUP BY host),
 hosts AS (SELECT host, bad, CASE WHEN bad = 0 THEN allowed ELSE 0 END AS good FROM c),
 x AS (
-  SELECT page_id, host, unnest(list_distinct([{LOWER.format("h")} FOR h IN regexp_extract_all(html, '(?is)<a\s[^>]*?href\s*=\s*["'']?\s*[a-z][a-z0-9+.-]*://([^/?#"''\s>]+)', 1)])) AS target FROM p),
+  SELECT page_id, host, unnest(list_distinct([{LOWER.format("h")} FOR h IN regexp_extract_all(html, '(?is)<(?:a|area|link|base|iframe|frame|form)\s[^>]*?(?:href|src|action)\s*=\s*["'']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"''\s>]+)', 1)])) AS target FROM p),
 links AS (SELECT host AS source, target, count(*)::DOUBLE AS weight FROM x WHERE host <> '' AND target <> '' AND host <> target GROUP BY 1, 2),
 s AS (SELECT host, string_split(host, '.') AS l FROM hosts WHERE NOT regexp_full_match(host, '[0-9.]+(:[0-9]+)?')),
 u AS (SELECT l, unnest(range(2, len(l))) AS n FROM s),
@@ -82,7 +82,7 @@ edges AS (
 {_ranks("t", "good", "source", "target")},
 {_ranks("d", "bad", "target", "source")},
 standing AS (
-  SELECT host, coalesce(t8.rank, 0) AS t, coalesce(d8.rank, 0) AS d FROM hosts LEFT JOIN t8 USING (host) LEFT JOIN d8 USING (host)),
+  SELECT host, coalesce(t43.rank, 0) AS t, coalesce(d43.rank, 0) AS d FROM hosts LEFT JOIN t43 USING (host) LEFT JOIN d43 USING (host)),
 out AS (SELECT j.*, round(coalesce(CASE WHEN t + d > 0 THEN (t - d) / (t + d) ELSE 0.0::DOUBLE END, 0.0::DOUBLE), 6) AS standing FROM j LEFT JOIN standing USING (host))
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN standing < 0 THEN 'block' ELSE 'allow' END) AS verdict, standing FROM out
 """

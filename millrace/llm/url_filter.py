@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import UPPER, written
+from millrace.llm.common import UPPER, discard, written
 
-#: An absolute link in HTML; group 1 is its host.
-LINK = r"""(?is)<a\s[^>]*?href\s*=\s*["']?\s*[a-z][a-z0-9+.-]*://([^/?#"'\s>]+)"""
+#: A reference in HTML that names a host, with its scheme or without; group 1 is the host.
+LINK = r"""(?is)<(?:a|area|link|base|iframe|frame|form)\s[^>]*?(?:href|src|action)\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
+#: Rounds whose results are written together.
+TOGETHER = 4
 
 
 def _lower(c: Column) -> Column:
@@ -41,7 +44,7 @@ def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, st
 def host_edges(pages: DataFrame) -> DataFrame:
     """Edges of the host graph with weights: source, target, weight; from columns host and html.
 
-    Absolute links to other hosts count once a page. Each host and its parent domain also point at each other (weight 1),
+    References to other hosts (links, areas, frames, forms, bases) count once a page. Each host and its parent domain also point at each other (weight 1),
     up to the registered name: subdomains of one owner share their standing.
     """
     links = pages.select("host", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("html", F.lit(LINK), F.lit(1)), _lower))).alias("target"))
@@ -57,20 +60,34 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return linked.unionByName(both.withColumn("weight", F.lit(1.0))).groupBy("source", "target").agg(F.sum("weight").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 8) -> DataFrame:
-    """Personalised PageRank from seeds (host, seed; summing to 1): host, rank. Each round is a join on the edges' source
-    and an aggregation by target, pre-aggregated by the tasks; rank reaches rounds hops."""
-    out = edges.groupBy("source").agg(F.sum("weight").alias("total"))
-    steps = written(edges.join(out, "source").select("source", "target", (F.col("weight") / F.col("total") * damping).alias("step")), "steps")
-    seeds = written(seeds.select("host", (F.col("seed") * (1 - damping)).alias("rank")), "seeds")
-    rank = seeds
-    for _ in range(rounds):
-        sent = steps.join(rank, F.col("source") == F.col("host")).select(F.col("target").alias("host"), (F.col("rank") * F.col("step")).alias("rank"))
-        rank = written(sent.unionByName(seeds).groupBy("host").agg(F.sum("rank").alias("rank")), "rank")
+def rounds_for(damping: float, tolerance: float) -> int:
+    """Rounds after which no rank can change by more than tolerance: what is still on its way is damping ** rounds in all."""
+    return max(1, math.ceil(math.log(tolerance) / math.log(damping)))
+
+
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-3) -> DataFrame:
+    """Personalised PageRank from seeds: walk, host, rank, for any number of walks at once, each with its own edges (walk, source,
+    target, weight) and seeds (walk, host, seed; summing to 1).
+
+    Each round is a join on the edges' source and an aggregation by target, pre-aggregated by the tasks. There are as many rounds
+    (rounds_for) as it takes until the ranks are within tolerance of their limits, whatever the graph.
+    """
+    out = edges.groupBy("walk", "source").agg(F.sum("weight").alias("total"))
+    steps = written(edges.join(out, ["walk", "source"]).select("walk", F.col("source").alias("host"), "target", (F.col("weight") / F.col("total") * damping).alias("step")), "steps")
+    seeds = written(seeds.select("walk", "host", (F.col("seed") * (1 - damping)).alias("rank")), "seeds")
+    rank, kept = seeds, seeds
+    for k in range(1, (rounds := rounds_for(damping, tolerance)) + 1):
+        sent = steps.join(rank, ["walk", "host"]).select("walk", F.col("target").alias("host"), (F.col("rank") * F.col("step")).alias("rank"))
+        rank = sent.unionByName(seeds).groupBy("walk", "host").agg(F.sum("rank").alias("rank"))
+        if k % TOGETHER == 0 or k == rounds:
+            rank = written(rank, "rank")
+            if kept is not seeds:
+                discard(kept)
+            kept = rank
     return rank
 
 
-def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], threshold: float = 0.0, damping: float = 0.85, rounds: int = 8, id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], threshold: float = 0.0, damping: float = 0.85, tolerance: float = 1e-3, id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Judge every page's URL: by the longest rule that fits, else by what its host's neighbours are worth.
 
     A rule (verdict, host, path) fits its host and the subdomains, for paths that start with its path. Trusted seeds are
@@ -81,8 +98,8 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], threshol
 
     Ranks are computed on hosts, pre-aggregated from pages, so a host with a third of all pages is one row; the join back
     to pages is on host, and Spark splits its large partitions. Returns id, host, path, rule, verdict, standing. Null
-    URLs, and those without ://, have empty host and path: no rule, standing 0. Null or empty html has no links; repeated rows are
-    judged alike and each counts; an empty table gives an empty result; other columns are not read.
+    URLs, and those without ://, have empty host and path: no rule, standing 0. Null or empty html has no links; very long URLs and html are
+    read whole; repeated rows are judged alike and each counts; an empty table gives an empty result; other columns are not read.
     """
     host, path = url_host(F.col(url)), url_path(F.col(url))
     read = pages.select(F.col(id).alias("id"), host.alias("host"), path.alias("path"), F.col(html).alias("html"))
@@ -98,10 +115,11 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], threshol
         total = chosen.agg(F.sum("n")).first()[0]
         return chosen.select("host", (F.col("n") / F.lit(total)).cast("double").alias("seed"))
 
-    trust = propagate(edges, seeds(F.when(F.col("bad") == 0, F.col("good"))), damping, rounds).withColumnRenamed("rank", "trust")
-    back = edges.select(F.col("target").alias("source"), F.col("source").alias("target"), "weight")
-    doubt = propagate(back, seeds(F.col("bad")), damping, rounds).withColumnRenamed("rank", "doubt")
-    both = counts.select("host").join(trust, "host", "left").join(doubt, "host", "left").na.fill(0.0, ["trust", "doubt"])
+    back = edges.select(F.lit("doubt").alias("walk"), F.col("target").alias("source"), F.col("source").alias("target"), "weight")
+    start = seeds(F.when(F.col("bad") == 0, F.col("good"))).withColumn("walk", F.lit("trust")).unionByName(seeds(F.col("bad")).withColumn("walk", F.lit("doubt")))
+    ranks = propagate(edges.withColumn("walk", F.lit("trust")).unionByName(back), start, damping, tolerance)
+    of = lambda walk: F.coalesce(F.sum(F.when(F.col("walk") == walk, F.col("rank"))), F.lit(0.0)).alias(walk)
+    both = counts.select("host").join(ranks, "host", "left").groupBy("host").agg(of("trust"), of("doubt"))
     standing = F.when(F.col("trust") + F.col("doubt") > 0, (F.col("trust") - F.col("doubt")) / (F.col("trust") + F.col("doubt"))).otherwise(0.0)
     out = judged.join(both.select("host", standing.alias("standing")), "host", "left")
     shown = F.round(F.coalesce("standing", F.lit(0.0)), 6)

@@ -264,10 +264,20 @@ def test_url_rules_and_trust(spark):
 
 
 def test_pagerank_sums_by_hand(spark):
-    edges = spark.createDataFrame([("a", "b", 1.0), ("a", "c", 3.0), ("b", "a", 1.0)], "source string, target string, weight double")
-    seeds = spark.createDataFrame([("a", 1.0)], "host string, seed double")
-    got = {r.host: r["rank"] for r in url_filter.propagate(edges, seeds, 0.5, 2).collect()}
-    assert got == pytest.approx({"a": 0.5 + 0.5 * 0.0625, "b": 0.0625, "c": 0.1875})
+    edges = spark.createDataFrame([("w", "a", "b", 1.0), ("w", "a", "c", 3.0), ("w", "b", "a", 1.0), ("v", "b", "a", 1.0)], "walk string, source string, target string, weight double")
+    seeds = spark.createDataFrame([("w", "a", 1.0), ("v", "b", 1.0)], "walk string, host string, seed double")
+    got = {(r.walk, r.host): r["rank"] for r in url_filter.propagate(edges, seeds, 0.5, 0.25).collect()}
+    assert url_filter.rounds_for(0.5, 0.25) == 2 and url_filter.rounds_for(0.85, 1e-3) == 43
+    assert got == pytest.approx({("w", "a"): 0.5 + 0.5 * 0.0625, ("w", "b"): 0.0625, ("w", "c"): 0.1875, ("v", "a"): 0.25, ("v", "b"): 0.5})
+
+
+def test_trust_goes_as_far_as_links_do(spark):
+    """A chain of 20 hosts from a trusted one, and kinds of references beside plain links."""
+    forms = ["<a href='https://{}/'>x</a>", '<area shape=x href="//{}/y">', "<IFRAME src=//{}>", "<form method=post action='http://{}/q'>", '<link rel=x href="https://{}">', '<base href="//{}/">']
+    rows = [(i, f"http://{'good' if not i else 'far'}.h{i}.{'org' if not i else 'net'}/p", forms[i % 6].format(f"far.h{i + 1}.net")) for i in range(20)] + [(20, "http://far.h20.net/", "")]
+    data = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in url_filter.judge_urls(data, queries.URL_RULES, threshold=0.5).collect()}
+    assert all(got[i].standing == 1 and got[i].verdict == "allow" for i in range(21))
 
 
 # personal data, secrets, licences
@@ -391,6 +401,13 @@ def test_secrets_against_patterns(spark):
     assert secret_scan.scan_secrets(frame(spark, []).limit(0)).count() == 0
 
 
+def test_secrets_in_many_repositories_are_examples(spark):
+    jwt = lambda c: f"eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeK{c}"
+    rows = [(i, f"see {jwt('A')} here", f"l{i % 4}", "own") for i in range(30)] + [(100 + i, f"see {jwt('B')} here", f"l{i}", "own") for i in range(5)]
+    got = {r.doc_id: (r.n_live, r.n_example, r.spans) for r in secret_scan.digest(secret_scan.scan_secrets(frame(spark, rows))).collect()}
+    assert all(got[i][:2] == (1, 0) and got[i][2].startswith("jwt:4:") for i in range(30)) and all(got[100 + i] == (0, 1, "") for i in range(5))
+
+
 def test_secrets_of_any_length(spark):
     key = lambda n, x: (f"Zq3{x}" + "aB7kLm9x" * n)[:n]
     rows, want = [], {}
@@ -409,8 +426,20 @@ def test_license_expressions():
     assert license_scan.to_postfix("MIT OR Apache-2.0 AND BSD-3-Clause") == ["mit", "apache-2.0", "bsd-3-clause", "and", "or"]
     assert value("GPL-2.0-only WITH Classpath-exception-2.0 OR MIT") == ({"gpl-2.0-only with classpath-exception-2.0", "mit"}, True)
     assert value("(MIT OR GPL-3.0) AND GPL-2.0")[1] is False and value("mit */ text")[0] == {"mit"}
-    for broken in ("OR MIT", "(MIT", "MIT AND", "", "()"):
+    for broken in ("OR MIT", "", "()", "(", "AND"):
         assert license_scan.to_postfix(broken) is None, broken
+    for short, want in (("MIT OR", ["mit"]), ("(MIT", ["mit"]), ("MIT AND (", ["mit"]), ("(MIT OR (ISC AND", ["mit", "isc", "or"]), ("MIT OR )", ["mit"]), ("MIT) AND ISC", ["mit"])):
+        assert license_scan.to_postfix(short) == want, short
+    assert value("foo") is None and value("mitre") is None and value("MIT AND mitre") == ({"mit"}, False) and value("LicenseRef-My.One OR foo") == ({"licenseref-my.one"}, False)
+    assert value("Apache-2.0+ OR GPL-3.0-or-later") == ({"apache-2.0+", "gpl-3.0-or-later"}, True) and value("BSD-3-Clause AND CC-BY-4.0")[1] is True
+
+
+def test_license_tags_by_the_automaton():
+    labels = lambda text: [(w, x) for w, x, base in license_scan.scan_text(text)[1] if not base]
+    assert labels("é x\n# SPDX-License-Identifier: MIT") == [(2, "mit")] and labels("spdx license identifier:mit") == [(0, "mit")]
+    assert labels("SPDX-License-Identifier MIT") == [] and labels("SPDX-License-Identifier:\nMIT") == [] and labels("SPDX-License-Identifier") == []
+    assert labels("SPDX-License-Identifier: MIT SPDX-License-Identifier: ISC OR\n") == [(0, "mit"), (4, "isc")]
+    assert license_scan.scan_text("SPDX-License-Identifier: foo")[2:] == (None, 0.0)
 
 
 def test_licenses_against_patterns(spark):
@@ -493,7 +522,7 @@ def test_gadgets_spell_what_merges_make():
 
 
 def test_license_expressions_to_the_end_of_their_line():
-    names = [f"Lic-{i}.0" for i in range(3000)]
+    names = [f"LicenseRef-{i}.0" for i in range(3000)]
     for n in (10, 60, 3000):
         _, places, free, _ = license_scan.scan_text(f"// SPDX-License-Identifier: ({' OR '.join(names[:n])} OR MIT)\nAND GPL-2.0")
         assert {x for _, x, _ in places} == {x.lower() for x in names[:n]} | {"mit"} and free is True
