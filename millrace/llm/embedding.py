@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import written
+from millrace.llm.common import spread_join, written
 from millrace.llm.components import connected_components
 
 #: Rows of a block; a product is at most BLOCK x BLOCK.
@@ -67,14 +67,16 @@ def _roots(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 
 def _compare(group: pd.DataFrame, least: float) -> pd.DataFrame:
-    """Links inside a block, or between two: for each linked row, copies of its partners and a smaller reachable id."""
+    """Links inside a block, or between two: for each linked row, copies of its partners and a smaller reachable id. Two rows
+    count where one at least is at home, in the cell and in the part of the cell: so they meet once."""
     left, right = group[group.part == group.p], group[group.part == group.q]
     if group.p.iat[0] == group.q.iat[0]:
         right = left
     if not len(left) or not len(right):
         return pd.DataFrame({"rep": [], "links": [], "root": []}).astype("int64")
     linked = _units(left.v) @ _units(right.v).T >= least
-    linked &= left.at_home.to_numpy()[:, None] | right.at_home.to_numpy()[None, :]
+    for home in ("at_home", "in_part"):
+        linked &= left[home].to_numpy()[:, None] | right[home].to_numpy()[None, :]
     if right is left:
         np.fill_diagonal(linked, False)
         ids, copies, whole = left.rep.to_numpy(), left.copies.to_numpy(), linked
@@ -88,27 +90,66 @@ def _compare(group: pd.DataFrame, least: float) -> pd.DataFrame:
     return pd.DataFrame({"rep": ids, "links": whole @ copies[has], "root": _roots(whole, ids) if len(ids) else ids})
 
 
+def _split(rows: DataFrame, least: float, cell_rows: int, most_cells: int, sample: int) -> DataFrame:
+    """The second level: add sub and in_part. A cell of over 2 * cell_rows rows has centroids of its own, fitted on about `sample` of
+    its rows at most (by a hash), most_cells of them at most; its rows are assigned by tasks that hold a part of the cell and
+    those centroids. Rows of smaller cells are in one part."""
+    key = ["label", "dim", "cell"]
+    sizes = written(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")), "cell-sizes")
+    large = sizes.filter(F.col("n") > 2 * cell_rows)
+    small = spread_join(rows, sizes.filter(F.col("n") <= 2 * cell_rows).select(*key, "n"), key, "n").withColumn("sub", F.lit(0).cast("long")).withColumn("in_part", F.lit(True))
+    if large.isEmpty():
+        return small
+
+    def fitted(group: pd.DataFrame) -> pd.DataFrame:
+        wanted = int(min(most_cells, max(2, group.n.iat[0] // cell_rows)))
+        centres = fit_cells(_units(group.v), wanted)
+        return pd.DataFrame({"label": group.label.iat[0], "dim": group.dim.iat[0], "cell": group.cell.iat[0], "centres": [centres.ravel()]})
+
+    there = spread_join(rows, large.withColumn("load", F.col("n")), key, "load").withColumn("turn", F.pmod(F.xxhash64("rep", F.lit("sub")), F.lit(1 << 30)) / F.lit(float(1 << 30)))
+    some = there.filter(F.col("turn") < F.lit(float(sample)) / F.col("n")).select(*key, "n", "v")
+    own = written(some.groupBy(*key).applyInPandas(fitted, "label string, dim long, cell long, centres array<double>"), "centres")
+    spots = large.select(*key, F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / sample).cast("long"))).alias("spot"))
+    near = own.join(spots, key)
+    dealt = there.withColumn("spot", F.pmod(F.xxhash64("rep"), F.floor(F.col("n") / sample).cast("long") + 1))
+
+    def assign(group: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
+        flat = np.asarray(centres.centres.iat[0]).reshape(-1, int(group.dim.iat[0])) if len(group) and len(centres) else np.zeros((0, 1))
+        if not len(flat):  # a cell whose sample is empty is one part
+            return pd.DataFrame({c: group[c] for c in ("label", "dim", "cell", "at_home", "rep", "copies", "v")} | {"sub": 0, "in_part": True})
+        row, sub, home = _visits(_units(group.v), flat, least)
+        out = group.iloc[row]
+        return pd.DataFrame({"label": out.label, "dim": out.dim, "cell": out.cell, "at_home": out.at_home, "rep": out.rep, "copies": out.copies, "v": out.v, "sub": sub, "in_part": home})
+
+    schema = "label string, dim long, cell long, at_home boolean, rep long, copies long, v array<double>, sub long, in_part boolean"
+    parted = dealt.drop("n", "turn").groupBy(*key, "spot").cogroup(near.groupBy(*key, "spot")).applyInPandas(assign, schema)
+    return small.select(*parted.columns).unionByName(parted)
+
+
 def near_duplicates(vectors: DataFrame, least: float = 0.98, id: str = "vec_id", vector: str = "embedding", label: str = "label", sample: int = 20_000, cell_rows: int = 1500, most_cells: int = 1024) -> DataFrame:
     """Link vectors of the same label whose cosine is at least `least`; find groups and the vector that stays of each.
 
     1. Equal vectors of a label become one row with a count, by an aggregation; a group of copies of any size is then
        one row. 2. Cells come from spherical k-means on a bounded sample (about `sample` vectors; a cell for each
        cell_rows vectors of a label, most_cells at most: the centroids are what is broadcast). 3. Each row goes to its
-       cell and to those that could hold a partner (see _visits: no pair is lost). 4. A cell of a label is cut into
-       blocks of about BLOCK rows, and each pair of blocks is a group of its own, so no cell is whole in one task.
-       A task gives a row for each linked row, not for each pair. 5. Groups are connected components.
+       cell and to those that could hold a partner (see _visits: no pair is lost). Cells that are still large are split
+       once more in the same way, by centroids of their own (see _split): cells grow with the data up to most_cells ** 2, about
+       1.5 thousand million vectors a label at the defaults. 4. A part of a cell is cut into blocks of about BLOCK rows, and each pair of
+       blocks is a group of its own, so no cell is whole in one task. A task gives a row for each linked row, not for
+       each pair. 5. Groups are connected components.
 
     Returns id, n_links (other vectors linked directly), component_id (smallest id reachable), kept (id is that).
     Vectors that are null, empty or zero or hold null or non-finite components, and rows whose label or id is null, link
     with nothing; vectors of different length never link. Rows that repeat an id count as vectors of their own.
-    An empty table gives an empty result. Other columns are not read.
+    Vectors find their copies' row again by 128 bits of hashes. An empty table gives an empty result. Other columns are not read.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id).alias("id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("v"))
+    rows = vectors.select(F.col(id).alias("id"), F.col(label).alias("label"), F.transform(F.col(vector).cast("array<double>"), lambda x: x + F.lit(0.0)).alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf))) & F.exists("v", lambda x: x != 0)
     good = F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & finite, F.lit(False))
-    valid = rows.filter(good)
-    reps = written(valid.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "vectors")
+    key = ["k1", "k2"]
+    valid = rows.filter(good).select("id", "label", "v", *(F.xxhash64("label", "v", F.lit(seed)).alias(k) for seed, k in enumerate(key)))
+    reps = written(valid.groupBy("label", "v", *key).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "vectors")
 
     total, labels = reps.agg(F.count(F.lit(1)), F.count_distinct("label")).first()
     share = min(1.0, sample / max(total, 1))
@@ -126,19 +167,22 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, id: str = "vec_id",
                 out = part.iloc[row]
                 yield pd.DataFrame({"label": out.label.astype(str), "dim": d, "cell": cell, "at_home": home, "rep": out.rep, "copies": out.copies, "v": out.v})
 
-    placed = written(reps.mapInPandas(assign, "label string, dim long, cell long, at_home boolean, rep long, copies long, v array<double>"), "cells")
-    blocks = placed.groupBy("label", "dim", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    parted = placed.join(blocks, ["label", "dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    met = parted.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    met = met.select("label", "dim", "cell", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "at_home", "rep", "copies", "v")
-    found = met.groupBy("label", "dim", "cell", "p", "q").applyInPandas(lambda g: _compare(g, least), "rep long, links long, root long")
+    plain = reps.select(F.col("label").cast("string").alias("label"), "rep", "copies", "v")
+    placed = written(plain.mapInPandas(assign, "label string, dim long, cell long, at_home boolean, rep long, copies long, v array<double>"), "cells")
+    parted = written(_split(placed, least, cell_rows, most_cells, sample), "parts")
+    spot = ["label", "dim", "cell", "sub"]
+    blocks = written(parted.groupBy(*spot).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"), F.count(F.lit(1)).alias("n")), "blocks")
+    dealt = spread_join(parted, blocks, spot, "n").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    met = met.select(*spot, F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "at_home", "in_part", "rep", "copies", "v")
+    found = met.groupBy(*spot, "p", "q").applyInPandas(lambda g: _compare(g, least), "rep long, links long, root long")
     found = written(found, "links")
 
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     groups = connected_components(found, "rep", "root")
-    of_rep = reps.join(links, "rep", "left").join(groups.withColumnRenamed("id", "rep"), "rep", "left")
-    of_rep = of_rep.select("label", "v", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    grouped = valid.join(of_rep, ["label", "v"]).select("id", "n_links", "component_id")
+    of_rep = reps.select("rep", "copies", *key).join(links, "rep", "left").join(groups.withColumnRenamed("id", "rep"), "rep", "left")
+    of_rep = of_rep.select(*key, "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    grouped = spread_join(valid.select("id", *key), written(of_rep, "groups"), key, "copies").select("id", "n_links", "component_id")
     alone = rows.filter(~good).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = grouped.unionByName(alone)
     return out.select(F.col("id").alias(id), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

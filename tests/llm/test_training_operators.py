@@ -220,7 +220,8 @@ def test_signatures_agree_as_sets_do():
 # embeddings
 
 
-def test_embeddings_against_brute_force(spark):
+@pytest.mark.parametrize("how", [{"cell_rows": 60}, {"cell_rows": 30, "most_cells": 2, "sample": 200}, {}])
+def test_embeddings_against_brute_force(spark, how):
     pick = np.random.default_rng(2)
     centre = pick.normal(size=(40, 16))
     v = [(centre[k % 40] + pick.normal(size=16) * pick.choice([0.02, 0.1, 0.14])).tolist() for k in range(600)]
@@ -228,7 +229,7 @@ def test_embeddings_against_brute_force(spark):
     rows = [(i, x, int(i % 3 == 0)) for i, x in enumerate(v)]
     rows += [(9001, None, 0), (9002, [0.0] * 16, 0), (9003, [float("nan")] + [1.0] * 15, 0), (9004, [1.0] * 16, None), (9005, [None] + [1.0] * 15, 1), (9006, [], 1), (9007, [1.0, 2.0], 1), (None, [1.0] * 16, 1), (9008, [float("inf")] * 16, 1)]
     data = spark.createDataFrame([(*r, "x", "y", 1) for r in rows], "vec_id long, embedding array<double>, label int, rep string, v string, cell int")
-    got = {r.vec_id: r for r in embedding.near_duplicates(data, cell_rows=60).collect()}
+    got = {r.vec_id: r for r in embedding.near_duplicates(data, **how).collect()}
     unit = np.array(v) / np.linalg.norm(v, axis=1, keepdims=True)
     label = np.arange(len(v)) % 3 == 0
     link = (unit @ unit.T >= 0.98) & (label[:, None] == label[None, :])
