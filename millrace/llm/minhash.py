@@ -17,7 +17,7 @@ from millrace.llm.components import connected_components
 #: Words of a shingle; coordinates of a signature; how often a pair at the threshold may agree in too few of them.
 WORDS, COORDINATES, LOSS = 5, 32, 2e-6
 #: Rows of a block of signatures; rows and bytes of a block of sets; bytes hashed at a time.
-SIGNATURE_BLOCK, SET_BLOCK, SET_BYTES, CHUNK = 1024, 256, 8_000_000, 500_000
+SIGNATURE_BLOCK, SET_BLOCK, SET_BYTES, CHUNK = 256, 128, 4_000_000, 500_000
 
 _PICK = np.random.Generator(np.random.PCG64(20240229))
 _OF_BYTE = _PICK.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
