@@ -22,7 +22,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates, the document with the smallest id stays."""
-    dropped = minhash.near_duplicates(docs, percent=85).filter(~F.col("kept")).select("doc_id")
+    dropped = minhash.near_duplicates(docs, percent=80).filter(~F.col("kept")).select("doc_id")
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
 
