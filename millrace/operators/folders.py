@@ -2,23 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import let
+from millrace.sources.shared import written
 
+#: Shares of a folder's names that are sorted apart.
+SHARES = 64
 
-def folder_paths(folders: DataFrame, depth: int = 64) -> DataFrame:
-    """Add path (/a/b) from the chain of parents: a join for each level, until a level is empty. Folders in a cycle, or
-    below an unknown parent, have none."""
-    level = folders.filter("parent_id IS NULL").select("id", F.concat(F.lit("/"), "name").alias("path"))
-    known = level
-    for _ in range(depth):
-        up = level.select(F.col("id").alias("parent_id"), F.col("path").alias("up"))
-        level = folders.select("id", "name", "parent_id").join(up, "parent_id").select("id", F.concat("up", F.lit("/"), "name").alias("path"))
-        if level.isEmpty():
+
+def folder_paths(folders: DataFrame) -> DataFrame:
+    """Add path (/a/b) from the chain of parents, of any depth. Folders in a cycle, or below an unknown parent, have none.
+
+    Paths double their length in each round: a folder whose path begins at another folder takes on that folder's own path, so
+    the rounds are the logarithm of the depth. Each round is written; a cycle never reaches a root, and the rounds end when
+    no path has grown to its root any more.
+    """
+    rows = folders.select("id", F.col("parent_id").alias("above"), F.concat(F.lit("/"), "name").alias("path"))
+    known = written(rows.filter("above IS NULL").select("id", "path"), "paths")
+    chains = written(rows.filter("above IS NOT NULL"), "chains")
+    while True:
+        up = known.select(F.col("id").alias("above"), F.col("path").alias("up"))
+        done = written(chains.join(up, "above").select("id", F.concat("up", "path").alias("path")), "paths")
+        if done.isEmpty():
             break
-        known = known.unionByName(level)
+        link = chains.select(F.col("id").alias("above"), F.col("above").alias("further"), F.col("path").alias("up"))
+        rest = chains.join(done.select("id"), "id", "left_anti")
+        longer = rest.join(link, "above", "left").select("id", F.coalesce("further", "above").alias("above"), F.concat(F.coalesce("up", F.lit("")), "path").alias("path"))
+        known, chains = known.unionByName(done), written(longer, "chains")
     return folders.join(known, "id", "left")
 
 
@@ -84,14 +96,24 @@ def folder_digest(paths: DataFrame, files: DataFrame, titles: int = 5) -> DataFr
     """For every folder its whole subtree: processed files (not deleted), and the first names; deepest folders first.
 
     Files are counted by folder first; each count then goes to the folder's ancestors, so the tree is walked once and a large
-    folder is one row.
+    folder is one row. Names are cut to `titles` a folder before they go up and again on each path; what is sorted for that
+    is dealt by (path, a hash) first, so the root's names meet in one task only as a few from each share.
     """
     ready = files.filter("deleted_at IS NULL AND status = 'processed'")
-    own = ready.groupBy(F.col("folder_id").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.slice(F.sort_array(F.collect_list("filename")), 1, titles).alias("names"))
-    up = paths.join(own, "id").select(F.explode(ancestors()).alias("path"), "n", "names")
-    sums = up.groupBy("path").agg(F.sum("n").alias("n"), F.slice(F.sort_array(F.flatten(F.collect_list("names"))), 1, titles).alias("names"))
-    out = paths.select("id", "path").join(sums, "path", "left")
-    return out.select("id", "path", F.coalesce("n", F.lit(0)).alias("file_count"), F.array_join(F.coalesce("names", F.array().cast("array<string>")), ",").alias("files"), (F.size(F.split("path", "/")) - 1).alias("depth")).orderBy(F.desc("depth"), "path")
+
+    def first(rows: DataFrame, *key: str) -> DataFrame:
+        turn = F.row_number().over(Window.partitionBy(*key).orderBy("filename"))
+        return rows.withColumn("turn", turn).filter(F.col("turn") <= titles).drop("turn")
+
+    share = F.pmod(F.xxhash64("filename"), F.lit(SHARES))
+    own = first(first(ready.select(F.col("folder_id").alias("id"), "filename", share.alias("share")), "id", "share"), "id")
+    up = paths.join(own, "id").select(F.explode(ancestors()).alias("path"), "filename", "share")
+    names = first(first(up, "path", "share"), "path").groupBy("path").agg(F.array_join(F.sort_array(F.collect_list("filename")), ",").alias("files"))
+    counts = ready.groupBy(F.col("folder_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    sums = paths.join(counts, "id").select(F.explode(ancestors()).alias("path"), "n").groupBy("path").agg(F.sum("n").alias("n"))
+    out = paths.select("id", "path").join(sums, "path", "left").join(names, "path", "left")
+    depth = (F.size(F.split("path", "/")) - 1).alias("depth")
+    return out.select("id", "path", F.coalesce("n", F.lit(0)).alias("file_count"), F.coalesce("files", F.lit("")).alias("files"), depth).orderBy(F.desc("depth"), "path")
 
 
 def folder_contents(folders: DataFrame, files: DataFrame, links: DataFrame) -> DataFrame:

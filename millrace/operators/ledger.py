@@ -69,8 +69,12 @@ def resolve_routes(requests: DataFrame, purposes: DataFrame, routes: DataFrame,
     without a model."""
     named = requests.join(purposes.select("purpose", F.col("model").alias("default_model")), "purpose", "left").withColumn("model", F.coalesce("model", "default_model"))
     models = named.select("model").distinct().filter("model IS NOT NULL")
-    fits = models.join(F.broadcast(routes.withColumnRenamed("provider", "routed").limit(10_000)), F.rlike("model", glob_pattern(F.col("glob"))))
-    best = fits.groupBy("model").agg(F.min_by("routed", "priority").alias("routed"))
+    named_by = routes.select("priority", "glob", F.col("provider").alias("routed"))
+    plain = ~F.col("glob").rlike(r"[*?]")
+    exact = models.join(named_by.filter(plain), F.col("model") == F.col("glob")).select("model", "priority", "routed")
+    # models and globs are distinct spellings, not requests: what meets pair by pair is their product
+    fits = exact.unionByName(models.join(named_by.filter(~plain), F.rlike("model", glob_pattern(F.col("glob")))).select("model", "priority", "routed"))
+    best = fits.groupBy("model").agg(F.min_by("routed", F.struct("priority", "routed")).alias("routed"))
     out = named.join(best, "model", "left")
     provider = F.coalesce("provider", "routed", F.when(F.col("model").isNotNull(), F.lit(fallback[0] if fallback else None)))
     how = F.when(F.col("model").isNull(), "unresolved").when(F.col("provider").isNotNull(), "explicit").when(F.col("routed").isNotNull(), "route").otherwise("fallback")
@@ -99,9 +103,21 @@ def token_budget(rows: DataFrame, key: str, limit: int, at: str = "created_at",
 
 
 def run_until_budget(rows: DataFrame, key: str, order: list[str], limit: int, tokens: str = "tokens_used") -> DataFrame:
-    """The rows of each key's list that are run: those before which the running total has not reached limit."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("spent_before", F.coalesce(F.sum(tokens).over(w), F.lit(0))).filter(F.col("spent_before") < limit)
+    """The rows of each key's list that are run: those before which the running total has not reached limit. Null tokens count as
+    none; rows that are equal in key and order are one after the other in any turn.
+
+    Rows are dealt by ranges of (key, order); each range is summed by itself, and the sums of ranges (one row a key and
+    range) are summed before them, so a long list is spread over tasks.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(rows.repartitionByRange(parts, key, *order).withColumn("_part", F.spark_partition_id()), "budget")
+    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy(key, "_part").agg(F.sum(tokens).alias("_sum")).withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
+    sums = sums.filter(F.col("_before") < limit).select(F.col(key).alias("_key"), F.col("_part").alias("_at"), "_before")
+    inside = Window.partitionBy(key, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    there = dealt.withColumn("_own", F.coalesce(F.sum(tokens).over(inside), F.lit(0))).join(sums, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_at")))
+    out = there.withColumn("spent_before", F.col("_before") + F.col("_own")).filter(F.col("spent_before") < limit)
+    return out.select(*rows.columns, "spent_before")
 
 
 def rate_limit_aligned(requests: DataFrame, key: str, limit: int, window: str, at: str = "created_at", id: str = "id") -> DataFrame:

@@ -34,7 +34,7 @@ def _edges(spark, sf, vertices=None):
 
 _TABLES = with_tables("edges")
 _PAIRS = ", pairs AS (SELECT a, b, max(weight) AS weight FROM (SELECT src AS a, dst AS b, weight FROM edges WHERE src <> dst UNION ALL SELECT dst, src, weight FROM edges WHERE src <> dst) GROUP BY a, b)\n"
-_SPELL = "CASE {k} % 4 WHEN 0 THEN 'The ' || {n} || ', Inc.' WHEN 1 THEN {n} || ' GmbH' WHEN 2 THEN ' ' || {n} || '  Holding Co.;' ELSE {n} || '!' END"
+_SPELL = "CASE {k} % 4 WHEN 0 THEN 'The ' || {n} || ', Inc.' WHEN 1 THEN {n} || ' GmbH' WHEN 2 THEN ' ' || {n} || '  Holding Co.;' ELSE {n} || CASE {k} % 5 WHEN 0 THEN '!' WHEN 1 THEN '-Co' WHEN 2 THEN '.Inc' WHEN 3 THEN ' Incorporated' ELSE ', LLP . ' END END"
 
 
 @query("canonicalize", f"WITH n AS (SELECT c_custkey AS id, {_SPELL.format(k='c_custkey', n='c_name')} AS name FROM customer UNION ALL SELECT -s_suppkey, {_SPELL.format(k='s_suppkey', n='s_name')} FROM supplier) SELECT id, {canonical_sql('name')} AS canonical FROM n")

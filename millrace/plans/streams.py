@@ -67,4 +67,4 @@ SELECT doc_id, i::INT AS chunk_index, sha256(array_to_string(w[i * 256 + 1 : (i
 def ingest_stream(spark, sf):
     stream, base = _replayed(spark, t.read(spark, sf, "documents").select("doc_id", "text"), "ingest")
     N.ingest_stream(stream, f"{base}/lake", f"{base}/check").awaitTermination()
-    return spark.read.parquet(f"{base}/lake/chunks").select("doc_id", "chunk_index", F.sha2("content", 256).alias("hash"), "token_count")
+    return N.current_chunks(spark, f"{base}/lake").select("doc_id", "chunk_index", F.sha2("content", 256).alias("hash"), "token_count")

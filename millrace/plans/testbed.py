@@ -165,13 +165,11 @@ SQL["chunks2"] = SQL["chunks"].replace("regexp_split_to_array(text", "regexp_spl
 
 
 def canonical_sql(column: str) -> str:
-    """canonical_name for DuckDB."""
-    from millrace.functions.text import CORPORATE
-
-    steps = [(r"^\s+|\s+$", ""), (r"^(?i:the)\s+", ""), (rf"[,\s]+(?i:{CORPORATE})\.?$", ""), (r"[.,;:!?]+$", ""), (r"\s+", " ")]
-    for pattern, new in steps:
-        column = f"regexp_replace({column}, '{pattern}', '{new}', 'g')"
-    return f"lower(trim({column}))"
+    """An entity's key in DuckDB, from the rule: trim; a leading The; one ending, as a word, with what stands around it; closing
+    punctuation; runs of white space; lower case."""
+    column = f"regexp_replace(trim({column}, ' \t\n\r'), '^[Tt][Hh][Ee]\\s+', '')"
+    column = f"regexp_replace({column}, '\\s*,?\\s*\\b(inc|corp|corporation|llc|ltd|limited|gmbh|co|company|plc|lp|llp|ag|sa|nv|bv)\\b\\.?\\s*$', '', 'i')"
+    return f"lower(trim(regexp_replace(rtrim({column}, '.,;:!?'), '\\s+', ' ', 'g')))"
 
 
 def with_tables(*names: str, more: str = "") -> str:

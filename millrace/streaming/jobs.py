@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -83,33 +84,48 @@ def ledger_stream(ledger: DataFrame, window: str = "1 hour", slide: str | None =
     return sums.select(F.col("w.start").alias("hour"), "caller_service", "provider", "model", "requests", "total_tokens", "errors", "fallbacks")
 
 
-def ingest_batch(batch: DataFrame, out: str, tokens: int = 256) -> None:
-    """Register, drop copies and chunk one batch of documents (doc_id, text) into <out>/registry and <out>/chunks.
+def _folders(spark: SparkSession, out: str, name: str, schema: str) -> DataFrame:
+    """What the batches before have written of a table, with the column batch; empty before the first."""
+    try:
+        return spark.read.schema(f"{schema}, batch long").parquet(f"{out}/{name}")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], f"{schema}, batch long")
+
+
+REGISTRY = "doc_id long, sha256 string"
+CHUNKS = "doc_id long, chunk_index int, content string, token_count int"
+
+
+def ingest_batch(batch: DataFrame, out: str, number: int, tokens: int = 256) -> None:
+    """Register, drop copies and chunk one batch of documents (doc_id, text) into <out>/registry, <out>/chunks and
+    <out>/incremental (documents whose id came before with another text).
 
-    A text that the registry has, or that came earlier in the batch, is not taken; a document whose id the registry has with another
-    text is routed to <out>/incremental. Running a batch again adds nothing: the registry knows its hashes.
+    A text that the registry has, or that came earlier in the batch, is not taken; of texts with one id, the last by hash is. Each
+    table's rows of a batch are a folder (batch=<number>) that is written over as a whole, from the batches before only. So a batch that
+    failed between two tables, or that is run again, leaves what one run leaves. current_chunks reads the tables.
     """
     spark = batch.sparkSession
     hashed = batch.select("doc_id", "text", content_hash(F.col("text")).alias("sha256"))
-    try:
-        registry = spark.read.parquet(f"{out}/registry")
-    except Exception as error:  # the first batch
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        registry = spark.createDataFrame([], "doc_id long, sha256 string")
+    before = _folders(spark, out, "registry", REGISTRY).filter(F.col("batch") < number)
     first = hashed.filter(F.col("text") != "").groupBy("sha256").agg(F.min("doc_id").alias("doc_id"))
-    new = first.join(registry.select("sha256"), "sha256", "left_anti")
-    again = new.join(registry.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "sha256")
-    texts = hashed.join(new, ["doc_id", "sha256"], "left_semi").persist()
-    try:
-        chunks = texts.select("doc_id", F.posexplode(hard_split(F.col("text"), tokens)).alias("chunk_index", "content"))
-        chunks.withColumn("token_count", count_tokens(F.col("content"))).write.mode("append").parquet(f"{out}/chunks")
-        again.write.mode("append").parquet(f"{out}/incremental")
-        texts.select("doc_id", "sha256").write.mode("append").parquet(f"{out}/registry")
-    finally:
-        texts.unpersist()
+    new = first.join(before.select("sha256"), "sha256", "left_anti").groupBy("doc_id").agg(F.max("sha256").alias("sha256"))
+    again = new.join(before.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "sha256")
+    texts = hashed.join(new, ["doc_id", "sha256"], "left_semi").dropDuplicates(["doc_id", "sha256"])
+    chunks = texts.select("doc_id", F.posexplode(hard_split(F.col("text"), tokens)).alias("chunk_index", "content"))
+    tables = (("chunks", chunks.withColumn("token_count", count_tokens(F.col("content")))), ("incremental", again), ("registry", new.select("doc_id", "sha256")))
+    for name, rows in tables:
+        rows.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
+
+
+def current_chunks(spark: SparkSession, out: str) -> DataFrame:
+    """The chunks of each document's last text: a later upload of a document takes the place of the earlier one."""
+    registry = _folders(spark, out, "registry", REGISTRY)
+    last = registry.groupBy("doc_id").agg(F.max("batch").alias("batch"))
+    return _folders(spark, out, "chunks", CHUNKS).join(last, ["doc_id", "batch"], "left_semi").drop("batch")
 
 
 def ingest_stream(documents: DataFrame, out: str, checkpoint: str, tokens: int = 256) -> StreamingQuery:
     """New documents as they come, through ingest_batch; takes all that is there and stops."""
-    return documents.writeStream.foreachBatch(lambda batch, _: ingest_batch(batch, out, tokens)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return documents.writeStream.foreachBatch(lambda batch, number: ingest_batch(batch, out, number, tokens)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
-from millrace.operators import analysis, chunking, citations, graph, ledger, registry, search, versions
+from millrace.operators import analysis, chunking, citations, folders, graph, ledger, registry, search, versions
 
 
 def test_packing():
@@ -76,7 +76,7 @@ def test_model_json():
     assert f("") == {} and f(None) == {} and f("nothing") == {}
 
 
-@pytest.mark.parametrize(("raw", "key"), [("The Acme Corp.", "acme"), ("Acme, Inc", "acme"), ("  ACME   Labs LLC ", "acme labs"), ("Theory Ltd.", "theory"), ("acme;", "acme"), ("Inc", "inc"), ("", "")])
+@pytest.mark.parametrize(("raw", "key"), [("The Acme Corp.", "acme"), ("Acme, Inc", "acme"), ("  ACME   Labs LLC ", "acme labs"), ("Theory Ltd.", "theory"), ("acme;", "acme"), ("Inc", ""), ("", ""), ("Acme-Co", "acme-"), ("Acme.Inc", "acme"), ("The Inc", ""), ("Foo Incorporated", "foo incorporated"), ("Cisco", "cisco"), ("\u00c9Co", "\u00e9co"), ("A\u00a0 B, llp. ", "a b"), ("A, llp . ", "a, llp"), ("Acme Inc Ltd", "acme inc")])
 def test_canonical(spark, raw, key):
     assert spark.createDataFrame([(raw,)], "n string").select(T.canonical_name(F.col("n")).alias("c")).first().c == key
 
@@ -187,3 +187,41 @@ def test_words_after_ten_thousand_characters_are_found(spark):
     asked = spark.createDataFrame([(1, "late"), (2, '"red bird"'), (3, "late -banned")], "query_id long, text string")
     hits = search.keyword_search(asked, search.build_postings(docs), 5).collect()
     assert sorted((r.query_id, r.doc_id) for r in hits) == [(1, 1), (1, 2), (1, 3), (2, 1), (3, 1), (3, 2)]
+
+
+def test_paths_of_any_depth(spark):
+    rows = [("f0", "n0", None)] + [(f"f{i}", f"n{i}", f"f{i - 1}") for i in range(1, 150)] + [("x", "x", "y"), ("y", "y", "x"), ("z", "z", "nowhere"), ("w", "w", "x"), ("r", "r", None), ("s", "s", "r")]
+    got = {r.id: r.path for r in folders.folder_paths(spark.createDataFrame(rows, "id string, name string, parent_id string")).collect()}
+    assert len(got) == len(rows) and all(got[f"f{i}"] == "".join(f"/n{k}" for k in range(i + 1)) for i in range(150))
+    assert [got[k] for k in "xyzwrs"] == [None, None, None, None, "/r", "/r/s"]
+    assert folders.folder_paths(spark.createDataFrame([], "id string, name string, parent_id string")).count() == 0
+
+
+def test_digest_shows_the_first_names(spark):
+    paths = spark.createDataFrame([("a", "/a"), ("b", "/a/b"), ("c", "/a/c")], "id string, path string")
+    files = spark.createDataFrame([(f"{k}{i:03}", k, "processed", None) for k in "bc" for i in range(200)] + [("a0", "b", "failed", None)], "filename string, folder_id string, status string, deleted_at timestamp")
+    got = {r.id: (r.file_count, r.files, r.depth) for r in folders.folder_digest(paths, files).collect()}
+    five = lambda k: ",".join(f"{k}{i:03}" for i in range(5))
+    assert got == {"a": (400, five("b"), 1), "b": (200, five("b"), 2), "c": (200, five("c"), 2)}
+
+
+def test_budget_runs_across_ranges(spark):
+    rows = [(k, i, (i * 7) % 5 if i % 11 else None) for k in ("a", "b", None) for i in range(300)] + [("c", 0, 9)]
+    frame = spark.createDataFrame(rows, "key string, at int, tokens_used long").repartition(5)
+    got = sorted((str(r.key), r["at"], r.spent_before) for r in ledger.run_until_budget(frame, "key", ["at"], 100).collect())
+    want = []
+    for key in ("a", "b", None, "c"):
+        spent = 0
+        for k, i, n in rows:
+            if k == key:
+                if spent < 100:
+                    want.append((str(k), i, spent))
+                spent += n or 0
+    assert got == sorted(want)
+
+
+def test_routes_have_no_limit(spark):
+    routes = spark.createDataFrame([(i, f"model-{i}", f"p{i}") for i in range(12_000)] + [(20_000, "model-*", "any"), (5, "zz?", "q")], "priority int, glob string, provider string")
+    asked = spark.createDataFrame([(1, None, "model-11999", None), (2, None, "model-x", None), (3, None, "zz1", None), (4, None, "other", None), (5, "sum", None, None), (6, None, None, None), (7, None, "m", "named")], "id int, purpose string, model string, provider string")
+    got = {r.id: (r.model, r.provider, r.how) for r in ledger.resolve_routes(asked, spark.createDataFrame([("sum", "model-3")], "purpose string, model string"), routes, ["back"]).collect()}
+    assert got == {1: ("model-11999", "p11999", "route"), 2: ("model-x", "any", "route"), 3: ("zz1", "q", "route"), 4: ("other", "back", "fallback"), 5: ("model-3", "p3", "route"), 6: (None, None, "unresolved"), 7: ("m", "named", "explicit")}

@@ -1,5 +1,6 @@
 """Streams against their batch twins, over several files."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.streaming import jobs as N
@@ -32,13 +33,40 @@ def test_late_rows_are_dropped(spark, tmp_path):
     assert got in ({(0, 1, 5, 0, 0), (7200, 1, 7, 1, 1)}, {(0, 2, 14, 0, 0), (7200, 1, 7, 1, 1)})
 
 
-def test_ingest_is_idempotent_and_routes_uploads(spark, tmp_path):
-    first = spark.createDataFrame([(1, "a b c"), (2, "a b c"), (3, "d " * 600), (4, "")], "doc_id long, text string")
+def _lake(spark, out):
+    state = {name: sorted(map(str, spark.read.parquet(f"{out}/{name}").collect())) for name in ("registry", "chunks", "incremental")}
+    return state | {"current": sorted((r.doc_id, r.chunk_index, r.content) for r in N.current_chunks(spark, out).collect())}
+
+
+def test_ingest_is_idempotent_and_replaces_uploads(spark, tmp_path, monkeypatch):
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    first, second = frame([(1, "a b c"), (2, "a b c"), (3, "d " * 600), (4, ""), (6, None), (1, "a b c")]), frame([(1, "changed text"), (5, "e"), (7, "a b c")])
     out = str(tmp_path / "lake")
-    N.ingest_batch(first, out)
-    N.ingest_batch(first, out)
-    N.ingest_batch(spark.createDataFrame([(1, "changed text"), (5, "e")], "doc_id long, text string"), out)
-    registry = {(r.doc_id) for r in spark.read.parquet(f"{out}/registry").collect()}
-    assert registry == {1, 3, 5} and spark.read.parquet(f"{out}/registry").count() == 4
-    assert [r.doc_id for r in spark.read.parquet(f"{out}/incremental").collect()] == [1]
-    assert spark.read.parquet(f"{out}/chunks").filter("doc_id = 3").count() == 3
+    N.ingest_batch(first, out, 0)
+    once = _lake(spark, out)
+    assert once["current"][0] == (1, 0, "a b c") and len(once["current"]) == 4 and once["incremental"] == []
+    N.ingest_batch(first, out, 0)
+    assert _lake(spark, out) == once
+    N.ingest_batch(second, out, 1)
+    whole = _lake(spark, out)
+    assert [c for d, _, c in whole["current"] if d == 1] == ["changed text"] and {d for d, _, _ in whole["current"]} == {1, 3, 5}
+    assert len(whole["registry"]) == 4 and len(whole["incremental"]) == 1
+
+    # a batch that fails between its tables, then runs again
+    from pyspark.sql import DataFrameWriter
+
+    write, broken = DataFrameWriter.parquet, str(tmp_path / "broken")
+    N.ingest_batch(first, broken, 0)
+
+    def failing(self, path, *args, **kwargs):
+        if "/registry/" in path:
+            raise OSError("lost")
+        return write(self, path, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", failing)
+    with pytest.raises(OSError):
+        N.ingest_batch(second, broken, 1)
+    monkeypatch.setattr(DataFrameWriter, "parquet", write)
+    assert [c for d, _, c in _lake(spark, broken)["current"] if d == 1] == ["a b c"]  # not yet registered
+    N.ingest_batch(second, broken, 1)
+    assert _lake(spark, broken) == whole
