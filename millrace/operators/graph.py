@@ -10,8 +10,8 @@ from millrace.sources.shared import written
 
 #: The order in which the first mention or relation counts.
 FIRST = ("created_at", "doc_id", "position")
-#: Names of a document that meet in one task.
-PAIR_BLOCK = 256
+#: Names of a document that meet in one task; shares of a key's values that are sorted apart.
+PAIR_BLOCK, SHARES = 256, 64
 
 
 def relation_type(c: Column) -> Column:
@@ -187,13 +187,29 @@ def _entities(documents: DataFrame) -> DataFrame:
     return documents.filter("is_current").select("doc_id", "title", "created_at", F.explode("entities").alias("e")).select("doc_id", "title", "created_at", "e.*")
 
 
+def first_values(rows: DataFrame, key: list[str], value: str, most: int, separator: str) -> DataFrame:
+    """The first `most` distinct values of each key, in order, as one string: a struct k of the key's columns (so that null
+    keys meet) and value. Each (key, share of the values) is cut by itself before a key's values meet."""
+    share = F.pmod(F.xxhash64(value), F.lit(SHARES))
+    once = rows.filter(F.col(value).isNotNull()).select(F.struct(*key).alias("k"), value).distinct().withColumn("share", share)
+    for by in (("k", "share"), ("k",)):
+        once = once.withColumn("turn", F.row_number().over(Window.partitionBy(*by).orderBy(value))).filter(F.col("turn") <= most)
+    return once.groupBy("k").agg(F.array_join(F.sort_array(F.collect_list(value)), separator).alias(value))
+
+
 def entity_lookup(documents: DataFrame, pattern: str, type: str | None = None, most: int = 50) -> DataFrame:
     """Entities whose name holds the pattern: name, type, context, documents, mentions (documents where none are given), five titles."""
     rows = _entities(documents).filter(F.contains(F.lower("name"), F.lit(pattern.lower())))
     if type is not None:
         rows = rows.filter(F.col("type") == type)
-    out = rows.groupBy("name", "type", "context").agg(F.count_distinct("doc_id").alias("documents"), F.sum("mentions").alias("m"), F.array_join(F.slice(F.sort_array(F.collect_set("title")), 1, 5), "|").alias("titles"))
-    return out.select("name", "type", "context", "documents", F.coalesce("m", "documents").alias("mentions"), "titles").orderBy(F.desc("documents"), F.desc("mentions"), "name", "type", "context").limit(most)
+    key = ["name", "type", "context"]
+    # a document's mentions of an entity are summed first, so that documents are counted, not collected
+    each = rows.groupBy(*key, "doc_id").agg(F.sum("mentions").alias("m"))
+    out = each.groupBy(*key).agg(F.count(F.lit(1)).alias("documents"), F.sum("m").alias("m"))
+    best = out.withColumn("mentions", F.coalesce("m", "documents")).orderBy(F.desc("documents"), F.desc("mentions"), *key).limit(most).withColumn("k", F.struct(*key))
+    titles = first_values(rows, key, "title", 5, "|")
+    found = best.join(titles, "k", "left").select(*key, "documents", "mentions", F.coalesce("title", F.lit("")).alias("titles"))
+    return found.orderBy(F.desc("documents"), F.desc("mentions"), *key)
 
 
 def _relationships(documents: DataFrame) -> DataFrame:
@@ -222,7 +238,8 @@ def entity_network(documents: DataFrame, partners: int = 5) -> DataFrame:
     meet by themselves, so a long list is spread over tasks.
     """
     rows = _entities(documents).withColumn("canonical", canonical_name(F.col("name"))).filter("canonical <> ''")
-    main = rows.groupBy("canonical").agg(F.min_by("type", F.struct("created_at", "doc_id", "name")).alias("type"), F.count_distinct("doc_id").alias("documents"), F.sum("mentions").alias("mentions"))
+    by_doc = rows.groupBy("canonical", "doc_id").agg(F.min(F.struct("created_at", "doc_id", "name", "type")).alias("f"), F.sum("mentions").alias("mentions"))
+    main = by_doc.groupBy("canonical").agg(F.min("f")["type"].alias("type"), F.count(F.lit(1)).alias("documents"), F.sum("mentions").alias("mentions"))
     listed = rows.groupBy("doc_id").agg(F.collect_set("canonical").alias("names"))
     named = listed.select("doc_id", F.ceil(F.size("names") / PAIR_BLOCK).cast("int").alias("blocks"), F.explode("names").alias("name"))
     own, other = F.pmod(F.xxhash64("name"), F.col("blocks")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1))
@@ -236,11 +253,18 @@ def entity_network(documents: DataFrame, partners: int = 5) -> DataFrame:
     return main.join(top, "canonical", "left").select("canonical", "type", "documents", "mentions", F.coalesce("partners", F.lit("")).alias("partners"))
 
 
-def people_directory(documents: DataFrame) -> DataFrame:
-    """People merged by canonical name: roles, organisations, first e-mail (by document), documents. Needs people arrays."""
+def people_directory(documents: DataFrame, shown: int = 100) -> DataFrame:
+    """People merged by canonical name: roles and organisations (the first `shown` of each), first e-mail (by document), documents.
+    Needs people arrays."""
     p = documents.filter("is_current").select("doc_id", F.explode("people").alias("p")).select("doc_id", "p.*").withColumn("person", canonical_name(F.col("name"))).filter("person <> ''")
-    joined = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ",").alias(c)
-    return p.groupBy("person").agg(joined("role"), joined("organization"), F.min_by("email", F.when(F.col("email").isNotNull(), F.col("doc_id"))).alias("email"), F.count_distinct("doc_id").alias("documents"))
+    mail = F.min_by("email", F.when(F.col("email").isNotNull(), F.col("doc_id"))).alias("email")
+    # a person's rows of a document are merged first, so that documents are counted, not collected
+    each = p.groupBy("person", "doc_id").agg(F.min("email").alias("email"))
+    out = each.groupBy("person").agg(mail, F.count(F.lit(1)).alias("documents"))
+    for name in ("role", "organization"):
+        listed = first_values(p, ["person"], name, shown, ",").select("k.person", name)
+        out = out.join(listed, "person", "left").withColumn(name, F.coalesce(name, F.lit("")))
+    return out.select("person", "role", "organization", "email", "documents")
 
 
 def timeline(documents: DataFrame, most: int = 30) -> DataFrame:

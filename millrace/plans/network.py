@@ -69,13 +69,14 @@ def rebuild_graph(spark, sf):
 _HALF = "SELECT canonical, count(*) AS mention_count, count(DISTINCT doc_id) AS document_count, arg_min(name, (created_at, doc_id, position)) AS name FROM canon_mentions WHERE canonical <> '' AND "
 
 
-@query("merge_graph", with_tables("canon_mentions", "canon_relations") + f""", o AS ({_HALF} doc_id % 2 = 0 AND doc_id % 3 <> 0 GROUP BY 1), n AS ({_HALF} doc_id % 2 = 1 GROUP BY 1),
+@query("merge_graph", with_tables("canon_mentions", "canon_relations") + f""", o AS ({_HALF} doc_id % 2 = 0 GROUP BY 1), n AS ({_HALF} doc_id % 2 = 1 GROUP BY 1),
 m AS (SELECT coalesce(o.canonical, n.canonical) AS canonical, coalesce(o.name, n.name) AS name, coalesce(o.mention_count, 0) + coalesce(n.mention_count, 0) AS mention_count, coalesce(o.document_count, 0) + coalesce(n.document_count, 0) AS document_count FROM o FULL JOIN n ON o.canonical = n.canonical),
-e AS (SELECT src, dst, rel, count(*) AS weight FROM canon_relations WHERE (doc_id % 2 = 0 AND doc_id % 3 <> 0 AND src IN (SELECT canonical FROM o) AND dst IN (SELECT canonical FROM o)) OR (doc_id % 2 = 1 AND src IN (SELECT canonical FROM m) AND dst IN (SELECT canonical FROM m)) GROUP BY 1, 2, 3)
+e AS (SELECT src, dst, rel, count(*) AS weight FROM canon_relations WHERE (doc_id % 2 = 0 AND src IN (SELECT canonical FROM o) AND dst IN (SELECT canonical FROM o)) OR (doc_id % 2 = 1 AND src IN (SELECT canonical FROM m) AND dst IN (SELECT canonical FROM m)) GROUP BY 1, 2, 3)
 SELECT 'vertex' AS part, canonical AS a, name AS b, NULL::VARCHAR AS c, mention_count::BIGINT AS n, document_count::BIGINT AS k FROM m UNION ALL SELECT 'edge', src, dst, rel, weight::BIGINT, NULL FROM e""")
 def merge_graph(spark, sf):
+    """The graph of the even documents, and then the odd ones."""
     mentions, relations = t.mentions(spark, sf), t.relations(spark, sf)
-    vertices, _, edges = G.rebuild_graph(mentions.filter("doc_id % 2 = 0 AND doc_id % 3 <> 0"), relations.filter("doc_id % 2 = 0 AND doc_id % 3 <> 0"))
+    vertices, _, edges = G.rebuild_graph(mentions.filter("doc_id % 2 = 0"), relations.filter("doc_id % 2 = 0"))
     v, e = G.merge_graph(vertices, edges, mentions.filter("doc_id % 2 = 1"), relations.filter("doc_id % 2 = 1"))
     out = v.select(F.lit("vertex").alias("part"), F.col("canonical").alias("a"), F.col("name").alias("b"), F.lit(None).cast("string").alias("c"), F.col("mention_count").alias("n"), F.col("document_count").alias("k"))
     return out.unionByName(e.select(F.lit("edge").alias("part"), F.col("src").alias("a"), F.col("dst").alias("b"), F.col("rel").alias("c"), F.col("weight").alias("n"), F.lit(None).cast("long").alias("k")))
@@ -97,33 +98,37 @@ def _seeds(vertices):
     return vertices.filter("canonical LIKE 'brand#%2' OR canonical LIKE 'supplier%5'").select(F.col("canonical").alias("seed"))
 
 
-@query("neighbors", _TABLES + _PAIRS + """, strong AS (SELECT a, b FROM pairs WHERE weight >= 4), seeds AS (SELECT canonical AS seed FROM vertices WHERE canonical LIKE 'brand#%2' OR canonical LIKE 'supplier%5'),
-walk AS (SELECT seed, seed AS node, 0 AS hop FROM seeds UNION SELECT seed, b, hop + 1 FROM walk JOIN strong ON node = a WHERE hop < 3)
-SELECT seed, node, min(hop)::INT AS hop FROM walk WHERE node <> seed GROUP BY seed, node""".replace(", strong", "\n, strong", 1))
+@query("neighbors", _TABLES + _PAIRS + """, seeds AS (SELECT canonical AS seed FROM vertices WHERE canonical LIKE 'brand#%2' OR canonical LIKE 'supplier%5'),
+walk AS (SELECT seed, seed AS node, 0 AS hop FROM seeds UNION SELECT seed, b, hop + 1 FROM walk JOIN pairs ON node = a WHERE hop < 3)
+SELECT seed, node, min(hop)::INT AS hop FROM walk WHERE node <> seed GROUP BY seed, node""")
 def neighbors(spark, sf):
-    """Along edges that are heavy in either direction."""
     vertices = _vertices(spark, sf)
-    return G.neighbors(_edges(spark, sf, vertices).filter("weight >= 4"), _seeds(vertices), 3)
+    return G.neighbors(_edges(spark, sf, vertices), _seeds(vertices), 3)
 
 
-@query("neighborhood_edges", _TABLES + _PAIRS + """, strong AS (SELECT a, b FROM pairs WHERE weight >= 4), seeds AS (SELECT canonical AS seed FROM vertices WHERE canonical LIKE 'brand#%2'), n AS (SELECT seed, seed AS node FROM seeds UNION SELECT seed, b FROM seeds JOIN strong ON seed = a)
+@query("neighborhood_edges", _TABLES + _PAIRS + """, seeds AS (SELECT canonical AS seed FROM vertices WHERE canonical LIKE 'brand#%2'), n AS (SELECT seed, seed AS node FROM seeds UNION SELECT seed, b FROM seeds JOIN pairs ON seed = a)
 SELECT x.seed, src, dst, rel, weight FROM edges JOIN n x ON src = x.node JOIN n y ON dst = y.node AND x.seed = y.seed WHERE weight >= 5""")
 def neighborhood_edges(spark, sf):
     vertices = _vertices(spark, sf)
-    edges = _edges(spark, sf, vertices).filter("weight >= 4")
+    edges = _edges(spark, sf, vertices)
     return G.neighborhood_edges(edges, G.neighbors(edges, _seeds(vertices).filter("seed LIKE 'brand%'"), 1), 5)
 
 
+def _level(k: int) -> str:
+    """SQL for the vertices that are k hops away, with the first path to each."""
+    seen = " UNION ALL ".join(f"SELECT (src, node) FROM l{i}" for i in range(k))
+    return f"""l{k} AS (SELECT src, b AS node, min(list_append(path, b)) AS path, arg_min(l.weight + p.weight, list_append(path, b)) AS weight FROM l{k - 1} l JOIN pairs p ON node = a
+  WHERE (src, b) NOT IN ({seen}) GROUP BY src, b)"""
+
+
 @query("shortest_path", _TABLES + _PAIRS + """, w AS (SELECT x.canonical AS src, y.canonical AS dst FROM vertices x, vertices y WHERE x.canonical LIKE 'supplier%7' AND (y.canonical LIKE 'brand#%3' OR y.canonical LIKE 'supplier%8')),
 l0 AS (SELECT DISTINCT src, src AS node, [src] AS path, 0::BIGINT AS weight FROM w),
-l1 AS (SELECT src, b AS node, min(list_append(path, b)) AS path, arg_min(l0.weight + p.weight, list_append(path, b)) AS weight FROM l0 JOIN pairs p ON node = a GROUP BY src, b),
-l2 AS (SELECT src, b AS node, min(list_append(path, b)) AS path, arg_min(l1.weight + p.weight, list_append(path, b)) AS weight FROM l1 JOIN pairs p ON node = a WHERE (src, b) NOT IN (SELECT (src, node) FROM l0 UNION ALL SELECT (src, node) FROM l1) GROUP BY src, b),
-f AS (SELECT *, 0 AS hops FROM l0 UNION ALL SELECT *, 1 FROM l1 UNION ALL SELECT *, 2 FROM l2)
+l1 AS (SELECT src, b AS node, min(list_append(path, b)) AS path, arg_min(l0.weight + p.weight, list_append(path, b)) AS weight FROM l0 JOIN pairs p ON node = a GROUP BY src, b), """ + ", ".join(_level(k) for k in range(2, 5)) + """, f AS (SELECT *, 0 AS hops FROM l0 UNION ALL SELECT *, 1 FROM l1 UNION ALL SELECT *, 2 FROM l2 UNION ALL SELECT *, 3 FROM l3 UNION ALL SELECT *, 4 FROM l4)
 SELECT w.src, w.dst, array_to_string(path, ' > ') AS path, hops, weight::BIGINT AS total_weight FROM w JOIN f ON w.src = f.src AND w.dst = f.node""")
 def shortest_path(spark, sf):
     v = _vertices(spark, sf)
     wanted = v.filter("canonical LIKE 'supplier%7'").select(F.col("canonical").alias("src"), F.lit(1).alias("k")).join(v.filter("canonical LIKE 'brand#%3' OR canonical LIKE 'supplier%8'").select(F.col("canonical").alias("dst"), F.lit(1).alias("k")), "k")
-    return G.shortest_path(_edges(spark, sf, v), wanted, 2)
+    return G.shortest_path(_edges(spark, sf, v), wanted)
 
 
 @query("entity_documents", with_tables("canon_mentions") + "SELECT DISTINCT canonical, doc_id, created_at FROM canon_mentions WHERE canonical IN ('brand#11', 'supplier#000000003')")

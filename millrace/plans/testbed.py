@@ -41,12 +41,12 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with the arrays that an analysis gives: entities and relationships of capitalised words."""
-    names = "slice(regexp_extract_all(body, '[A-Z][a-z]{3,7}', 0), 1, 6)"
+    names = "regexp_extract_all(body, '[A-Z][a-z]{3,7}', 0)"
     base = docs(spark, sf_dir).selectExpr("doc_id", "title", "category", "created_at", "is_current", f"{names} AS names")
     return base.selectExpr(
         "doc_id", "title", "category", "created_at", "is_current", "names",
         "transform(names, n -> named_struct('name', n, 'type', CASE length(n) % 3 WHEN 0 THEN 'person' WHEN 1 THEN 'organization' ELSE 'concept' END, 'context', substring(n, 1, 1), 'mentions', length(n))) AS entities",
-        "transform(filter(sequence(1, 5), i -> i < size(names)), i -> named_struct('source', names[i - 1], 'target', names[i], 'type', CASE i % 2 WHEN 0 THEN 'works with' ELSE 'part-of' END, 'confidence', CAST(i AS double) / 10, 'description', concat('r', i))) AS relationships",
+        "transform(IF(size(names) > 1, sequence(1, size(names) - 1), CAST(array() AS array<int>)), i -> named_struct('source', names[i - 1], 'target', names[i], 'type', CASE i % 2 WHEN 0 THEN 'works with' ELSE 'part-of' END, 'confidence', CAST(i % 10 AS double) / 10, 'description', concat('r', i))) AS relationships",
     )
 
 
@@ -127,10 +127,10 @@ SQL = {
     "docs1": f"""SELECT doc_id, doc_id AS source_file_id, substr(string_split(text, chr(10))[1], 1, 60) AS title, substr(text, 1, 500) AS summary, {_CATEGORY} AS category, text AS body,
         TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id * 60) AS created_at, 1 AS version, doc_id % 10 <> 0 AS is_current FROM documents""",
     "docs": """SELECT * FROM docs1 UNION ALL SELECT doc_id + 1000000, source_file_id, title, summary, category, body || ' Revised.', created_at + INTERVAL 30 DAY, 2, true FROM docs1 WHERE doc_id % 10 = 0""",
-    "entities": """SELECT doc_id, title, category, created_at, is_current, regexp_extract_all(body, '[A-Z][a-z]{3,7}')[1:6] AS names FROM docs""",
+    "entities": """SELECT doc_id, title, category, created_at, is_current, regexp_extract_all(body, '[A-Z][a-z]{3,7}') AS names FROM docs""",
     "ents": """SELECT doc_id, title, category, created_at, is_current, i AS position, names[i] AS name, CASE length(names[i]) % 3 WHEN 0 THEN 'person' WHEN 1 THEN 'organization' ELSE 'concept' END AS type,
         substr(names[i], 1, 1) AS context, length(names[i]) AS mentions FROM (SELECT *, unnest(range(1, len(names) + 1)) AS i FROM entities)""",
-    "rels": """SELECT doc_id, title, created_at, is_current, i AS position, names[i] AS source, names[i + 1] AS target, CASE i % 2 WHEN 0 THEN 'works with' ELSE 'part-of' END AS type, i::DOUBLE / 10 AS confidence, 'r' || i AS description
+    "rels": """SELECT doc_id, title, created_at, is_current, i AS position, names[i] AS source, names[i + 1] AS target, CASE i % 2 WHEN 0 THEN 'works with' ELSE 'part-of' END AS type, (i % 10)::DOUBLE / 10 AS confidence, 'r' || i AS description
         FROM (SELECT *, unnest(range(1, len(names))) AS i FROM entities)""",
     "chunks": f"""SELECT doc_id, i::INT AS chunk_index, array_to_string(w[i * {CHUNK_TOKENS} + 1 : (i + 1) * {CHUNK_TOKENS}], ' ') AS content, len(w[i * {CHUNK_TOKENS} + 1 : (i + 1) * {CHUNK_TOKENS}])::INT AS token_count,
         sha256(array_to_string(w[i * {CHUNK_TOKENS} + 1 : (i + 1) * {CHUNK_TOKENS}], ' ')) AS content_hash, 'chunk:' || i AS source_locator

@@ -117,7 +117,7 @@ def extract_json(spark, sf):
     return _blocks(rows)
 
 
-@query("extract_yaml")
+@query("extract_yaml", """SELECT doc_id AS file_id, 0 AS position, 'id: ' || doc_id AS content, 'paragraph' AS block_type, 'key:$.id' AS source_locator FROM documents UNION ALL SELECT doc_id, 1, 'source: ' || source, 'paragraph', 'key:$.source' FROM documents UNION ALL SELECT doc_id, 2, lang, 'paragraph', 'key:$.langs[0]' FROM documents""")
 def extract_yaml(spark, sf):
     text = F.concat(F.lit("id: "), "doc_id", F.lit("\nsource: "), "source", F.lit("\nlangs:\n  - "), "lang", F.lit("\n"))
     return _blocks(_as_files(spark, sf, text, ".yaml"))
@@ -215,9 +215,12 @@ def _answers(spark, sf):
     return _docs(spark, sf).withColumn("answer", noisy).withColumn("filename", F.concat(F.lit("some-file-"), "doc_id", F.lit(".md")))
 
 
-@query("parse_model_json")
+@query("parse_model_json", """SELECT doc_id, CASE WHEN doc_id % 4 <> 2 THEN 'T' || doc_id END AS title, CASE WHEN doc_id % 4 <> 2 AND doc_id % 3 = 0 THEN 'Mostly Technical' WHEN doc_id % 4 <> 2 AND doc_id % 3 = 1 THEN 'research/business' END AS category,
+CASE WHEN doc_id % 4 <> 2 THEN ' Source ' || source END AS tag, CASE WHEN doc_id % 4 <> 2 THEN sha256(substr(text, 1, 300)) END AS context, CASE WHEN doc_id % 4 <> 2 THEN 'P' || (doc_id % 50) END AS person FROM documents""")
 def parse_model_json(spark, sf):
-    return _answers(spark, sf).select("doc_id", D.parse_model_json(F.col("answer")).alias("found"))
+    found = _answers(spark, sf).select("doc_id", D.parse_model_json(F.col("answer")).alias("found"))
+    get = lambda path: F.get_json_object("found", path)
+    return found.select("doc_id", get("$.title").alias("title"), get("$.category").alias("category"), get("$.tags[1]").alias("tag"), F.sha2(get("$.entities[0].context"), 256).alias("context"), get("$.people[0].name").alias("person"))
 
 
 _NORM = """WITH a AS (SELECT doc_id, source, lang, text, doc_id % 4 <> 2 AS has, CASE WHEN doc_id % 4 <> 2 THEN CASE doc_id % 3 WHEN 0 THEN 'technical' WHEN 1 THEN 'business' ELSE 'reference' END ELSE 'reference' END AS category FROM documents)
@@ -289,6 +292,18 @@ sim AS (SELECT doc_id, oi AS old_index, ni AS new_index, i / (len(os) + len(ns)
 )
 
 
+#: The greedy pass: a document's new chunks in turn, each with its candidates (best first); used are the old chunks taken before it.
+_GREEDY = _DELTA + """, cand AS (SELECT doc_id, new_index, list({'s': similarity, 'o': old_index} ORDER BY similarity DESC, old_index) AS c, row_number() OVER (PARTITION BY doc_id ORDER BY new_index) AS k FROM sim GROUP BY doc_id, new_index),
+walk AS (SELECT doc_id, 0::BIGINT AS k, []::INT[] AS used, NULL::INT AS new_index, NULL::STRUCT(s DOUBLE, o INT) AS pick FROM (SELECT DISTINCT doc_id FROM cand)
+  UNION ALL SELECT doc_id, k, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick.o) END, new_index, pick FROM (
+    SELECT w.doc_id, cand.k, w.used, cand.new_index, list_filter(cand.c, lambda x: NOT list_contains(w.used, x.o))[1] AS pick FROM walk w JOIN cand ON cand.doc_id = w.doc_id AND cand.k = w.k + 1)),
+paired AS (SELECT doc_id, pick.o AS old_index, new_index, pick.s AS similarity FROM walk WHERE pick IS NOT NULL),
+d AS (SELECT doc_id, 'unchanged' AS change, old_index, new_index, 1.0::DOUBLE AS similarity FROM same UNION ALL SELECT doc_id, 'modified', old_index, new_index, similarity FROM paired
+  UNION ALL SELECT doc_id, 'added', NULL, chunk_index, 0.0 FROM n WHERE (doc_id, chunk_index) NOT IN (SELECT (doc_id, new_index) FROM paired)
+  UNION ALL SELECT doc_id, 'removed', chunk_index, NULL, 0.0 FROM o WHERE (doc_id, chunk_index) NOT IN (SELECT (doc_id, old_index) FROM paired))"""
+_COUNTS = """, c AS (SELECT doc_id, count(*) FILTER (change = 'unchanged') AS unchanged, count(*) FILTER (change = 'modified') AS modified, count(*) FILTER (change = 'added') AS added, count(*) FILTER (change = 'removed') AS removed, count(*) AS total FROM d GROUP BY doc_id)"""
+
+
 @query("jaccard", with_tables("chunks", "chunks2") + f"""SELECT doc_id, chunk_index, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 8) AS similarity FROM (SELECT a.doc_id, a.chunk_index, {_SETS.format("a.content")} AS x, {_SETS.format("b.content")} AS y FROM chunks a JOIN chunks2 b USING (doc_id, chunk_index))""")
 def jaccard(spark, sf):
     pair = t.chunks(spark, sf).alias("a").join(t.chunks2(spark, sf).alias("b"), ["doc_id", "chunk_index"])
@@ -308,17 +323,15 @@ def fuzzy_scores(spark, sf):
     return V.fuzzy_scores(old.join(same, key, "left_anti"), new.join(same, key, "left_anti"), 0.85).withColumn("similarity", F.round("similarity", 8))
 
 
-@query("chunk_delta")
+@query("chunk_delta", with_tables("chunks", "chunks2", more=_GREEDY) + "SELECT doc_id, change, old_index::INT AS old_index, new_index::INT AS new_index, round(similarity, 8) AS similarity FROM d")
 def chunk_delta(spark, sf):
-    return V.chunk_delta(t.chunks(spark, sf), t.chunks2(spark, sf))
+    return V.chunk_delta(t.chunks(spark, sf), t.chunks2(spark, sf)).withColumn("similarity", F.round("similarity", 8))
 
 
-@query("delta_metadata", with_tables("chunks", "chunks2", more=_SAME) + """, d AS (SELECT doc_id, 'unchanged' AS change FROM same UNION ALL SELECT doc_id, 'added' FROM chunks2 ANTI JOIN same USING (doc_id, content_hash) UNION ALL SELECT doc_id, 'removed' FROM chunks ANTI JOIN same USING (doc_id, content_hash)),
-c AS (SELECT doc_id, count(*) FILTER (change = 'unchanged') AS unchanged, count(*) FILTER (change = 'added') AS added, count(*) FILTER (change = 'removed') AS removed, count(*) AS total FROM d GROUP BY doc_id)
-SELECT doc_id, unchanged, 0::BIGINT AS modified, added, removed, round((added + removed) / total, 4) AS change_ratio, added + removed = 0 AS no_changes, (added + removed) / total >= 0.2::DOUBLE AS reclassify FROM c""")
+@query("delta_metadata", with_tables("chunks", "chunks2", more=_GREEDY) + _COUNTS + """
+SELECT doc_id, unchanged, modified, added, removed, round((modified + added + removed) / total, 4) AS change_ratio, modified + added + removed = 0 AS no_changes, (modified + added + removed) / total >= 0.2::DOUBLE AS reclassify FROM c""")
 def delta_metadata(spark, sf):
-    """The delta with a threshold over 1, which SQL can follow: nothing counts as modified."""
-    return V.delta_metadata(V.chunk_delta(t.chunks(spark, sf), t.chunks2(spark, sf), threshold=1.01))
+    return V.delta_metadata(V.chunk_delta(t.chunks(spark, sf), t.chunks2(spark, sf)))
 
 
 @query("reuse_chunk_work", with_tables("chunks", "chunks2") + """, w AS (SELECT doc_id, content_hash, arg_max('sum-' || chunk_index, chunk_index) AS work FROM chunks GROUP BY 1, 2) SELECT doc_id, chunk_index, content_hash, work, work IS NULL AS todo FROM chunks2 LEFT JOIN w USING (doc_id, content_hash)""")
@@ -351,11 +364,11 @@ def current_documents(spark, sf):
     return V.current_documents(t.docs(spark, sf), trust_flags=False).select("source_file_id", "doc_id", "version")
 
 
-@query("diff_log", with_tables("chunks", "chunks2", more=_SAME) + """, d AS (SELECT doc_id, 'added' AS change FROM chunks2 ANTI JOIN same USING (doc_id, content_hash) UNION ALL SELECT doc_id, 'removed' FROM chunks ANTI JOIN same USING (doc_id, content_hash)),
-c AS (SELECT doc_id, count(*) FILTER (change = 'added') AS added, count(*) FILTER (change = 'removed') AS removed FROM d GROUP BY doc_id)
-SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'initial_processing' ELSE 'reprocessing' END AS diff_type, CASE WHEN doc_id % 3 = 0 THEN 'Initial processing' ELSE 'Reprocessed: 0 modified, ' || added || ' added, ' || removed || ' removed' END AS justification FROM c""")
+@query("diff_log", with_tables("chunks", "chunks2", more=_GREEDY) + _COUNTS + """
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'initial_processing' ELSE 'reprocessing' END AS diff_type,
+CASE WHEN doc_id % 3 = 0 THEN 'Initial processing' ELSE 'Reprocessed: ' || modified || ' modified, ' || added || ' added, ' || removed || ' removed' END AS justification FROM c WHERE modified + added + removed > 0""")
 def diff_log(spark, sf):
-    delta = V.delta_metadata(V.chunk_delta(t.chunks(spark, sf), t.chunks2(spark, sf), threshold=1.01))
+    delta = V.delta_metadata(V.chunk_delta(t.chunks(spark, sf), t.chunks2(spark, sf)))
     texts = _docs(spark, sf).withColumnRenamed("text", "body")
     return V.diff_log(delta, texts.filter("doc_id % 3 <> 0"), texts).select("doc_id", "diff_type", "justification")
 

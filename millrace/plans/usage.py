@@ -103,7 +103,12 @@ def rate_limit_aligned(spark, sf):
     return K.rate_limit_aligned(t.ledger(spark, sf), "caller_service", 5, "1 hour")
 
 
-@query("rate_limit")
+_OPENED = """o AS (SELECT caller_service, min(created_at) AS start FROM ledger GROUP BY 1
+  UNION SELECT o.caller_service, min(l.created_at) FROM o JOIN ledger l ON l.caller_service = o.caller_service AND l.created_at >= o.start + INTERVAL 1 HOUR GROUP BY o.caller_service, o.start),
+n AS (SELECT l.id, l.caller_service, l.created_at, o.start, row_number() OVER (PARTITION BY l.caller_service, o.start ORDER BY l.created_at, l.id) AS nth FROM ledger l ASOF JOIN o ON l.caller_service = o.caller_service AND l.created_at >= o.start)"""
+
+
+@query("rate_limit", with_tables("ledger", more=_OPENED) + """SELECT id, caller_service AS key, nth, nth <= 5 AS allowed, greatest(0, 5 - nth)::BIGINT AS remaining, ceil((epoch_us(start) + 3600000000 - epoch_us(created_at)) / 1000000)::BIGINT AS reset_in FROM n""")
 def rate_limit(spark, sf):
     return K.rate_limit(t.ledger(spark, sf), "caller_service", 5, 3600)
 
