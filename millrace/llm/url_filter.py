@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import UPPER, discard, written
+from millrace.llm.common import UPPER, discard, spread_join, written
 
 #: A reference in HTML that names a host, with its scheme or without; group 1 is the host.
 LINK = r"""(?is)<(?:a|area|link|base|iframe|frame|form)\s[^>]*?(?:href|src|action)\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
@@ -96,8 +96,8 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], threshol
     host's standing is (trust - distrust) / (trust + distrust), 0 for hosts that neither reaches; without a rule
     a page is blocked if its host's standing is under the threshold.
 
-    Ranks are computed on hosts, pre-aggregated from pages, so a host with a third of all pages is one row; the join back
-    to pages is on host, and Spark splits its large partitions. Returns id, host, path, rule, verdict, standing. Null
+    Ranks are computed on hosts, pre-aggregated from pages, so a host with a third of all pages is one row; in the join back to
+    pages such hosts are broadcast (spread_join). Returns id, host, path, rule, verdict, standing. Null
     URLs, and those without ://, have empty host and path: no rule, standing 0. Null or empty html has no links; very long URLs and html are
     read whole; repeated rows are judged alike and each counts; an empty table gives an empty result; other columns are not read.
     """
@@ -106,22 +106,23 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], threshol
     ruled = read.withColumn("by", matching_rule(F.col("host"), F.col("path"), rules))
     judged = ruled.select("id", "host", "path", "by")
 
-    counts = ruled.filter("host <> ''").groupBy("host").agg(F.count_if(F.col("by.verdict") == "allow").alias("good"), F.count_if(F.col("by.verdict") == "block").alias("bad"))
+    counts = ruled.filter("host <> ''").groupBy("host").agg(F.count_if(F.col("by.verdict") == "allow").alias("good"), F.count_if(F.col("by.verdict") == "block").alias("bad"), F.count(F.lit(1)).alias("n"))
     counts = written(counts, "hosts")
     edges = written(host_edges(read.select("host", "html")), "host-edges")
 
     def seeds(column: Column) -> DataFrame:
-        chosen = counts.withColumn("n", column).filter("n > 0")
-        total = chosen.agg(F.sum("n")).first()[0]
-        return chosen.select("host", (F.col("n") / F.lit(total)).cast("double").alias("seed"))
+        chosen = counts.withColumn("pages", column).filter("pages > 0")
+        total = chosen.agg(F.sum("pages")).first()[0]
+        return chosen.select("host", (F.col("pages") / F.lit(total)).cast("double").alias("seed"))
 
     back = edges.select(F.lit("doubt").alias("walk"), F.col("target").alias("source"), F.col("source").alias("target"), "weight")
     start = seeds(F.when(F.col("bad") == 0, F.col("good"))).withColumn("walk", F.lit("trust")).unionByName(seeds(F.col("bad")).withColumn("walk", F.lit("doubt")))
     ranks = propagate(edges.withColumn("walk", F.lit("trust")).unionByName(back), start, damping, tolerance)
     of = lambda walk: F.coalesce(F.sum(F.when(F.col("walk") == walk, F.col("rank"))), F.lit(0.0)).alias(walk)
-    both = counts.select("host").join(ranks, "host", "left").groupBy("host").agg(of("trust"), of("doubt"))
+    both = counts.select("host", "n").join(ranks, "host", "left").groupBy("host", "n").agg(of("trust"), of("doubt"))
     standing = F.when(F.col("trust") + F.col("doubt") > 0, (F.col("trust") - F.col("doubt")) / (F.col("trust") + F.col("doubt"))).otherwise(0.0)
-    out = judged.join(both.select("host", standing.alias("standing")), "host", "left")
+    known = spread_join(judged.filter("host <> ''"), written(both.select("host", "n", standing.alias("standing")), "standings"), ["host"], "n")
+    out = known.unionByName(judged.filter("host = ''").withColumn("standing", F.lit(0.0)))
     shown = F.round(F.coalesce("standing", F.lit(0.0)), 6)
     return out.select(
         F.col("id").alias(id), "host", "path", F.col("by.rule").alias("rule"),
