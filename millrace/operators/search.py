@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from millrace.functions.text import let
 from millrace.sources.shared import written
 
-#: Words that are not indexed, and the weights of fields.
+#: Words that are not indexed, and the weights of fields.
 STOP = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
 WEIGHTS = {"title": 1.0, "summary": 0.4, "body": 0.2}
 #: Queries whose vectors are held by each task at a time.
@@ -110,53 +111,54 @@ def highlight(text: Column, words: Column, around: int = 20) -> Column:
 def semantic_search(queries: DataFrame, corpus: DataFrame, k: int = 20, query_id: str = "query_id", id: str = "doc_id", vector: str = "embedding", least: float | None = None, before: str | None = None) -> DataFrame:
     """Top k rows of corpus for each query by cosine: query_id, id, score, rank. Null and zero vectors are left out.
 
-    Queries go in blocks of QUERY_BLOCK to every task, so what is broadcast has a bound; each task multiplies its Arrow batches
-    with the block's matrix and keeps k rows a query, and only those are shuffled. before names a column of both tables:
+    Queries are searched for in blocks of QUERY_BLOCK, one after the other: a block is sent to every task (its size has a bound, on the
+    driver too), each task multiplies its Arrow batches with the block's matrix and keeps k rows a query, only those are
+    shuffled, and the block's k best are written before the next block is read. before names a column of both tables:
     a row counts only where its value is less than the query's. least drops scores that are not over it.
     """
-    wanted = queries.select(F.col(query_id).alias("q"), F.col(vector).cast("array<double>").alias("v"), (F.col(before).cast("double") if before else F.lit(0.0)).alias("t")).filter(F.col("v").isNotNull())
-    n = max(1, -(-wanted.count() // QUERY_BLOCK))
-    blocks = wanted.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(n)))
-    rows = corpus.select(F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("v"), (F.col(before).cast("double") if before else F.lit(0.0)).alias("t")).filter(F.col("v").isNotNull())
-    kinds = dict(queries.select(F.col(query_id).alias("q")).dtypes)["q"], dict(rows.dtypes)["id"]
-    spark, out = corpus.sparkSession, None
+    moment = F.col(before).cast("double") if before else F.lit(0.0)
+    wanted = queries.select(F.col(query_id).alias("q"), F.col(vector).cast("array<double>").alias("v"), moment.alias("t"))
+    wanted = wanted.filter(F.col("v").isNotNull() & F.exists("v", lambda x: x != 0))
+    n = -(-wanted.count() // QUERY_BLOCK)
+    rows = corpus.select(F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("v"), moment.alias("t"))
+    rows = rows.filter(F.col("v").isNotNull() & F.exists("v", lambda x: x != 0))
+    schema = f"q {dict(wanted.dtypes)['q']}, id {dict(rows.dtypes)['id']}, score double"
+    spark = corpus.sparkSession
+    out = spark.createDataFrame([], schema).withColumn("rank", F.lit(0))
     for block in range(n):
-        held = [(r["q"], np.array(r["v"]), r["t"]) for r in blocks.filter(F.col("block") == block).collect()]
-        held = [h for h in held if np.linalg.norm(h[1]) > 0]
+        held = wanted.filter(F.pmod(F.xxhash64("q"), F.lit(n)) == block).collect()
         if not held:
             continue
-        matrix = np.stack([h[1] / np.linalg.norm(h[1]) for h in held])
-        shared = spark.sparkContext.broadcast(([h[0] for h in held], matrix, np.array([h[2] for h in held], float)))
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, queries_, times = shared.value
-            best: list[pd.DataFrame] = []
-            for batch in batches:
-                v = np.stack(batch.v.to_numpy())
-                size = np.linalg.norm(v, axis=1)
-                batch, v, size = batch[size > 0], v[size > 0], size[size > 0]
-                if not len(batch):
-                    continue
-                scores = queries_ @ (v / size[:, None]).T
-                if before:
-                    scores[batch.t.to_numpy()[None, :] >= times[:, None]] = -np.inf
-                some = min(k, scores.shape[1])
-                at = np.argpartition(-scores, some - 1, axis=1)[:, :some]
-                edge = np.take_along_axis(scores, at, 1).min(axis=1)
-                q, c = np.nonzero((scores >= edge[:, None]) & np.isfinite(scores))  # ties at the edge stay, for the id to settle
-                best.append(pd.DataFrame({"q": np.array(ids, object)[q], "id": batch.id.to_numpy()[c], "score": scores[q, c]}))
-                if sum(map(len, best)) > 4 * k * len(ids):
-                    best = [_cut(pd.concat(best), k)]
-            if best:
-                yield _cut(pd.concat(best), k)
-
-        part = rows.mapInPandas(run, f"q {kinds[0]}, id {kinds[1]}, score double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = rows.select(F.lit(None).cast(kinds[0]).alias("q"), "id", F.lit(0.0).alias("score")).limit(0)
-    if least is not None:
-        out = out.filter(F.col("score") > least)
-    return top_k(out, k, "q", "id").select(F.col("q").alias(query_id), F.col("id").alias(id), "score", "rank")
+        matrix = np.array([r["v"] for r in held])
+        shared = spark.sparkContext.broadcast(([r["q"] for r in held], matrix / np.linalg.norm(matrix, axis=1, keepdims=True), np.array([r["t"] for r in held], float)))
+        found = rows.mapInPandas(partial(_nearest, shared=shared, k=k, timed=before is not None), schema)
+        if least is not None:
+            found = found.filter(F.col("score") > least)
+        out = out.unionByName(written(top_k(found, k, "q", "id"), "nearest"))
+        shared.destroy()
+    return out.select(F.col("q").alias(query_id), F.col("id").alias(id), "score", "rank")
+
+
+def _nearest(batches: Iterator[pd.DataFrame], shared, k: int, timed: bool) -> Iterator[pd.DataFrame]:
+    """The k nearest rows of a task's share for each query of a block; ties at the edge stay, for the id to settle."""
+    ids, queries, times = shared.value
+    best: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        v = np.stack(batch.v.to_numpy())
+        scores = queries @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T
+        if timed:
+            scores[batch.t.to_numpy()[None, :] >= times[:, None]] = -np.inf
+        some = min(k, scores.shape[1])
+        at = np.argpartition(-scores, some - 1, axis=1)[:, :some]
+        edge = np.take_along_axis(scores, at, 1).min(axis=1)
+        q, c = np.nonzero((scores >= edge[:, None]) & np.isfinite(scores))
+        best.append(pd.DataFrame({"q": np.array(ids, object)[q], "id": batch.id.to_numpy()[c], "score": scores[q, c]}))
+        if sum(map(len, best)) > 4 * k * len(ids):
+            best = [_cut(pd.concat(best), k)]
+    if best:
+        yield _cut(pd.concat(best), k)
 
 
 def _cut(rows: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -225,12 +227,33 @@ def search_with_fallback(queries: DataFrame, documents: DataFrame, postings: Dat
     low = rest.select("query_id", F.lower(F.substring("text", 1, 100)).alias("needle")).filter("needle <> ''")
     text = F.lower(F.concat_ws("\n", "title", "summary", "body"))
     current = documents.filter("is_current").select("doc_id", "created_at", text.alias("hay"))
-    inside = current.join(low, F.contains("hay", F.col("needle")))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("created_at"), F.desc("doc_id")))
-    last = inside.select("query_id", "doc_id", rank.alias("rank"), F.lit(4).alias("stage")).filter(F.col("rank") <= k)
+    last = _containing(low, current).select("query_id", "doc_id", rank.alias("rank"), F.lit(4).alias("stage")).filter(F.col("rank") <= k)
     return out.unionByName(last)
 
 
+def _containing(needles: DataFrame, hays: DataFrame) -> DataFrame:
+    """Rows (query_id, doc_id, created_at) whose hay holds the needle.
+
+    A text that holds a needle has a word that begins, ends, is or holds the needle's longest run of letters and digits, by what stands
+    around the run in the needle. So needles meet the distinct words, those words' documents are looked up, and only
+    these texts are searched. Needles without a letter or digit, if there are any, meet all texts.
+    """
+    run = F.expr(r"array_max(transform(regexp_extract_all(needle, '[\\p{L}\\p{N}]+', 0), w -> struct(char_length(w) AS n, w AS w)))")["w"]
+    pieces = needles.withColumn("piece", run)
+    opens, closes = F.startswith("needle", "piece"), F.endswith("needle", "piece")
+    kind = F.when(opens & closes, "within").when(opens, "end").when(closes, "start").otherwise("whole")
+    pieces = written(pieces.filter("piece IS NOT NULL").withColumn("kind", kind), "pieces")
+    held = written(hays.select("doc_id", F.explode(F.array_distinct(terms(F.col("hay")))).alias("term")), "words")
+    known = written(held.select("term").distinct(), "vocabulary")
+    loose = (F.col("kind") == "within") & F.contains("term", "piece") | (F.col("kind") == "end") & F.endswith("term", "piece") | (F.col("kind") == "start") & F.startswith("term", "piece")
+    named = pieces.filter("kind = 'whole'").select("query_id", F.col("piece").alias("term")).unionByName(known.join(pieces.filter("kind <> 'whole'"), loose).select("query_id", "term"))
+    maybe = held.join(named, "term").select("query_id", "doc_id").distinct().join(needles, "query_id")
+    found = maybe.join(hays, "doc_id").filter(F.contains("hay", "needle"))
+    bare = needles.withColumn("piece", run).filter("piece IS NULL")
+    return found.select("query_id", "doc_id", "created_at").unionByName(hays.join(bare, F.contains("hay", "needle")).select("query_id", "doc_id", "created_at"))
+
+
 def retrieve_chunks(hits: DataFrame, chunks: DataFrame, documents: int = 8, per_document: int = 5, chars: int = 1500) -> DataFrame:
     """The first chunks of the best documents of each query."""
     best = hits.filter(F.col("rank") <= documents).select("query_id", "doc_id", "rank")

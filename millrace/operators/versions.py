@@ -22,10 +22,12 @@ def fuzzy_scores(old: DataFrame, new: DataFrame, threshold: float) -> DataFrame:
     """Scores of the chunk pairs of a document (its leftovers) that can reach threshold.
 
     Pairs meet only through a shared token of the new chunk's prefix: of a set of n tokens, n - ceil(threshold * n) + 1 in
-    any fixed order must hold a token of every set as similar as threshold. Sizes are compared before the sets are.
+    any fixed order must hold a token of every set as similar as threshold. The order puts long tokens first, which are mostly the
+    rare ones. Sizes are compared before the sets are.
     """
     def sets(df: DataFrame, side: str) -> DataFrame:
-        return df.select("doc_id", F.col("chunk_index").alias(f"{side}_index"), F.array_sort(F.array_distinct(words(F.lower("content")))).alias(f"{side}_set"))
+        keyed = F.transform(F.array_distinct(words(F.lower("content"))), lambda w: F.struct((-F.char_length(w)).alias("n"), w.alias("w")))
+        return df.select("doc_id", F.col("chunk_index").alias(f"{side}_index"), F.array_sort(keyed)["w"].alias(f"{side}_set"))
 
     a, b = sets(old, "old"), sets(new, "new")
 

@@ -24,18 +24,14 @@ def query(name: str, sql: str | None = None):
 
 _STOP = ", ".join(f"'{w}'" for w in S.STOP)
 _POSTED = f"""words AS (SELECT doc_id, field, i - 1 AS position, w[i] AS term FROM (SELECT doc_id, field, w, unnest(range(1, len(w) + 1)) AS i FROM (
-  SELECT doc_id, field, regexp_extract_all(lower(txt), '[\\p{{L}}\\p{{N}}]+') AS w FROM (SELECT doc_id, 'title' AS field, title AS txt FROM docs WHERE is_current UNION ALL SELECT doc_id, 'summary', summary FROM docs WHERE is_current UNION ALL SELECT doc_id, 'body', substr(body, 1, 10000) FROM docs WHERE is_current)))),
+  SELECT doc_id, field, regexp_extract_all(lower(txt), '[\\p{{L}}\\p{{N}}]+') AS w FROM (SELECT doc_id, 'title' AS field, title AS txt FROM docs WHERE is_current UNION ALL SELECT doc_id, 'summary', summary FROM docs WHERE is_current UNION ALL SELECT doc_id, 'body', body FROM docs WHERE is_current)))),
 posts AS (SELECT term, doc_id, field, count(*) AS tf FROM words WHERE term NOT IN ({_STOP}) GROUP BY 1, 2, 3),
 weighed AS (SELECT *, tf * CASE field WHEN 'title' THEN 1.0::DOUBLE WHEN 'summary' THEN 0.4::DOUBLE ELSE 0.2::DOUBLE END AS s FROM posts)"""
 
 
-#: What the SQL of this file reads of a body; queries that have SQL read as much, the others whole bodies.
-SQL_CHARS = 10_000
-
-
-def _postings(spark, sf, body_chars=SQL_CHARS):
+def _postings(spark, sf):
     """The index as a lake holds it: built, written and read."""
-    return written(S.build_postings(t.docs(spark, sf), body_chars), "postings")
+    return written(S.build_postings(t.docs(spark, sf)), "postings")
 
 
 def _queries(spark, sf):
@@ -47,7 +43,7 @@ def _queries(spark, sf):
 
 @query("build_postings", with_tables("docs", more=_POSTED) + "SELECT term, doc_id, field, tf FROM posts")
 def build_postings(spark, sf):
-    return S.build_postings(t.docs(spark, sf), SQL_CHARS).drop("positions")
+    return S.build_postings(t.docs(spark, sf)).drop("positions")
 
 
 _ASKED = f"""q AS (SELECT item_id AS query_id, regexp_split_to_array(text, '\\s+') AS w FROM benchmark),
@@ -60,10 +56,10 @@ half AS (SELECT DISTINCT query_id, x.doc_id FROM clean JOIN words x ON x.term =
 good AS (SELECT query_id, doc_id, round(max(score), 6) AS score FROM hit JOIN need USING (query_id, clause) WHERE have = need
   AND (query_id % 4 <> 3 OR (query_id, doc_id) IN (SELECT (query_id, doc_id) FROM near UNION ALL SELECT (query_id, doc_id) FROM half))
   AND NOT (query_id % 4 = 2 AND (query_id, doc_id) IN (SELECT (query_id, doc_id) FROM clean JOIN posts ON term = w[7] WHERE query_id % 4 = 2)) GROUP BY 1, 2),
-kw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM good) WHERE rank <= 20)"""
+kw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM good) WHERE rank <= 60)"""
 
 
-@query("keyword_search", with_tables("docs", more=_POSTED + ", " + _ASKED) + "SELECT query_id, doc_id, score, rank::INT AS rank FROM kw")
+@query("keyword_search", with_tables("docs", more=_POSTED + ", " + _ASKED) + "SELECT query_id, doc_id, score, rank::INT AS rank FROM kw WHERE rank <= 20")
 def keyword_search(spark, sf):
     return S.keyword_search(_queries(spark, sf), _postings(spark, sf), 20)
 
@@ -80,10 +76,10 @@ def _semantic(spark, sf, k=20):
     return S.semantic_search(vectors.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), vectors.withColumnRenamed("vec_id", "doc_id"), k)
 
 
-_SEM = "sem AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0)) WHERE rank <= 20)"
+_SEM = "sem AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0)) WHERE rank <= 60)"
 
 
-@query("semantic_search", f"WITH {_SEM} SELECT query_id, doc_id, round(score, 6) AS score, rank::INT AS rank FROM sem")
+@query("semantic_search", f"WITH {_SEM} SELECT query_id, doc_id, round(score, 6) AS score, rank::INT AS rank FROM sem WHERE rank <= 20")
 def semantic_search(spark, sf):
     return _semantic(spark, sf).withColumn("score", F.round("score", 6))
 
@@ -92,7 +88,8 @@ def semantic_search(spark, sf):
 f AS (SELECT query_id, doc_id, round(coalesce(0.4::DOUBLE / (60 + rk), 0) + coalesce(0.6::DOUBLE / (60 + rs), 0), 6) AS score, rk, rs FROM j)
 SELECT query_id, doc_id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rk NULLS LAST, rs NULLS LAST, doc_id) AS rank FROM f) WHERE rank <= 20""")
 def hybrid_search(spark, sf):
-    return S.hybrid_search(S.keyword_search(_queries(spark, sf), _postings(spark, sf), 20), _semantic(spark, sf))
+    """Lists of 60 are fused, three times what is returned."""
+    return S.hybrid_search(S.keyword_search(_queries(spark, sf), _postings(spark, sf), 60), _semantic(spark, sf, 60))
 
 
 @query("apply_filters", with_tables("entities") + "SELECT doc_id, category FROM entities WHERE category = 'research' AND created_at >= DATE '2024-01-03' AND created_at < DATE '2024-03-02' AND list_contains(names, 'That')")
@@ -120,7 +117,7 @@ def _hard_queries(spark, sf):
 @query("search_with_fallback")
 def search_with_fallback(spark, sf):
     docs = t.docs(spark, sf)
-    return S.search_with_fallback(_hard_queries(spark, sf), docs, _postings(spark, sf, None))
+    return S.search_with_fallback(_hard_queries(spark, sf), docs, _postings(spark, sf))
 
 
 @query("retrieve_chunks", with_tables("docs", "chunks", more=_POSTED + ", " + _ASKED) + """SELECT query_id, doc_id, kw.rank::INT AS rank, chunk_index, content FROM kw JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) AS n FROM chunks) c USING (doc_id) WHERE kw.rank <= 8 AND n <= 5""")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
@@ -14,6 +16,7 @@ from millrace.plans import testbed as t
 from millrace.plans.testbed import with_tables
 from millrace.sources import extract as X
 from millrace.sources import files as A
+from millrace.sources.shared import shared_dir
 
 Q, SQL = {}, {}
 
@@ -64,6 +67,15 @@ def read_raw_files(spark, sf):
     return A.read_raw_files(spark, sf, "*.parquet").select("filename", "size_bytes", "sha256")
 
 
+@query("table_round_trip", with_tables("docs") + "SELECT doc_id, version, category, sha256(body) AS hash, created_at FROM docs")
+def table_round_trip(spark, sf):
+    """The documents written as a lake table by category, in two appends, and read again."""
+    path, docs = f"{shared_dir(spark)}/documents-{uuid.uuid4().hex}", t.docs(spark, sf)
+    for part in ("version = 1", "version = 2"):
+        A.write_table(docs.filter(part), path, ["category"])
+    return A.read_table(spark, path, docs.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")).select("doc_id", "version", "category", F.sha2("body", 256).alias("hash"), "created_at")
+
+
 @query("route_adapter", with_tables("files") + """SELECT file_id, CASE WHEN filename LIKE '%.csv' OR content_type = 'text/csv' THEN 'csv' WHEN filename LIKE '%.json' OR content_type = 'application/json' THEN 'json'
 WHEN filename LIKE '%.md' OR content_type = 'text/markdown' THEN 'markdown' WHEN filename LIKE '%.txt' OR content_type = 'text/plain' THEN 'text' END AS adapter
 FROM (SELECT file_id, filename, CASE WHEN file_id % 9 = 0 THEN 'text/csv' ELSE content_type END AS content_type FROM files)""")

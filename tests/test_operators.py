@@ -225,3 +225,33 @@ def test_routes_have_no_limit(spark):
     asked = spark.createDataFrame([(1, None, "model-11999", None), (2, None, "model-x", None), (3, None, "zz1", None), (4, None, "other", None), (5, "sum", None, None), (6, None, None, None), (7, None, "m", "named")], "id int, purpose string, model string, provider string")
     got = {r.id: (r.model, r.provider, r.how) for r in ledger.resolve_routes(asked, spark.createDataFrame([("sum", "model-3")], "purpose string, model string"), routes, ["back"]).collect()}
     assert got == {1: ("model-11999", "p11999", "route"), 2: ("model-x", "any", "route"), 3: ("zz1", "q", "route"), 4: ("other", "back", "fallback"), 5: ("model-3", "p3", "route"), 6: (None, None, "unresolved"), 7: ("m", "named", "explicit")}
+
+
+def test_needles_meet_only_texts_with_their_words(spark):
+    import random
+
+    pick = random.Random(4)
+    alphabet = "ab \n-.th\u00e9"
+    hays = [(i, i % 7, "".join(pick.choice(alphabet) for _ in range(60))) for i in range(120)]
+    needles = [(i, "".join(pick.choice(alphabet) for _ in range(pick.randrange(1, 7)))) for i in range(60)] + [(100, "..."), (101, "the"), (102, "- "), (103, hays[0][2][5:40])]
+    got = search._containing(spark.createDataFrame(needles, "query_id long, needle string"), spark.createDataFrame(hays, "doc_id long, created_at long, hay string"))
+    assert sorted((r.query_id, r.doc_id) for r in got.collect()) == sorted((q, d) for q, n in needles for d, _, h in hays if n in h)
+
+
+def test_vectors_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(search, "QUERY_BLOCK", 7)
+    v = np.random.default_rng(1).normal(size=(60, 5))
+    v[3] = 0
+    rows = spark.createDataFrame([(i, x.tolist(), i) for i, x in enumerate(v)] + [(99, None, 99)], "id long, embedding array<double>, created_at long")
+    asked, corpus = rows.withColumnRenamed("id", "query_id"), rows.withColumnRenamed("id", "doc_id")
+    unit = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+    scores = unit @ unit.T
+    for before in (None, "created_at"):
+        got = {}
+        for r in search.semantic_search(asked, corpus, 4, before=before).collect():
+            got.setdefault(r.query_id, {})[r.rank] = r.doc_id
+        want = {q: dict(enumerate(sorted((d for d in range(60) if d != 3 and (before is None or d < q)), key=lambda d, q=q: (-scores[q, d], d))[:4], 1)) for q in range(60) if q != 3}
+        assert got == {q: w for q, w in want.items() if w}
+    assert search.semantic_search(asked.limit(0), corpus, 4).count() == 0
