@@ -15,17 +15,17 @@ __all__ = ["discard", "shared_dir", "written"]  # with the helpers below
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], weight: str) -> DataFrame:
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, how: str = "inner") -> DataFrame:
     """rows joined with a table that has one row a key, evenly even if one key holds most rows: weight, a column of table,
     is how many rows a key has. A key with over 1 / (4 * shuffle partitions) of all rows is hot; so there are fewer than that
     many hot keys, whatever the size of the data. Their table rows (small ones: ids, counts) are broadcast, and the rows of
-    hot keys are never shuffled. The other keys are shuffled. weight is dropped."""
+    hot keys are never shuffled. The other keys are shuffled. weight is dropped. how: inner or left."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     total = table.agg(F.sum(weight)).first()[0] or 0
     hot = table.filter(F.col(weight) > max(1, total // (4 * parts))).drop(weight)
     cold = table.filter(F.col(weight) <= max(1, total // (4 * parts))).drop(weight)
     apart = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
-    return rows.join(F.broadcast(hot), keys).unionByName(apart.join(cold, keys))
+    return rows.join(F.broadcast(hot), keys).unionByName(apart.join(cold, keys, how))
 
 
 _HELD: dict[Hashable, Any] = {}

@@ -34,7 +34,9 @@ def _low(text):
     return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
 
 
-def test_exact_dedup(spark):
+@pytest.mark.parametrize("bits", [exact_dedup.FILTER_BITS, 8])
+def test_exact_dedup(spark, monkeypatch, bits):
+    monkeypatch.setattr(exact_dedup, "FILTER_BITS", bits)
     rows = EDGES + [(20 + i, "Same TEXT" if i % 2 else "same text", "en", "a") for i in range(30)]
     got = exact_dedup.exact_dedup(frame(spark, rows), keep="largest").collect()
     groups = {}
