@@ -196,11 +196,12 @@ def _overlapping(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, pe
     return np.nonzero(100 * shared >= percent * united)
 
 
-_EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_EDGES = pa.schema([("token", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
 
-def _edges(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in found]), pa.int64()) for i in (0, 1)], schema=_EDGES)
+def _edges(found: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    tokens = np.repeat(np.array([f[0] for f in found], np.int64), [len(f[1]) for f in found])
+    return pa.RecordBatch.from_arrays([pa.array(tokens), *(pa.array(np.concatenate([f[i] for f in found]), pa.int64()) for i in (1, 2))], schema=_EDGES)
 
 
 class Matcher:
@@ -233,7 +234,7 @@ def _within(matcher: Matcher):
     list or group, the same row for all); those alike are settled among each other, and only the rest meets all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[tuple[np.ndarray, np.ndarray]] = []
+        found: list[tuple[int, np.ndarray, np.ndarray]] = []
         for table in _runs(batches, ["token", "p"]):
             if table.num_rows < 2:
                 continue
@@ -242,7 +243,7 @@ def _within(matcher: Matcher):
             a, b = matcher.pairs(rows, np.array([ids.argmin()]), every)
             rest = np.setdiff1d(every, b)
             x, y = matcher.pairs(rows, rest, every)
-            found.append(_spanning(np.concatenate([a, x]), np.concatenate([b, y]), ids))
+            found.append((table.column("token")[0].as_py(), *_spanning(np.concatenate([a, x]), np.concatenate([b, y]), ids)))
             if len(found) >= 1000:
                 yield _edges(found)
                 found = []
@@ -256,7 +257,7 @@ def _across(matcher: Matcher):
     """The same between two blocks, for rows of different components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[tuple[np.ndarray, np.ndarray]] = []
+        found: list[tuple[int, np.ndarray, np.ndarray]] = []
         for table in _runs(batches, ["token", "p", "q"]):
             part, p, q = (table.column(c).to_numpy() for c in ("part", "p", "q"))
             left, right = np.flatnonzero(part == p[0]), np.flatnonzero(part == q[0])
@@ -264,7 +265,7 @@ def _across(matcher: Matcher):
                 rows, ids, component = matcher.rows(table), table.column("rep").to_numpy(), table.column("component").to_numpy()
                 a, b = matcher.pairs(rows, left, right)
                 apart = component[a] != component[b]
-                found.append(_spanning(a[apart], b[apart], ids))
+                found.append((table.column("token")[0].as_py(), *_spanning(a[apart], b[apart], ids)))
             if len(found) >= 500:
                 yield _edges(found)
                 found = []
@@ -283,25 +284,25 @@ def _alike(rows: DataFrame, matcher: Matcher) -> DataFrame:
     """Components (id, component) of the rows (token, rep and what matcher compares) that are alike inside one of the lists,
     the rows of a token.
 
-    Lists are cut into blocks, each also with the list's first row, and a block is compared in itself. What this joins is
-    settled. Only lists of several blocks whose rows are still in several components go on: blocks that hold one large
-    component are not compared with each other, all other pairs of blocks are. So a list of n rows that are all alike
+    Lists are cut into blocks, each also with the list's first row, and a block is compared in itself. What this joins in the list is
+    settled: all blocks' rows that reach the first row are one component. Only lists of several blocks whose rows are still in
+    several components go on: blocks that hold one large component are not compared with each other, all other pairs of blocks are. So a list of n rows that are all alike
     takes n comparisons, and one of n rows with m apart from the rest about n * m; no list has a cap.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs, zero, load = "a long, b long", F.lit(0).cast("long"), F.sum(matcher.load())
+    pairs, zero, load = "token long, a long, b long", F.lit(0).cast("long"), F.sum(matcher.load())
     lists = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("first"), F.ceil(load - 1e-9).alias("blocks"))
     lists = written(lists.filter("n > 1"), "lists")
     placed = spread_join(rows, lists, ["token"], "n").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     at = F.explode(F.when(F.col("rep") == F.col("first"), _upto(zero, F.col("blocks"))).otherwise(F.array("own")))
     one = placed.select("token", at.alias("p"), "rep", matcher.carried).repartition(parts, "token", "p").sortWithinPartitions("token", "p")
     near = written(one.mapInArrow(_within(matcher), pairs), "near")
-    settled = connected_components(near)
-    long = written(lists.filter("blocks > 1").select("token", "n"), "long-lists")
+    long = lists.filter("blocks > 1").select("token", "n")
     if long.isEmpty():
-        return settled
+        return connected_components(near)
 
-    held = spread_join(rows, long, ["token"], "n").join(settled.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    held = spread_join(rows, long, ["token"], "n").join(near.select("token", F.col("a").alias("rep"), F.col("b").alias("component")).groupBy("token", "rep").agg(F.min("component").alias("component")), ["token", "rep"], "left")
+    held = held.withColumn("component", F.coalesce("component", "rep"))
     sizes = written(held.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n"), load.alias("load")), "list-components")
     # the blocks of a list: first those with the rows of small components, then those of each large one
     mixed = F.ceil(F.sum(F.when(F.col("load") <= 1, F.col("load")).otherwise(0.0)) - 1e-9).alias("mixed")
@@ -313,7 +314,7 @@ def _alike(rows: DataFrame, matcher: Matcher) -> DataFrame:
     counts = F.coalesce("blocks", zero).alias("blocks"), (F.col("mixed") + F.coalesce("before", zero)).alias("low"), (F.col("mixed") + F.coalesce("larges", zero)).alias("all")
     plan = written(plan.select("token", "component", "n", "mixed", *counts), "plan")
     if plan.isEmpty():
-        return settled
+        return connected_components(near)
     there, high = spread_join(held, plan, ["token", "component"], "n"), F.col("low") + F.col("blocks")
     place = lambda n: F.pmod(F.xxhash64("rep"), F.greatest(n, F.lit(1)))
     own = F.when(F.col("blocks") > 0, F.col("low") + place(F.col("blocks"))).otherwise(place(F.col("mixed")))
