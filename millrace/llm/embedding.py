@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from millrace.llm.common import spread_join, written
 from millrace.llm.components import connected_components
 
-#: Rows of a block; a product is at most BLOCK x BLOCK.
-BLOCK = 1024
+#: Rows of a block; a product is at most BLOCK x BLOCK. How many times the wanted rows a cell has that is split.
+BLOCK, LARGE = 1024, 8
 
 
 def fit_cells(sample: np.ndarray, cells: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
@@ -91,15 +91,16 @@ def _compare(group: pd.DataFrame, least: float) -> pd.DataFrame:
 
 
 def _split(rows: DataFrame, least: float, cell_rows: int, most_cells: int, sample: int) -> DataFrame:
-    """The second level: add sub and in_part. A cell of over 2 * cell_rows rows has centroids of its own, fitted on about `sample` of
+    """The second level: add sub and in_part. A cell of over LARGE * cell_rows rows has centroids of its own, fitted on about `sample` of
     its rows at most (by a hash), most_cells of them at most; its rows are assigned by tasks that hold a part of the cell and
     those centroids. Rows of smaller cells are in one part."""
     key = ["label", "dim", "cell"]
     sizes = written(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")), "cell-sizes")
-    large = sizes.filter(F.col("n") > 2 * cell_rows)
-    small = spread_join(rows, sizes.filter(F.col("n") <= 2 * cell_rows).select(*key, "n"), key, "n").withColumn("sub", F.lit(0).cast("long")).withColumn("in_part", F.lit(True))
+    whole = rows.withColumn("sub", F.lit(0).cast("long")).withColumn("in_part", F.lit(True))
+    large = sizes.filter(F.col("n") > LARGE * cell_rows)
     if large.isEmpty():
-        return small
+        return whole
+    small = spread_join(whole, sizes.filter(F.col("n") <= LARGE * cell_rows), key, "n")
 
     def fitted(group: pd.DataFrame) -> pd.DataFrame:
         wanted = int(min(most_cells, max(2, group.n.iat[0] // cell_rows)))
@@ -123,7 +124,7 @@ def _split(rows: DataFrame, least: float, cell_rows: int, most_cells: int, sampl
 
     schema = "label string, dim long, cell long, at_home boolean, rep long, copies long, v array<double>, sub long, in_part boolean"
     parted = dealt.drop("n", "turn").groupBy(*key, "spot").cogroup(near.groupBy(*key, "spot")).applyInPandas(assign, schema)
-    return small.select(*parted.columns).unionByName(parted)
+    return written(small.select(*parted.columns).unionByName(parted), "parts")
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.98, id: str = "vec_id", vector: str = "embedding", label: str = "label", sample: int = 20_000, cell_rows: int = 1500, most_cells: int = 1024) -> DataFrame:
@@ -169,7 +170,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, id: str = "vec_id",
 
     plain = reps.select(F.col("label").cast("string").alias("label"), "rep", "copies", "v")
     placed = written(plain.mapInPandas(assign, "label string, dim long, cell long, at_home boolean, rep long, copies long, v array<double>"), "cells")
-    parted = written(_split(placed, least, cell_rows, most_cells, sample), "parts")
+    parted = _split(placed, least, cell_rows, most_cells, sample)
     spot = ["label", "dim", "cell", "sub"]
     blocks = written(parted.groupBy(*spot).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"), F.count(F.lit(1)).alias("n")), "blocks")
     dealt = spread_join(parted, blocks, spot, "n").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("blocks")))

@@ -222,7 +222,7 @@ def test_signatures_agree_as_sets_do():
 # embeddings
 
 
-@pytest.mark.parametrize("how", [{"cell_rows": 60}, {"cell_rows": 30, "most_cells": 2, "sample": 200}, {}])
+@pytest.mark.parametrize("how", [{"cell_rows": 60}, {"cell_rows": 12, "most_cells": 3, "sample": 200}, {}])
 def test_embeddings_against_brute_force(spark, how):
     pick = np.random.default_rng(2)
     centre = pick.normal(size=(40, 16))
