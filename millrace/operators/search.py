@@ -10,11 +10,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.stems import stem
 from millrace.functions.text import let
 from millrace.sources.shared import written
 
-#: Words that are not indexed, and the weights of fields.
-STOP = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
+#: Words that are not indexed.
+STOP = tuple("""
+i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves
+what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or because as until while
+of at by for with about against between into through during before after above below to from up down in out on off over under again further then once here
+there when where why how all any both each few more most other some such no nor not only own same so than too very s t can will just don should now
+""".split())
+#: Weights of fields.
 WEIGHTS = {"title": 1.0, "summary": 0.4, "body": 0.2}
 #: Queries whose vectors are held by each task at a time.
 QUERY_BLOCK = 4096
@@ -26,21 +33,24 @@ def terms(text: Column) -> Column:
 
 
 def build_postings(documents: DataFrame, body_chars: int | None = None) -> DataFrame:
-    """term, doc_id, field, tf and positions of current documents, without stop words; of whole bodies, or of their first
-    body_chars characters.
+    """term, doc_id, field, tf and positions of current documents: English stems, without stop words; of whole bodies, or of their
+    first body_chars characters.
 
-    Occurrences of a term are gathered inside their document, whose rows are together already (one array is exploded), before
-    anything is shuffled by term.
+    Occurrences of a word are gathered inside their document, whose rows are together already (one array is exploded), before
+    anything is shuffled by word. Stems are made for the distinct words and joined to these.
     """
     text = lambda k: F.col(k) if k != "body" or body_chars is None else F.substring(k, 1, body_chars)
     fields = F.array(*(F.struct(F.lit(k).alias("field"), terms(text(k)).alias("words")) for k in WEIGHTS))
     rows = documents.filter("is_current").select("doc_id", F.explode(fields).alias("f")).select("doc_id", "f.field", F.posexplode("f.words").alias("position", "term"))
-    kept = rows.filter(~F.col("term").isin(*STOP))
-    return kept.groupBy("term", "doc_id", "field").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
+    kept = rows.filter(~F.col("term").isin(*STOP)).groupBy("term", "doc_id", "field").agg(F.collect_list("position").alias("positions"))
+    kept = written(kept, "words")
+    stems = written(kept.select("term").distinct().withColumn("stem", stem(F.col("term"))), "stems")
+    found = kept.join(stems, "term").groupBy(F.col("stem").alias("term"), "doc_id", "field").agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
+    return found.select("term", "doc_id", "field", F.size("positions").cast("long").alias("tf"), "positions")
 
 
 def parse_queries(queries: DataFrame) -> DataFrame:
-    """Web-style queries (query_id, text) as rows: query_id, clause (any clause suffices: OR), term, kind (must, not), and
+    """Web-style queries (query_id, text) as rows: query_id, clause (any clause suffices: OR), term (a stem), kind (must, not), and
     the phrase with the term's place in it, for quoted words. Stop words are dropped outside phrases' places."""
     parts = F.regexp_extract_all("text", F.lit(r'-?"[^"]*"|\S+'), F.lit(0))
     raw = queries.select("query_id", F.posexplode(parts).alias("at", "part"))
@@ -49,7 +59,7 @@ def parse_queries(queries: DataFrame) -> DataFrame:
     kind = F.when(F.startswith("part", F.lit("-")), "not").otherwise("must")
     phrase = F.when(F.contains("part", F.lit('"')), F.col("at"))
     out = rows.select("query_id", F.col("clause").cast("int").alias("clause"), kind.alias("kind"), phrase.alias("phrase"), F.posexplode(terms(F.col("part"))).alias("place", "term"))
-    return out.filter(~F.col("term").isin(*STOP))
+    return written(out.filter(~F.col("term").isin(*STOP)).withColumn("term", stem(F.col("term"))), "queries")
 
 
 def match_score(postings: DataFrame) -> Column:
@@ -95,17 +105,31 @@ def top_k(scored: DataFrame, k: int, by: str = "query_id", id: str = "doc_id") -
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def highlight(text: Column, words: Column, around: int = 20) -> Column:
-    """A snippet of about 2 * around words about the first hit, hits in <mark>; the beginning if there is none."""
-    def shown(tokens: Column) -> Column:
-        bare = F.transform(tokens, lambda w: F.regexp_replace(F.lower(w), r"[^\p{L}\p{N}]", ""))
-        first = let(bare, lambda known: F.array_min(F.transform(words, lambda w: F.when(F.array_position(known, w) > 0, F.array_position(known, w)))))
-        return F.slice(tokens, F.greatest(F.lit(1).cast("long"), F.coalesce(first, F.lit(1)) - around).cast("int"), 2 * around)
+def highlight(text: Column, words: Column, around: int = 20, fragments: int = 2) -> Column:
+    """Up to `fragments` pieces of 2 * around words: about the first hit, about the first hit after that piece, and so on, with
+    dots between; hits in <mark>; the beginning if there is none."""
+    bare = lambda w: F.regexp_replace(F.lower(w), r"[^\p{L}\p{N}]", "")
+
+    def chosen(tokens: Column) -> Column:
+        """Where the pieces begin."""
+        hits = F.filter(F.transform(tokens, lambda w, i: F.when(F.array_contains(words, bare(w)), i + 1)), lambda i: i.isNotNull())
+
+        def step(starts: Column, hit: Column) -> Column:
+            free = F.coalesce(F.get(starts, F.size(starts) - 1) + 2 * around, F.lit(1))  # after the piece before
+            more = (F.size(starts) < fragments) & (hit >= free)
+            return F.when(more, F.concat(starts, F.array(F.greatest(free, hit - around)))).otherwise(starts)
+
+        found = F.aggregate(hits, F.array().cast("array<int>"), step)
+        return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(1)))
 
     def marked(w: Column) -> Column:
-        return F.when(F.array_contains(words, F.regexp_replace(F.lower(w), r"[^\p{L}\p{N}]", "")), F.concat(F.lit("<mark>"), w, F.lit("</mark>"))).otherwise(w)
+        return F.when(F.array_contains(words, bare(w)), F.concat(F.lit("<mark>"), w, F.lit("</mark>"))).otherwise(w)
+
+    def pieces(tokens: Column) -> Column:
+        shown = lambda at: F.array_join(F.transform(F.slice(tokens, at, 2 * around), marked), " ")
+        return let(chosen(tokens), lambda starts: F.array_join(F.transform(starts, shown), " ... "))
 
-    return F.array_join(F.transform(let(F.filter(F.split(text, r"\s+"), lambda w: w != ""), shown), marked), " ")
+    return F.when(text.isNotNull(), let(F.filter(F.split(text, r"\s+"), lambda w: w != ""), pieces))
 
 
 def semantic_search(queries: DataFrame, corpus: DataFrame, k: int = 20, query_id: str = "query_id", id: str = "doc_id", vector: str = "embedding", least: float | None = None, before: str | None = None) -> DataFrame:

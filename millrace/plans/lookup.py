@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from millrace.functions.stems import stem_sql
 from millrace.operators import search as S
 from millrace.plans import testbed as t
 from millrace.plans.testbed import with_tables
@@ -25,7 +26,9 @@ def query(name: str, sql: str | None = None):
 _STOP = ", ".join(f"'{w}'" for w in S.STOP)
 _POSTED = f"""words AS (SELECT doc_id, field, i - 1 AS position, w[i] AS term FROM (SELECT doc_id, field, w, unnest(range(1, len(w) + 1)) AS i FROM (
   SELECT doc_id, field, regexp_extract_all(lower(txt), '[\\p{{L}}\\p{{N}}]+') AS w FROM (SELECT doc_id, 'title' AS field, title AS txt FROM docs WHERE is_current UNION ALL SELECT doc_id, 'summary', summary FROM docs WHERE is_current UNION ALL SELECT doc_id, 'body', body FROM docs WHERE is_current)))),
-posts AS (SELECT term, doc_id, field, count(*) AS tf FROM words WHERE term NOT IN ({_STOP}) GROUP BY 1, 2, 3),
+vocab AS (SELECT DISTINCT term FROM words UNION SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) FROM benchmark),
+stems AS MATERIALIZED ({stem_sql("vocab")}),
+posts AS (SELECT stem AS term, doc_id, field, count(*) AS tf FROM words JOIN stems USING (term) WHERE term NOT IN ({_STOP}) GROUP BY 1, 2, 3),
 weighed AS (SELECT *, tf * CASE field WHEN 'title' THEN 1.0::DOUBLE WHEN 'summary' THEN 0.4::DOUBLE ELSE 0.2::DOUBLE END AS s FROM posts)"""
 
 
@@ -49,13 +52,15 @@ def build_postings(spark, sf):
 _ASKED = f"""q AS (SELECT item_id AS query_id, regexp_split_to_array(text, '\\s+') AS w FROM benchmark),
 clean AS (SELECT query_id, [regexp_extract(lower(x), '[\\p{{L}}\\p{{N}}]+') FOR x IN w[1:7]] AS w FROM q),
 must AS (SELECT * FROM (SELECT query_id, 0 AS clause, unnest(CASE query_id % 4 WHEN 0 THEN [w[1], w[5]] WHEN 1 THEN [w[1]] WHEN 2 THEN [w[1]] ELSE [w[1], w[2]] END) AS term FROM clean UNION SELECT query_id, 1, unnest([w[6], w[4]]) FROM clean WHERE query_id % 4 = 1) WHERE term NOT IN ({_STOP})),
-need AS (SELECT query_id, clause, count(DISTINCT term) AS need FROM must GROUP BY 1, 2),
-hit AS (SELECT query_id, clause, doc_id, count(DISTINCT term) AS have, sum(s) AS score FROM must JOIN weighed USING (term) GROUP BY 1, 2, 3),
-near AS (SELECT DISTINCT query_id, x.doc_id FROM clean JOIN words x ON x.term = w[1] JOIN words y ON y.doc_id = x.doc_id AND y.field = x.field AND y.position = x.position + 1 AND y.term = w[2] WHERE query_id % 4 = 3),
-half AS (SELECT DISTINCT query_id, x.doc_id FROM clean JOIN words x ON x.term = CASE WHEN w[1] IN ({_STOP}) THEN w[2] ELSE w[1] END WHERE query_id % 4 = 3 AND (w[1] IN ({_STOP}) OR w[2] IN ({_STOP}))),
+wanted AS (SELECT DISTINCT query_id, clause, stem AS term FROM must JOIN stems USING (term)),
+stemmed AS (SELECT doc_id, field, position, stem AS term FROM words JOIN stems USING (term) WHERE words.term NOT IN ({_STOP})),
+need AS (SELECT query_id, clause, count(DISTINCT term) AS need FROM wanted GROUP BY 1, 2),
+hit AS (SELECT query_id, clause, doc_id, count(DISTINCT term) AS have, sum(s) AS score FROM wanted JOIN weighed USING (term) GROUP BY 1, 2, 3),
+near AS (SELECT DISTINCT query_id, x.doc_id FROM clean JOIN stems a ON a.term = w[1] JOIN stems b ON b.term = w[2] JOIN stemmed x ON x.term = a.stem JOIN stemmed y ON y.doc_id = x.doc_id AND y.field = x.field AND y.position = x.position + 1 AND y.term = b.stem WHERE query_id % 4 = 3),
+half AS (SELECT DISTINCT query_id, x.doc_id FROM clean JOIN stems a ON a.term = CASE WHEN w[1] IN ({_STOP}) THEN w[2] ELSE w[1] END JOIN stemmed x ON x.term = a.stem WHERE query_id % 4 = 3 AND (w[1] IN ({_STOP}) OR w[2] IN ({_STOP}))),
 good AS (SELECT query_id, doc_id, round(max(score), 6) AS score FROM hit JOIN need USING (query_id, clause) WHERE have = need
   AND (query_id % 4 <> 3 OR (query_id, doc_id) IN (SELECT (query_id, doc_id) FROM near UNION ALL SELECT (query_id, doc_id) FROM half))
-  AND NOT (query_id % 4 = 2 AND (query_id, doc_id) IN (SELECT (query_id, doc_id) FROM clean JOIN posts ON term = w[7] WHERE query_id % 4 = 2)) GROUP BY 1, 2),
+  AND NOT (query_id % 4 = 2 AND (query_id, doc_id) IN (SELECT (query_id, doc_id) FROM clean JOIN stems a ON a.term = w[7] JOIN posts ON posts.term = a.stem WHERE query_id % 4 = 2 AND w[7] NOT IN ({_STOP}))) GROUP BY 1, 2),
 kw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM good) WHERE rank <= 60)"""
 
 
@@ -65,8 +70,10 @@ def keyword_search(spark, sf):
 
 
 @query("highlight", r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents), b AS (SELECT doc_id, w, [regexp_replace(lower(x), '[^\p{L}\p{N}]', '', 'g') FOR x IN w] AS b FROM w),
-f AS (SELECT doc_id, w, b, greatest(1, coalesce(least(nullif(coalesce(list_position(b, 'that'), 0), 0), nullif(coalesce(list_position(b, 'leaux'), 0), 0)), 1) - 8) AS s FROM b)
-SELECT doc_id, array_to_string([CASE WHEN regexp_replace(lower(x), '[^\p{L}\p{N}]', '', 'g') IN ('that', 'leaux') THEN '<mark>' || x || '</mark>' ELSE x END FOR x IN w[s : s + 15]], ' ') AS snippet FROM f""")
+h AS (SELECT doc_id, w, list_filter(range(1, len(b) + 1), lambda i: b[i] IN ('that', 'leaux')) AS h FROM b), f AS (SELECT doc_id, w, h, greatest(1, coalesce(h[1], 1) - 8) AS s FROM h),
+g AS (SELECT doc_id, w, s, list_filter(h, lambda i: i >= s + 16)[1] AS hit FROM f), p AS (SELECT doc_id, w, s, CASE WHEN hit IS NOT NULL THEN greatest(s + 16, hit - 8) END AS z FROM g),
+m AS (SELECT doc_id, s, z, [CASE WHEN regexp_replace(lower(x), '[^\p{L}\p{N}]', '', 'g') IN ('that', 'leaux') THEN '<mark>' || x || '</mark>' ELSE x END FOR x IN w] AS m FROM p)
+SELECT doc_id, array_to_string(m[s : s + 15], ' ') || CASE WHEN z IS NULL THEN '' ELSE ' ... ' || array_to_string(m[z : z + 15], ' ') END AS snippet FROM m""")
 def highlight(spark, sf):
     return t.read(spark, sf, "documents").select("doc_id", S.highlight(F.col("text"), F.array(F.lit("that"), F.lit("leaux")), 8).alias("snippet"))
 

@@ -139,6 +139,33 @@ def test_search_forms(spark):
     assert ask("red apple") == [1, 4] and ask('"red apple"') == [1] and ask("plum OR pear") == [1, 2] and ask("apple -green") == [4] and ask("the") == [] and ask('"apple red"') == [4]
     snippet = spark.createDataFrame([("A red, RED apple",)], "t string").select(search.highlight(F.col("t"), F.array(F.lit("red")), 5).alias("s")).first().s
     assert snippet == "A <mark>red,</mark> <mark>RED</mark> apple"
+    long = " ".join(["red" if i in (3, 5, 9, 40, 41, 80) else f"w{i}" for i in range(100)])
+    got = spark.createDataFrame([(long,), ("no hit here",), ("",), (None,)], "t string").select(search.highlight(F.col("t"), F.array(F.lit("red")), 5).alias("s")).collect()
+    piece = lambda a, b: " ".join("<mark>red</mark>" if i in (3, 5, 9, 40, 41, 80) else f"w{i}" for i in range(a, b))
+    assert [r.s for r in got] == [f"{piece(0, 10)} ... {piece(35, 45)}", "no hit here", "", None]
+
+
+def test_stems(spark):
+    from millrace.functions.stems import stem, stem_sql
+
+    pairs = dict(x.split(":") for x in """contracts:contract running:run happily:happili nationalization:nation relational:relat conditional:condit rational:ration valenci:valenc digitizer:digit operator:oper
+        feudalism:feudal hopefulness:hope formality:formal triplicate:triplic goodness:good revival:reviv adjustable:adjust replacement:replac controlling:control rolling:roll hopping:hop hoping:hope cries:cri ties:tie by:by
+        say:say cry:cri kiwis:kiwi gas:gas gaps:gap consistently:consist knightly:knight agreed:agre feed:feed plastered:plaster sing:sing sized:size filing:file failing:fail decisiveness:decis conformably:conform
+        differently:differ analogously:analog adoption:adopt probate:probat rate:rate roll:roll boys:boy enjoyed:enjoy caresses:caress bus:bus arguments:argument databases:databas queries:queri apologies:apolog
+        y:y ly:ly été:été 1990s:1990s""".split())
+    words = spark.createDataFrame([(w,) for w in pairs] + [(None,)], "term string")
+    assert {r.term: r.stem for r in words.withColumn("stem", stem(F.col("term"))).collect()} == pairs | {None: None}
+    import duckdb
+
+    listed = ", ".join(f"('{w}')" for w in pairs)
+    assert dict(duckdb.sql(f"WITH v(term) AS (VALUES {listed}) SELECT term, stem FROM ({stem_sql('v')})").fetchall()) == pairs
+
+
+def test_other_forms_of_a_word_are_found(spark):
+    docs = spark.createDataFrame([(1, "Contracts were signed"), (2, "a contract"), (3, "contracting parties sign"), (4, "contra")], "doc_id long, body string").selectExpr("doc_id", "'' AS title", "'' AS summary", "body", "true AS is_current")
+    asked = spark.createDataFrame([(1, "contract"), (2, '"contracted party"'), (3, "contracts -signing")], "query_id long, text string")
+    hits = search.keyword_search(asked, search.build_postings(docs), 5).collect()
+    assert sorted((r.query_id, r.doc_id) for r in hits) == [(1, 1), (1, 2), (1, 3), (2, 3), (3, 2)]
 
 
 def test_full_body(spark):
