@@ -69,7 +69,8 @@ def match_score(postings: DataFrame) -> Column:
 
 def keyword_search(queries: DataFrame, postings: DataFrame, k: int = 20, candidates: DataFrame | None = None) -> DataFrame:
     """Top k documents of each query: query_id, doc_id, score, rank. A clause needs all its words and phrases and none
-    of its negated ones; the score is the sum of field weight x tf over the words it needs, the best clause counts.
+    of its negated ones; the score is the sum of field weight x tf over the words it needs, times 1 + 1 / n where two different ones of
+    them stand n words apart at the nearest; the best clause counts.
 
     The query terms meet postings in one join on term: few terms are broadcast by Spark itself (it knows their size), many are
     shuffled. candidates limits the documents (doc_id), for filters.
@@ -95,10 +96,22 @@ def keyword_search(queries: DataFrame, postings: DataFrame, k: int = 20, candida
 
     banned = asked.filter("kind = 'not'").select("query_id", "clause", "term").distinct().join(postings.select("term", "doc_id").distinct(), "term")
     good = good.join(banned.select("query_id", "clause", "doc_id").distinct(), ["query_id", "clause", "doc_id"], "left_anti")
-    best = good.groupBy("query_id", "doc_id").agg(F.round(F.max("score"), 6).alias("score"))
+    score = F.col("score") * (1 + F.coalesce(1 / F.col("apart"), F.lit(0.0)))
+    near = good.join(_nearness(good, wanted, need, postings), ["query_id", "clause", "doc_id"], "left")
+    best = near.groupBy("query_id", "doc_id").agg(F.round(F.max(score), 6).alias("score"))
     return top_k(best, k)
 
 
+def _nearness(good: DataFrame, wanted: DataFrame, need: DataFrame, postings: DataFrame) -> DataFrame:
+    """For the documents that clauses of several words found: how many words apart the nearest two different ones stand. Only these
+    documents' positions are read, and a window holds those of one document's field."""
+    several = good.select("query_id", "clause", "doc_id").join(need.filter("need > 1"), ["query_id", "clause"]).join(wanted.select("query_id", "clause", "term").distinct(), ["query_id", "clause"])
+    there = several.join(postings.select("term", "doc_id", "field", "positions"), ["term", "doc_id"]).select("query_id", "clause", "doc_id", "field", "term", F.explode("positions").alias("position"))
+    turn = Window.partitionBy("query_id", "clause", "doc_id", "field").orderBy("position")
+    gap = F.when(F.lag("term").over(turn) != F.col("term"), F.col("position") - F.lag("position").over(turn))
+    return there.withColumn("gap", gap).groupBy("query_id", "clause", "doc_id").agg(F.min("gap").alias("apart"))
+
+
 def top_k(scored: DataFrame, k: int, by: str = "query_id", id: str = "doc_id") -> DataFrame:
     """The k best rows of each query by score, ties by id; Spark cuts to k inside each task before the shuffle."""
     rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), F.asc(id)))

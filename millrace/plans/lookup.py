@@ -58,7 +58,9 @@ need AS (SELECT query_id, clause, count(DISTINCT term) AS need FROM wanted GROUP
 hit AS (SELECT query_id, clause, doc_id, count(DISTINCT term) AS have, sum(s) AS score FROM wanted JOIN weighed USING (term) GROUP BY 1, 2, 3),
 near AS (SELECT DISTINCT query_id, x.doc_id FROM clean JOIN stems a ON a.term = w[1] JOIN stems b ON b.term = w[2] JOIN stemmed x ON x.term = a.stem JOIN stemmed y ON y.doc_id = x.doc_id AND y.field = x.field AND y.position = x.position + 1 AND y.term = b.stem WHERE query_id % 4 = 3),
 half AS (SELECT DISTINCT query_id, x.doc_id FROM clean JOIN stems a ON a.term = CASE WHEN w[1] IN ({_STOP}) THEN w[2] ELSE w[1] END JOIN stemmed x ON x.term = a.stem WHERE query_id % 4 = 3 AND (w[1] IN ({_STOP}) OR w[2] IN ({_STOP}))),
-good AS (SELECT query_id, doc_id, round(max(score), 6) AS score FROM hit JOIN need USING (query_id, clause) WHERE have = need
+gaps AS (SELECT query_id, clause, doc_id, min(CASE WHEN term <> before THEN position - place END) AS apart FROM (
+  SELECT query_id, clause, doc_id, position, term, lag(term) OVER w AS before, lag(position) OVER w AS place FROM wanted JOIN stemmed USING (term) WINDOW w AS (PARTITION BY query_id, clause, doc_id, field ORDER BY position)) GROUP BY 1, 2, 3),
+good AS (SELECT query_id, doc_id, round(max(score * (1 + coalesce(1.0::DOUBLE / apart, 0.0::DOUBLE))), 6) AS score FROM hit JOIN need USING (query_id, clause) LEFT JOIN gaps USING (query_id, clause, doc_id) WHERE have = need
   AND (query_id % 4 <> 3 OR (query_id, doc_id) IN (SELECT (query_id, doc_id) FROM near UNION ALL SELECT (query_id, doc_id) FROM half))
   AND NOT (query_id % 4 = 2 AND (query_id, doc_id) IN (SELECT (query_id, doc_id) FROM clean JOIN stems a ON a.term = w[7] JOIN posts ON posts.term = a.stem WHERE query_id % 4 = 2 AND w[7] NOT IN ({_STOP}))) GROUP BY 1, 2),
 kw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM good) WHERE rank <= 60)"""

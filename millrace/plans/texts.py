@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.functions.tokens import rank_counter
 from millrace.operators import analysis as D
 from millrace.operators import chunking as C
 from millrace.operators import citations as E
@@ -179,6 +180,15 @@ def count_tokens(spark, sf):
     return _docs(spark, sf).select("doc_id", T.count_tokens(F.col("text")).alias("tokens"))
 
 
+@query("count_tokens_bpe")
+def count_tokens_bpe(spark, sf):
+    """By a public vocabulary, whose path is the parameter."""
+    import public_tokenizers
+
+    counter = rank_counter(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return _docs(spark, sf).select("doc_id", counter(F.col("text")).alias("tokens"))
+
+
 @query("hard_split", with_tables("chunks") + "SELECT doc_id, chunk_index, content, token_count FROM chunks")
 def hard_split(spark, sf):
     return t.chunks(spark, sf).select("doc_id", "chunk_index", "content", "token_count")

@@ -282,3 +282,21 @@ def test_vectors_in_blocks(spark, monkeypatch):
         want = {q: dict(enumerate(sorted((d for d in range(60) if d != 3 and (before is None or d < q)), key=lambda d, q=q: (-scores[q, d], d))[:4], 1)) for q in range(60) if q != 3}
         assert got == {q: w for q, w in want.items() if w}
     assert search.semantic_search(asked.limit(0), corpus, 4).count() == 0
+
+
+def test_words_that_stand_together_score_higher(spark):
+    docs = spark.createDataFrame([(1, "red one two three apple"), (2, "one two three red apple"), (3, "red red apple zzz"), (4, "red")], "doc_id long, body string").selectExpr("doc_id", "'' AS title", "'' AS summary", "body", "true AS is_current")
+    hits = search.keyword_search(spark.createDataFrame([(1, "red apple"), (2, "red")], "query_id long, text string"), search.build_postings(docs), 5).collect()
+    assert {r.doc_id: r.score for r in hits if r.query_id == 1} == {1: 0.5, 2: 0.8, 3: 1.2} and {r.doc_id: r.score for r in hits if r.query_id == 2} == {1: 0.2, 2: 0.2, 3: 0.4, 4: 0.2}
+
+
+def test_counts_by_a_vocabulary(spark, tmp_path):
+    import base64
+
+    from millrace.functions.tokens import rank_counter
+
+    tokens = [bytes([b]) for b in range(256)] + [b"ab", b"abc"]
+    (tmp_path / "ranks").write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % i for i, t in enumerate(tokens)))
+    count = rank_counter(str(tmp_path / "ranks"), r"\S+|\s+")
+    rows = spark.createDataFrame([("abc ab c",), ("",), (None,), ("\u00e9",)], "t string")
+    assert [r.n for r in rows.select(count(F.col("t")).alias("n")).collect()] == [5, 0, 0, 2]
