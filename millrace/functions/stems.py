@@ -58,7 +58,8 @@ def stem(word: Column) -> Column:
     def applied(step: list[Rule]):
         def one(w: Column) -> Column:
             cases = [(w.rlike(ending), F.regexp_replace(w, pattern, new.replace("\\1", "$1"))) for ending, pattern, new in step]
-            return reduce(lambda c, x: c.when(*x), cases[1:], F.when(*cases[0])).otherwise(w)
+            some = w.rlike("|".join(f"(?:{ending})" for ending, _, _ in step))  # one test spares most words all the others
+            return F.when(some, reduce(lambda c, x: c.when(*x), cases[1:], F.when(*cases[0]))).otherwise(w)
 
         return one
 
