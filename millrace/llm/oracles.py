@@ -87,8 +87,32 @@ out AS (SELECT j.*, round(coalesce(CASE WHEN t + d > 0 THEN (t - d) / (t + d) EL
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN standing < 0 THEN 'block' ELSE 'allow' END) AS verdict, standing FROM out
 """
 
+TERMS = "regexp_extract_all(" + LOWER.format("text") + r", '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+SEARCH = rf"""
+WITH d AS (SELECT doc_id, {TERMS} AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({TERMS}) AS term FROM benchmark) GROUP BY 1, 2),
+c AS (SELECT count(*) AS n_docs, coalesce(sum(len(w)), 0)::BIGINT AS n_terms FROM d WHERE len(w) > 0),
+p AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY 1, 2, 3),
+f AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS weight FROM (SELECT term, count(*) AS df FROM p GROUP BY 1), c),
+s AS (
+  SELECT item_id, doc_id, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM p JOIN f USING (term) JOIN i USING (term), c GROUP BY 1, 2)
+SELECT * FROM (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s WHERE score > 0) WHERE rank <= 20
+"""
+
+SUBSTRINGS = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+p AS (SELECT doc_id, w[i] AS word, i, CASE WHEN i + 49 <= len(w) THEN md5(array_to_string(w[i:i + 49], ' ')) END AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+f AS (SELECT win, min(doc_id) AS first FROM p WHERE win IS NOT NULL GROUP BY win HAVING min(doc_id) < max(doc_id)),
+m AS (SELECT p.doc_id, word, i, max(CASE WHEN first < p.doc_id THEN i END) OVER (PARTITION BY p.doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone FROM p LEFT JOIN f USING (win)),
+k AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM m GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
+
 ORACLES: dict[str, str] = {
     "op3_mixing": MIXING,
     "op8_url_filter": URL_FILTER,
     "op9_exact_dedup": EXACT_DEDUP,
+    "op11_search": SEARCH,
 }
