@@ -115,4 +115,5 @@ ORACLES: dict[str, str] = {
     "op8_url_filter": URL_FILTER,
     "op9_exact_dedup": EXACT_DEDUP,
     "op11_search": SEARCH,
+    "op12_substrings": SUBSTRINGS,
 }

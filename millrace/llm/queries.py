@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from millrace.llm import bpe, embedding, exact_dedup, langid, license_scan, minhash, mixing, pii, ranked_search, secret_scan, url_filter
+from millrace.llm import bpe, embedding, exact_dedup, langid, license_scan, minhash, mixing, pii, ranked_search, secret_scan, substring_dedup, url_filter
 from millrace.llm.common import table
 
 #: The vocabulary files, by path.
@@ -76,6 +76,10 @@ def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
 
 
+def op12_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=50))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_secrets": op2_secrets,
@@ -88,4 +92,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_bpe": op10_bpe,
     "op11_search": op11_search,
+    "op12_substrings": op12_substrings,
 }
