@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from millrace.llm import bpe, embedding, exact_dedup, langid, license_scan, minhash, mixing, pii, ranked_search, secret_scan, substring_dedup, url_filter
+from millrace.llm import bpe, conversation_repair, embedding, exact_dedup, langid, license_scan, minhash, mixing, pii, ranked_search, secret_scan, substring_dedup, url_filter
 from millrace.llm.common import table
 
 #: The vocabulary files, by path.
@@ -80,6 +80,10 @@ def op12_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=50))
 
 
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_secrets": op2_secrets,
@@ -93,4 +97,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": op10_bpe,
     "op11_search": op11_search,
     "op12_substrings": op12_substrings,
+    "op13_conversations": op13_conversations,
 }
