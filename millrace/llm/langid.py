@@ -20,15 +20,14 @@ from millrace.llm.common import slices, worker_cache
 
 #: A run of letters and the like; whether it has a letter is settled once for each word.
 _WORD = re.compile(r"[^\W\d_]+")
-#: Characters of the longest piece, of the longest word that is scored without logarithms at each step, and the words
-#: that a Python worker remembers.
-MOST, PLAIN, CACHED_WORDS = 6, 38, 400_000
+#: Characters of the longest word that is scored without logarithms at each step, and the words that a Python worker remembers.
+PLAIN, CACHED_WORDS = 38, 400_000
 #: The probability of a character that no piece covers, in every language.
 FLOOR = 1e-7
 
 
 def load_pieces(path: str) -> list[str]:
-    """The fixed vocabulary: the pieces of a public rank file that are lower-case letters, with or without the space
+    """The fixed vocabulary: all pieces of a public rank file that are lower-case letters, with or without the space
     that opens a word."""
     found = set()
     for line in Path(path).read_bytes().splitlines():
@@ -36,7 +35,7 @@ def load_pieces(path: str) -> list[str]:
             piece = base64.b64decode(line.split()[0]).decode()
         except UnicodeDecodeError:
             continue
-        if len(piece) <= MOST and piece.removeprefix(" ").isalpha() and piece == piece.lower():
+        if piece.removeprefix(" ").isalpha() and piece == piece.lower():
             found.add(piece)
     return sorted(found | {p[1:] for p in found if len(p) == 2 and p[0] == " "})
 
@@ -49,15 +48,17 @@ class Lattice:
 
     def __init__(self, pieces: list[str]):
         self.row = {p: i + 2 for i, p in enumerate(pieces)}
+        self.lengths = sorted({len(p) for p in pieces} | {1})  # those of pieces; a character may also stand alone
 
     def rows(self, words: list[str]) -> np.ndarray:
-        """For words of one length n (their opening space counted): n x MOST x len(words)."""
+        """For words of one length n (their opening space counted): n x lengths of pieces x len(words)."""
         get, n = self.row.get, len(words[0])
-        out = np.zeros((n, MOST, len(words)), np.int32)
+        longest = max(k for k in self.lengths if k <= n)
+        out = np.zeros((n, longest, len(words)), np.int32)
         for i in range(n):
-            for k in range(1, min(MOST, n - i) + 1):
-                j = i + k
-                out[i, k - 1] = [get(w[i:j], 0) for w in words]
+            for k in self.lengths:
+                if k <= n - i:
+                    out[i, k - 1] = [get(w[i : i + k], 0) for w in words]
             one = out[i, 0]
             one[one == 0] = 1
         return out
@@ -65,11 +66,11 @@ class Lattice:
     @staticmethod
     def forward(rows: np.ndarray, p: np.ndarray) -> np.ndarray:
         """alpha[i]: the summed probability of all segmentations of the first i characters; (n + 1) x words x languages."""
-        n, _, w = rows.shape
+        n, longest, w = rows.shape
         alpha = np.zeros((n + 1, w, p.shape[1]))
         alpha[0] = 1
         for i in range(n):
-            for k in range(min(MOST, n - i)):
+            for k in range(min(longest, n - i)):
                 if rows[i, k].any():
                     alpha[i + k + 1] += alpha[i] * p[rows[i, k]]
         return alpha
@@ -82,7 +83,7 @@ class Lattice:
         beta[n] = counts / alpha[n]
         used = np.zeros_like(p)
         for i in reversed(range(n)):
-            for k in range(min(MOST, n - i)):
+            for k in range(min(rows.shape[1], n - i)):
                 if rows[i, k].any():
                     step = p[rows[i, k]] * beta[i + k + 1]
                     beta[i] += step
@@ -98,8 +99,8 @@ class Lattice:
             logs = np.log(p)
         last = [np.zeros((len(words), p.shape[1]))]
         for j in range(1, len(rows) + 1):
-            ways = [last[-k] + logs[rows[j - k, k - 1]] for k in range(1, min(MOST, j) + 1)]
-            last = [*last[1 - MOST :], np.logaddexp.reduce(ways)]
+            ways = [last[-k] + logs[rows[j - k, k - 1]] for k in range(1, min(rows.shape[1], j) + 1)]
+            last = [*last[-(rows.shape[1] - 1) :], np.logaddexp.reduce(ways)] if rows.shape[1] > 1 else [np.logaddexp.reduce(ways)]
         return last[-1]
 
 
@@ -167,8 +168,9 @@ class Scorer:
         while first + len(words) > len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
         for at in _by_length(words).values():
-            for k in range(0, len(at), 20_000):
-                some = at[k : k + 20_000]
+            step = max(1, min(20_000, 5_000_000 // max(1, len(words[at[0]]) * min(len(words[at[0]]) + 1, self.lattice.lengths[-1]))))
+            for k in range(0, len(at), step):
+                some = at[k : k + step]
                 logs = self.lattice.log_score([f" {words[i]}" for i in some], self.p)
                 self.table[[first + i for i in some], : self.n] = logs
         self.table[first : first + len(words), self.n] = [any(c.isalpha() for c in w) for w in words]

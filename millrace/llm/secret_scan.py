@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import let
-from millrace.llm.common import joined_spans, kind_count, written
+from millrace.llm.common import joined_spans, kind_count, spread_join, written
 
 
 @dataclass(frozen=True)
@@ -26,13 +26,14 @@ class Kind:
 
 
 #: The kinds in their order. hex takes runs of 24 and more at once: shorter runs are dropped anyway. login
-#: and blob take runs of any length whole (possessive, so in linear time); a login starts at the first letter of its scheme.
+#: and blob take runs of any length whole (possessive, so in linear time). A jwt starts where its run does. A login starts at the first
+#: letter of its scheme, which opens its run but for up to 256 digits, dots, pluses or dashes.
 KINDS = (
     Kind("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6, "text like '%=%' or text like '%:%'"),
     Kind("access", r"AKIA[A-Z0-9]+", 0, 20, "contains(text, 'AKIA')"),
     Kind("hex", r"[0-9a-f]{24,}", 0, 24, "true"),
-    Kind("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 28, "contains(text, 'eyJ')", False),
-    Kind("login", r"(?:(?<![a-z0-9+.-])|(?<=[0-9+.-])(?<![a-z][0-9+.-]{1,64}))[a-z][a-z0-9+.-]++://[^\s/:@?#]++:([^\s/:@?#]{6,}+)@", 1, 6, "contains(text, '://') and contains(text, '@')", False),
+    Kind("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", 0, 28, "contains(text, 'eyJ')", False),
+    Kind("login", r"(?:(?<![a-z0-9+.-])|(?<=[0-9+.-])(?<=(?<![a-z0-9+.-])[0-9+.-]{1,256}))[a-z][a-z0-9+.-]++://[^\s/:@?#]++:([^\s/:@?#]{6,}+)@", 1, 6, "contains(text, '://') and contains(text, '@')", False),
     Kind("blob", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])(?=[A-Z0-9+/_-]*+[a-z])[A-Za-z0-9+/_-]{32,}+", 0, 32, "text rlike '[A-Za-z0-9+/_-]{32}'", False),
 )
 #: Matches of a text whose places are summed together.
@@ -77,7 +78,7 @@ def scan_secrets(docs: DataFrame, id: str = "doc_id", text: str = "text", owner:
 
     The scan finds candidates of all kinds in one pass. Their hashes are then aggregated over the whole corpus by
     distinct repositories and owners (columns of docs; repository is a combination of columns), pre-aggregated by the
-    tasks, so a string that a third of all rows hold is a row for each task and repository. A candidate that at most
+    tasks, so a string that a third of all rows hold is a row for each task and repository; where rows look theirs up, such strings are broadcast (spread_join). A candidate that at most
     most_owners owners hold in at most most_repositories repositories together and that is no placeholder looks live; the others, more
     widely copied, are examples. Base kinds report all their
     matches, the further kinds only the live-looking ones.
@@ -93,11 +94,12 @@ def scan_secrets(docs: DataFrame, id: str = "doc_id", text: str = "text", owner:
     rows = written(read.select("mark", "id", "owner", "repository", found.alias("spans")), "secret-candidates")
 
     each = rows.filter(F.size("spans") > 0).select("mark", "owner", "repository", F.explode("spans").alias("span")).withColumn("hash", F.sha2("span.value", 256))
-    by_owner = each.groupBy("hash", "owner", "repository").agg(F.first("span.value").alias("value")).groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("n"), F.first("value").alias("value"))
-    held = by_owner.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("n").alias("repositories"), F.first("value").alias("value"))
+    by_owner = each.groupBy("hash", "owner", "repository").agg(F.first("span.value").alias("value"), F.count(F.lit(1)).alias("rows"))
+    by_owner = by_owner.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("n"), F.first("value").alias("value"), F.sum("rows").alias("rows"))
+    held = by_owner.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("n").alias("repositories"), F.first("value").alias("value"), F.sum("rows").alias("rows"))
     varied = F.size(F.array_distinct(F.split("value", ""))) >= 5
     live = (F.col("owners") <= most_owners) & (F.col("repositories") <= most_repositories) & ~F.col("value").rlike(PLACEHOLDER) & varied
-    judged = each.select("mark", "span", "hash").distinct().join(held.select("hash", live.alias("live")), "hash")
+    judged = spread_join(each.select("mark", "span", "hash").distinct(), written(held.select("hash", live.alias("live"), "rows"), "secret-owners"), ["hash"], "rows")
 
     further = [k.name for k in kinds if not k.base]
     extra = F.sort_array(F.collect_list(F.when(F.col("live") & F.col("span.kind").isin(further), F.col("span"))))

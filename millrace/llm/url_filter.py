@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import UPPER, discard, spread_join, written
 
-#: A reference in HTML that names a host, with its scheme or without; group 1 is the host.
-LINK = r"""(?is)<(?:a|area|link|base|iframe|frame|form)\s[^>]*?(?:href|src|action)\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
-#: Rounds whose results are written together.
-TOGETHER = 4
+#: A tag of HTML that can refer to a host, whole, and the first such reference in it, with its scheme or without; group 1 is the host.
+TAG = r"(?i)<(?:a|area|link|base|iframe|frame|form)\s[^>]*+"
+LINK = r"""(?is)(?:href|src|action)\s*+=\s*+["']?+\s*+(?:[a-z][a-z0-9+.-]*+:)?+//([^/?#"'\s>]++)"""
+#: Rounds whose results are written together; edges from which on a host is not dealt to one task.
+TOGETHER, HUB = 4, 10_000
 
 
 def _lower(c: Column) -> Column:
@@ -47,7 +48,8 @@ def host_edges(pages: DataFrame) -> DataFrame:
     References to other hosts (links, areas, frames, forms, bases) count once a page. Each host and its parent domain also point at each other (weight 1),
     up to the registered name: subdomains of one owner share their standing.
     """
-    links = pages.select("host", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("html", F.lit(LINK), F.lit(1)), _lower))).alias("target"))
+    tags = F.regexp_extract_all("html", F.lit(TAG), F.lit(0))
+    links = pages.select("host", F.explode(F.array_distinct(F.transform(tags, lambda tag: _lower(F.regexp_extract(tag, LINK, 1))))).alias("target"))
     linked = links.filter((F.col("host") != "") & (F.col("target") != "") & (F.col("host") != F.col("target"))).groupBy(F.col("host").alias("source"), "target").agg(F.count(F.lit(1)).cast("double").alias("weight"))
     hosts = pages.select("host").filter("host <> ''").distinct().filter(~F.col("host").rlike(r"^[0-9.]+(:[0-9]+)?$"))
     labels = F.split("host", r"\.")
@@ -69,15 +71,27 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, toleran
     """Personalised PageRank from seeds: walk, host, rank, for any number of walks at once, each with its own edges (walk, source,
     target, weight) and seeds (walk, host, seed; summing to 1).
 
-    Each round is a join on the edges' source and an aggregation by target, pre-aggregated by the tasks. There are as many rounds
-    (rounds_for) as it takes until the ranks are within tolerance of their limits, whatever the graph.
+    Each round is a join on the edges' source and an aggregation by target, pre-aggregated by the tasks. Hubs, hosts with over
+    1 / (4 x shuffle partitions) of all edges and HUB at least (so fewer than four times the partitions), have their edges apart: their ranks are broadcast to
+    these, which are never shuffled. There are as many rounds (rounds_for) as it takes until the ranks are within tolerance of their limits,
+    whatever the graph.
     """
-    out = edges.groupBy("walk", "source").agg(F.sum("weight").alias("total"))
-    steps = written(edges.join(out, ["walk", "source"]).select("walk", F.col("source").alias("host"), "target", (F.col("weight") / F.col("total") * damping).alias("step")), "steps")
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = edges.groupBy("walk", "source").agg(F.sum("weight").alias("total"), F.count(F.lit(1)).alias("n"))
+    out = written(out.withColumnRenamed("source", "host"), "sources")
+    most = max(HUB, (out.agg(F.sum("n")).first()[0] or 0) // (4 * parts))
+    hubs = out.filter(F.col("n") > most).select("walk", "host")
+    steps = spread_join(edges.withColumnRenamed("source", "host"), out, ["walk", "host"], "n")
+    steps = written(steps.select("walk", "host", "target", (F.col("weight") / F.col("total") * damping).alias("step")), "steps")
+    wide = None if hubs.isEmpty() else written(steps.join(F.broadcast(hubs), ["walk", "host"]), "hub-steps")
+    steps = steps if wide is None else written(steps.join(F.broadcast(hubs), ["walk", "host"], "left_anti"), "steps")
     seeds = written(seeds.select("walk", "host", (F.col("seed") * (1 - damping)).alias("rank")), "seeds")
     rank, kept = seeds, seeds
     for k in range(1, (rounds := rounds_for(damping, tolerance)) + 1):
-        sent = steps.join(rank, ["walk", "host"]).select("walk", F.col("target").alias("host"), (F.col("rank") * F.col("step")).alias("rank"))
+        sent = steps.join(rank, ["walk", "host"])
+        if wide is not None:
+            sent = sent.unionByName(wide.join(F.broadcast(rank.join(F.broadcast(hubs), ["walk", "host"])), ["walk", "host"]))
+        sent = sent.select("walk", F.col("target").alias("host"), (F.col("rank") * F.col("step")).alias("rank"))
         rank = sent.unionByName(seeds).groupBy("walk", "host").agg(F.sum("rank").alias("rank"))
         if k % TOGETHER == 0 or k == rounds:
             rank = written(rank, "rank")
@@ -99,7 +113,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], threshol
     Ranks are computed on hosts, pre-aggregated from pages, so a host with a third of all pages is one row; in the join back to
     pages such hosts are broadcast (spread_join). Returns id, host, path, rule, verdict, standing. Null
     URLs, and those without ://, have empty host and path: no rule, standing 0. Null or empty html has no links; very long URLs and html are
-    read whole; repeated rows are judged alike and each counts; an empty table gives an empty result; other columns are not read.
+    read whole, in linear time; of each tag the first reference counts; repeated rows are judged alike and each counts; an empty table gives an empty result; other columns are not read.
     """
     host, path = url_host(F.col(url)), url_path(F.col(url))
     read = pages.select(F.col(id).alias("id"), host.alias("host"), path.alias("path"), F.col(html).alias("html"))
