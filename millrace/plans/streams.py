@@ -7,9 +7,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from millrace.plans import testbed as t
-from millrace.plans.testbed import with_tables
+from millrace.functions.text import content_hash, count_tokens, hard_split
+from millrace.plans.testbed import CHUNK_TOKENS, with_tables
+from millrace.plans.texts import _COUNTS, _GREEDY
 from millrace.sources.shared import shared_dir
 from millrace.streaming import jobs as N
+from millrace.streaming import uploads as U
 
 Q, SQL = {}, {}
 
@@ -68,3 +71,42 @@ def ingest_stream(spark, sf):
     stream, base = _replayed(spark, t.read(spark, sf, "documents").select("doc_id", "text"), "ingest")
     N.ingest_stream(stream, f"{base}/lake", f"{base}/check").awaitTermination()
     return N.current_chunks(spark, f"{base}/lake").select("doc_id", "chunk_index", F.sha2("content", 256).alias("hash"), "token_count")
+
+
+_SECOND = "CASE WHEN doc_id % 10 = 0 THEN replace(text, ' the ', ' that ') || ' An added sentence stands here.' ELSE text END"
+
+
+def _pieces(extracted):
+    """Chunks of a fixed number of tokens."""
+    body = F.array_join(F.transform("blocks", lambda b: b["content"]), "\n\n")
+    rows = extracted.select("file_id", F.posexplode(hard_split(body, CHUNK_TOKENS)).alias("chunk_index", "content"))
+    return rows.select("file_id", "chunk_index", "content", F.lit(None).cast("string").alias("source_locator"), count_tokens(F.col("content")).alias("token_count"), content_hash(F.col("content")).alias("content_hash"))
+
+
+@query("upload_stream", with_tables("chunks", "chunks2", more=_GREEDY) + _COUNTS + f""", one AS (SELECT min(doc_id) AS doc_id, sha256(text) AS sha FROM documents WHERE text <> '' GROUP BY 2),
+two AS (SELECT min(doc_id) AS doc_id, sha FROM (SELECT doc_id, sha256({_SECOND}) AS sha FROM documents WHERE doc_id % 10 = 0 AND text <> '') WHERE sha NOT IN (SELECT sha FROM one) GROUP BY sha),
+v AS (SELECT doc_id, 1 AS version, text FROM documents WHERE doc_id IN (SELECT doc_id FROM one) UNION ALL SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM one) THEN 2 ELSE 1 END, {_SECOND} FROM documents WHERE doc_id IN (SELECT doc_id FROM two)),
+b AS (SELECT doc_id, version, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS body FROM v)
+SELECT 'version' AS kind, doc_id AS file_id, version, sha256(body) AS hash, NULL::BIGINT AS unchanged, NULL::BIGINT AS changed, NULL AS justification FROM b
+UNION ALL SELECT 'delta', doc_id, 2, NULL, unchanged, modified + added + removed, NULL FROM c JOIN b USING (doc_id) WHERE version = 2
+UNION ALL SELECT 'diff', doc_id, 1, NULL, NULL, NULL, 'Initial processing' FROM b WHERE version = 1
+UNION ALL SELECT 'diff', doc_id, 2, NULL, NULL, NULL, 'Reprocessed: ' || modified || ' modified, ' || added || ' added, ' || removed || ' removed' FROM c JOIN b USING (doc_id) WHERE version = 2 AND modified + added + removed > 0
+UNION ALL SELECT 'reused', n.doc_id, version, NULL, count(*), NULL, NULL FROM chunks2 n JOIN b ON b.doc_id = n.doc_id AND version = 2 WHERE (n.doc_id, n.content_hash) IN (SELECT (doc_id, content_hash) FROM chunks) GROUP BY 2, 3""")
+def upload_stream(spark, sf):
+    """All documents are uploaded, then a changed text of every tenth: versions, deltas, diffs and chunks whose work was kept."""
+    docs = t.read(spark, sf, "documents").filter("text IS NOT NULL")
+    changed = F.concat(F.replace("text", F.lit(" the "), F.lit(" that ")), F.lit(" An added sentence stands here."))
+    rounds = docs, docs.filter("doc_id % 10 = 0 AND text <> ''").withColumn("text", changed)
+    base = f"{shared_dir(spark)}/uploads-{uuid.uuid4().hex}"
+    for rows in rounds:
+        sent = rows.select(F.col("doc_id").alias("file_id"), F.concat(F.lit("document-"), "doc_id", F.lit(".txt")).alias("filename"), F.lit("text/plain").alias("content_type"), F.col("text").alias("content"))
+        sent.write.mode("append").parquet(f"{base}/in")
+        U.upload_stream(N.read_stream(spark, f"{base}/in", sent.schema), f"{base}/lake", f"{base}/check", chunker=_pieces).awaitTermination()
+    lake = {name: U.read_lake(spark, f"{base}/lake", name) for name in U.TABLES}
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    counts = none("long", "unchanged"), none("long", "changed")
+    out = lake["documents"].select(F.lit("version").alias("kind"), "file_id", "version", F.sha2("body", 256).alias("hash"), *counts, none("string", "justification"))
+    out = out.unionByName(lake["deltas"].select(F.lit("delta").alias("kind"), "file_id", "version", none("string", "hash"), "unchanged", (F.col("modified") + F.col("added") + F.col("removed")).alias("changed"), none("string", "justification")))
+    out = out.unionByName(lake["diffs"].select(F.lit("diff").alias("kind"), "file_id", "version", none("string", "hash"), *counts, "justification"))
+    kept = lake["chunks"].filter("reused").groupBy("file_id", "version").agg(F.count(F.lit(1)).alias("unchanged"))
+    return out.unionByName(kept.select(F.lit("reused").alias("kind"), "file_id", "version", none("string", "hash"), "unchanged", none("long", "changed"), none("string", "justification")))
