@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.stems import stem
 from millrace.functions.text import let
+from millrace.operators.grams import containing
 from millrace.sources.shared import written
 
 #: Words that are not indexed.
@@ -76,16 +77,27 @@ def keyword_search(queries: DataFrame, postings: DataFrame, k: int = 20, candida
     shuffled. candidates limits the documents (doc_id), for filters.
     """
     asked = parse_queries(queries)
-    wanted = asked.filter("kind = 'must'").select("query_id", "clause", "phrase", "place", "term").distinct()
-    need = wanted.groupBy("query_id", "clause").agg(F.count_distinct("term").alias("need"))
+    wanted = _wanted(asked)
     hits = wanted.select("query_id", "clause", "term").distinct().join(postings, "term")
     if candidates is not None:
         hits = hits.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi")
+    return top_k(_scored(asked, hits, postings), k)
+
+
+def _wanted(asked: DataFrame) -> DataFrame:
+    return asked.filter("kind = 'must'").select("query_id", "clause", "phrase", "place", "term").distinct()
+
+
+def _scored(asked: DataFrame, hits: DataFrame, postings: DataFrame) -> DataFrame:
+    """query_id, doc_id and score of the documents among hits (postings of the words that clauses need) that meet all of a clause."""
+    wanted = _wanted(asked)
+    need = wanted.groupBy("query_id", "clause").agg(F.count_distinct("term").alias("need"))
     found = hits.groupBy("query_id", "clause", "doc_id").agg(F.count_distinct("term").alias("have"), F.sum(match_score(postings)).alias("score"))
     good = found.join(need, ["query_id", "clause"]).filter("have = need").select("query_id", "clause", "doc_id", "score")
 
     quoted = wanted.filter("phrase IS NOT NULL")
-    starts = quoted.join(postings.select("term", "doc_id", "field", F.explode("positions").alias("position")), "term")
+    spoken = good.select("query_id", "clause", "doc_id").join(quoted, ["query_id", "clause"])  # documents first, then their positions
+    starts = spoken.join(postings.select("term", "doc_id", "field", "positions"), ["term", "doc_id"]).withColumn("position", F.explode("positions")).drop("positions")
     lined = starts.groupBy("query_id", "clause", "phrase", "doc_id", "field", (F.col("position") - F.col("place")).alias("start")).agg(F.count_distinct("place").alias("have"))
     sizes = quoted.groupBy("query_id", "clause", "phrase").agg(F.count_distinct("place").alias("size"))
     whole = lined.join(sizes, ["query_id", "clause", "phrase"]).filter("have = size").select("query_id", "clause", "phrase", "doc_id").distinct()
@@ -98,8 +110,51 @@ def keyword_search(queries: DataFrame, postings: DataFrame, k: int = 20, candida
     good = good.join(banned.select("query_id", "clause", "doc_id").distinct(), ["query_id", "clause", "doc_id"], "left_anti")
     score = F.col("score") * (1 + F.coalesce(1 / F.col("apart"), F.lit(0.0)))
     near = good.join(_nearness(good, wanted, need, postings), ["query_id", "clause", "doc_id"], "left")
-    best = near.groupBy("query_id", "doc_id").agg(F.round(F.max(score), 6).alias("score"))
-    return top_k(best, k)
+    return near.groupBy("query_id", "doc_id").agg(F.round(F.max(score), 6).alias("score"))
+
+
+#: Documents of a block of postings; blocks of a query that are read before any is skipped.
+BLOCK, FIRST_BLOCKS = 256, 4
+
+
+def block_tops(postings: DataFrame, size: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """An index for block_search: postings with the block of their document, and for each term and block how many postings it has and
+    the most that one document there can score for the term (term, block, n, top)."""
+    blocked = postings.withColumn("block", F.floor(F.col("doc_id") / size))
+    each = blocked.groupBy("term", "block", "doc_id").agg(F.sum(match_score(postings)).alias("score"), F.count(F.lit(1)).alias("n"))
+    return blocked, each.groupBy("term", "block").agg(F.sum("n").alias("n"), F.max("score").alias("top"))
+
+
+def block_search(queries: DataFrame, blocked: DataFrame, tops: DataFrame, k: int = 20) -> DataFrame:
+    """keyword_search over an index of block_tops, with the same rows, reading only blocks that can matter.
+
+    A block can matter to a clause if it has all of the clause's words; no document in it can score over the sum of its words' tops, twice that if words may stand next
+    to each other. Each query's blocks are read from the highest bound down, in waves that grow eightfold; after a wave the query's
+    k-th score so far rules out all blocks whose bound is lower. The rows to be joined are those of (term, block), so a word that stands in
+    every document is dealt over as many tasks as it has blocks.
+    """
+    asked = parse_queries(queries)
+    words_ = _wanted(asked).select("query_id", "clause", "term").distinct()
+    need = words_.groupBy("query_id", "clause").agg(F.count(F.lit(1)).alias("need"))
+    bounds = words_.join(tops, "term").groupBy("query_id", "clause", "block").agg(F.count(F.lit(1)).alias("have"), F.sum("top").alias("bound")).join(need, ["query_id", "clause"]).filter("have = need")
+    bounds = bounds.withColumn("bound", F.col("bound") * F.when(F.col("need") > 1, 2.0).otherwise(1.0))
+    turn = Window.partitionBy("query_id").orderBy(F.desc("bound"), "clause", "block")
+    left = written(bounds.select("query_id", "clause", "block", "bound").withColumn("turn", F.row_number().over(turn)), "block-bounds")
+    best, read = None, FIRST_BLOCKS
+    while not left.isEmpty():
+        now = left.filter(F.col("turn") <= read)
+        hits = now.select("query_id", "clause", "block").join(words_, ["query_id", "clause"]).join(blocked, ["term", "block"])
+        # a document is in one block, so a wave has all of a clause's postings of it
+        found = _scored(asked, hits, blocked).select("query_id", "doc_id", "score")
+        both = found if best is None else best.select("query_id", "doc_id", "score").unionByName(found)
+        best = written(top_k(both.groupBy("query_id", "doc_id").agg(F.max("score").alias("score")), k), "best")
+        floor = best.filter(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
+        rest = left.filter(F.col("turn") > read).join(floor, "query_id", "left")
+        left = written(rest.filter(F.col("floor").isNull() | (F.col("bound") + 1e-6 >= F.col("floor"))).drop("floor"), "block-bounds")
+        read *= 8
+    if best is None:
+        return top_k(_scored(asked, words_.join(blocked, "term"), blocked), k)
+    return best
 
 
 def _nearness(good: DataFrame, wanted: DataFrame, need: DataFrame, postings: DataFrame) -> DataFrame:
@@ -265,32 +320,10 @@ def search_with_fallback(queries: DataFrame, documents: DataFrame, postings: Dat
     text = F.lower(F.concat_ws("\n", "title", "summary", "body"))
     current = documents.filter("is_current").select("doc_id", "created_at", text.alias("hay"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("created_at"), F.desc("doc_id")))
-    last = _containing(low, current).select("query_id", "doc_id", rank.alias("rank"), F.lit(4).alias("stage")).filter(F.col("rank") <= k)
+    last = containing(low, current).select("query_id", "doc_id", rank.alias("rank"), F.lit(4).alias("stage")).filter(F.col("rank") <= k)
     return out.unionByName(last)
 
 
-def _containing(needles: DataFrame, hays: DataFrame) -> DataFrame:
-    """Rows (query_id, doc_id, created_at) whose hay holds the needle.
-
-    A text that holds a needle has a word that begins, ends, is or holds the needle's longest run of letters and digits, by what stands
-    around the run in the needle. So needles meet the distinct words, those words' documents are looked up, and only
-    these texts are searched. Needles without a letter or digit, if there are any, meet all texts.
-    """
-    run = F.expr(r"array_max(transform(regexp_extract_all(needle, '[\\p{L}\\p{N}]+', 0), w -> struct(char_length(w) AS n, w AS w)))")["w"]
-    pieces = needles.withColumn("piece", run)
-    opens, closes = F.startswith("needle", "piece"), F.endswith("needle", "piece")
-    kind = F.when(opens & closes, "within").when(opens, "end").when(closes, "start").otherwise("whole")
-    pieces = written(pieces.filter("piece IS NOT NULL").withColumn("kind", kind), "pieces")
-    held = written(hays.select("doc_id", F.explode(F.array_distinct(terms(F.col("hay")))).alias("term")), "words")
-    known = written(held.select("term").distinct(), "vocabulary")
-    loose = (F.col("kind") == "within") & F.contains("term", "piece") | (F.col("kind") == "end") & F.endswith("term", "piece") | (F.col("kind") == "start") & F.startswith("term", "piece")
-    named = pieces.filter("kind = 'whole'").select("query_id", F.col("piece").alias("term")).unionByName(known.join(pieces.filter("kind <> 'whole'"), loose).select("query_id", "term"))
-    maybe = held.join(named, "term").select("query_id", "doc_id").distinct().join(needles, "query_id")
-    found = maybe.join(hays, "doc_id").filter(F.contains("hay", "needle"))
-    bare = needles.withColumn("piece", run).filter("piece IS NULL")
-    return found.select("query_id", "doc_id", "created_at").unionByName(hays.join(bare, F.contains("hay", "needle")).select("query_id", "doc_id", "created_at"))
-
-
 def retrieve_chunks(hits: DataFrame, chunks: DataFrame, documents: int = 8, per_document: int = 5, chars: int = 1500) -> DataFrame:
     """The first chunks of the best documents of each query."""
     best = hits.filter(F.col("rank") <= documents).select("query_id", "doc_id", "rank")

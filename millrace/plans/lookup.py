@@ -71,6 +71,12 @@ def keyword_search(spark, sf):
     return S.keyword_search(_queries(spark, sf), _postings(spark, sf), 20)
 
 
+@query("block_search", with_tables("docs", more=_POSTED + ", " + _ASKED) + "SELECT query_id, doc_id, score, rank::INT AS rank FROM kw WHERE rank <= 20")
+def block_search(spark, sf):
+    blocked, tops = S.block_tops(_postings(spark, sf))
+    return S.block_search(_queries(spark, sf), written(blocked, "blocked"), written(tops, "tops"), 20)
+
+
 @query("highlight", r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents), b AS (SELECT doc_id, w, [regexp_replace(lower(x), '[^\p{L}\p{N}]', '', 'g') FOR x IN w] AS b FROM w),
 h AS (SELECT doc_id, w, list_filter(range(1, len(b) + 1), lambda i: b[i] IN ('that', 'leaux')) AS h FROM b), f AS (SELECT doc_id, w, h, greatest(1, coalesce(h[1], 1) - 8) AS s FROM h),
 g AS (SELECT doc_id, w, s, list_filter(h, lambda i: i >= s + 16)[1] AS hit FROM f), p AS (SELECT doc_id, w, s, CASE WHEN hit IS NOT NULL THEN greatest(s + 16, hit - 8) END AS z FROM g),
@@ -123,7 +129,24 @@ def _hard_queries(spark, sf):
     return t.read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.when(F.expr("item_id % 3 = 0"), F.concat_ws(" ", F.slice(w, 1, 5))).when(F.expr("item_id % 3 = 1"), F.concat(F.lit("zzqx "), F.concat_ws(" ", F.slice(w, 1, 3)))).otherwise(F.concat(F.substring("text", 3, 9), F.lit(""))).alias("text"))
 
 
-@query("search_with_fallback")
+_RUN = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
+_HARD = _POSTED.replace("FROM benchmark),", f"FROM benchmark UNION SELECT 'zzqx' UNION SELECT DISTINCT unnest({_RUN.format('substr(text, 3, 9)')}) FROM benchmark),") + f""",
+hq AS (SELECT item_id AS query_id, CASE item_id % 3 WHEN 0 THEN array_to_string(w[1:5], ' ') WHEN 1 THEN 'zzqx ' || array_to_string(w[1:3], ' ') ELSE substr(text, 3, 9) END AS text FROM (SELECT *, regexp_split_to_array(text, '\\s+') AS w FROM benchmark)),
+hw AS (SELECT DISTINCT query_id, stem AS term FROM (SELECT query_id, unnest({_RUN.format("text")}) AS term FROM hq) JOIN stems USING (term) WHERE term NOT IN ({_STOP})),
+ho AS (SELECT DISTINCT query_id, stem AS term FROM (SELECT query_id, unnest(list_filter({_RUN.format("text")}, lambda x: length(x) > 2)[1:10]) AS term FROM hq) JOIN stems USING (term) WHERE term NOT IN ({_STOP})),
+stemmed AS (SELECT doc_id, field, position, stem AS term FROM words JOIN stems USING (term) WHERE words.term NOT IN ({_STOP})),
+gaps AS (SELECT query_id, doc_id, min(CASE WHEN term <> before THEN position - place END) AS apart FROM (
+  SELECT query_id, doc_id, position, term, lag(term) OVER w AS before, lag(position) OVER w AS place FROM hw JOIN stemmed USING (term) WINDOW w AS (PARTITION BY query_id, doc_id, field ORDER BY position)) GROUP BY 1, 2),
+s1 AS (SELECT query_id, doc_id, round(score * (1 + coalesce(1.0::DOUBLE / apart, 0.0::DOUBLE)), 6) AS score FROM (SELECT query_id, doc_id, count(DISTINCT term) AS have, sum(s) AS score FROM hw JOIN weighed USING (term) GROUP BY 1, 2)
+  JOIN (SELECT query_id, count(*) AS need FROM hw GROUP BY 1) USING (query_id) LEFT JOIN gaps USING (query_id, doc_id) WHERE have = need),
+s3 AS (SELECT query_id, doc_id, round(max(score), 6) AS score FROM (SELECT query_id, term, doc_id, sum(s) AS score FROM ho JOIN weighed USING (term) GROUP BY 1, 2, 3) WHERE query_id NOT IN (SELECT query_id FROM s1) GROUP BY 1, 2),
+s4 AS (SELECT query_id, doc_id, created_at FROM hq JOIN docs ON is_current AND contains(lower(title || chr(10) || summary || chr(10) || body), lower(substr(hq.text, 1, 100))) WHERE query_id NOT IN (SELECT query_id FROM s1 UNION ALL SELECT query_id FROM s3))
+SELECT query_id, doc_id, rank::INT AS rank, stage FROM (SELECT query_id, doc_id, 1 AS stage, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s1
+  UNION ALL SELECT query_id, doc_id, 3, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) FROM s3
+  UNION ALL SELECT query_id, doc_id, 4, row_number() OVER (PARTITION BY query_id ORDER BY created_at DESC, doc_id DESC) FROM s4) WHERE rank <= 10"""
+
+
+@query("search_with_fallback", with_tables("docs", more=_HARD))
 def search_with_fallback(spark, sf):
     docs = t.docs(spark, sf)
     return S.search_with_fallback(_hard_queries(spark, sf), docs, _postings(spark, sf))

@@ -261,7 +261,7 @@ def test_needles_meet_only_texts_with_their_words(spark):
     alphabet = "ab \n-.th\u00e9"
     hays = [(i, i % 7, "".join(pick.choice(alphabet) for _ in range(60))) for i in range(120)]
     needles = [(i, "".join(pick.choice(alphabet) for _ in range(pick.randrange(1, 7)))) for i in range(60)] + [(100, "..."), (101, "the"), (102, "- "), (103, hays[0][2][5:40])]
-    got = search._containing(spark.createDataFrame(needles, "query_id long, needle string"), spark.createDataFrame(hays, "doc_id long, created_at long, hay string"))
+    got = search.containing(spark.createDataFrame(needles, "query_id long, needle string"), spark.createDataFrame(hays, "doc_id long, created_at long, hay string"))
     assert sorted((r.query_id, r.doc_id) for r in got.collect()) == sorted((q, d) for q, n in needles for d, _, h in hays if n in h)
 
 
