@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import partial
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.stems import stem
 from millrace.functions.text import let
 from millrace.operators.grams import containing
+from millrace.operators.nearest import nearest
 from millrace.sources.shared import written
 
 #: Words that are not indexed.
@@ -200,62 +196,17 @@ def highlight(text: Column, words: Column, around: int = 20, fragments: int = 2)
     return F.when(text.isNotNull(), let(F.filter(F.split(text, r"\s+"), lambda w: w != ""), pieces))
 
 
-def semantic_search(queries: DataFrame, corpus: DataFrame, k: int = 20, query_id: str = "query_id", id: str = "doc_id", vector: str = "embedding", least: float | None = None, before: str | None = None) -> DataFrame:
+def semantic_search(queries: DataFrame, corpus: DataFrame, k: int = 20, query_id: str = "query_id", id: str = "doc_id", vector: str = "embedding", least: float | None = None, before: str | None = None, effort: list | None = None) -> DataFrame:
     """Top k rows of corpus for each query by cosine: query_id, id, score, rank. Null and zero vectors are left out.
 
-    Queries are searched for in blocks of QUERY_BLOCK, one after the other: a block is sent to every task (its size has a bound, on the
-    driver too), each task multiplies its Arrow batches with the block's matrix and keeps k rows a query, only those are
-    shuffled, and the block's k best are written before the next block is read. before names a column of both tables:
-    a row counts only where its value is less than the query's. least drops scores that are not over it.
+    See nearest: cells around pivots leave out what cannot be near; queries come in blocks of QUERY_BLOCK, whose size has a bound on the
+    driver too. before names a column of both tables: a row counts only where its value is less than the query's. least
+    drops scores that are not over it.
     """
     moment = F.col(before).cast("double") if before else F.lit(0.0)
-    wanted = queries.select(F.col(query_id).alias("q"), F.col(vector).cast("array<double>").alias("v"), moment.alias("t"))
-    wanted = wanted.filter(F.col("v").isNotNull() & F.exists("v", lambda x: x != 0))
-    n = -(-wanted.count() // QUERY_BLOCK)
-    rows = corpus.select(F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("v"), moment.alias("t"))
-    rows = rows.filter(F.col("v").isNotNull() & F.exists("v", lambda x: x != 0))
-    schema = f"q {dict(wanted.dtypes)['q']}, id {dict(rows.dtypes)['id']}, score double"
-    spark = corpus.sparkSession
-    out = spark.createDataFrame([], schema).withColumn("rank", F.lit(0))
-    for block in range(n):
-        held = wanted.filter(F.pmod(F.xxhash64("q"), F.lit(n)) == block).collect()
-        if not held:
-            continue
-        matrix = np.array([r["v"] for r in held])
-        shared = spark.sparkContext.broadcast(([r["q"] for r in held], matrix / np.linalg.norm(matrix, axis=1, keepdims=True), np.array([r["t"] for r in held], float)))
-        found = rows.mapInPandas(partial(_nearest, shared=shared, k=k, timed=before is not None), schema)
-        if least is not None:
-            found = found.filter(F.col("score") > least)
-        out = out.unionByName(written(top_k(found, k, "q", "id"), "nearest"))
-        shared.destroy()
-    return out.select(F.col("q").alias(query_id), F.col("id").alias(id), "score", "rank")
-
-
-def _nearest(batches: Iterator[pd.DataFrame], shared, k: int, timed: bool) -> Iterator[pd.DataFrame]:
-    """The k nearest rows of a task's share for each query of a block; ties at the edge stay, for the id to settle."""
-    ids, queries, times = shared.value
-    best: list[pd.DataFrame] = []
-    for batch in batches:
-        if not len(batch):
-            continue
-        v = np.stack(batch.v.to_numpy())
-        scores = queries @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T
-        if timed:
-            scores[batch.t.to_numpy()[None, :] >= times[:, None]] = -np.inf
-        some = min(k, scores.shape[1])
-        at = np.argpartition(-scores, some - 1, axis=1)[:, :some]
-        edge = np.take_along_axis(scores, at, 1).min(axis=1)
-        q, c = np.nonzero((scores >= edge[:, None]) & np.isfinite(scores))
-        best.append(pd.DataFrame({"q": np.array(ids, object)[q], "id": batch.id.to_numpy()[c], "score": scores[q, c]}))
-        if sum(map(len, best)) > 4 * k * len(ids):
-            best = [_cut(pd.concat(best), k)]
-    if best:
-        yield _cut(pd.concat(best), k)
-
-
-def _cut(rows: pd.DataFrame, k: int) -> pd.DataFrame:
-    rows = rows.sort_values(["q", "score", "id"], ascending=[True, False, True])
-    return rows[rows.groupby("q").cumcount() < k]
+    vectors = lambda df, name, alias: df.select(F.col(name).alias(alias), F.col(vector).cast("array<double>").alias("v"), moment.alias("t")).filter(F.col("v").isNotNull() & F.exists("v", lambda x: x != 0))
+    found = nearest(vectors(queries, query_id, "q"), vectors(corpus, id, "id"), k, before is not None, least, QUERY_BLOCK, effort)
+    return found.select(F.col("q").alias(query_id), F.col("id").alias(id), "score", "rank")
 
 
 def hybrid_search(keyword: DataFrame, semantic: DataFrame, wk: float = 0.4, ws: float = 0.6, k: int = 60, limit: int = 20) -> DataFrame:
