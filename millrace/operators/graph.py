@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,12 +27,15 @@ def canonical_mentions(mentions: DataFrame) -> DataFrame:
     return mentions.withColumn("type", F.coalesce("type", F.lit("UNKNOWN"))).join(keys, "name")
 
 
+def _mentions_by_document(mentions: DataFrame) -> DataFrame:
+    first = F.struct(*FIRST)
+    return canonical_mentions(mentions).groupBy("canonical", "doc_id").agg(F.min(F.struct(first.alias("at"), "name", "type")).alias("f"), F.count(F.lit(1)).alias("n"), F.min("created_at").alias("seen"))
+
+
 def build_vertices(mentions: DataFrame) -> DataFrame:
     """One vertex for each canonical name: name and type of the first mention, mentions, documents. Tasks pre-aggregate, so a
     popular entity is a row from each."""
-    first = F.struct(*FIRST)
-    by_doc = canonical_mentions(mentions).groupBy("canonical", "doc_id").agg(F.min(F.struct(first.alias("at"), "name", "type")).alias("f"), F.count(F.lit(1)).alias("n"), F.min("created_at").alias("seen"))
-    return by_doc.groupBy("canonical").agg(F.min("f").alias("f"), F.min("seen").alias("first_seen"), F.sum("n").alias("mention_count"), F.count(F.lit(1)).alias("document_count")).select(
+    return _mentions_by_document(mentions).groupBy("canonical").agg(F.min("f").alias("f"), F.min("seen").alias("first_seen"), F.sum("n").alias("mention_count"), F.count(F.lit(1)).alias("document_count")).select(
         "canonical", "f.name", F.col("f.type").alias("entity_type"), "first_seen", "mention_count", "document_count")
 
 
@@ -79,6 +84,81 @@ def merge_graph(vertices: DataFrame, edges: DataFrame, mentions: DataFrame, rela
     return merged, met.select(*(F.coalesce(f"e.{k}", f"f.{k}").alias(k) for k in key), weight, kept("description"), kept("confidence"), kept("source_document_id"))
 
 
+class GraphState(NamedTuple):
+    """A graph that documents can leave again. What each document gives to an entity or an edge is kept (the multiset whose least
+    member names it), beside the sums over all documents. Edges are kept with unknown ends too: an end may become known."""
+
+    mention_docs: DataFrame  # canonical, doc_id, f (at, name, type), n, seen
+    relation_docs: DataFrame  # src, dst, rel, doc_id, f (at, description, confidence), n
+    vertices: DataFrame  # canonical, f, seen, n, documents
+    edges: DataFrame  # src, dst, rel, f, n
+
+
+_VERTEX, _EDGE = ["canonical"], ["src", "dst", "rel"]
+
+
+def _relations_by_document(relations: DataFrame) -> DataFrame:
+    first = F.struct(F.struct(*FIRST).alias("at"), "description", F.coalesce("confidence", F.lit(0.5)).alias("confidence"))
+    spelt = relations.select("source", "target", "type", "doc_id", first.alias("f")).groupBy("source", "target", "type", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("f").alias("f"))
+    rows = spelt.select(canonical_name(F.col("source")).alias("src"), canonical_name(F.col("target")).alias("dst"), relation_type(F.col("type")).alias("rel"), "doc_id", "n", "f")
+    return rows.groupBy(*_EDGE, "doc_id").agg(F.sum("n").alias("n"), F.min("f").alias("f"))
+
+
+def _whole(docs: DataFrame, key: list[str]) -> DataFrame:
+    """Sums over documents, and the least of what they give first."""
+    seen = [F.min("seen").alias("seen")] if "seen" in docs.columns else []
+    return docs.groupBy(*key).agg(F.min("f").alias("f"), *seen, F.sum("n").alias("n"), F.count(F.lit(1)).alias("documents"))
+
+
+def graph_state(mentions: DataFrame, relations: DataFrame) -> GraphState:
+    """The state after a set of documents; its tables are written."""
+    found, related = written(_mentions_by_document(mentions), "mention-docs"), written(_relations_by_document(relations), "relation-docs")
+    return GraphState(found, related, written(_whole(found, _VERTEX), "vertex-state"), written(_whole(related, _EDGE), "edge-state"))
+
+
+def _changed(whole: DataFrame, docs: DataFrame, gone: DataFrame, new: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Per-document rows and sums after documents went and came.
+
+    Sums change by signed deltas: what came counts plus, what went minus, both merged by key before they meet the sums. The first stays, or a
+    new one takes its place; only where the first's own document went, the next is looked up among the key's documents. Keys
+    without documents go.
+    """
+    left = docs.join(gone, "doc_id", "left_semi")
+    kept = written(docs.join(gone, "doc_id", "left_anti").unionByName(new), "kept-docs")
+    timed = "seen" in docs.columns
+    sign = lambda df, s: df.select(*key, (F.col("n") * s).alias("n"), F.lit(s).cast("long").alias("documents"), *([F.when(F.lit(s > 0), F.col("seen")).alias("seen")] if timed else []), F.when(F.lit(s > 0), F.col("f")).alias("f"), F.when(F.lit(s < 0), F.struct("f", *(["seen"] if timed else []))).alias("went"))
+    least = [F.min("seen").alias("seen")] if timed else []
+    delta = sign(new, 1).unionByName(sign(left, -1)).groupBy(*key).agg(F.sum("n").alias("n"), F.sum("documents").alias("documents"), F.min("f").alias("f"), F.min("went.f").alias("lost"), *least, *([F.min("went.seen").alias("lost_seen")] if timed else []))
+    o, d = whole.alias("o"), delta.alias("d")
+    met = o.join(d, [F.col(f"o.{k}") == F.col(f"d.{k}") for k in key], "full_outer")
+    add = lambda c: (F.coalesce(f"o.{c}", F.lit(0)) + F.coalesce(f"d.{c}", F.lit(0))).alias(c)
+    lost = F.col("d.lost") <= F.col("o.f")
+    if timed:
+        lost |= F.col("d.lost_seen") <= F.col("o.seen")
+    times = [F.least("o.seen", "d.seen").alias("seen")] if timed else []
+    first = F.when(F.col("o.f").isNull() | (F.col("d.f") < F.col("o.f")), F.col("d.f")).otherwise(F.col("o.f"))
+    sums = written(met.select(*(F.coalesce(f"o.{k}", f"d.{k}").alias(k) for k in key), first.alias("f"), *times, add("n"), add("documents"), F.coalesce(lost, F.lit(False)).alias("open")).filter("documents > 0"), "sums")
+    again = _whole(kept.join(sums.filter("open").select(*key), key, "left_semi"), key).select(*whole.columns)
+    return kept, written(sums.filter("NOT open").select(*whole.columns).unionByName(again), "state")
+
+
+def change_graph(state: GraphState, gone: DataFrame, mentions: DataFrame, relations: DataFrame) -> GraphState:
+    """The state after documents went (gone: doc_id) and others came, with their mentions and relations. An edited document goes and comes in
+    one change. The result equals the state of what is left, built anew. Canonical names and edges are not null."""
+    ids = gone.select("doc_id").distinct()
+    found = _changed(state.vertices, state.mention_docs, ids, written(_mentions_by_document(mentions), "new-mentions"), _VERTEX)
+    related = _changed(state.edges, state.relation_docs, ids, written(_relations_by_document(relations), "new-relations"), _EDGE)
+    return GraphState(found[0], related[0], found[1], related[1])
+
+
+def visible_graph(state: GraphState) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Vertices, mention edges and the relation edges whose ends are known, as rebuild_graph has them."""
+    v = state.vertices.select("canonical", "f.name", F.col("f.type").alias("entity_type"), F.col("seen").alias("first_seen"), F.col("n").alias("mention_count"), F.col("documents").alias("document_count"))
+    known = state.edges.join(v.select(F.col("canonical").alias("src")), "src", "left_semi").join(v.select(F.col("canonical").alias("dst")), "dst", "left_semi")
+    edges = known.select("src", "dst", "rel", F.col("n").alias("weight"), "f.description", "f.confidence", F.col("f.at.doc_id").alias("source_document_id"))
+    return v, state.mention_docs.select("canonical", "doc_id"), edges
+
+
 def search_entities(vertices: DataFrame, text: str, type: str | None = None, most: int = 20) -> DataFrame:
     rows = vertices.filter(F.contains("canonical", F.lit(text.lower())))
     if type is not None:

@@ -82,6 +82,26 @@ def merge_graph(spark, sf):
     return out.unionByName(e.select(F.lit("edge").alias("part"), F.col("src").alias("a"), F.col("dst").alias("b"), F.col("rel").alias("c"), F.col("weight").alias("n"), F.lit(None).cast("long").alias("k")))
 
 
+_STAY = "doc_id % 5 <> 0 OR doc_id % 7 = 0"
+_LEFT = f"""canon_mentions AS (SELECT *, {canonical_sql("name")} AS canonical FROM (SELECT * REPLACE (CASE WHEN doc_id % 7 = 0 THEN 'New ' || name ELSE name END AS name) FROM mentions WHERE {_STAY})),
+canon_relations AS (SELECT *, {canonical_sql("source")} AS src, {canonical_sql("target")} AS dst, upper(regexp_replace(type, '[^A-Za-z0-9_]', '_', 'g')) AS rel FROM (SELECT * REPLACE (CASE WHEN doc_id % 7 = 0 THEN 'New ' || source ELSE source END AS source) FROM relations WHERE {_STAY})),
+vertices AS ({t.SQL["vertices"]}), edges AS ({t.SQL["edges"]})"""
+
+
+@query("change_graph", with_tables("mentions", "relations", more=_LEFT) + """SELECT 'vertex' AS part, canonical AS a, name AS b, entity_type AS c, mention_count::BIGINT AS n, document_count::BIGINT AS k, first_seen::VARCHAR AS at FROM vertices
+UNION ALL SELECT 'edge', src, dst, rel, weight::BIGINT, source_document_id, description FROM edges""")
+def change_graph(spark, sf):
+    """The graph of the even documents; then every fifth goes, every seventh comes back with other names, and the odd ones come."""
+    mentions, relations = t.mentions(spark, sf), t.relations(spark, sf)
+    state = G.graph_state(mentions.filter("doc_id % 2 = 0"), relations.filter("doc_id % 2 = 0"))
+    gone = mentions.select("doc_id").filter("doc_id % 2 = 0 AND (doc_id % 5 = 0 OR doc_id % 7 = 0)")
+    new = f"doc_id % 7 = 0 OR (doc_id % 2 = 1 AND ({_STAY}))"
+    renamed = lambda df, c: df.filter(new).withColumn(c, F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("New "), c)).otherwise(F.col(c)))
+    v, _, e = G.visible_graph(G.change_graph(state, gone, renamed(mentions, "name"), renamed(relations, "source")))
+    out = v.select(F.lit("vertex").alias("part"), F.col("canonical").alias("a"), F.col("name").alias("b"), F.col("entity_type").alias("c"), F.col("mention_count").alias("n"), F.col("document_count").alias("k"), F.date_format("first_seen", "yyyy-MM-dd HH:mm:ss").alias("at"))
+    return out.unionByName(e.select(F.lit("edge").alias("part"), F.col("src").alias("a"), F.col("dst").alias("b"), F.col("rel").alias("c"), F.col("weight").alias("n"), F.col("source_document_id").alias("k"), F.col("description").alias("at")))
+
+
 @query("search_entities", with_tables("vertices") + "SELECT canonical, document_count FROM vertices WHERE contains(canonical, 'brand#1') AND entity_type = 'product' ORDER BY document_count DESC, canonical LIMIT 3")
 def search_entities(spark, sf):
     return G.search_entities(_vertices(spark, sf), "Brand#1", "product", 3).select("canonical", "document_count")

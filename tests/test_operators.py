@@ -107,6 +107,24 @@ def test_merge_equals_rebuild(spark):
     assert e.first().rel == "MADE_OF" and e.first().confidence == 0.5
 
 
+def test_changes_equal_a_rebuild(spark):
+    """Documents come, change and go; the first of a name goes and the next takes its place; an end becomes known and unknown again."""
+    import random
+
+    pick = random.Random(8)
+    names = ["Acme Inc", "acme", "The Acme", "Bolt", "Bolt GmbH", "Cog", "Dash"]
+    make = lambda d: ([(d, p, pick.choice(names[: 5 + d % 3]), pick.choice(["t", None]), pick.randint(0, 9)) for p in range(pick.randint(0, 4))], [(d, p, pick.choice(names), pick.choice(names), "r", None, f"d{d}{p}", pick.randint(0, 9)) for p in range(pick.randint(0, 3))])
+    frames = lambda held: (spark.createDataFrame([r for m, _ in held.values() for r in m], "doc_id long, position int, name string, type string, created_at long"), spark.createDataFrame([r for _, s in held.values() for r in s], "doc_id long, position int, source string, target string, type string, confidence double, description string, created_at long"))
+    held = {d: make(d) for d in range(12)}
+    state = graph.graph_state(*frames(held))
+    for gone, come in (([0, 1, 2, 3], [2, 20]), ([d for d in range(4, 12)] + [99], [5, 6]), (list(range(30)), [])):
+        new = {d: make(d) for d in come}
+        held = {d: x for d, x in held.items() if d not in gone} | new
+        state = graph.change_graph(state, spark.createDataFrame([(d,) for d in gone], "doc_id long"), *frames(new))
+        for ours, theirs in zip(graph.visible_graph(state), graph.rebuild_graph(*frames(held))):
+            assert sorted(map(str, ours.select(theirs.columns).collect())) == sorted(map(str, theirs.collect()))
+
+
 def test_costs(spark):
     rows = spark.createDataFrame([(1, "p", "small-1", 1000, 500), (2, "p", "large-2", 1000, 1000), (3, "q", "x", 5, 5)], "id int, provider string, model string, input_tokens long, output_tokens long")
     prices = spark.createDataFrame([(1, "p", "small*", 0.003, 0.015), (2, "p", "large-?", 0.015, 0.075)], "priority int, provider string, glob string, input_price double, output_price double")
