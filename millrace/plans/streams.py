@@ -10,8 +10,10 @@ from millrace.plans import testbed as t
 from millrace.functions.text import content_hash, count_tokens, hard_split
 from millrace.plans.testbed import CHUNK_TOKENS, with_tables
 from millrace.plans.texts import _COUNTS, _GREEDY
+from millrace.plans.usage import _OPENED
 from millrace.sources.shared import shared_dir
 from millrace.streaming import jobs as N
+from millrace.streaming import stateful as W
 from millrace.streaming import uploads as U
 
 Q, SQL = {}, {}
@@ -110,3 +112,52 @@ def upload_stream(spark, sf):
     out = out.unionByName(lake["diffs"].select(F.lit("diff").alias("kind"), "file_id", "version", none("string", "hash"), *counts, "justification"))
     kept = lake["chunks"].filter("reused").groupBy("file_id", "version").agg(F.count(F.lit(1)).alias("unchanged"))
     return out.unionByName(kept.select(F.lit("reused").alias("kind"), "file_id", "version", none("string", "hash"), "unchanged", none("long", "changed"), none("string", "justification")))
+
+
+def _in_turn(spark, frames, name):
+    """Frames written one after the other, as a stream that takes a file a batch."""
+    base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for rows in frames:
+        rows.coalesce(1).write.mode("append").parquet(f"{base}/in")
+    return N.read_stream(spark, f"{base}/in", frames[0].schema, 1), base
+
+
+@query("progress_changes", """WITH e AS (SELECT user_id AS file_id, CASE event_type WHEN 'purchase' THEN 'complete' ELSE event_type END AS stage, ts::TIMESTAMP AS moment FROM events),
+l AS (SELECT file_id, max(moment) AS moment, arg_max(stage, (moment, stage)) AS stage FROM e GROUP BY 1), p AS (SELECT *, (SELECT max(moment) FROM e) - INTERVAL 10 MINUTE AS mark FROM l)
+SELECT file_id, stage, moment AS "at", stage IN ('complete', 'error', 'failed') AS terminal FROM p UNION ALL SELECT file_id, 'timeout', moment, true FROM p WHERE stage NOT IN ('complete', 'error', 'failed') AND epoch_ms(moment) + 300000 < epoch_ms(mark)""")
+def progress_changes(spark, sf):
+    stream, base = _replayed(spark, _progress(spark, sf).coalesce(1), "progress")
+    with W.rocksdb(spark):
+        return _collected(W.progress_changes(stream), base).drop("progress")
+
+
+@query("rate_limit_stream", with_tables("ledger", more=_OPENED) + """SELECT id, caller_service AS key, nth, nth <= 5 AS allowed, greatest(0, 5 - nth)::BIGINT AS remaining, ceil((epoch_us(start) + 3600000000 - epoch_us(created_at)) / 1000000)::BIGINT AS reset_in FROM n""")
+def rate_limit_stream(spark, sf):
+    """The ledger in four batches that follow one another."""
+    rows = t.ledger(spark, sf).select("id", "caller_service", "created_at")
+    edge = rows.select(F.expr("percentile(unix_micros(CAST(created_at AS timestamp)), array(0.25, 0.5, 0.75))")).first()[0]
+    at = F.unix_micros(F.col("created_at").cast("timestamp"))
+    frames = [rows.filter((at >= (edge[k - 1] if k else -(1 << 62))) & (at < (edge[k] if k < 3 else 1 << 62))) for k in range(4)]
+    stream, base = _in_turn(spark, frames, "limited")
+    with W.rocksdb(spark):
+        return _collected(W.rate_limit_stream(stream, "caller_service", 5, 3600), base)
+
+
+_STATES = with_tables("files", "docs", more="""f AS (SELECT file_id, CASE WHEN file_id % 3 = 0 THEN 'processed' ELSE status END AS status FROM files WHERE deleted_at IS NULL AND file_id % 11 <> 0),
+d AS (SELECT coalesce(category, 'none') AS category FROM docs WHERE is_current)""")
+
+
+@query("dashboard_changes", _STATES + """SELECT 'file_status' AS section, status AS item, count(*) AS n FROM f GROUP BY 2 UNION ALL SELECT 'category', category, count(*) FROM d GROUP BY 2
+UNION ALL SELECT 'total', 'files', count(*) FROM f UNION ALL SELECT 'total', 'documents', count(*) FROM d UNION ALL SELECT 'total', 'pending', count(*) FROM f WHERE status = 'pending' UNION ALL SELECT 'total', 'active', count(*) FROM f WHERE status = 'processing'""")
+def dashboard_changes(spark, sf):
+    """All files and first versions; then every third file is processed, every eleventh deleted, and second versions take the place of first ones."""
+    files = t.files(spark, sf).select("file_id", "status", "deleted_at", F.lit(1).alias("at"))
+    docs = t.docs(spark, sf).select("doc_id", "category", F.lit(1).alias("at"), "is_current", "version")
+    moved = files.filter("file_id % 3 = 0 OR file_id % 11 = 0").withColumn("status", F.lit("processed")).withColumn("deleted_at", F.when(F.col("file_id") % 11 == 0, F.lit("2024-07-01").cast("timestamp")).otherwise(F.col("deleted_at")))
+    stamp = lambda df, k: df.withColumn("at", F.timestamp_seconds(F.lit(1_700_000_000 + k)))
+    first = docs.filter("version = 1").withColumn("is_current", F.lit(True)).drop("version")
+    later = docs.filter("version = 2 OR NOT is_current").drop("version")
+    f, base = _in_turn(spark, [stamp(files, 0), stamp(moved, 60)], "states")
+    d, _ = _in_turn(spark, [stamp(first, 0), stamp(later, 60)], "states")
+    W.dashboard_stream(f, d, f"{base}/lake", f"{base}/check").awaitTermination()
+    return W.dashboard(spark, f"{base}/lake")
