@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import let
+from millrace.operators.graph import FOLDER_CAPS, document_digest
 from millrace.sources.shared import written
 
 #: Shares of a folder's names that are sorted apart.
@@ -116,6 +117,16 @@ def folder_digest(paths: DataFrame, files: DataFrame, titles: int = 5) -> DataFr
     return out.select("id", "path", F.coalesce("n", F.lit(0)).alias("file_count"), F.coalesce("files", F.lit("")).alias("files"), depth).orderBy(F.desc("depth"), "path")
 
 
+def folder_documents(paths: DataFrame, files: DataFrame, documents: DataFrame) -> DataFrame:
+    """For every folder the digests (see document_digest) of the current documents of its whole subtree's processed files that are not
+    deleted: id, depth, then the digest. A document is cut down once, where it lies; then a row goes to each folder above
+    it, which is the result's own size. Folders are met by id, in a table of folders and the folders above them."""
+    ready = files.filter("deleted_at IS NULL AND status = 'processed'").select(F.col("file_id").alias("source_file_id"), "folder_id")
+    digests = document_digest(documents.filter("is_current"), FOLDER_CAPS, 500)
+    above = paths.select(F.col("id").alias("folder_id"), F.explode(ancestors()).alias("path")).join(paths.select("id", "path", (F.size(F.split("path", "/")) - 1).alias("depth")), "path")
+    return digests.join(ready, "source_file_id").join(above.select("folder_id", "id", "depth"), "folder_id").select("id", "depth", *digests.columns)
+
+
 def folder_contents(folders: DataFrame, files: DataFrame, links: DataFrame) -> DataFrame:
     """What each folder shows: folder_id (null: the root), kind, id, name, tags, and the place in its list: folders by name, then files
     that are not deleted, newest first."""

@@ -311,8 +311,16 @@ def ego_network(documents: DataFrame, name: str, most: int = 50) -> DataFrame:
     return others.groupBy("node").agg(F.count(F.lit(1)).alias("connections"), F.array_join(F.sort_array(F.collect_set("type")), ",").alias("types")).orderBy(F.desc("connections"), "node").limit(most)
 
 
-def entity_network(documents: DataFrame, partners: int = 5) -> DataFrame:
-    """The cross-document table: canonical name, type of the first mention, documents, mentions, and the entities named with it most often.
+def ego_edges(documents: DataFrame, name: str, most: int = 50) -> DataFrame:
+    """The edges of ego_network: the relationships with an end whose name holds the given one, the surest first."""
+    low = F.lit(name.lower())
+    rows = _relationships(documents).filter(F.contains(F.lower("source"), low) | F.contains(F.lower("target"), low))
+    return rows.orderBy(F.desc("confidence"), "doc_id", "position").limit(most).select("source", "target", "type", "description", "confidence", "doc_id")
+
+
+def entity_network(documents: DataFrame, partners: int = 5, contexts: int = 5) -> DataFrame:
+    """The cross-document table: canonical name, type of the first mention, documents, mentions, the first `contexts` different contexts, and the
+    entities named with it most often.
 
     Pairs are made of all entities of a document. Its names are cut into blocks of about PAIR_BLOCK, and each two blocks
     meet by themselves, so a long list is spread over tasks.
@@ -330,7 +338,9 @@ def entity_network(documents: DataFrame, partners: int = 5) -> DataFrame:
     counts = half.select("n", F.explode(sides).alias("s")).select("s.canonical", "s.partner", "n")
     best = counts.withColumn("k", F.row_number().over(Window.partitionBy("canonical").orderBy(F.desc("n"), "partner"))).filter(F.col("k") <= partners)
     top = best.groupBy("canonical").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "partner"))), lambda x: x["partner"]), ",").alias("partners"))
-    return main.join(top, "canonical", "left").select("canonical", "type", "documents", "mentions", F.coalesce("partners", F.lit("")).alias("partners"))
+    said = first_values(rows, ["canonical"], "context", contexts, "|").select("k.canonical", F.col("context").alias("contexts"))
+    out = main.join(top, "canonical", "left").join(said, "canonical", "left")
+    return out.select("canonical", "type", "documents", "mentions", F.coalesce("contexts", F.lit("")).alias("contexts"), F.coalesce("partners", F.lit("")).alias("partners"))
 
 
 def people_directory(documents: DataFrame, shown: int = 100) -> DataFrame:
@@ -359,3 +369,22 @@ def gather_scope(documents: DataFrame, scope: str, most: int) -> DataFrame:
     if scope.startswith("category:"):
         rows = rows.filter(F.col("category") == scope.removeprefix("category:"))
     return rows.orderBy(F.desc("created_at"), F.desc("doc_id")).limit(most).select("doc_id", "title", "category", F.substring("summary", 1, 500).alias("summary"))
+
+
+#: How much of a document's lists goes into the digest of a scope, and into that of a folder.
+SCOPE_CAPS = {"entities": 20, "people": 10, "relationships": 15, "tags": 15, "dates": 8, "metrics": 8, "cross_references": 5, "key_quotes": 3, "sections": 10}
+FOLDER_CAPS = {"entities": 20, "people": 10, "relationships": 10, "tags": 10, "dates": 5, "key_quotes": 3}
+
+
+def document_digest(documents: DataFrame, caps: dict[str, int], summary: int) -> DataFrame:
+    """Each document's title, category, the beginning of its summary and the beginnings of those of its lists that it has; null lists are
+    empty."""
+    lists = [F.slice(F.coalesce(F.col(c), F.array().cast(documents.schema[c].dataType)), 1, n).alias(c) for c, n in caps.items() if c in documents.columns]
+    keep = [c for c in ("doc_id", "source_file_id", "title", "category", "created_at") if c in documents.columns]
+    return documents.select(*keep, F.substring(F.coalesce("summary", F.lit("")), 1, summary).alias("summary"), *lists)
+
+
+def scope_digest(documents: DataFrame, scope: str, most: int) -> DataFrame:
+    """The digests of a scope's newest documents (see gather_scope), with summaries of 400."""
+    rows = gather_scope(documents, scope, most).select("doc_id").join(documents.filter("is_current"), "doc_id")
+    return document_digest(rows, SCOPE_CAPS, 400)

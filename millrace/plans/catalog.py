@@ -8,6 +8,7 @@ from millrace.operators import folders as J
 from millrace.operators import registry as B
 from millrace.operators import stats as H
 from millrace.plans import testbed as t
+from millrace.plans.network import _LISTS, shown, with_lists
 from millrace.plans.testbed import with_tables
 
 Q, SQL = {}, {}
@@ -196,6 +197,15 @@ def folder_digest(spark, sf):
     return J.folder_digest(_paths(spark, sf), t.folder_files(spark, sf))
 
 
+@query("folder_documents", with_tables("paths", "folder_files", "docs", "ents", "rels", more="""f AS (SELECT file_id, string_split(path, '/') AS parts FROM folder_files JOIN paths ON folder_id = id WHERE deleted_at IS NULL AND status = 'processed'),
+up AS (SELECT file_id, array_to_string(parts[1:n], '/') AS path FROM (SELECT file_id, parts, unnest(range(2, len(parts) + 1)) AS n FROM f))""") + _LISTS.format(n=10) + """
+SELECT paths.id, (len(string_split(up.path, '/')) - 1)::INT AS depth, doc_id, title, category, substr(summary, 1, 500) AS summary, coalesce(entities, '') AS entities, coalesce(relationships, '') AS relationships
+FROM up JOIN paths ON up.path = paths.path JOIN docs ON docs.source_file_id = up.file_id AND docs.is_current LEFT JOIN e USING (doc_id) LEFT JOIN r USING (doc_id)""")
+def folder_documents(spark, sf):
+    found = J.folder_documents(_paths(spark, sf), t.folder_files(spark, sf), with_lists(spark, sf))
+    return found.select("id", "depth", "doc_id", "title", "category", "summary", *shown(found))
+
+
 _FTAGS = "ftags AS (SELECT o_orderkey AS file_id, lower(o_orderpriority) AS name FROM orders UNION ALL SELECT o_orderkey, lower(o_orderstatus) FROM orders)"
 
 

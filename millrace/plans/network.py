@@ -186,10 +186,16 @@ def ego_network(spark, sf):
     return G.ego_network(t.entities(spark, sf), "that")
 
 
+@query("ego_edges", with_tables("rels") + """SELECT source, target, type, description, confidence, doc_id FROM rels WHERE is_current AND (contains(lower(source), 'that') OR contains(lower(target), 'that')) ORDER BY confidence DESC, doc_id, position LIMIT 50""")
+def ego_edges(spark, sf):
+    return G.ego_edges(t.entities(spark, sf), "that")
+
+
 @query("entity_network", with_tables("ents", more=f"c AS (SELECT *, {canonical_sql('name')} AS canonical FROM ents WHERE is_current)") + """, m AS (SELECT canonical, arg_min(type, (created_at, doc_id, name)) AS type, count(DISTINCT doc_id) AS documents, sum(mentions)::BIGINT AS mentions FROM c WHERE canonical <> '' GROUP BY 1),
 d AS (SELECT DISTINCT doc_id, canonical FROM c WHERE canonical <> ''), p AS (SELECT x.canonical, y.canonical AS partner, count(*) AS n FROM d x JOIN d y ON x.doc_id = y.doc_id AND x.canonical <> y.canonical GROUP BY 1, 2),
-k AS (SELECT *, row_number() OVER (PARTITION BY canonical ORDER BY n DESC, partner) AS k FROM p), g AS (SELECT canonical, string_agg(partner, ',' ORDER BY k) AS partners FROM k WHERE k <= 5 GROUP BY 1)
-SELECT canonical, type, documents, mentions, coalesce(partners, '') AS partners FROM m LEFT JOIN g USING (canonical)""")
+k AS (SELECT *, row_number() OVER (PARTITION BY canonical ORDER BY n DESC, partner) AS k FROM p), g AS (SELECT canonical, string_agg(partner, ',' ORDER BY k) AS partners FROM k WHERE k <= 5 GROUP BY 1),
+s AS (SELECT canonical, array_to_string(list_sort(list(DISTINCT context))[1:5], '|') AS contexts FROM c GROUP BY 1)
+SELECT canonical, type, documents, mentions, coalesce(contexts, '') AS contexts, coalesce(partners, '') AS partners FROM m LEFT JOIN g USING (canonical) LEFT JOIN s USING (canonical)""")
 def entity_network(spark, sf):
     return G.entity_network(t.entities(spark, sf))
 
@@ -214,3 +220,25 @@ def timeline(spark, sf):
 @query("gather_scope", with_tables("docs") + "SELECT doc_id, title, category, summary FROM docs WHERE is_current AND category = 'research' ORDER BY created_at DESC, doc_id DESC LIMIT 40")
 def gather_scope(spark, sf):
     return G.gather_scope(t.docs(spark, sf), "category:research", 40)
+
+
+def with_lists(spark, sf):
+    """Documents with their summaries and the lists that an analysis gives."""
+    return t.entities(spark, sf).join(t.docs(spark, sf).select("doc_id", "source_file_id", "summary"), "doc_id")
+
+
+def shown(digest):
+    """A digest's lists as text."""
+    names = F.array_join(F.transform("entities", lambda e: F.concat_ws("/", e["name"], e["type"])), ",")
+    ends = F.array_join(F.transform("relationships", lambda r: F.concat_ws(">", r["source"], r["target"])), ",")
+    return names.alias("entities"), ends.alias("relationships")
+
+
+_LISTS = """, e AS (SELECT doc_id, string_agg(name || '/' || type, ',' ORDER BY position) AS entities FROM ents WHERE position <= 20 GROUP BY 1), r AS (SELECT doc_id, string_agg(source || '>' || target, ',' ORDER BY position) AS relationships FROM rels WHERE position <= {n} GROUP BY 1)"""
+
+
+@query("scope_digest", with_tables("docs", "ents", "rels") + _LISTS.format(n=15) + """
+SELECT doc_id, title, category, substr(summary, 1, 400) AS summary, coalesce(entities, '') AS entities, coalesce(relationships, '') AS relationships FROM (SELECT * FROM docs WHERE is_current AND category = 'research' ORDER BY created_at DESC, doc_id DESC LIMIT 40) d LEFT JOIN e USING (doc_id) LEFT JOIN r USING (doc_id)""")
+def scope_digest(spark, sf):
+    found = G.scope_digest(with_lists(spark, sf), "category:research", 40)
+    return found.select("doc_id", "title", "category", "summary", *shown(found))

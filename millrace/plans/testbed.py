@@ -41,7 +41,7 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with the arrays that an analysis gives: entities and relationships of capitalised words."""
-    names = "regexp_extract_all(body, '[A-Z][a-z]{3,7}', 0)"
+    names = "regexp_extract_all(body, '[A-Z][a-z]{3,}', 0)"
     base = docs(spark, sf_dir).selectExpr("doc_id", "title", "category", "created_at", "is_current", f"{names} AS names")
     return base.selectExpr(
         "doc_id", "title", "category", "created_at", "is_current", "names",
@@ -81,7 +81,7 @@ def memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.selectExpr(
         "q.conv_id * 1000 + q.turn AS id", "q.text AS question", "a.text AS answer", "CASE WHEN q.conv_id % 7 < 6 THEN concat('theme-', q.conv_id % 7) END AS theme", "CAST(q.conv_id % 10 AS double) / 10 AS confidence",
         "CAST(size(split(q.text, ' ')) + coalesce(size(split(a.text, ' ')), 0) AS bigint) AS tokens_used", "q.conv_id % 3 = 0 AS led_to_analysis",
-        "timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, q.conv_id * 10 + q.turn) AS created_at", "slice(split(a.text, '\n'), 1, 3) AS follow_ups",
+        "timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, q.conv_id * 10 + q.turn) AS created_at", "split(a.text, '\n') AS follow_ups",
     )
 
 
@@ -127,7 +127,7 @@ SQL = {
     "docs1": f"""SELECT doc_id, doc_id AS source_file_id, substr(string_split(text, chr(10))[1], 1, 60) AS title, substr(text, 1, 500) AS summary, {_CATEGORY} AS category, text AS body,
         TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id * 60) AS created_at, 1 AS version, doc_id % 10 <> 0 AS is_current FROM documents""",
     "docs": """SELECT * FROM docs1 UNION ALL SELECT doc_id + 1000000, source_file_id, title, summary, category, body || ' Revised.', created_at + INTERVAL 30 DAY, 2, true FROM docs1 WHERE doc_id % 10 = 0""",
-    "entities": """SELECT doc_id, title, category, created_at, is_current, regexp_extract_all(body, '[A-Z][a-z]{3,7}') AS names FROM docs""",
+    "entities": """SELECT doc_id, title, category, created_at, is_current, regexp_extract_all(body, '[A-Z][a-z]{3,}') AS names FROM docs""",
     "ents": """SELECT doc_id, title, category, created_at, is_current, i AS position, names[i] AS name, CASE length(names[i]) % 3 WHEN 0 THEN 'person' WHEN 1 THEN 'organization' ELSE 'concept' END AS type,
         substr(names[i], 1, 1) AS context, length(names[i]) AS mentions FROM (SELECT *, unnest(range(1, len(names) + 1)) AS i FROM entities)""",
     "rels": """SELECT doc_id, title, created_at, is_current, i AS position, names[i] AS source, names[i + 1] AS target, CASE i % 2 WHEN 0 THEN 'works with' ELSE 'part-of' END AS type, (i % 10)::DOUBLE / 10 AS confidence, 'r' || i AS description
@@ -141,7 +141,7 @@ SQL = {
         (json_extract_string(props, '$.k')::BIGINT * 3 + floor(value)::BIGINT * 15)::DOUBLE / 1000 AS cost, json_extract_string(props, '$.k')::BIGINT + floor(value)::BIGINT AS total_tokens FROM events""",
     "memory": """SELECT q.conv_id * 1000 + q.turn AS id, q.text AS question, a.text AS answer, CASE WHEN q.conv_id % 7 < 6 THEN 'theme-' || (q.conv_id % 7) END AS theme, (q.conv_id % 10)::DOUBLE / 10 AS confidence,
         (len(string_split(q.text, ' ')) + coalesce(len(string_split(a.text, ' ')), 0))::BIGINT AS tokens_used, q.conv_id % 3 = 0 AS led_to_analysis,
-        TIMESTAMP '2024-01-01 00:00:00' + to_minutes(q.conv_id * 10 + q.turn) AS created_at, string_split(a.text, chr(10))[1:3] AS follow_ups
+        TIMESTAMP '2024-01-01 00:00:00' + to_minutes(q.conv_id * 10 + q.turn) AS created_at, string_split(a.text, chr(10)) AS follow_ups
         FROM conversations q LEFT JOIN conversations a ON q.conv_id = a.conv_id AND a.turn = q.turn + 1 AND a.role = 'assistant' WHERE q.role = 'user'""",
     "folders": """SELECT 'r' || r_regionkey AS id, r_name AS name, NULL::VARCHAR AS parent_id FROM region UNION ALL SELECT 'n' || n_nationkey, n_name, 'r' || n_regionkey FROM nation UNION ALL SELECT 'c' || c_custkey, c_name, 'n' || c_nationkey FROM customer""",
     "paths": """SELECT f.id, f.name, f.parent_id, CASE WHEN g.id IS NULL THEN '/' || f.name WHEN p.id IS NULL THEN '/' || g.name || '/' || f.name ELSE '/' || p.name || '/' || g.name || '/' || f.name END AS path

@@ -230,7 +230,7 @@ def _answers(spark, sf):
     """What a model might have said of each document, with noise around it."""
     body = F.to_json(F.struct(
         F.concat(F.lit("T"), "doc_id").alias("title"), F.expr("CASE doc_id % 3 WHEN 0 THEN 'Mostly Technical' WHEN 1 THEN 'research/business' END").alias("category"), F.array(F.col("lang"), F.concat(F.lit(" Source "), "source"), F.lit("x")).alias("tags"),
-        F.array(F.struct(F.col("source").alias("name"), F.when(F.expr("doc_id % 2 = 0"), "origin").alias("type"), F.substring("text", 1, 300).alias("context")), F.struct(F.lit("").alias("name"), F.lit("y").alias("type"), F.lit("z").alias("context"))).alias("entities"),
+        F.array(F.struct(F.col("source").alias("name"), F.when(F.expr("doc_id % 2 = 0"), "origin").alias("type"), F.col("text").alias("context")), F.struct(F.lit("").alias("name"), F.lit("y").alias("type"), F.lit("z").alias("context"))).alias("entities"),
         F.array(F.struct(F.concat(F.lit("P"), F.col("doc_id") % 50).alias("name"), F.lit("author").alias("role"), F.lit("").alias("email"))).alias("people"),
         F.array(F.struct(F.col("source").alias("source"), F.col("lang").alias("target"), F.lit("").alias("type")), F.struct(F.col("source").alias("source"), F.lit(None).cast("string").alias("target"), F.lit("t").alias("type"))).alias("relationships")))
     noisy = F.when(F.expr("doc_id % 4 = 0"), body).when(F.expr("doc_id % 4 = 1"), F.concat(F.lit("Here:\n```json\n"), body, F.lit("\n```\nDone"))).when(F.expr("doc_id % 4 = 2"), F.concat(F.lit("```\nnot json {\n```"), F.lit(""))).otherwise(body)
@@ -238,7 +238,7 @@ def _answers(spark, sf):
 
 
 @query("parse_model_json", """SELECT doc_id, CASE WHEN doc_id % 4 <> 2 THEN 'T' || doc_id END AS title, CASE WHEN doc_id % 4 <> 2 AND doc_id % 3 = 0 THEN 'Mostly Technical' WHEN doc_id % 4 <> 2 AND doc_id % 3 = 1 THEN 'research/business' END AS category,
-CASE WHEN doc_id % 4 <> 2 THEN ' Source ' || source END AS tag, CASE WHEN doc_id % 4 <> 2 THEN sha256(substr(text, 1, 300)) END AS context, CASE WHEN doc_id % 4 <> 2 THEN 'P' || (doc_id % 50) END AS person FROM documents""")
+CASE WHEN doc_id % 4 <> 2 THEN ' Source ' || source END AS tag, CASE WHEN doc_id % 4 <> 2 THEN sha256(text) END AS context, CASE WHEN doc_id % 4 <> 2 THEN 'P' || (doc_id % 50) END AS person FROM documents""")
 def parse_model_json(spark, sf):
     found = _answers(spark, sf).select("doc_id", D.parse_model_json(F.col("answer")).alias("found"))
     get = lambda path: F.get_json_object("found", path)

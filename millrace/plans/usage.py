@@ -169,6 +169,18 @@ def assemble_markdown(spark, sf):
     return E.assemble_markdown(t.docs(spark, sf), E.generate_citations(t.chunks(spark, sf)))
 
 
+@query("assemble_full_markdown", with_tables("chunks", "docs", more=_CITED) + r""", l AS (SELECT doc_id, string_agg('[' || citation_index || '] ' || source_locator, chr(10) ORDER BY citation_index) AS lines FROM cited GROUP BY doc_id),
+q AS (SELECT doc_id, array_to_string(list_transform(string_split(body, chr(10))[1:10], lambda x: '> ' || x), chr(10) || chr(10)) AS said FROM docs)
+SELECT doc_id, sha256(concat_ws(chr(10) || chr(10), '# ' || title, summary, '## About ' || category || chr(10) || chr(10) || title || chr(10) || '- ' || category || chr(10) || '- v' || version || chr(10) || chr(10) || '## More' || chr(10) || chr(10) || category,
+  '## People' || chr(10) || chr(10) || '- ' || category || ' lead (owner)' || chr(10) || '- someone', '## Key quotes' || chr(10) || chr(10) || said, '## Citations' || chr(10) || chr(10) || lines)) AS hash FROM docs LEFT JOIN l USING (doc_id) JOIN q USING (doc_id)""")
+def assemble_full_markdown(spark, sf):
+    """The long layout: two sections, two people, the first ten lines as quotes, and the citations."""
+    docs = t.docs(spark, sf).withColumns({
+        "sections": F.expr("array(named_struct('heading', concat('About ', category), 'summary', title, 'key_points', array(category, concat('v', version))), named_struct('heading', 'More', 'summary', category, 'key_points', CAST(array() AS array<string>)))"),
+        "people": F.expr("array(named_struct('name', concat(category, ' lead'), 'role', 'owner'), named_struct('name', 'someone', 'role', CAST(NULL AS string)))"), "key_quotes": F.split("body", "\n")})
+    return E.assemble_full_markdown(docs, E.generate_citations(t.chunks(spark, sf))).select("doc_id", F.sha2("body_markdown", 256).alias("hash"))
+
+
 @query("extract_source_refs", with_tables("chunks") + """, a AS (SELECT doc_id AS id FROM documents), s AS (SELECT doc_id AS id, chunk_index AS n, doc_id, chunk_index, content FROM chunks),
 x AS (SELECT id, 2 AS n, 0 AS seen FROM a UNION SELECT id, id % 4, 1 FROM a WHERE id % 4 <> 2)
 SELECT id, n::INT AS n, row_number() OVER (PARTITION BY id ORDER BY seen)::INT AS place, doc_id, chunk_index, substr(content, 1, 200) AS quote, '/api/v1/vault/files/' || doc_id || '/download#chunk=' || chunk_index AS url FROM x JOIN s USING (id, n)""")
