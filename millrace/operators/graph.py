@@ -215,24 +215,50 @@ def shortest_path(edges: DataFrame, wanted: DataFrame, max_hops: int = 4, mentio
     """For each pair (src, dst) its shortest undirected path, of equal ones the first by names: src, dst, path, hops, total_weight. Pairs without
     a path have no row; a vertex reaches itself in 0 hops.
 
-    One breadth-first walk for each distinct src; per vertex only the first path stays. A src whose targets are all found
-    stops.
+    One breadth-first walk for each distinct src, over half of the hops; per vertex only the first path stays. A src whose targets are all
+    found stops. For the pairs that are left each distinct dst walks the other way; a pair's walks meet on a vertex that is half the hops from
+    one end and the rest from the other, and its path is the least of those put together there. So no path that is carried is
+    longer than half, and the wide levels in the middle are never walked from one end.
     """
     pairs = written(_undirected(edges, mentions), "pairs")
     open_ = written(wanted.select("src", "dst").distinct(), "wanted")
-    level = open_.select("src", F.col("src").alias("node"), F.array("src").alias("path"), F.lit(0).cast("long").alias("weight")).distinct()
-    seen, done = written(level.select("src", "node"), "seen"), []
-    for hop in range(max_hops + 1):
-        hit = open_.join(level.select("src", F.col("node").alias("dst"), "path", "weight"), ["src", "dst"])
+    half, done = -(-max_hops // 2), []
+
+    def walk(level: DataFrame, seen: DataFrame, end: str, forward: bool) -> DataFrame:
+        """The next level of the walks that are open: the vertices not seen before, each with its first path."""
+        live = level.join(open_.select(end).distinct(), end, "left_semi")
+        path = F.concat("path", F.array("b")) if forward else F.concat(F.array("b"), "path")
+        step = live.join(pairs.withColumnRenamed("weight", "w"), F.col("node") == F.col("a")).select(end, F.col("b").alias("node"), path.alias("path"), (F.col("weight") + F.col("w")).alias("weight"))
+        new = step.groupBy(end, "node").agg(F.min(F.struct("path", "weight")).alias("p")).join(seen, [end, "node"], "left_anti")
+        return written(new.select(end, "node", "p.path", "p.weight"), "level")
+
+    def start(end: str) -> DataFrame:
+        return written(open_.select(end, F.col(end).alias("node"), F.array(end).alias("path"), F.lit(0).cast("long").alias("weight")).distinct(), "level")
+
+    def settle(hit: DataFrame, hop: int) -> DataFrame:
         done.append(written(hit.select("src", "dst", F.array_join("path", " > ").alias("path"), F.lit(hop).alias("hops"), F.col("weight").alias("total_weight")), "paths"))
-        open_ = written(open_.join(done[-1].select("src", "dst"), ["src", "dst"], "left_anti"), "wanted")
-        if hop == max_hops or open_.isEmpty():
+        return written(open_.join(done[-1].select("src", "dst"), ["src", "dst"], "left_anti"), "wanted")
+
+    level = start("src")
+    seen = level.select("src", "node")
+    for hop in range(half + 1):
+        if hop:
+            level = walk(level, seen, "src", True)
+            seen = seen.unionByName(level.select("src", "node"))
+        open_ = settle(open_.join(level.withColumnRenamed("node", "dst"), ["src", "dst"]), hop)
+        if open_.isEmpty():
+            break
+    back = start("dst") if half < max_hops and not open_.isEmpty() else None
+    seen = back.select("dst", "node") if back is not None else None
+    for hop in range(half + 1, max_hops + 1) if back is not None else ():
+        back = walk(back, seen, "dst", False)
+        seen = seen.unionByName(back.select("dst", "node"))
+        ends = back.select("dst", "node", F.col("path").alias("rest"), F.col("weight").alias("w"))
+        met = open_.join(level, "src").join(ends, ["dst", "node"])
+        whole = F.struct(F.concat("path", F.slice("rest", 2, max_hops)).alias("path"), (F.col("weight") + F.col("w")).alias("weight"))
+        open_ = settle(met.groupBy("src", "dst").agg(F.min(whole).alias("p")).select("src", "dst", "p.path", "p.weight"), hop)
+        if open_.isEmpty():
             break
-        live = level.join(open_.select("src").distinct(), "src", "left_semi")
-        step = live.join(pairs.withColumnRenamed("weight", "w"), F.col("node") == F.col("a")).select("src", F.col("b").alias("node"), F.concat("path", F.array("b")).alias("path"), (F.col("weight") + F.col("w")).alias("weight"))
-        new = step.groupBy("src", "node").agg(F.min(F.struct("path", "weight")).alias("p")).join(seen, ["src", "node"], "left_anti")
-        level = written(new.select("src", "node", "p.path", "p.weight"), "level")
-        seen = seen.unionByName(level.select("src", "node"))
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)

@@ -97,6 +97,37 @@ def test_graph_walks(spark):
     assert got == {("a", "d"): ("a > b > c > d", 3, 4), ("a", "a"): ("a", 0, 0), ("d", "a"): ("d > c > b > a", 3, 4)}
 
 
+def test_paths_from_both_ends(spark):
+    """Against a plain search on random graphs, for odd and even bounds."""
+    import random
+
+    pick = random.Random(6)
+    rows = [(a, b, "R", pick.randint(1, 9)) for a, b in {tuple(pick.sample("abcdefghijklmnop", 2)) for _ in range(22)}]
+    near = {}
+    for a, b, _, w in rows:
+        for x, y in ((a, b), (b, a)):
+            near.setdefault(x, {})[y] = max(w, near.get(x, {}).get(y, 0))
+    wanted = [(a, b) for a in "abcdef" for b in "aghijklmnopz"]
+    edges, asked = spark.createDataFrame(rows, "src string, dst string, rel string, weight long"), spark.createDataFrame(wanted, "src string, dst string")
+    for most in (0, 1, 3, 4):
+        want = {}
+        for a, b in wanted:
+            level, seen = {a: [a]}, {a}
+            for hop in range(most + 1):
+                if b in level:
+                    path = level[b]
+                    want[a, b] = (" > ".join(path), hop, sum(near[x][y] for x, y in zip(path, path[1:])))
+                    break
+                after = {}
+                for node, path in level.items():
+                    for y in near.get(node, {}):
+                        if y not in seen and (y not in after or path + [y] < after[y]):
+                            after[y] = path + [y]
+                level, seen = after, seen | set(after)
+        got = {(r.src, r.dst): (r.path, r.hops, r.total_weight) for r in graph.shortest_path(edges, asked, most).collect()}
+        assert got == want
+
+
 def test_merge_equals_rebuild(spark):
     mentions = spark.createDataFrame([(d, p, n, "t", d) for d in range(6) for p, n in enumerate(["Acme Inc", "Bolt", f"E{d % 3}"])], "doc_id long, position int, name string, type string, created_at long")
     relations = spark.createDataFrame([(d, 0, "The Acme", "Bolt", "made of", None, f"d{d}", d) for d in range(6)], "doc_id long, position int, source string, target string, type string, confidence double, description string, created_at long")
