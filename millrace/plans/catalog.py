@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from millrace.operators import folders as J
 from millrace.operators import registry as B
 from millrace.operators import stats as H
 from millrace.plans import testbed as t
+from millrace.sources import skipping as X
+from millrace.sources.shared import shared_dir, written
 from millrace.plans.network import _LISTS, shown, with_lists
 from millrace.plans.testbed import with_tables
 
@@ -233,3 +237,13 @@ def resolve_paths(spark, sf):
     paths, files = _paths(spark, sf), t.folder_files(spark, sf)
     full = files.join(paths.select(F.col("id").alias("folder_id"), "path"), "folder_id").select(F.concat_ws("/", "path", "filename").alias("path"))
     return J.resolve_paths(full.unionByName(full.select(F.concat("path", F.lit("x")).alias("path"))), paths, files)
+
+
+@query("indexed_lookup", with_tables("docs") + "SELECT doc_id, source_file_id, version, sha256(body) AS hash FROM docs WHERE source_file_id IN (10, 11, 137, 990, 5000000)")
+def indexed_lookup(spark, sf):
+    """The versions of a few files, from a table of 16 files with an index of ranges and Bloom filters."""
+    path = f"{shared_dir(spark)}/clustered-{uuid.uuid4().hex}"
+    X.write_clustered(t.docs(spark, sf), path, "doc_id", 16)
+    index = written(X.index_files(spark, path, ["doc_id", "source_file_id"]), "file-index")
+    found = X.lookup(spark, path, index, "source_file_id", [10, 11, 137, 990, 5_000_000])
+    return found.select("doc_id", "source_file_id", "version", F.sha2("body", 256).alias("hash"))
