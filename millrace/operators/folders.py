@@ -117,6 +117,36 @@ def folder_digest(paths: DataFrame, files: DataFrame, titles: int = 5) -> DataFr
     return out.select("id", "path", F.coalesce("n", F.lit(0)).alias("file_count"), F.coalesce("files", F.lit("")).alias("files"), depth).orderBy(F.desc("depth"), "path")
 
 
+def _running(rows: DataFrame, order: list[str], value: str) -> DataFrame:
+    """Add before: the sum of value over all rows in front, by order. Rows are dealt by ranges; a window stands over one range, and another over one
+    row a range."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    front = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy("_part").agg(F.sum(value).alias("_sum")).select("_part", F.coalesce(F.sum("_sum").over(front), F.lit(0)).alias("_front"))
+    inside = F.coalesce(F.sum(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return dealt.withColumn("_inside", inside).join(F.broadcast(offsets), "_part").withColumn("before", F.col("_front") + F.col("_inside")).drop("_part", "_front", "_inside")
+
+
+def folder_intervals(paths: DataFrame) -> DataFrame:
+    """Each folder's place in a walk that visits a folder before what is in it, siblings by name, and the last place inside it: id, path, place, last.
+    A subtree is the range from place to last. Folders without a path have no row."""
+    walk = paths.filter("path IS NOT NULL").select("id", "path", F.split("path", "/").alias("key"), F.lit(1).cast("long").alias("one"))
+    placed = _running(walk, ["key", "id"], "one").select("id", "path", (F.col("before") + 1).alias("place"))
+    sizes = placed.select(F.explode(ancestors()).alias("path")).groupBy("path").agg(F.count(F.lit(1)).alias("size"))
+    return placed.join(sizes, "path").select("id", "path", "place", (F.col("place") + F.col("size") - 1).alias("last"))
+
+
+def subtree_sums(intervals: DataFrame, values: DataFrame) -> DataFrame:
+    """Sums of values (id, n) over each folder's whole subtree: id, n. The values' running sum by place is read at a subtree's two ends, so a folder
+    costs two lookups, however deep it lies or however much is in it."""
+    intervals = written(intervals, "intervals")
+    own = intervals.join(values.groupBy("id").agg(F.sum("n").alias("n")), "id", "left").select("place", F.coalesce("n", F.lit(0)).alias("n"))
+    sums = written(_running(own, ["place"], "n").select("place", "before", (F.col("before") + F.col("n")).alias("upto")), "running")
+    ends = intervals.join(sums.select("place", "before"), "place").join(sums.select(F.col("place").alias("last"), "upto"), "last")
+    return ends.select("id", (F.col("upto") - F.col("before")).alias("n"))
+
+
 def folder_documents(paths: DataFrame, files: DataFrame, documents: DataFrame) -> DataFrame:
     """For every folder the digests (see document_digest) of the current documents of its whole subtree's processed files that are not
     deleted: id, depth, then the digest. A document is cut down once, where it lies; then a row goes to each folder above

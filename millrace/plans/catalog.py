@@ -247,3 +247,13 @@ def indexed_lookup(spark, sf):
     index = written(X.index_files(spark, path, ["doc_id", "source_file_id"]), "file-index")
     found = X.lookup(spark, path, index, "source_file_id", [10, 11, 137, 990, 5_000_000])
     return found.select("doc_id", "source_file_id", "version", F.sha2("body", 256).alias("hash"))
+
+
+@query("folder_intervals", with_tables("paths", "folder_files", more="""o AS (SELECT id, path, row_number() OVER (ORDER BY string_split(path, '/'), id) AS place FROM paths), n AS (SELECT folder_id AS id, count(*) AS n FROM folder_files WHERE deleted_at IS NULL GROUP BY 1),
+d AS (SELECT o.id, o.place, p.place AS inner_place, coalesce(n, 0) AS n FROM o JOIN paths x ON o.id = x.id JOIN o p ON p.path = o.path OR starts_with(p.path, o.path || '/') LEFT JOIN n ON n.id = p.id)""") + """
+SELECT id, place, max(inner_place) AS last, sum(n)::BIGINT AS n FROM d GROUP BY 1, 2""")
+def folder_intervals(spark, sf):
+    """Folders as ranges, and the files that are not deleted in each whole subtree."""
+    intervals = written(J.folder_intervals(_paths(spark, sf)), "intervals")
+    files = t.folder_files(spark, sf).filter("deleted_at IS NULL").groupBy(F.col("folder_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    return intervals.select("id", "place", "last").join(J.subtree_sums(intervals, files), "id")

@@ -128,6 +128,14 @@ def test_paths_from_both_ends(spark):
         assert got == want
 
 
+def test_subtrees_are_ranges(spark):
+    paths = spark.createDataFrame([("a", "/a"), ("b", "/a/b"), ("c", "/a/b/c"), ("d", "/a b"), ("e", "/a/z"), ("f", "/q"), ("x", None)], "id string, path string")
+    got = {r.id: (r.place, r.last) for r in folders.folder_intervals(paths).collect()}
+    assert got == {"a": (1, 4), "b": (2, 3), "c": (3, 3), "e": (4, 4), "d": (5, 5), "f": (6, 6)}
+    sums = folders.subtree_sums(folders.folder_intervals(paths), spark.createDataFrame([("c", 2), ("c", 3), ("e", 1), ("f", 7), ("gone", 9)], "id string, n long"))
+    assert {r.id: r.n for r in sums.collect()} == {"a": 6, "b": 5, "c": 5, "e": 1, "d": 0, "f": 7}
+
+
 def test_merge_equals_rebuild(spark):
     mentions = spark.createDataFrame([(d, p, n, "t", d) for d in range(6) for p, n in enumerate(["Acme Inc", "Bolt", f"E{d % 3}"])], "doc_id long, position int, name string, type string, created_at long")
     relations = spark.createDataFrame([(d, 0, "The Acme", "Bolt", "made of", None, f"d{d}", d) for d in range(6)], "doc_id long, position int, source string, target string, type string, confidence double, description string, created_at long")
