@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import words
+from millrace.sources.shared import written
 
 
 def exact_matches(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -45,27 +46,62 @@ def fuzzy_scores(old: DataFrame, new: DataFrame, threshold: float) -> DataFrame:
     return both.filter(small >= large * threshold - 1e-9).select("doc_id", "old_index", "new_index", score.alias("similarity")).filter(F.col("similarity") >= threshold)
 
 
+#: Rounds of greedy_pairs before what is left of a document goes on in one group.
+ROUNDS = 6
+
+
+def greedy_pairs(scored: DataFrame) -> DataFrame:
+    """Of scored pairs (doc_id, old_index, new_index, similarity) those that are taken when each new chunk, in order, takes the best old chunk that
+    no new chunk before it has taken (ties: the first).
+
+    A new chunk whose old chunks nobody else wants takes its best at once; this is nearly all of them. The others settle in rounds: of each old
+    chunk the first new one that could take it is known, and a new chunk that is the first for its own best takes it, as whatever comes before it
+    cannot. Pairs are dealt by document and chunk, so a document of very many chunks is spread over tasks. What ROUNDS rounds
+    leave, chains in which each waits for the one before, is walked in one group a document.
+    """
+    pairs = written(scored, "scored")
+    top = lambda df: df.groupBy("doc_id", "new_index").agg(F.max(F.struct("similarity", (-F.col("old_index")).alias("o"))).alias("b")).select("doc_id", (-F.col("b.o")).cast("int").alias("old_index"), "new_index", "b.similarity")
+    wanted = pairs.groupBy("doc_id", "old_index").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id", "old_index")
+    tied = written(pairs.join(wanted, ["doc_id", "old_index"], "left_semi").select("doc_id", "new_index").distinct(), "tied")
+    taken = [top(pairs.join(tied, ["doc_id", "new_index"], "left_anti"))]
+    left = written(pairs.join(tied, ["doc_id", "new_index"], "left_semi"), "open-pairs")
+    for _ in range(ROUNDS):
+        if left.isEmpty():
+            break
+        first = left.groupBy("doc_id", "old_index").agg(F.min("new_index").alias("first"))
+        now = written(top(left).join(first, ["doc_id", "old_index"]).filter("first = new_index").drop("first"), "taken")
+        taken.append(now)
+        left = written(left.join(now.select("doc_id", "new_index"), ["doc_id", "new_index"], "left_anti").join(now.select("doc_id", "old_index"), ["doc_id", "old_index"], "left_anti"), "open-pairs")
+    else:
+        taken.append(left.groupBy("doc_id").applyInPandas(_walk, "doc_id long, old_index int, new_index int, similarity double"))
+    out = taken[0]
+    for more in taken[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _walk(pairs: pd.DataFrame) -> pd.DataFrame:
+    used: set[int] = set()
+    rows = []
+    for index, group in pairs.sort_values(["new_index", "similarity", "old_index"], ascending=[True, False, True]).groupby("new_index", sort=True):
+        free = [(o, s) for o, s in zip(group.old_index, group.similarity, strict=True) if o not in used]
+        if free:
+            used.add(free[0][0])
+            rows.append((group.doc_id.iat[0], free[0][0], index, free[0][1]))
+    return pd.DataFrame(rows, columns=["doc_id", "old_index", "new_index", "similarity"])
+
+
 def chunk_delta(old: DataFrame, new: DataFrame, threshold: float = 0.85) -> DataFrame:
     """What became of each document's chunks: doc_id, change (unchanged, modified, added, removed), old_index, new_index, similarity.
 
     Pass one is a join on (document, hash). Of the rest each new chunk, in order, takes the best old chunk that is not yet
-    taken (ties: the first) if it reaches the threshold. Only scored pairs, a few numbers each, meet in the greedy step.
+    taken (ties: the first) if it reaches the threshold (greedy_pairs). Only scored pairs, a few numbers each, meet in that step.
     """
     same = exact_matches(old, new)
     old_left = old.join(same.select("doc_id", "content_hash"), ["doc_id", "content_hash"], "left_anti")
     new_left = new.join(same.select("doc_id", "content_hash"), ["doc_id", "content_hash"], "left_anti")
 
-    def greedy(pairs: pd.DataFrame) -> pd.DataFrame:
-        used: set[int] = set()
-        rows = []
-        for index, group in pairs.sort_values(["new_index", "similarity", "old_index"], ascending=[True, False, True]).groupby("new_index", sort=True):
-            free = [(o, s) for o, s in zip(group.old_index, group.similarity, strict=True) if o not in used]
-            if free:
-                used.add(free[0][0])
-                rows.append((group.doc_id.iat[0], free[0][0], index, free[0][1]))
-        return pd.DataFrame(rows, columns=["doc_id", "old_index", "new_index", "similarity"])
-
-    pairs = fuzzy_scores(old_left, new_left, threshold).groupBy("doc_id").applyInPandas(greedy, "doc_id long, old_index int, new_index int, similarity double")
+    pairs = greedy_pairs(fuzzy_scores(old_left, new_left, threshold))
     none = F.lit(None).cast("int")
     modified = pairs.select("doc_id", F.lit("modified").alias("change"), "old_index", "new_index", "similarity")
     unchanged = same.select("doc_id", F.lit("unchanged").alias("change"), "old_index", "new_index", F.lit(1.0).alias("similarity"))

@@ -54,6 +54,27 @@ def test_greedy_takes_each_old_chunk_once(spark):
     assert got == [("modified", 0, 0), ("modified", 1, 1), ("added", None, 2)]
 
 
+@pytest.mark.parametrize("rounds", [6, 1])
+def test_greedy_pairs_against_a_walk(spark, monkeypatch, rounds):
+    import random
+
+    pick = random.Random(7)
+    monkeypatch.setattr(versions, "ROUNDS", rounds)
+    pairs = {(d, o, n): pick.choice([0.85, 0.9, 0.95]) for d in range(6) for n in range(14) for o in pick.sample(range(14), pick.randint(0, 4 if d else 12))}
+    pairs |= {(9, o, n): 0.9 for o in range(12) for n in range(12)}  # all alike: each waits for the one before
+    want = set()
+    for d in {k[0] for k in pairs}:
+        used = set()
+        for n in range(14):
+            free = sorted((-s, o) for (x, o, y), s in pairs.items() if x == d and y == n and o not in used)
+            if free:
+                used.add(free[0][1])
+                want.add((d, free[0][1], n, -free[0][0]))
+    frame = spark.createDataFrame([(*k, s) for k, s in pairs.items()], "doc_id long, old_index int, new_index int, similarity double")
+    got = [(r.doc_id, r.old_index, r.new_index, r.similarity) for r in versions.greedy_pairs(frame).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_line_diff_covers_both_sides(spark):
     a, b = "Line A\nLine B\nLine C", "Line A\nLine D\nLine C\nLine E"
     row = versions.line_diff(spark.createDataFrame([(a, b), (None, "x")], "before_text string, after_text string")).collect()
