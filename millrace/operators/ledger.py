@@ -132,7 +132,7 @@ def _openings(times: DataFrame, width: int) -> DataFrame:
     that is a window later or more.
 
     Each time's successor is in the next hour or is the first of a later one. Times after a pause of a window open one
-    in any case; from these, marks spread along 1, 2, 4, ... successors, so the rounds are the logarithm of the
+    in any case; from these, marks spread along 1, 4, 16, ... successors, so the rounds are the logarithm (to 4) of the
     windows between two pauses. Raw rows are only sorted inside a key's hour; a key's hours are one row each.
     """
     hours = times.groupBy("k", "hour").agg(F.min("t").alias("low"), F.max("t").alias("high"))
@@ -151,10 +151,14 @@ def _openings(times: DataFrame, width: int) -> DataFrame:
 
     first = written(near.filter("opens").select("k", "t"), "openings")
     jumps = written(answered.join(first.withColumnRenamed("t", "next"), ["k", "next"], "left_anti").select("k", "t", "next"), "jumps")
+    step = lambda marks, jumps: marks.join(jumps, ["k", "t"]).select("k", F.col("next").alias("t"))
+    twice = lambda jumps: jumps.join(jumps.select("k", F.col("t").alias("next"), F.col("next").alias("far")), ["k", "next"]).select("k", "t", F.col("far").alias("next"))
     marked = first
-    while not jumps.isEmpty():
-        marked = written(marked.unionByName(marked.join(jumps, ["k", "t"]).select("k", F.col("next").alias("t"))).distinct(), "openings")
-        jumps = written(jumps.join(jumps.select("k", F.col("t").alias("next"), F.col("next").alias("far")), ["k", "next"]).select("k", "t", F.col("far").alias("next")), "jumps")
+    while not jumps.isEmpty():  # jumps over 1, 4, 16, ... windows, each taken up to three times
+        one = step(marked, jumps)
+        two = step(one, jumps)
+        marked = written(marked.unionByName(one).unionByName(two).unionByName(step(two, jumps)).distinct(), "openings")
+        jumps = written(twice(twice(jumps)), "jumps")
     return marked
 
 
