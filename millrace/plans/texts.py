@@ -17,6 +17,7 @@ from millrace.plans import testbed as t
 from millrace.plans.testbed import with_tables
 from millrace.sources import extract as X
 from millrace.sources import files as A
+from millrace.sources import large
 from millrace.sources.shared import shared_dir
 
 Q, SQL = {}, {}
@@ -68,6 +69,17 @@ def read_raw_files(spark, sf):
     return A.read_raw_files(spark, sf, "*.parquet").select("filename", "size_bytes", "sha256")
 
 
+@query("file_hashes")
+def file_hashes(spark, sf):
+    return large.file_hashes(spark, sf, "*.parquet").select("filename", "size_bytes", "sha256")
+
+
+@query("file_parts")
+def file_parts(spark, sf):
+    """The tables' files in parts of 1 MiB: where each begins, how long it is and its hash."""
+    return large.file_parts(spark, sf, "*.parquet", 1 << 20).select("filename", "start", F.length("content").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
 @query("table_round_trip", with_tables("docs") + "SELECT doc_id, version, category, sha256(body) AS hash, created_at FROM docs")
 def table_round_trip(spark, sf):
     """The documents written as a lake table by category, in two appends, and read again."""

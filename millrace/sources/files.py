@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.sources.large import file_hashes
+
 #: The adapters in the order in which they are asked, with their extensions and MIME types.
 CODE_LANGUAGES = {
     ".py": "python", ".js": "javascript", ".ts": "typescript", ".tsx": "typescript", ".jsx": "javascript", ".go": "go", ".rs": "rust", ".c": "c", ".h": "c", ".cpp": "cpp", ".hpp": "cpp", ".cc": "cpp", ".cxx": "cpp",
@@ -28,10 +30,19 @@ ADAPTERS = (
 )
 
 
-def read_raw_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """Files below path with their bytes: path, filename, content, size_bytes, sha256, modified_at. Any store that Spark reads."""
+def read_raw_files(spark: SparkSession, path: str, glob: str = "*", inline: int = 1 << 30) -> DataFrame:
+    """Files below path with their bytes: path, filename, content, size_bytes, sha256, modified_at. Any store that Spark reads.
+
+    Files of more than inline bytes have null content (a value holds 2 GB at most), but their size and hash, read in pieces; file_parts has their bytes. Whether there are
+    any is seen from Spark's listing, which opens no file.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
-    return raw.select("path", F.substring_index("path", "/", -1).alias("filename"), "content", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), F.col("modificationTime").alias("modified_at"))
+    name = F.substring_index("path", "/", -1).alias("filename")
+    rows = raw.filter(F.col("length") <= inline).select("path", name, "content", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), F.col("modificationTime").alias("modified_at"))
+    if raw.select("length").filter(F.col("length") > inline).isEmpty():
+        return rows
+    large = file_hashes(spark, path, glob, inline).select("path", "filename", F.lit(None).cast("binary").alias("content"), "size_bytes", "sha256", "modified_at")
+    return rows.unionByName(large)
 
 
 def extension(filename: Column) -> Column:
