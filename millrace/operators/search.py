@@ -33,19 +33,33 @@ def build_postings(documents: DataFrame, body_chars: int | None = None) -> DataF
     """term, doc_id, field, tf and positions of current documents: English stems, without stop words; of whole bodies, or of their
     first body_chars characters.
 
-    Occurrences of a word are gathered inside their document, whose rows are together already (one array is exploded), before
-    anything is shuffled by word. Stems are made for the distinct words and joined to these.
+    A document's words are sorted and gathered inside its row, so only whole texts are dealt out, by doc_id, and nothing is shuffled by word. Stems are made for
+    the distinct words, which a first pass over the texts finds, and joined to the gathered ones; while Spark finds their table small enough to broadcast,
+    the rows of a document stay together until they are grouped by stem.
     """
     text = lambda k: F.col(k) if k != "body" or body_chars is None else F.substring(k, 1, body_chars)
-    fields = F.array(*(F.struct(F.lit(k).alias("field"), terms(text(k)).alias("words")) for k in WEIGHTS))
-    rows = documents.filter("is_current").select("doc_id", F.explode(fields).alias("f")).select("doc_id", "f.field", F.posexplode("f.words").alias("position", "term"))
-    kept = rows.filter(~F.col("term").isin(*STOP)).groupBy("term", "doc_id", "field").agg(F.collect_list("position").alias("positions"))
-    kept = written(kept, "words")
-    stems = written(kept.select("term").distinct().withColumn("stem", stem(F.col("term"))), "stems")
-    found = kept.join(stems, "term").groupBy(F.col("stem").alias("term"), "doc_id", "field").agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
+    texts = documents.filter("is_current").select("doc_id", *(text(k).alias(k) for k in WEIGHTS))
+    vocabulary = texts.select(F.explode(F.array(*WEIGHTS)).alias("text")).select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).distinct()
+    stems = written(vocabulary.filter(~F.col("term").isin(*STOP)).withColumn("stem", stem(F.col("term"))), "stems")
+    fields = F.array(*(F.struct(F.lit(k).alias("field"), F.col(k).alias("text")) for k in WEIGHTS))
+    each = texts.repartition("doc_id").select("doc_id", F.explode(fields).alias("f")).select("doc_id", "f.field", F.inline(_gathered(terms(F.col("f.text"))))).filter(~F.col("term").isin(*STOP))
+    found = each.join(stems, "term").groupBy(F.col("stem").alias("term"), "doc_id", "field").agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
     return found.select("term", "doc_id", "field", F.size("positions").cast("long").alias("tf"), "positions")
 
 
+def _gathered(words: Column) -> Column:
+    """An array of (term, positions) of the different words of an array, by one sort: equal words stand side by side then, and each run of them is cut out."""
+
+    def runs(placed: Column) -> Column:
+        first = lambda i: (i == 0) | (placed[i]["term"] != placed[i - 1]["term"])
+        begins = F.filter(F.sequence(F.lit(0), F.size(placed) - 1), first)
+        run = lambda at, b, e: F.struct(placed[b]["term"].alias("term"), F.transform(F.slice(placed, b + 1, e - b), lambda x: x["position"]).alias("positions"))
+        some = let(begins, lambda at: F.transform(at, lambda b, n: run(at, b, F.coalesce(F.get(at, n + 1), F.size(placed)))))
+        return F.when(F.size(placed) > 0, some)
+
+    return let(F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("term"), i.alias("position")))), runs)
+
+
 def parse_queries(queries: DataFrame) -> DataFrame:
     """Web-style queries (query_id, text) as rows: query_id, clause (any clause suffices: OR), term (a stem), kind (must, not), and
     the phrase with the term's place in it, for quoted words. Stop words are dropped outside phrases' places."""

@@ -1,9 +1,12 @@
 """Indexed search against its plain forms: grams, blocks with bounds, cells with angles."""
 
 import random
+import re
+from collections import defaultdict
 
 from pyspark.sql import functions as F
 
+from millrace.functions.stems import stem
 from millrace.operators import grams, search
 
 
@@ -70,3 +73,23 @@ def test_cells_leave_out_products_but_no_neighbour(spark, monkeypatch):
             assert len({x[1] for x in got.get(q, [])}) == len(want)
         assert sum(a for a, _ in effort) < 0.7 * sum(b for _, b in effort)
     assert search.semantic_search(queries, rows.limit(0), 5).count() == 0 and search.semantic_search(queries.limit(0), rows, 5).count() == 0
+
+
+def test_postings_equal_a_plain_count(spark):
+    """Empty, null and stop-word texts, repeated ids and words, one stem of several words, a long text; cut bodies too."""
+    long = "Running runs and ran; the runner RUNS. " * 3000
+    rows = [(1, "Runs", "runs running", long), (2, None, "", None), (3, "the of", " .,- ", "x"), (4, "Été ÉTÉ", "a1 2b", "été's end"), (5, "cats cat", None, "Cat"), (5, "cats cat", None, "Cat"), (None, "dogs", "dog", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, title string, summary string, body string").withColumns({"is_current": F.lit(True), "term": F.lit("clash"), "field": F.lit("clash"), "positions": F.lit("clash")})
+    old = docs.filter("doc_id = 1").withColumns({"doc_id": F.lit(9).cast("long"), "is_current": F.lit(False)})
+    spelled = {w for r in rows for x in r[1:] if x for w in re.findall(r"[^\W_]+", x.lower() + " " + x.lower()[:50])}  # a cut text ends in a part of a word
+    stems = {r.w: r.s for r in spark.createDataFrame([(w,) for w in spelled], "w string").withColumn("s", stem(F.col("w"))).collect()}
+    for chars in (None, 50):
+        want = defaultdict(list)
+        for doc_id, *texts in rows:
+            for field, text in zip(("title", "summary", "body"), texts):
+                for i, w in enumerate(re.findall(r"[^\W_]+", (text or "").lower()[: chars if field == "body" else None])):
+                    if w not in search.STOP:
+                        want[stems[w], doc_id, field].append(i)
+        got = {(r.term, r.doc_id, r.field): (r.tf, r.positions) for r in search.build_postings(docs.unionByName(old), chars).collect()}
+        assert got == {k: (len(v), sorted(v)) for k, v in want.items()}
+    assert search.build_postings(docs.limit(0)).count() == 0
