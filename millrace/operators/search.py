@@ -29,24 +29,46 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def build_postings(documents: DataFrame, body_chars: int | None = None) -> DataFrame:
+def build_postings(documents: DataFrame, body_chars: int | None = None, asked: DataFrame | None = None) -> DataFrame:
     """term, doc_id, field, tf and positions of current documents: English stems, without stop words; of whole bodies, or of their
-    first body_chars characters.
+    first body_chars characters. asked (term: stems, see asked_terms) limits the index to what a table of queries needs.
 
     A document's words are sorted and gathered inside its row, so only whole texts are dealt out, by doc_id, and nothing is shuffled by word. Stems are made for
     the distinct words, which a first pass over the texts finds, and joined to the gathered ones; while Spark finds their table small enough to broadcast,
     the rows of a document stay together until they are grouped by stem.
+
+    With asked, all texts are read as well, but only words that begin like an asked stem are stemmed, and only places of words with an asked stem leave the scan:
+    neither texts nor other words are shuffled or written, so the index grows with what the queries hit.
     """
     text = lambda k: F.col(k) if k != "body" or body_chars is None else F.substring(k, 1, body_chars)
     texts = documents.filter("is_current").select("doc_id", *(text(k).alias(k) for k in WEIGHTS))
-    vocabulary = texts.select(F.explode(F.array(*WEIGHTS)).alias("text")).select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).distinct()
-    stems = written(vocabulary.filter(~F.col("term").isin(*STOP)).withColumn("stem", stem(F.col("term"))), "stems")
+    words = texts.select(F.explode(F.array(*WEIGHTS)).alias("text")).select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).filter(~F.col("term").isin(*STOP))
     fields = F.array(*(F.struct(F.lit(k).alias("field"), F.col(k).alias("text")) for k in WEIGHTS))
+    if asked is not None:
+        asked = asked.select(F.col("term").alias("stem")).distinct()
+        near = words.join(asked.select(_beginnings(F.col("stem")).alias("b")).distinct(), F.substring("term", 1, 2) == F.col("b"), "left_semi").distinct()
+        stems = written(near.withColumn("stem", stem(F.col("term"))).join(asked, "stem", "left_semi"), "stems")
+        placed = texts.select("doc_id", F.explode(fields).alias("f")).select("doc_id", "f.field", F.posexplode(terms(F.col("f.text"))).alias("position", "term"))
+        found = placed.join(stems, "term").groupBy(F.col("stem").alias("term"), "doc_id", "field").agg(F.sort_array(F.collect_list("position")).alias("positions"))
+        return found.select("term", "doc_id", "field", F.size("positions").cast("long").alias("tf"), "positions")
+    stems = written(words.distinct().withColumn("stem", stem(F.col("term"))), "stems")
     each = texts.repartition("doc_id").select("doc_id", F.explode(fields).alias("f")).select("doc_id", "f.field", F.inline(_gathered(terms(F.col("f.text"))))).filter(~F.col("term").isin(*STOP))
     found = each.join(stems, "term").groupBy(F.col("stem").alias("term"), "doc_id", "field").agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
     return found.select("term", "doc_id", "field", F.size("positions").cast("long").alias("tf"), "positions")
 
 
+def _beginnings(stems: Column) -> Column:
+    """How the words of a stem can begin: with its first two letters; a stem of one letter comes from that letter alone or with -ed, -ing and their adverbs."""
+    some = F.when(F.char_length(stems) == 1, F.array(stems, F.concat(stems, F.lit("e")), F.concat(stems, F.lit("i"))))
+    return F.explode(some.otherwise(F.array(F.substring(stems, 1, 2))))
+
+
+def asked_terms(queries: DataFrame) -> DataFrame:
+    """The stems (term) of all words of web-style queries (text), whatever their kind: what an index must have to answer them."""
+    words = queries.select(F.explode(terms(F.col("text"))).alias("term")).filter(~F.col("term").isin(*STOP)).distinct()
+    return written(words.select(stem(F.col("term")).alias("term")).distinct(), "asked")
+
+
 def _gathered(words: Column) -> Column:
     """An array of (term, positions) of the different words of an array, by one sort: equal words stand side by side then, and each run of them is cut out."""
 
@@ -289,12 +311,16 @@ def search_with_fallback(queries: DataFrame, documents: DataFrame, postings: Dat
     return out.unionByName(last)
 
 
+def _first_chunks(chunks: DataFrame, wanted: DataFrame, most: int) -> DataFrame:
+    """The first chunks of the wanted documents; the others' are not sorted."""
+    there = chunks.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    return there.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_index"))).filter(F.col("n") <= most)
+
+
 def retrieve_chunks(hits: DataFrame, chunks: DataFrame, documents: int = 8, per_document: int = 5, chars: int = 1500) -> DataFrame:
     """The first chunks of the best documents of each query."""
     best = hits.filter(F.col("rank") <= documents).select("query_id", "doc_id", "rank")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_index"))
-    few = chunks.withColumn("n", first).filter(F.col("n") <= per_document)
-    return best.join(few, "doc_id").select("query_id", "doc_id", "rank", "chunk_index", F.substring("content", 1, chars).alias("content"))
+    return best.join(_first_chunks(chunks, best, per_document), "doc_id").select("query_id", "doc_id", "rank", "chunk_index", F.substring("content", 1, chars).alias("content"))
 
 
 def follow_up_chunks(found: DataFrame, hits: DataFrame, chunks: DataFrame, documents: int = 5, per_document: int = 3) -> DataFrame:
@@ -302,8 +328,7 @@ def follow_up_chunks(found: DataFrame, hits: DataFrame, chunks: DataFrame, docum
     few = hits.filter((F.col("follow_up") <= 3) & (F.col("rank") <= documents))
     new = few.join(found.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"], "left_anti")
     once = new.groupBy("query_id", "doc_id").agg(F.min("follow_up").alias("follow_up"))
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_index"))
-    return once.join(chunks.withColumn("n", first).filter(F.col("n") <= per_document), "doc_id").select("query_id", "follow_up", "doc_id", "chunk_index")
+    return once.join(_first_chunks(chunks, once, per_document), "doc_id").select("query_id", "follow_up", "doc_id", "chunk_index")
 
 
 def related_questions(questions: DataFrame, k: int = 5, least: float = 0.7) -> DataFrame:

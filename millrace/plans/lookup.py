@@ -32,9 +32,15 @@ posts AS (SELECT stem AS term, doc_id, field, count(*) AS tf FROM words JOIN ste
 weighed AS (SELECT *, tf * CASE field WHEN 'title' THEN 1.0::DOUBLE WHEN 'summary' THEN 0.4::DOUBLE ELSE 0.2::DOUBLE END AS s FROM posts)"""
 
 
-def _postings(spark, sf):
-    """The index as a lake holds it: built, written and read."""
-    return written(S.build_postings(t.docs(spark, sf)), "postings")
+def _postings(spark, sf, queries):
+    """The index of all documents for the words that the queries ask for, as a lake holds it: built, written and read."""
+    return written(S.build_postings(t.docs(spark, sf), asked=S.asked_terms(queries)), "postings")
+
+
+def _keyword(spark, sf, k=20):
+    """The keyword search's rows, written: what follows reads them more than once."""
+    queries = _queries(spark, sf)
+    return written(S.keyword_search(queries, _postings(spark, sf, queries), k), "hits")
 
 
 def _queries(spark, sf):
@@ -68,13 +74,15 @@ kw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER B
 
 @query("keyword_search", with_tables("docs", more=_POSTED + ", " + _ASKED) + "SELECT query_id, doc_id, score, rank::INT AS rank FROM kw WHERE rank <= 20")
 def keyword_search(spark, sf):
-    return S.keyword_search(_queries(spark, sf), _postings(spark, sf), 20)
+    queries = _queries(spark, sf)
+    return S.keyword_search(queries, _postings(spark, sf, queries), 20)
 
 
 @query("block_search", with_tables("docs", more=_POSTED + ", " + _ASKED) + "SELECT query_id, doc_id, score, rank::INT AS rank FROM kw WHERE rank <= 20")
 def block_search(spark, sf):
-    blocked, tops = S.block_tops(_postings(spark, sf))
-    return S.block_search(_queries(spark, sf), written(blocked, "blocked"), written(tops, "tops"), 20)
+    queries = _queries(spark, sf)
+    blocked, tops = S.block_tops(_postings(spark, sf, queries))
+    return S.block_search(queries, written(blocked, "blocked"), written(tops, "tops"), 20)
 
 
 @query("highlight", r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents), b AS (SELECT doc_id, w, [regexp_replace(lower(x), '[^\p{L}\p{N}]', '', 'g') FOR x IN w] AS b FROM w),
@@ -104,7 +112,7 @@ f AS (SELECT query_id, doc_id, round(coalesce(0.4::DOUBLE / (60 + rk), 0) + coal
 SELECT query_id, doc_id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rk NULLS LAST, rs NULLS LAST, doc_id) AS rank FROM f) WHERE rank <= 20""")
 def hybrid_search(spark, sf):
     """Lists of 60 are fused, three times what is returned."""
-    return S.hybrid_search(S.keyword_search(_queries(spark, sf), _postings(spark, sf), 60), _semantic(spark, sf, 60))
+    return S.hybrid_search(_keyword(spark, sf, 60), _semantic(spark, sf, 60))
 
 
 @query("apply_filters", with_tables("entities") + "SELECT doc_id, category FROM entities WHERE category = 'research' AND created_at >= DATE '2024-01-03' AND created_at < DATE '2024-03-02' AND list_contains(names, 'That')")
@@ -148,20 +156,20 @@ SELECT query_id, doc_id, rank::INT AS rank, stage FROM (SELECT query_id, doc_id,
 
 @query("search_with_fallback", with_tables("docs", more=_HARD))
 def search_with_fallback(spark, sf):
-    docs = t.docs(spark, sf)
-    return S.search_with_fallback(_hard_queries(spark, sf), docs, _postings(spark, sf))
+    docs, queries = t.docs(spark, sf), _hard_queries(spark, sf)
+    return S.search_with_fallback(queries, docs, _postings(spark, sf, queries))
 
 
 @query("retrieve_chunks", with_tables("docs", "chunks", more=_POSTED + ", " + _ASKED) + """SELECT query_id, doc_id, kw.rank::INT AS rank, chunk_index, content FROM kw JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) AS n FROM chunks) c USING (doc_id) WHERE kw.rank <= 8 AND n <= 5""")
 def retrieve_chunks(spark, sf):
-    return S.retrieve_chunks(S.keyword_search(_queries(spark, sf), _postings(spark, sf), 20), t.chunks(spark, sf))
+    return S.retrieve_chunks(_keyword(spark, sf), t.chunks(spark, sf))
 
 
 @query("follow_up_chunks", with_tables("docs", "chunks", more=_POSTED + ", " + _ASKED) + """, found AS (SELECT DISTINCT query_id, doc_id FROM kw JOIN chunks USING (doc_id) WHERE kw.rank <= 2), more AS (SELECT query_id, 1 AS follow_up, doc_id, rank FROM kw UNION ALL SELECT query_id - 1, 2, doc_id, rank FROM kw WHERE query_id > 0),
 o AS (SELECT query_id, doc_id, min(follow_up) AS follow_up FROM more WHERE rank <= 5 AND (query_id, doc_id) NOT IN (SELECT (query_id, doc_id) FROM found) GROUP BY 1, 2)
 SELECT query_id, follow_up::INT AS follow_up, doc_id, chunk_index FROM o JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) AS n FROM chunks) c USING (doc_id) WHERE n <= 3""")
 def follow_up_chunks(spark, sf):
-    hits = S.keyword_search(_queries(spark, sf), _postings(spark, sf), 20)
+    hits = _keyword(spark, sf)
     chunks = t.chunks(spark, sf)
     more = hits.withColumn("follow_up", F.lit(1)).unionByName(hits.filter("query_id > 0").withColumn("query_id", F.col("query_id") - 1).withColumn("follow_up", F.lit(2)))
     return S.follow_up_chunks(S.retrieve_chunks(hits, chunks, documents=2), more, chunks)

@@ -93,3 +93,25 @@ def test_postings_equal_a_plain_count(spark):
         got = {(r.term, r.doc_id, r.field): (r.tf, r.positions) for r in search.build_postings(docs.unionByName(old), chars).collect()}
         assert got == {k: (len(v), sorted(v)) for k, v in want.items()}
     assert search.build_postings(docs.limit(0)).count() == 0
+
+
+def test_asked_postings_are_those_of_the_asked_stems(spark, small):
+    """An index for queries: the same rows as the whole index has for their stems, without a shuffle of texts or of other words."""
+    texts = spark.read.parquet(f"{small}/documents.parquet").selectExpr("doc_id", "split(text, ' ')[1] AS title", "substring(text, 1, 99) AS summary", "concat(text, ' aing aed a I.d. ying ties tied skies sky') AS body", "true AS is_current")
+    queries = spark.createDataFrame([(1, '"ran skis" OR -running'), (2, "a aing the dogs"), (3, "tie ski y"), (4, "")], "query_id long, text string")
+    asked = search.asked_terms(queries)
+    whole = search.build_postings(texts).join(asked, "term", "left_semi")
+    rows = lambda df: sorted((r.term, r.doc_id, r.field, r.tf, r.positions) for r in df.collect())
+    few = search.build_postings(texts, asked=asked)
+    assert rows(few) == rows(whole) != []
+    exchanged = [line for line in _plan(few).split("Optimized Logical Plan")[1].splitlines() if "Exchange hashpartitioning(doc_id" in line]
+    assert exchanged == []
+
+
+def test_words_begin_like_their_stems(spark, small):
+    pick = random.Random(4)
+    ends = ["", "s", "ed", "ing", "edly", "ingly", "ies", "ied", "y", "e", "eed", "sses", "ational", "ly", "'s"]
+    made = {"".join(pick.choice("abeiouysltz") for _ in range(pick.randrange(0, 4))) + pick.choice(ends) for _ in range(4000)}
+    words = spark.createDataFrame([(w,) for w in made if w], "term string").union(spark.read.parquet(f"{small}/documents.parquet").select(F.explode(search.terms(F.col("text"))))).distinct()
+    begun = words.withColumn("stem", stem(F.col("term"))).select("term", "stem", search._beginnings(F.col("stem")).alias("b"))
+    assert begun.groupBy("term", "stem").agg(F.max(F.col("b") == F.substring("term", 1, 2)).alias("ok")).filter("NOT ok").collect() == []
