@@ -184,24 +184,46 @@ def _undirected(edges: DataFrame, mentions: DataFrame | None, type: str | None =
     return both.groupBy("a", "b").agg(F.max("weight").alias("weight"))
 
 
+def _twins(pairs: DataFrame, ends: DataFrame) -> DataFrame:
+    """end and class of the vertices among ends (end) that have neighbours: vertices with the same neighbours are one class, which the first of them names.
+
+    Sets are told apart by their size and 128 bits of hashes, which tasks pre-aggregate; each member's neighbours are then looked up among its class's, and
+    a vertex with others is a class of its own.
+    """
+    near = written(ends.select("end").distinct().join(pairs, F.col("end") == F.col("a")).select("end", F.col("b").alias("node")), "near")
+    marks = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"h{i}") for i in range(2)]
+    sets = written(near.groupBy("end").agg(F.count(F.lit(1)).alias("n"), *marks), "sets")
+    first = sets.groupBy("n", "h0", "h1").agg(F.min("end").alias("class"))
+    named = written(sets.join(first, ["n", "h0", "h1"]).select("end", "class"), "classes")
+    checked = near.join(named.filter("end <> class"), "end").join(near.select(F.col("end").alias("class"), "node"), ["class", "node"], "left_anti").select("end").distinct()
+    return named.join(checked.withColumn("odd", F.lit(True)), "end", "left").select("end", F.when(F.col("odd"), F.col("end")).otherwise(F.col("class")).alias("class"))
+
+
 def neighbors(edges: DataFrame, seeds: DataFrame, depth: int = 2, type: str | None = None, mentions: DataFrame | None = None) -> DataFrame:
     """Vertices within depth hops (at most 5) of each seed: seed, node, hop; the seed itself is left out.
 
-    Breadth first for all seeds at once: the frontier is distinct, visited pairs are anti-joined, each hop is written to the
-    shared folder, and an empty frontier ends the walk.
+    What lies beyond a seed's neighbours depends on these alone, so seeds with the same neighbours (_twins) walk once, from their set of neighbours. Breadth first
+    for all sets at once: the frontier is distinct, visited pairs are anti-joined, each hop is written to the shared folder, and an empty frontier
+    ends the walk. In the end each set's vertices are given to its seeds, by shares of the vertices, so a large class is dealt over tasks.
     """
     pairs = written(_undirected(edges, mentions, type).select("a", "b"), "pairs")
-    frontier = seeds.select("seed", F.col("seed").alias("node"))
-    seen = written(frontier.distinct().withColumn("hop", F.lit(0)), "seen")
-    frontier = seen.select("seed", "node")
-    for hop in range(1, min(depth, 5) + 1):
-        reached = frontier.join(pairs, F.col("node") == F.col("a")).select("seed", F.col("b").alias("node")).distinct()
-        new = written(reached.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("hop", F.lit(hop)), "hop")
+    members = written(_twins(pairs, seeds.select(F.col("seed").alias("end"))), "members")
+    seen = written(members.select("class").distinct().join(pairs, F.col("class") == F.col("a")).select("class", F.col("b").alias("node"), F.lit(1).alias("hop")), "seen") if depth > 0 else None
+    if seen is None:
+        return members.select(F.col("end").alias("seed"), F.col("end").alias("node"), F.lit(0).alias("hop")).limit(0)
+    frontier = seen.select("class", "node")
+    for hop in range(2, min(depth, 5) + 1):
+        reached = frontier.join(pairs, F.col("node") == F.col("a")).select("class", F.col("b").alias("node")).distinct()
+        new = written(reached.join(seen.select("class", "node"), ["class", "node"], "left_anti").withColumn("hop", F.lit(hop)), "hop")
         if new.isEmpty():
             break
-        seen, frontier = seen.unionByName(new), new.select("seed", "node")
-    found = seen.filter("hop > 0")
-    return found.filter(~F.startswith("node", F.lit("doc:"))) if mentions is not None else found
+        seen, frontier = seen.unionByName(new), new.select("class", "node")
+    if mentions is not None:
+        seen = seen.filter(~F.startswith("node", F.lit("doc:")))
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = seen.withColumn("share", F.pmod(F.xxhash64("node"), F.lit(SHARES)).cast("int")).repartition(parts, "class", "share")
+    shares = members.select("class", F.col("end").alias("seed"), F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share")).repartition(parts, "class", "share")
+    return dealt.join(shares, ["class", "share"]).filter("node <> seed").select("seed", "node", "hop")
 
 
 def neighborhood_edges(edges: DataFrame, found: DataFrame, min_weight: int = 1) -> DataFrame:
@@ -215,14 +237,47 @@ def shortest_path(edges: DataFrame, wanted: DataFrame, max_hops: int = 4, mentio
     """For each pair (src, dst) its shortest undirected path, of equal ones the first by names: src, dst, path, hops, total_weight. Pairs without
     a path have no row; a vertex reaches itself in 0 hops.
 
-    One breadth-first walk for each distinct src, over half of the hops; per vertex only the first path stays. A src whose targets are all
-    found stops. For the pairs that are left each distinct dst walks the other way; a pair's walks meet on a vertex that is half the hops from
-    one end and the rest from the other, and its path is the least of those put together there. So no path that is carried is
-    longer than half, and the wide levels in the middle are never walked from one end.
+    A path of two hops or more goes from a neighbour of src to a neighbour of dst, and the first of the shortest ways between these two sets depends on the sets
+    alone. So ends with the same neighbours (_twins) are one class, and only pairs of classes walk: breadth first from each first class's neighbours, over half of
+    the hops; per vertex only the first path stays. A class whose targets are all found stops. For the pairs that are left each second class walks the
+    other way; a pair's walks meet on a vertex, and its path is the least of those put together there. So no path that is carried is longer than half, and the
+    wide levels in the middle are never walked from one end. Ends and their weights are put on when all are found.
     """
     pairs = written(_undirected(edges, mentions), "pairs")
-    open_ = written(wanted.select("src", "dst").distinct(), "wanted")
-    half, done = -(-max_hops // 2), []
+    asked = written(wanted.select("src", "dst").distinct(), "wanted")
+    hops = lambda rows, n: rows.select("src", "dst", F.array_join("path", " > ").alias("path"), F.lit(n).alias("hops"), F.col("weight").alias("total_weight"))
+    out = hops(asked.filter("src = dst").select("src", "dst", F.array("src").alias("path"), F.lit(0).cast("long").alias("weight")), 0)
+    if max_hops < 1:
+        return out
+    near = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight")
+    met = asked.filter("src <> dst").join(near, ["src", "dst"], "left")
+    out = out.unionByName(hops(met.filter("weight IS NOT NULL").select("src", "dst", F.array("src", "dst").alias("path"), "weight"), 1))
+    if max_hops < 2:
+        return out
+    far = met.filter("weight IS NULL").select("src", "dst")
+    ends = far.select(F.col("src").alias("end")).distinct().unionByName(far.select(F.col("dst").alias("end")).distinct())
+    named = written(_twins(pairs, ends), "members")
+    first, last = (named.select(F.col("end").alias(e), F.col("class").alias(c)) for e, c in (("src", "first"), ("dst", "last")))
+    far = written(far.join(first, "src").join(last, "dst"), "far")
+    ways = written(_ways(pairs, far.select(F.col("first").alias("src"), F.col("last").alias("dst")).distinct(), max_hops - 2), "ways")
+    # the weight of a way with its ends: once for each end of a class, before the pairs are met
+    begin = ways.select("src", F.get("path", F.lit(0)).alias("b")).distinct().join(named, F.col("src") == F.col("class")).select(F.col("end").alias("a"), "b").join(pairs, ["a", "b"])
+    finish = ways.select("dst", F.element_at("path", -1).alias("b")).distinct().join(named, F.col("dst") == F.col("class")).select(F.col("end").alias("a"), "b").join(pairs, ["a", "b"])
+    found = far.join(ways.select(F.col("src").alias("first"), F.col("dst").alias("last"), "path", "weight", "hops"), ["first", "last"])
+    found = found.withColumns({"x": F.get("path", F.lit(0)), "y": F.element_at("path", -1)})
+    found = found.join(begin.select(F.col("a").alias("src"), F.col("b").alias("x"), F.col("weight").alias("w0")), ["src", "x"]).join(finish.select(F.col("a").alias("dst"), F.col("b").alias("y"), F.col("weight").alias("w1")), ["dst", "y"])
+    path = F.array_join(F.concat(F.array("src"), "path", F.array("dst")), " > ")
+    return out.unionByName(found.select("src", "dst", path.alias("path"), "hops", (F.col("w0") + F.col("weight") + F.col("w1")).alias("total_weight")))
+
+
+def _ways(pairs: DataFrame, open_: DataFrame, most: int) -> DataFrame:
+    """For pairs of vertices (src, dst) the first of the shortest ways, of `most` hops at most, from a neighbour of src to one of dst: src, dst, path, weight, and
+    hops (two more, for the ends)."""
+    open_, half, done = written(open_, "open"), -(-most // 2), []
+
+    def start(end: str) -> DataFrame:
+        ends = open_.select(end).distinct().join(pairs, F.col(end) == F.col("a"))
+        return written(ends.select(end, F.col("b").alias("node"), F.array("b").alias("path"), F.lit(0).cast("long").alias("weight")), "level")
 
     def walk(level: DataFrame, seen: DataFrame, end: str, forward: bool) -> DataFrame:
         """The next level of the walks that are open: the vertices not seen before, each with its first path."""
@@ -232,31 +287,24 @@ def shortest_path(edges: DataFrame, wanted: DataFrame, max_hops: int = 4, mentio
         new = step.groupBy(end, "node").agg(F.min(F.struct("path", "weight")).alias("p")).join(seen, [end, "node"], "left_anti")
         return written(new.select(end, "node", "p.path", "p.weight"), "level")
 
-    def start(end: str) -> DataFrame:
-        return written(open_.select(end, F.col(end).alias("node"), F.array(end).alias("path"), F.lit(0).cast("long").alias("weight")).distinct(), "level")
-
-    def settle(hit: DataFrame, hop: int) -> DataFrame:
-        done.append(written(hit.select("src", "dst", F.array_join("path", " > ").alias("path"), F.lit(hop).alias("hops"), F.col("weight").alias("total_weight")), "paths"))
-        return written(open_.join(done[-1].select("src", "dst"), ["src", "dst"], "left_anti"), "wanted")
-
-    level = start("src")
-    seen = level.select("src", "node")
-    for hop in range(half + 1):
-        if hop:
+    def settle(level: DataFrame, back: DataFrame, hop: int) -> DataFrame:
+        """The pairs whose walks meet; those that are left."""
+        ends = back.select("dst", "node", F.col("path").alias("rest"), F.col("weight").alias("w"))
+        whole = F.struct(F.concat("path", F.slice("rest", 2, most + 1)).alias("path"), (F.col("weight") + F.col("w")).alias("weight"))
+        found = open_.join(level, "src").join(ends, ["dst", "node"]).groupBy("src", "dst").agg(F.min(whole).alias("p"))
+        done.append(written(found.select("src", "dst", "p.path", "p.weight", F.lit(hop + 2).alias("hops")), "ways"))
+        return written(open_.join(done[-1].select("src", "dst"), ["src", "dst"], "left_anti"), "open")
+
+    level, back = start("src"), start("dst")
+    seen, met = level.select("src", "node"), back.select("dst", "node")
+    for hop in range(most + 1):
+        if hop and hop <= half:
             level = walk(level, seen, "src", True)
             seen = seen.unionByName(level.select("src", "node"))
-        open_ = settle(open_.join(level.withColumnRenamed("node", "dst"), ["src", "dst"]), hop)
-        if open_.isEmpty():
-            break
-    back = start("dst") if half < max_hops and not open_.isEmpty() else None
-    seen = back.select("dst", "node") if back is not None else None
-    for hop in range(half + 1, max_hops + 1) if back is not None else ():
-        back = walk(back, seen, "dst", False)
-        seen = seen.unionByName(back.select("dst", "node"))
-        ends = back.select("dst", "node", F.col("path").alias("rest"), F.col("weight").alias("w"))
-        met = open_.join(level, "src").join(ends, ["dst", "node"])
-        whole = F.struct(F.concat("path", F.slice("rest", 2, max_hops)).alias("path"), (F.col("weight") + F.col("w")).alias("weight"))
-        open_ = settle(met.groupBy("src", "dst").agg(F.min(whole).alias("p")).select("src", "dst", "p.path", "p.weight"), hop)
+        elif hop:
+            back = walk(back, met, "dst", False)
+            met = met.unionByName(back.select("dst", "node"))
+        open_ = settle(level, back, hop)
         if open_.isEmpty():
             break
     out = done[0]
