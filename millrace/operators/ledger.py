@@ -94,12 +94,26 @@ def provider_health(hourly: DataFrame, budget: int, error_share: tuple[float, fl
 def token_budget(rows: DataFrame, key: str, limit: int, at: str = "created_at", tokens: str = "tokens_used") -> DataFrame:
     """Tokens of the trailing hour and day at each moment of a key, and whether the day stays under limit.
 
-    Rows of the same second are summed before the windows, so a busy key is bounded by its seconds.
+    Tokens come at their second and leave an hour and a day later, so both sums are running sums of what came and left; they are exact, as tokens are whole
+    numbers. A key's seconds are summed inside an hour, and hours are one row each: no task sorts a key's history, and none adds up a window again for
+    each of its rows. Rows without a time stand together, by themselves.
     """
-    seconds = rows.groupBy(key, F.unix_timestamp(at).alias("second")).agg(F.sum(tokens).alias("tokens"))
-    w = Window.partitionBy(key).orderBy("second")
-    out = seconds.withColumn("last_hour", F.sum("tokens").over(w.rangeBetween(-3599, 0))).withColumn("last_day", F.sum("tokens").over(w.rangeBetween(-86399, 0)))
-    return out.withColumn("under_limit", F.col("last_day") < limit)
+    seconds = written(rows.groupBy(F.struct(F.col(key).alias("key")).alias("k"), F.unix_timestamp(at).alias("second")).agg(F.sum(tokens).alias("tokens")), "seconds")
+    n = F.when(F.col("tokens").isNotNull(), 1).otherwise(0).cast("long")
+    moves = [(0, 1, 1, True), (3600, -1, 0, False), (86400, 0, -1, False)]  # seconds later, what the hour and the day get, whether it is a row of the result
+    move = lambda later, h, d, own: F.struct((F.col("second") + later).alias("second"), *(x for name, sign in (("h", h), ("d", d)) for x in ((F.coalesce("tokens", F.lit(0)) * sign).alias(name), (n * sign).alias(f"n{name}"))), F.lit(own).alias("own"), F.when(F.lit(own), F.col("tokens")).alias("tokens"))
+    moved = seconds.filter("second IS NOT NULL").select("k", F.explode(F.array(*(move(*m) for m in moves))).alias("m")).select("k", "m.*")
+    sums = ["h", "nh", "d", "nd"]
+    each = moved.groupBy("k", F.floor(F.col("second") / 3600).alias("hour"), "second").agg(*(F.sum(c).alias(c) for c in sums), F.max("own").alias("own"), F.max("tokens").alias("tokens"))
+    before = Window.partitionBy("k").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+    hours = each.groupBy("k", "hour").agg(*(F.sum(c).alias(c) for c in sums)).select("k", "hour", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in sums))
+    inside = Window.partitionBy("k", "hour").orderBy("second").rowsBetween(Window.unboundedPreceding, 0)
+    run = each.select("k", "hour", "second", "tokens", "own", *(F.sum(c).over(inside).alias(c) for c in sums)).filter("own").join(hours, ["k", "hour"])
+    total = lambda c: F.when(F.col(f"n{c}") + F.col(f"n{c}0") > 0, F.col(c) + F.col(f"{c}0"))
+    out = run.select("k", "second", "tokens", total("h").alias("last_hour"), total("d").alias("last_day"))
+    timeless = seconds.filter("second IS NULL").select("k", "second", "tokens", F.col("tokens").alias("last_hour"), F.col("tokens").alias("last_day"))
+    both = out.unionByName(timeless).select(F.col("k.key").alias(key), "second", "tokens", "last_hour", "last_day")
+    return both.withColumn("under_limit", F.col("last_day") < limit)
 
 
 def run_until_budget(rows: DataFrame, key: str, order: list[str], limit: int, tokens: str = "tokens_used") -> DataFrame:
