@@ -228,14 +228,16 @@ class BoostedTrees:
                 best = (float(gain[k]), f, k)
         return best
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
-        self.edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, self.bins + 1)[1:-1])) for f in range(x.shape[1])]
+    def fit(self, x: np.ndarray, y: np.ndarray, weights: np.ndarray | None = None) -> BoostedTrees:
+        """weights: how many equal rows a row stands for."""
+        weights = np.ones(len(y)) if weights is None else weights
+        self.edges = [self._edges(x[:, f], weights) for f in range(x.shape[1])]
         codes = self._codes(x)
-        self.start = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
+        self.start = float(np.log((weights @ y + 1) / (weights @ (1 - y) + 1)))
         raw, self.trees = np.full(len(y), self.start), []
         for _ in range(self.rounds):
             p = 1 / (1 + np.exp(-raw))
-            grad, hess = y - p, p * (1 - p)
+            grad, hess = weights * (y - p), weights * p * (1 - p)
             _, f, k = self._best(codes, grad, hess)
             side, leaves = codes[:, f] > k, []
             for s in (False, True):
@@ -247,6 +249,13 @@ class BoostedTrees:
             raw = raw + self._tree(codes, self.trees[-1])
         return self
 
+    def _edges(self, column: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Between all values where there are few, else at quantiles."""
+        values = np.unique(column)
+        if len(values) <= self.bins:
+            return values[:-1]
+        return np.unique(np.quantile(column, np.linspace(0, 1, self.bins + 1)[1:-1], method="inverted_cdf", weights=weights))
+
     def _codes(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(e, x[:, f], "left") for f, e in enumerate(self.edges)], axis=1)
 
@@ -266,8 +275,8 @@ class TwoViews:
     numbers in range), which the context does not show; those of the form which spans stand free of letters, digits and
     words against them, which the form does not show. All kinds share the trees, so that a rare kind leans on the others."""
 
-    def __init__(self, x: np.ndarray, passes: np.ndarray, free: np.ndarray):
-        self.context, self.form = BoostedTrees().fit(x[:, CONTEXT], passes), BoostedTrees().fit(x[:, FORM], free)
+    def __init__(self, x: np.ndarray, passes: np.ndarray, free: np.ndarray, weights: np.ndarray):
+        self.context, self.form = BoostedTrees().fit(x[:, CONTEXT], passes, weights), BoostedTrees().fit(x[:, FORM], free, weights)
         self.trees = self.context.trees + self.form.trees
 
     def raw(self, x: np.ndarray) -> np.ndarray:
@@ -291,14 +300,14 @@ def _examples(text: str) -> Iterator[tuple[int, bool, bool, list[float]]]:
             yield s.kind, passes, not (x[0] or x[1] or x[7]), x
 
 
-def _calibrated(raw: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
+def _calibrated(raw: np.ndarray, y: np.ndarray, weights: np.ndarray) -> tuple[float, ...]:
     """Weights of a logistic curve from scores to probabilities, by Newton's steps; they lean a little to 1 for both views, 0 for the kinds."""
     lean = np.array([1.0, 1.0] + [0.0] * (raw.shape[1] - 2))
-    loss = lambda w: float(np.logaddexp(0, raw @ w).sum() - y @ (raw @ w) + ((w - lean) ** 2).sum() / 2)
+    loss = lambda w: float(weights @ (np.logaddexp(0, raw @ w) - y * (raw @ w)) + ((w - lean) ** 2).sum() / 2)
     w = lean
     for _ in range(50):
         p = _probability(raw, w)
-        step = np.linalg.solve((raw * (p * (1 - p))[:, None]).T @ raw + np.eye(len(w)), raw.T @ (y - p) - (w - lean))
+        step = np.linalg.solve((raw * (weights * p * (1 - p))[:, None]).T @ raw + np.eye(len(w)), raw.T @ (weights * (y - p)) - (w - lean))
         while np.abs(step).max() > 1e-9 and loss(w + step) > loss(w):
             step = step / 2
         w = w + step
@@ -313,19 +322,17 @@ def _probability(raw: np.ndarray, weights: Sequence[float]) -> np.ndarray:
 PRIOR = 10
 
 
-def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", sample_docs: int = 20_000, sample_spans: int = 50_000, precision: float = 0.95) -> dict:
-    """Fit the trees (TwoViews) on a bounded sample, calibrate their score and give each kind its threshold.
+def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", sample_docs: int | None = None, sample_spans: int | None = None, precision: float = 0.95) -> dict:
+    """Fit the trees (TwoViews) on all documents, calibrate their score and give each kind its threshold.
 
-    The sample: spans with both labels (_examples) of about sample_docs documents, chosen by a hash of the id; of these spans the sample_spans
-    with the smallest hash of id and place, so the sample does not depend on the partitions. Half of them (by document) fit the trees. The
-    others, as far as they pass their test, which every candidate does, calibrate the sum of both views to a probability; a kind's threshold is
-    `precision`, or a lower probability if of the spans above that one a share of `precision` stands free as well. That share is drawn to the one of
-    all kinds (PRIOR). So there is a model for every kind at every size, unless a half
-    has no span at all. Null texts and ids, ties and repeated rows are counted as they are; an empty table gives an empty model, and the method adds nothing.
+    What is learned from are the spans with both labels (_examples) of every text. Their features are yes or no, so Spark counts the spans of each combination of
+    features, labels and half, and the counts are all that comes to the driver: their number is bounded by the combinations (2^15 of them for a kind), not by the data. Half of
+    the documents fit the trees. The others' spans, as far as they pass their test, which every candidate does, calibrate the sum of both views to a probability; a kind's
+    threshold is `precision`, or a lower probability if of the spans above that one a share of `precision` stands free as well. That share is drawn to the one of
+    all kinds (PRIOR). So there is a model for every kind at every size, unless a half has no span at all. sample_docs and sample_spans, where given, bound the documents
+    (by a hash of the id) and the spans (by a hash of id and place), so that a sample does not depend on the partitions. Null texts and ids, ties and repeated
+    rows are counted as they are; an empty table gives an empty model, and the method adds nothing.
     """
-    total = docs.count()
-    chance = F.pmod(F.xxhash64(F.col(id), F.lit("pii")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, end in slices(pc.fill_null(pc.binary_length(batch.column(0)), 0).to_pylist()):
@@ -333,24 +340,32 @@ def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", sample_docs: in
                 rows = [(kind, passes, free, fold, x, at + k) for t, fold, at in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True) if t for k, (kind, passes, free, x) in enumerate(_examples(t))]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.bool_(), pa.bool_(), pa.int32(), pa.list_(pa.float64()), pa.int64()))], _ROW.names)
 
+    if sample_docs is not None:
+        chance = F.pmod(F.xxhash64(F.col(id), F.lit("pii")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        docs = docs.filter(chance < min(1.0, sample_docs / max(1, docs.count())))
     # the place of a span among its document's is added to a hash that leaves room for it
     hashed = F.shiftleft(F.pmod(F.xxhash64(F.col(id), F.lit("span")), F.lit(1 << 40)), 20)
-    sample = docs.filter(chance < min(1.0, sample_docs / max(1, total))).select(F.col(text).alias("t"), F.pmod(F.xxhash64(F.col(id), F.lit("fold")), F.lit(2)).cast("int").alias("fold"), hashed.alias("at"))
-    rows = sample.mapInArrow(run, _ROW).orderBy(F.xxhash64("at"), "at", "kind", "passes", "free", "x").limit(sample_spans).collect()
+    texts = docs.select(F.col(text).alias("t"), F.pmod(F.xxhash64(F.col(id), F.lit("fold")), F.lit(2)).cast("int").alias("fold"), hashed.alias("at"))
+    spans = texts.mapInArrow(run, _ROW)
+    if sample_spans is not None:
+        spans = spans.orderBy(F.xxhash64("at"), "at", "kind", "passes", "free", "x").limit(sample_spans)
+    rows = spans.groupBy("fold", "kind", "passes", "free", "x").agg(F.count(F.lit(1)).alias("n")).collect()
     rows = sorted(rows, key=lambda r: (r["fold"], r["kind"], r["passes"], r["free"], r["x"]))
-    x, kind, passes, free, fold = (np.array([r[c] for r in rows], float) for c in ("x", "kind", "passes", "free", "fold"))
-    held = (fold == 1) & (passes == 1)
-    if not (fold == 0).any() or not held.any():
+    x, kind, passes, free, fold, n = (np.array([r[c] for r in rows], float) for c in ("x", "kind", "passes", "free", "fold", "n"))
+    fits, held = fold == 0, (fold == 1) & (passes == 1)
+    if not fits.any() or not held.any():
         return {}
-    views = TwoViews(x[fold == 0], passes[fold == 0], free[fold == 0])
-    raw, truth, kind = views.raw(x[held]), free[held], kind[held]
-    scale = _calibrated(raw, truth)
+    views = TwoViews(x[fits], passes[fits], free[fits], n[fits])
+    raw, truth, kind, n = views.raw(x[held]), free[held], kind[held], n[held]
+    scale = _calibrated(raw, truth, n)
     p = _probability(raw, scale)
-    levels, model = np.unique(p)[::-1], {}
-    shared = {v: truth[p >= v].mean() for v in levels}
+    levels, model, order = np.unique(p)[::-1], {}, np.argsort(-p, kind="stable")
+    ends = np.searchsorted(-p[order], -levels, "right") - 1
+    upto = lambda v: np.cumsum(v[order])[ends]  # the sum of v over the spans of each level's probability or more
+    shared = upto(n * truth) / upto(n)
     for k in range(len(KINDS)):
-        mine = kind == k
-        good = [v for v in levels if (truth[mine & (p >= v)].sum() + PRIOR * shared[v]) / ((mine & (p >= v)).sum() + PRIOR) >= precision]
+        mine = n * (kind == k)
+        good = levels[(upto(mine * truth) + PRIOR * shared) / (upto(mine) + PRIOR) >= precision]
         model[k] = (views, scale, max(0.5, min(float(min(good, default=precision)), precision)))
     return model
 
