@@ -46,7 +46,8 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.selectExpr(
         "doc_id", "title", "category", "created_at", "is_current", "names",
         "transform(names, n -> named_struct('name', n, 'type', CASE length(n) % 3 WHEN 0 THEN 'person' WHEN 1 THEN 'organization' ELSE 'concept' END, 'context', substring(n, 1, 1), 'mentions', length(n))) AS entities",
-        "transform(IF(size(names) > 1, sequence(1, size(names) - 1), CAST(array() AS array<int>)), i -> named_struct('source', names[i - 1], 'target', names[i], 'type', CASE i % 2 WHEN 0 THEN 'works with' ELSE 'part-of' END, 'confidence', CAST(i % 10 AS double) / 10, 'description', concat('r', i))) AS relationships",
+        # neighbours are put side by side first: an expression that looks into the list for each of them may be computed again for each, once Spark has moved it into a filter
+        "transform(IF(size(names) > 1, zip_with(slice(names, 1, size(names) - 1), slice(names, 2, size(names) - 1), (a, b) -> named_struct('a', a, 'b', b)), CAST(array() AS array<struct<a: string, b: string>>)), (p, i) -> named_struct('source', p.a, 'target', p.b, 'type', CASE (i + 1) % 2 WHEN 0 THEN 'works with' ELSE 'part-of' END, 'confidence', CAST((i + 1) % 10 AS double) / 10, 'description', concat('r', i + 1))) AS relationships",
     )
 
 
