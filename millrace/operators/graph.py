@@ -21,10 +21,10 @@ def relation_type(c: Column) -> Column:
 
 
 def canonical_mentions(mentions: DataFrame) -> DataFrame:
-    """Mentions with their key; nameless ones are left out, the type defaults to UNKNOWN. The patterns run once for each distinct
-    spelling; Spark broadcasts the spellings where they are few and splits large partitions where they are not."""
-    keys = mentions.select("name").distinct().select("name", canonical_name(F.col("name")).alias("canonical")).filter("canonical <> ''")
-    return mentions.withColumn("type", F.coalesce("type", F.lit("UNKNOWN"))).join(keys, "name")
+    """Mentions with their key; nameless ones are left out, the type defaults to UNKNOWN. The key is made in the row: names meet by no join, in which a popular
+    one would be a task's."""
+    keyed = mentions.withColumn("type", F.coalesce("type", F.lit("UNKNOWN"))).withColumn("canonical", canonical_name(F.col("name")))
+    return keyed.filter("canonical <> ''")
 
 
 def _mentions_by_document(mentions: DataFrame) -> DataFrame:
@@ -35,7 +35,11 @@ def _mentions_by_document(mentions: DataFrame) -> DataFrame:
 def build_vertices(mentions: DataFrame) -> DataFrame:
     """One vertex for each canonical name: name and type of the first mention, mentions, documents. Tasks pre-aggregate, so a
     popular entity is a row from each."""
-    return _mentions_by_document(mentions).groupBy("canonical").agg(F.min("f").alias("f"), F.min("seen").alias("first_seen"), F.sum("n").alias("mention_count"), F.count(F.lit(1)).alias("document_count")).select(
+    return _vertices(_mentions_by_document(mentions))
+
+
+def _vertices(by_document: DataFrame) -> DataFrame:
+    return by_document.groupBy("canonical").agg(F.min("f").alias("f"), F.min("seen").alias("first_seen"), F.sum("n").alias("mention_count"), F.count(F.lit(1)).alias("document_count")).select(
         "canonical", "f.name", F.col("f.type").alias("entity_type"), "first_seen", "mention_count", "document_count")
 
 
@@ -59,9 +63,11 @@ def build_edges(relations: DataFrame, vertices: DataFrame) -> DataFrame:
 
 
 def rebuild_graph(mentions: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Vertices, mention edges and relation edges of all documents."""
-    vertices = build_vertices(mentions)
-    return vertices, build_mentions(mentions), build_edges(relations, vertices)
+    """Vertices, mention edges and relation edges of all documents. Mentions are merged by document once, and written, for the first two; vertices once, as
+    edges look both of their ends up there."""
+    found = written(_mentions_by_document(mentions), "mention-docs")
+    vertices = written(_vertices(found), "vertices")
+    return vertices, found.select("canonical", "doc_id"), build_edges(relations, vertices)
 
 
 def merge_graph(vertices: DataFrame, edges: DataFrame, mentions: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
