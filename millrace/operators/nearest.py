@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import partial
+from itertools import product
 from typing import Any
 
 import numpy as np
@@ -16,6 +17,8 @@ from millrace.sources.shared import discard, written
 
 #: Cells at most (their pivots and bounds are broadcast), and rows that make a cell worth while.
 CELLS, ROWS_A_CELL = 512, 64
+#: Queries and rows whose products a task holds at a time.
+PIECE = 512, 2048
 #: What rounding may do to an angle.
 SLACK = 1e-6
 
@@ -37,26 +40,36 @@ def _assign(batches: Iterator[pd.DataFrame], pivots: Any) -> Iterator[pd.DataFra
 
 def _scan(batches: Iterator[pd.DataFrame], shared: Any, k: int, timed: bool) -> Iterator[pd.DataFrame]:
     """The k nearest rows of a task's share for each query of a block among the cells it may look into; ties at the edge
-    stay, for the id to settle."""
+    stay, for the id to settle. Queries and rows meet in pieces of bounded size; what is held is cut to k rows a query as soon as it is some times that, and its
+    k-th scores keep out the rest."""
     ids, queries, times, allowed = shared.value
     best: list[pd.DataFrame] = []
+    floor, held = np.full(len(ids), -np.inf), 0
     for batch in batches:
         for cell, rows in batch.groupby("cell", sort=False):
             asked = np.flatnonzero(allowed[:, cell])
             if not len(asked):
                 continue
-            scores = queries[asked] @ np.stack(rows.v.to_numpy()).T
-            if timed:
-                scores[rows.t.to_numpy()[None, :] >= times[asked][:, None]] = -np.inf
-            some = min(k, scores.shape[1])
-            at = np.argpartition(-scores, some - 1, axis=1)[:, :some]
-            edge = np.take_along_axis(scores, at, 1).min(axis=1)
-            q, c = np.nonzero((scores >= edge[:, None]) & np.isfinite(scores))
-            best.append(pd.DataFrame({"q": np.array(ids, object)[asked[q]], "id": rows.id.to_numpy()[c], "score": scores[q, c]}))
-        if sum(map(len, best)) > 4 * k * len(ids):
-            best = [_cut(pd.concat(best), k)]
+            v, names, t = np.stack(rows.v.to_numpy()), rows.id.to_numpy(), rows.t.to_numpy()
+            for i, j in product(range(0, len(asked), PIECE[0]), range(0, len(v), PIECE[1])):
+                some, here = asked[i : i + PIECE[0]], slice(j, j + PIECE[1])
+                scores = queries[some] @ v[here].T
+                if timed:
+                    scores[t[here][None, :] >= times[some][:, None]] = -np.inf
+                last = scores.shape[1] - min(k, scores.shape[1])
+                edge = np.maximum(np.partition(scores, last, axis=1)[:, last], floor[some])
+                q, c = np.nonzero((scores >= edge[:, None]) & np.isfinite(scores))
+                best.append(pd.DataFrame({"q": some[q], "id": names[here][c], "score": scores[q, c]}))
+                held += len(q)
+                if held > 4 * k * len(ids):
+                    best = [_cut(pd.concat(best), k)]
+                    held = len(best[0])
+                    least = best[0].groupby("q").score.agg(["min", "size"])
+                    full = least[least["size"] >= k]
+                    floor[full.index.to_numpy()] = full["min"].to_numpy()
     if best:
-        yield _cut(pd.concat(best), k)
+        out = _cut(pd.concat(best), k)
+        yield out.assign(q=np.array(ids, object)[out.q.to_numpy()])
 
 
 def _cut(rows: pd.DataFrame, k: int) -> pd.DataFrame:
