@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Hashable, Iterator
+from collections.abc import Callable, Hashable
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.sources.shared import discard, shared_dir, written
+from millrace.sources.shared import discard, shared_dir, slices, written
 
-__all__ = ["discard", "shared_dir", "written"]  # with the helpers below
+__all__ = ["discard", "shared_dir", "slices", "written"]  # with the helpers below
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -40,22 +40,6 @@ def worker_cache(key: Hashable, make: Callable[[], Any]) -> Any:
     return _HELD[key]
 
 
-#: Bytes of text that a Python worker handles at a time.
-SLICE_BYTES = 2_000_000
-
-
-def slices(sizes: list[int]) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about SLICE_BYTES together, one row at least."""
-    start = total = 0
-    for i, n in enumerate(sizes):
-        if i > start and total + n > SLICE_BYTES:
-            yield start, i
-            start, total = i, 0
-        total += n
-    if start < len(sizes):
-        yield start, len(sizes)
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. lower() has a fast path for texts that are all ASCII, where it means the same."""
     ascii_only = F.octet_length(text) == F.char_length(text)

@@ -1,9 +1,10 @@
-"""The folder that a cluster's machines share, and tables written into it to end a lineage."""
+"""The folder that a cluster's machines share, and tables written into it to end a lineage; pieces of what Python workers get."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,3 +35,19 @@ def discard(*tables: DataFrame) -> None:
         for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
             path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Bytes of text that a Python worker handles at a time.
+SLICE_BYTES = 2_000_000
+
+
+def slices(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about SLICE_BYTES together, one row at least."""
+    start = total = 0
+    for i, n in enumerate(sizes):
+        if i > start and total + n > SLICE_BYTES:
+            yield start, i
+            start, total = i, 0
+        total += n
+    if start < len(sizes):
+        yield start, len(sizes)
