@@ -37,7 +37,7 @@ def build_postings(documents: DataFrame, body_chars: int | None = None, asked: D
     the distinct words, which a first pass over the texts finds, and joined to the gathered ones; while Spark finds their table small enough to broadcast,
     the rows of a document stay together until they are grouped by stem.
 
-    With asked, all texts are read as well, but only words that begin like an asked stem are stemmed, and only places of words with an asked stem leave the scan:
+    With asked, all texts are read as well, but each different word that begins like an asked stem is stemmed once, and only places of words with an asked stem leave the scan:
     neither texts nor other words are shuffled or written, so the index grows with what the queries hit.
     """
     text = lambda k: F.col(k) if k != "body" or body_chars is None else F.substring(k, 1, body_chars)
@@ -47,6 +47,7 @@ def build_postings(documents: DataFrame, body_chars: int | None = None, asked: D
     if asked is not None:
         asked = asked.select(F.col("term").alias("stem")).distinct()
         near = words.join(asked.select(_beginnings(F.col("stem")).alias("b")).distinct(), F.substring("term", 1, 2) == F.col("b"), "left_semi").distinct()
+        near = written(near, "near-words")  # else Spark moves the join below ahead of distinct and stems each word of each text
         stems = written(near.withColumn("stem", stem(F.col("term"))).join(asked, "stem", "left_semi"), "stems")
         placed = texts.select("doc_id", F.explode(fields).alias("f")).select("doc_id", "f.field", F.posexplode(terms(F.col("f.text"))).alias("position", "term"))
         found = placed.join(stems, "term").groupBy(F.col("stem").alias("term"), "doc_id", "field").agg(F.sort_array(F.collect_list("position")).alias("positions"))
@@ -121,28 +122,47 @@ def _wanted(asked: DataFrame) -> DataFrame:
 
 
 def _scored(asked: DataFrame, hits: DataFrame, postings: DataFrame) -> DataFrame:
-    """query_id, doc_id and score of the documents among hits (postings of the words that clauses need) that meet all of a clause."""
+    """query_id, doc_id and score of the documents among hits (postings of the words that clauses need) that meet all of a clause.
+
+    A clause's hits in a document, and those of its negated words, meet in one row, where all is decided. A clause of one word needs sums only; positions
+    go along where a clause has several words or a phrase.
+    """
     wanted = _wanted(asked)
     need = wanted.groupBy("query_id", "clause").agg(F.count_distinct("term").alias("need"))
-    found = hits.groupBy("query_id", "clause", "doc_id").agg(F.count_distinct("term").alias("have"), F.sum(match_score(postings)).alias("score"))
-    good = found.join(need, ["query_id", "clause"]).filter("have = need").select("query_id", "clause", "doc_id", "score")
-
-    quoted = wanted.filter("phrase IS NOT NULL")
-    spoken = good.select("query_id", "clause", "doc_id").join(quoted, ["query_id", "clause"])  # documents first, then their positions
-    starts = spoken.join(postings.select("term", "doc_id", "field", "positions"), ["term", "doc_id"]).withColumn("position", F.explode("positions")).drop("positions")
-    lined = starts.groupBy("query_id", "clause", "phrase", "doc_id", "field", (F.col("position") - F.col("place")).alias("start")).agg(F.count_distinct("place").alias("have"))
-    sizes = quoted.groupBy("query_id", "clause", "phrase").agg(F.count_distinct("place").alias("size"))
-    whole = lined.join(sizes, ["query_id", "clause", "phrase"]).filter("have = size").select("query_id", "clause", "phrase", "doc_id").distinct()
-    whole = whole.groupBy("query_id", "clause", "doc_id").agg(F.count(F.lit(1)).alias("met"))
-    phrases = quoted.groupBy("query_id", "clause").agg(F.count_distinct("phrase").alias("phrases"))
-    good = good.join(phrases, ["query_id", "clause"], "left").join(whole, ["query_id", "clause", "doc_id"], "left")
-    good = good.filter(F.col("phrases").isNull() | (F.col("phrases") == F.coalesce("met", F.lit(0))))
-
-    banned = asked.filter("kind = 'not'").select("query_id", "clause", "term").distinct().join(postings.select("term", "doc_id").distinct(), "term")
-    good = good.join(banned.select("query_id", "clause", "doc_id").distinct(), ["query_id", "clause", "doc_id"], "left_anti")
-    score = F.col("score") * (1 + F.coalesce(1 / F.col("apart"), F.lit(0.0)))
-    near = good.join(_nearness(good, wanted, need, postings), ["query_id", "clause", "doc_id"], "left")
-    return near.groupBy("query_id", "doc_id").agg(F.round(F.max(score), 6).alias("score"))
+    phrase = wanted.filter("phrase IS NOT NULL").groupBy("query_id", "clause", "phrase").agg(F.collect_set(F.struct("place", "term")).alias("words"))
+    need = need.join(phrase.groupBy("query_id", "clause").agg(F.collect_list("words").alias("phrases")), ["query_id", "clause"], "left")
+    need = written(need.withColumn("plain", (F.col("need") == 1) & F.col("phrases").isNull()), "clauses")
+    keys = ["query_id", "clause", "doc_id"]
+    post = F.struct("term", F.coalesce(*(F.when(F.col("field") == k, F.lit(i)) for i, k in enumerate(WEIGHTS))).alias("field"), "positions")
+    each = hits.join(need.select("query_id", "clause", "plain"), ["query_id", "clause"]).select(*keys, "plain", match_score(postings).alias("s"), F.when(~F.col("plain"), post).alias("post"), F.lit(False).alias("bad"))
+    banned = asked.filter("kind = 'not'").select("query_id", "clause", "term").distinct().join(need.select("query_id", "clause", "plain"), ["query_id", "clause"])
+    banned = banned.join(postings.select("term", "doc_id"), "term").select(*keys, "plain", F.lit(0.0).alias("s"), F.lit(None).cast(each.schema["post"].dataType).alias("post"), F.lit(True).alias("bad"))
+    rows = each.unionByName(banned)
+    alone = rows.filter("plain").groupBy(*keys).agg(F.sum("s").alias("score"), F.max("bad").alias("bad")).filter("NOT bad")
+    several = rows.filter("NOT plain").groupBy(*keys).agg(F.sum("s").alias("score"), F.max("bad").alias("bad"), F.collect_list("post").alias("posts")).filter("NOT bad").join(need, ["query_id", "clause"])
+    several = several.filter(F.size(F.array_distinct(F.transform("posts", lambda p: p["term"]))) == F.col("need"))
+    several = several.filter(F.col("phrases").isNull() | F.forall("phrases", lambda words: _spoken(F.col("posts"), words)))
+    apart = F.when(F.col("need") > 1, _apart(F.col("posts")))
+    several = several.select(*keys, (F.col("score") * (1 + F.coalesce(1 / apart, F.lit(0.0)))).alias("score"))
+    return alone.select(*keys, "score").unionByName(several).groupBy("query_id", "doc_id").agg(F.round(F.max("score"), 6).alias("score"))
+
+
+def _spoken(posts: Column, words: Column) -> Column:
+    """Whether the words (place, term) of a phrase stand one after the other in a field of posts (term, field, positions)."""
+
+    def starts(word: Column) -> Column:
+        at = lambda p: F.transform(p["positions"], lambda x: p["field"] * F.lit(1 << 33) + x - word["place"])
+        return F.flatten(F.transform(F.filter(posts, lambda p: p["term"] == word["term"]), at))
+
+    rest = F.slice(words, F.lit(2), F.size(words))
+    return F.size(F.aggregate(rest, starts(F.get(words, F.lit(0))), lambda some, word: F.array_intersect(some, starts(word)))) > 0
+
+
+def _apart(posts: Column) -> Column:
+    """How many words apart the nearest two different ones of posts (term, field, positions) stand in a field; null where no field has two."""
+    placed = F.sort_array(F.flatten(F.transform(posts, lambda p: F.transform(p["positions"], lambda x: F.struct(p["field"].alias("f"), x.alias("x"), p["term"].alias("t"))))))
+    gap = lambda a, b: F.when((a["f"] == b["f"]) & (a["t"] != b["t"]), b["x"] - a["x"])
+    return let(placed, lambda all_: F.array_min(F.zip_with(all_, F.slice(all_, F.lit(2), F.size(all_)), gap)))
 
 
 #: Documents of a block of postings; blocks of a query that are read before any is skipped.
@@ -189,16 +209,6 @@ def block_search(queries: DataFrame, blocked: DataFrame, tops: DataFrame, k: int
     return best
 
 
-def _nearness(good: DataFrame, wanted: DataFrame, need: DataFrame, postings: DataFrame) -> DataFrame:
-    """For the documents that clauses of several words found: how many words apart the nearest two different ones stand. Only these
-    documents' positions are read, and a window holds those of one document's field."""
-    several = good.select("query_id", "clause", "doc_id").join(need.filter("need > 1"), ["query_id", "clause"]).join(wanted.select("query_id", "clause", "term").distinct(), ["query_id", "clause"])
-    there = several.join(postings.select("term", "doc_id", "field", "positions"), ["term", "doc_id"]).select("query_id", "clause", "doc_id", "field", "term", F.explode("positions").alias("position"))
-    turn = Window.partitionBy("query_id", "clause", "doc_id", "field").orderBy("position")
-    gap = F.when(F.lag("term").over(turn) != F.col("term"), F.col("position") - F.lag("position").over(turn))
-    return there.withColumn("gap", gap).groupBy("query_id", "clause", "doc_id").agg(F.min("gap").alias("apart"))
-
-
 def top_k(scored: DataFrame, k: int, by: str = "query_id", id: str = "doc_id") -> DataFrame:
     """The k best rows of each query by score, ties by id; Spark cuts to k inside each task before the shuffle."""
     rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), F.asc(id)))

@@ -115,3 +115,31 @@ def test_words_begin_like_their_stems(spark, small):
     words = spark.createDataFrame([(w,) for w in made if w], "term string").union(spark.read.parquet(f"{small}/documents.parquet").select(F.explode(search.terms(F.col("text"))))).distinct()
     begun = words.withColumn("stem", stem(F.col("term"))).select("term", "stem", search._beginnings(F.col("stem")).alias("b"))
     assert begun.groupBy("term", "stem").agg(F.max(F.col("b") == F.substring("term", 1, 2)).alias("ok")).filter("NOT ok").collect() == []
+
+
+def test_an_asked_index_stems_each_word_once(spark):
+    """Each different word is stemmed once: what is stemmed is a table of words, not the words of each text."""
+    texts = spark.createDataFrame([(i, "running shoes", "running", "running runs runner", True) for i in range(50)], "doc_id long, title string, summary string, body string, is_current boolean")
+    held = {}
+    real = search.written
+    try:
+        search.written = lambda df, name: held.setdefault(name, real(df, name))
+        few = search.build_postings(texts, asked=search.asked_terms(spark.createDataFrame([(1, "run")], "query_id long, text string")))
+    finally:
+        search.written = real
+    assert sorted(r.term for r in held["near-words"].collect()) == ["runner", "running", "runs"]
+    assert few.count() == 150
+
+
+def test_clauses_decided_in_one_row(spark):
+    """Phrases with a word twice, across fields and after stop words; negated words; the nearest two words over fields."""
+    docs = spark.createDataFrame(
+        [(1, "red red fox", "blue", "x", True), (2, "red fox red", "red", "y", True), (3, "fox", "red", "red then the fox", True), (4, "fox and red", "", "fox one two red", True), (5, "red", "fox", "", True)],
+        "doc_id long, title string, summary string, body string, is_current boolean",
+    )
+    queries = spark.createDataFrame([(1, '"red red"'), (2, '"red the the fox"'), (3, "red fox"), (4, "red -blue"), (5, 'fox -"blue red"'), (6, '"red"')], "query_id long, text string")
+    got = {}
+    for r in search.keyword_search(queries, search.build_postings(docs), 10).collect():
+        got.setdefault(r.query_id, {})[r.doc_id] = r.score
+    assert got[1] == {1: 2.0} and set(got[2]) == {3} and set(got[4]) == {2, 3, 4, 5} and 5 not in got and set(got[6]) == {1, 2, 3, 4, 5}
+    assert got[3] == {1: 6.0, 2: 6.8, 3: round(1.8 * (1 + 1 / 3), 6), 4: round(2.4 * 1.5, 6), 5: 1.4}
