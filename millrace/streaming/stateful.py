@@ -8,7 +8,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -131,22 +131,18 @@ class Changelog(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.now = handle.getValueState("now", "at long, item string")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         old = tuple(self.now.get()) if self.now.exists() else None
-        best = old
-        for batch in rows:
-            at = _micros(batch["at"])
-            newest = at == at.max()
-            item = max((None if x is None else str(x) for x in batch["item"][newest]), key=lambda x: (x is not None, x or ""))
-            one = (int(at.max()), item)
-            if best is None or (one[0], one[1] is not None, one[1] or "") >= (best[0], best[1] is not None, best[1] or ""):
-                best = one
+        rank = lambda x: (x[0], x[1] is not None, x[1] or "")
+        best = max(((r["at"], r["item"]) for r in rows), key=rank)
+        if old is not None and rank(best) <= rank(old):
+            return
         self.now.update(best)
         was, is_ = old[1] if old else None, best[1]
-        changes = [(i, d) for i, d in ((was, -1), (is_, 1)) if i is not None] if was != is_ else []
-        if changes:
-            text = lambda values: pd.Series(values, dtype=object)
-            yield pd.DataFrame({"section": text([key[0]] * len(changes)), "item": text([c[0] for c in changes]), "n": [c[1] for c in changes]})
+        if was != is_:
+            for item, n in ((was, -1), (is_, 1)):
+                if item is not None:
+                    yield Row(section=key[0], item=item, n=n)
 
     def close(self) -> None:
         pass
@@ -158,13 +154,13 @@ DASHBOARD = "section string, item string, n long"
 def dashboard_changes(files: DataFrame, documents: DataFrame) -> DataFrame:
     """Signed changes (section, item, n) of a dashboard from streams of states: files (file_id, status, deleted_at, at) and documents
     (doc_id, category, is_current, at). The newest state of each counts, a deleted file and a replaced document as nothing. A stream of states
-    may repeat itself: only what differs changes anything."""
+    may repeat itself: only what differs changes anything. A thing has few rows in a batch, so they come as rows, not as frames of pandas."""
     alive = F.when(F.col("deleted_at").isNull(), F.col("status"))
     some = files.select(F.lit("file_status").alias("section"), F.col("file_id").cast("string").alias("id"), alias_item(alive), F.col("at").cast("timestamp").alias("at"))
     current = F.when(F.col("is_current"), F.coalesce("category", F.lit("none")))
     rows = some.unionByName(documents.select(F.lit("category").alias("section"), F.col("doc_id").cast("string").alias("id"), alias_item(current), F.col("at").cast("timestamp").alias("at")))
-    rows = rows.filter("id IS NOT NULL AND at IS NOT NULL")
-    return rows.groupBy("section", "id").transformWithStateInPandas(Changelog(), DASHBOARD, "Append", "None")
+    rows = rows.filter("id IS NOT NULL AND at IS NOT NULL").withColumn("at", F.unix_micros("at"))
+    return rows.groupBy("section", "id").transformWithState(Changelog(), DASHBOARD, "Append", "None")
 
 
 def alias_item(c: Any) -> Any:

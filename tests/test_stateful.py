@@ -54,3 +54,26 @@ def test_dashboard_follows_states(spark, tmp_path):
     current = docs([(1, "a", False, 2), (2, "none", True, 1), (11, "b", True, 2)])
     want |= {("category", r.category): r.n for r in stats.category_counts(current).collect()}
     assert got == want | {("total", "files"): 3, ("total", "documents"): 2, ("total", "pending"): 2, ("total", "active"): 0}
+
+
+def test_a_changelog_takes_rows():
+    """No frame of pandas for each thing: rows in, rows out; late and repeated states change nothing, null is a state of its own."""
+    from pyspark.sql import Row
+
+    class Held:
+        value = None
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    one = W.Changelog()
+    one.now = Held()
+    took = lambda *rows: [(r.section, r.item, r.n) for r in one.handleInputRows(("s", "1"), (Row(at=a, item=i) for a, i in rows), None)]
+    assert took((1, "a"), (1, None), (0, "z")) == [("s", "a", 1)] and took((1, "a")) == [] and took((0, "b")) == []
+    assert took((2, "b"), (3, "c")) == [("s", "a", -1), ("s", "c", 1)] and took((4, None)) == [("s", "c", -1)] and took((3, "c")) == [] and took((4, "a")) == [("s", "a", 1)]
