@@ -46,13 +46,13 @@ def commit(spark: SparkSession, base: str, writer: str, batch: int, tables: dict
 
     Each table's rows go to a folder of their own (commit=<number>) that nobody reads yet; the commit is the row in the log, one file that
     Spark's committer moves into place at the end. If a writer fails before that, the snapshot stays as it was, and
-    the next try writes over what was left behind. One writer at a time; readers need not wait.
+    the next try writes over what was left behind. One writer at a time; readers need not wait. Tables are kept for long, so they are packed by zstd.
     """
     if is_committed(spark, base, writer, batch):
         return False
     number = last_commit(spark, base) + 1
     for name, rows in tables.items():
-        rows.write.mode("overwrite").parquet(f"{base}/{name}/commit={number}")
+        rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{base}/{name}/commit={number}")
     entry = spark.createDataFrame([(number, writer, batch, sorted(tables), datetime.now(UTC))], LOG)
     entry.coalesce(1).write.mode("overwrite").parquet(f"{base}/commits/commit={number}")
     return True

@@ -38,12 +38,12 @@ def read_current(spark: SparkSession, base: str, name: str, as_of: int | None =
 
 
 def _taken(spark: SparkSession, base: str, hashed: DataFrame) -> DataFrame:
-    """What is to be processed of a batch: file_id, sha256, version."""
+    """What is to be processed of a batch: file_id, sha256, version, and n, how often it comes."""
     files = read_lake(spark, base, "files")
-    first = hashed.groupBy("sha256").agg(F.min("file_id").alias("file_id"))
-    new = first.join(files.select("sha256"), "sha256", "left_anti").groupBy("file_id").agg(F.max("sha256").alias("sha256"))
+    first = hashed.groupBy("sha256", "file_id").agg(F.count(F.lit(1)).alias("n")).groupBy("sha256").agg(F.min(F.struct("file_id", "n")).alias("f")).select("sha256", "f.*")
+    new = first.join(files.select("sha256"), "sha256", "left_anti").groupBy("file_id").agg(F.max(F.struct("sha256", "n")).alias("s")).select("file_id", "s.*")
     held = files.groupBy("file_id").agg(F.max("version").alias("version"))
-    return new.join(held, "file_id", "left").select("file_id", "sha256", (F.coalesce("version", F.lit(0)) + 1).cast("int").alias("version"))
+    return new.join(held, "file_id", "left").select("file_id", "sha256", (F.coalesce("version", F.lit(0)) + 1).cast("int").alias("version"), "n")
 
 
 def summary_work(content: Column) -> Column:
@@ -70,34 +70,47 @@ def upload_batch(
     raw = uploads.select(F.col("file_id").cast("long").alias("file_id"), "filename", "content_type", F.col("content").cast("binary").alias("content"))
     hashed = raw.filter(F.col("file_id").isNotNull() & (F.octet_length("content") > 0)).withColumn("sha256", F.sha2("content", 256))
     taken = written(_taken(spark, base, hashed.select("file_id", "sha256")), "taken")
-    texts = hashed.join(taken, ["file_id", "sha256"]).dropDuplicates(["file_id"])
-    extracted = written(extract(texts, adapters).join(texts.select("file_id", "sha256", "version", "filename", "content_type"), "file_id"), "extracted")
+    # contents meet what is taken of them here and nowhere else: from here on a row holds all that is known of its file
+    texts = hashed.join(taken.filter("n = 1"), ["file_id", "sha256"])
+    if not taken.filter("n > 1").isEmpty():
+        texts = texts.unionByName(hashed.join(taken.filter("n > 1"), ["file_id", "sha256"]).dropDuplicates(["file_id"]))
+    file = F.struct("file_id", "version", "sha256", "filename", "content_type").alias("file")
+    extracted = written(extract(texts.select(file, "content", "filename", "content_type"), adapters, id="file").select("file.*", "adapter", "blocks"), "extracted")
 
     body = F.array_join(F.transform(F.coalesce("blocks", F.array().cast(extracted.schema["blocks"].dataType)), lambda b: b["content"]), "\n\n")
     documents = extracted.select("file_id", "version", "adapter", title_from_filename(F.col("filename")).alias("title"), body.alias("body"))
     cut = chunker or (lambda rows: chunk_blocks(rows, id="file_id"))
-    fresh = written(cut(extracted.select("file_id", "blocks")).withColumnRenamed("file_id", "doc_id"), "fresh-chunks")
+    new = cut(extracted.filter("version = 1").select("file_id", "blocks"))
+    chunks = new.withColumns({"version": F.lit(1), "work": work(F.col("content")), "reused": F.lit(False)})
+    why = {"diff_type": F.lit("initial_processing"), "before_text": F.lit(None).cast("string"), "after_text": F.col("body"), "justification": F.lit("Initial processing"), "change_ratio": F.lit(None).cast("double")}
+    rows = {"files": extracted, "documents": documents, "chunks": chunks, "deltas": spark.createDataFrame([], TABLES["deltas"]), "diffs": documents.filter("version = 1").withColumns(why)}
+    used = [taken, extracted]
+    if not taken.filter("version > 1").isEmpty():
+        more, kept = _further(base, taken, extracted, documents, cut, work, threshold, reclassify)
+        rows |= {name: rows[name].select(*more[name].columns).unionByName(more[name]) for name in ("chunks", "diffs")} | {"deltas": more["deltas"]}
+        used += kept
+    names = {name: [c.split(" ")[0] for c in schema.split(", ")] for name, schema in TABLES.items()}
+    out = commit(spark, base, writer, number, {name: df.select(*names[name]) for name, df in rows.items()})
+    discard(*used)
+    return out
 
-    again = taken.filter("version > 1").select(F.col("file_id"), (F.col("version") - 1).alias("version"))
-    before = read_lake(spark, base, "chunks").join(again, ["file_id", "version"], "left_semi").withColumnRenamed("file_id", "doc_id")
-    before = written(before, "chunks-before")
-    later = fresh.join(again.select(F.col("file_id").alias("doc_id")), "doc_id", "left_semi")
-    counts = written(delta_metadata(chunk_delta(before, later, threshold), reclassify), "counts")
-    old_bodies = read_lake(spark, base, "documents").join(again, ["file_id", "version"], "left_semi").select(F.col("file_id").alias("doc_id"), "body")
-    diffs = diff_log(counts, old_bodies, documents.select(F.col("file_id").alias("doc_id"), "body"))
 
-    versions = taken.select(F.col("file_id").alias("doc_id"), "version")
-    done = reuse_chunk_work(fresh, before).select("doc_id", "chunk_index", F.col("work").alias("kept"))
+def _further(
+    base: str, taken: DataFrame, extracted: DataFrame, documents: DataFrame, cut: Callable[[DataFrame], DataFrame], work: Callable[[Column], Column], threshold: float, reclassify: float,
+) -> tuple[dict[str, DataFrame], list[DataFrame]]:
+    """The rows of chunks, deltas and diffs of files that the lake has, and the tables they are read from."""
+    spark = taken.sparkSession
+    versions = taken.filter("version > 1").select(F.col("file_id").alias("doc_id"), "version")
+    again = versions.select(F.col("doc_id").alias("file_id"), (F.col("version") - 1).alias("version"))
+    fresh = written(cut(extracted.filter("version > 1").select("file_id", "blocks")).withColumnRenamed("file_id", "doc_id"), "fresh-chunks")
+    before = written(read_lake(spark, base, "chunks").join(again, ["file_id", "version"], "left_semi").withColumnRenamed("file_id", "doc_id"), "chunks-before")
+    counts = written(delta_metadata(chunk_delta(before, fresh, threshold), reclassify), "counts")
+    old_bodies = read_lake(spark, base, "documents").join(again, ["file_id", "version"], "left_semi").select(F.col("file_id").alias("doc_id"), "body")
+    diffs = diff_log(counts, old_bodies, documents.filter("version > 1").select(F.col("file_id").alias("doc_id"), "body"))
+    done = reuse_chunk_work(fresh, before).select("doc_id", "chunk_index", F.col("work").alias("kept")).join(versions, "doc_id")
     worked = fresh.join(done, ["doc_id", "chunk_index"]).withColumn("work", F.coalesce("kept", work(F.col("content")))).withColumn("reused", F.col("kept").isNotNull())
-    rows = {
-        "files": extracted, "documents": documents,
-        "chunks": worked.join(versions, "doc_id"), "deltas": counts.join(versions, "doc_id"), "diffs": diffs.join(versions, "doc_id"),
-    }
-    names = {name: [c.split(" ")[0] for c in schema.split(", ")] for name, schema in TABLES.items()}
-    tables = {name: (df if "file_id" in df.columns else df.withColumnRenamed("doc_id", "file_id")).select(*names[name]) for name, df in rows.items()}
-    out = commit(spark, base, writer, number, tables)
-    discard(taken, extracted, fresh, before, counts)
-    return out
+    rows = {"chunks": worked.drop("kept"), "deltas": counts.join(versions, "doc_id"), "diffs": diffs.join(versions, "doc_id")}
+    return {name: df.withColumnRenamed("doc_id", "file_id") for name, df in rows.items()}, [fresh, before, counts]
 
 
 def upload_stream(uploads: DataFrame, base: str, checkpoint: str, **how: Any) -> StreamingQuery:

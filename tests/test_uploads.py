@@ -74,3 +74,21 @@ def test_writers_number_their_own_batches(spark, tmp_path):
     assert commits.snapshot(spark, base, "t", "id long").count() == 4 and commits.snapshot(spark, base, "t", "id long", as_of=1).count() == 2
     assert [r.number for r in commits.log(spark, base).orderBy("number").collect()] == [1, 2]
     assert commits.snapshot(spark, str(tmp_path / "none"), "t", "id long").count() == 0
+
+
+def test_new_files_are_written_where_they_lie(spark, tmp_path, monkeypatch):
+    """Texts meet the list of what is taken once; no table of new files joins or shuffles them again, and copies within the batch count once."""
+    plans, commit = {}, U.commit
+
+    def seen(spark, base, writer, number, tables):
+        plans.update({name: df._jdf.queryExecution().executedPlan().toString() for name, df in tables.items()})
+        return commit(spark, base, writer, number, tables)
+
+    monkeypatch.setattr(U, "commit", seen)
+    base = str(tmp_path / "lake")
+    assert U.upload_batch(_uploads(spark, FIRST), base, "w", 0)
+    assert set(plans) == set(U.TABLES) and not [name for name, plan in plans.items() if "Exchange" in plan or "Join" in plan]
+    files = sorted((r.file_id, r.version, r.filename) for r in U.read_lake(spark, base, "files").collect())
+    assert files == [(1, 1, "f1.txt"), (3, 1, "f3.md"), (6, 1, "f6.csv"), (7, 1, "f7.xyz")]
+    assert {r.file_id for r in U.read_lake(spark, base, "diffs").filter("before_text IS NULL AND justification = 'Initial processing'").collect()} == {1, 3, 6, 7}
+    assert U.read_lake(spark, base, "deltas").isEmpty() and U.read_lake(spark, base, "chunks").filter("reused OR work IS NULL").isEmpty()
