@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.sources.large import file_hashes
+from millrace.sources.large import STEP, file_hashes, readable
 
 #: The adapters in the order in which they are asked, with their extensions and MIME types.
 CODE_LANGUAGES = {
@@ -30,19 +30,22 @@ ADAPTERS = (
 )
 
 
-def read_raw_files(spark: SparkSession, path: str, glob: str = "*", inline: int = 1 << 30) -> DataFrame:
+def read_raw_files(spark: SparkSession, path: str, glob: str = "*", inline: int = 1 << 30, content: bool = True) -> DataFrame:
     """Files below path with their bytes: path, filename, content, size_bytes, sha256, modified_at. Any store that Spark reads.
 
     Files of more than inline bytes have null content (a value holds 2 GB at most), but their size and hash, read in pieces; file_parts has their bytes. Whether there are
-    any is seen from Spark's listing, which opens no file.
+    any is seen from Spark's listing, which opens no file. With content=False that column is left out, and a task reads STEP bytes of a file at most (file_hashes), unless only
+    Spark knows the store.
     """
+    most = inline if content or not readable(path) else min(inline, STEP)
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
     name = F.substring_index("path", "/", -1).alias("filename")
-    rows = raw.filter(F.col("length") <= inline).select("path", name, "content", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), F.col("modificationTime").alias("modified_at"))
-    if raw.select("length").filter(F.col("length") > inline).isEmpty():
-        return rows
-    large = file_hashes(spark, path, glob, inline).select("path", "filename", F.lit(None).cast("binary").alias("content"), "size_bytes", "sha256", "modified_at")
-    return rows.unionByName(large)
+    rows = raw.filter(F.col("length") <= most).select("path", name, "content", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), F.col("modificationTime").alias("modified_at"))
+    if raw.select("length").filter(F.col("length") > most).isEmpty():
+        return rows if content else rows.drop("content")
+    large = file_hashes(spark, path, glob, most).select("path", "filename", F.lit(None).cast("binary").alias("content"), "size_bytes", "sha256", "modified_at")
+    both = rows.unionByName(large)
+    return both if content else both.drop("content")
 
 
 def extension(filename: Column) -> Column:

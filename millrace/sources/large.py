@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import _hashlib
+import ctypes
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import cache
 from dataclasses import dataclass
 from datetime import datetime, timezone
 from fnmatch import fnmatchcase
@@ -13,10 +16,17 @@ from typing import Any
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from millrace.sources.shared import written
+
 #: Bytes read at a time for a hash.
 PIECE = 8 << 20
+#: Bytes of a file that one task reads for its hash, where hashes can go on from task to task.
+STEP = 256 << 20
+#: Steps in one plan; what is known after them is written.
+STEPS = 32
 
 
 @dataclass(frozen=True)
@@ -85,15 +95,54 @@ def pack(ranges: list[Range], pack_bytes: int, most: int = 10_000) -> list[Pack]
     return [Pack(tuple(p)) for p in packs]
 
 
+@cache
+def _openssl() -> Any:
+    """OpenSSL's functions on a SHA-256 context (112 bytes without pointers, so that they can be kept and taken up elsewhere); None where Python has no such OpenSSL, or its
+    context does not do that."""
+    try:
+        lib = ctypes.CDLL(_hashlib.__file__)
+        for f, more in ((lib.SHA256_Init, []), (lib.SHA256_Update, [ctypes.c_char_p, ctypes.c_size_t]), (lib.SHA256_Final, [])):
+            f.argtypes = [ctypes.c_char_p, *([ctypes.c_char_p] if f is lib.SHA256_Final else more)]
+        data = bytes(range(200))
+        return lib if _digest(lib, _resumed(lib, _resumed(lib, None, data[:77]), data[77:])) == hashlib.sha256(data).hexdigest() else None
+    except (AttributeError, OSError):
+        return None
+
+
+def _resumed(lib: Any, state: bytes | None, data: bytes) -> bytes:
+    """The context after more data; state None begins."""
+    context = ctypes.create_string_buffer(state or bytes(112), 112)
+    if state is None:
+        lib.SHA256_Init(context)
+    lib.SHA256_Update(context, data, len(data))
+    return context.raw
+
+
+def _digest(lib: Any, state: bytes) -> str:
+    out, context = ctypes.create_string_buffer(32), ctypes.create_string_buffer(state, 112)
+    lib.SHA256_Final(out, context)
+    return out.raw.hex()
+
+
+def readable(path: str) -> bool:
+    """Whether pyarrow opens the path's store."""
+    try:
+        open_store(path)
+    except (pa.ArrowException, OSError):
+        return False
+    return True
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path, self.glob = options["path"], options.get("glob", "*")
         self.larger_than, self.pack_bytes = int(options.get("larger_than", -1)), int(options.get("pack_bytes", 128 << 20))
+        self.at_most = int(options.get("at_most", 1 << 62))
         if self.pack_bytes < 1:
             raise ValueError("pack_bytes must be positive")
 
     def files(self) -> list[Range]:
-        return list_files(self.path, self.glob, self.larger_than)
+        return [f for f in list_files(self.path, self.glob, self.larger_than) if f.size <= self.at_most]
 
     def short(self, r: Range) -> OSError:
         return OSError(f"{r.path} is shorter than when it was listed ({r.size} bytes)")
@@ -155,7 +204,7 @@ class FileParts(DataSource):
 
 
 class FileHashes(DataSource):
-    """spark.read.format("file_hashes").load(path): options glob, larger_than, pack_bytes."""
+    """spark.read.format("file_hashes").load(path): options glob, larger_than, at_most, pack_bytes."""
 
     @classmethod
     def name(cls) -> str:
@@ -178,7 +227,44 @@ def file_parts(spark: SparkSession, path: str, glob: str = "*", part_bytes: int
     return spark.read.format("file_parts").option("glob", glob).option("part_bytes", part_bytes).option("larger_than", larger_than).load(path)
 
 
-def file_hashes(spark: SparkSession, path: str, glob: str = "*", larger_than: int = -1) -> DataFrame:
-    """path, filename, size_bytes, sha256, modified_at of files of any size. SHA-256 is sequential, so a file is one task's, which reads it once in pieces of 8 MiB; small files share tasks."""
+def file_hashes(spark: SparkSession, path: str, glob: str = "*", larger_than: int = -1, step: int = STEP) -> DataFrame:
+    """path, filename, size_bytes, sha256, modified_at of files of any size, each read once in pieces of 8 MiB; small files share tasks.
+
+    SHA-256 is sequential, so a file of more than step bytes is read by one task after another: each reads step bytes and hands on the hash's state (112 bytes). Where
+    Python's OpenSSL gives no such state, the file is one task's. The driver lists the large files.
+    """
     spark.dataSource.register(FileHashes)
-    return spark.read.format("file_hashes").option("glob", glob).option("larger_than", larger_than).load(path)
+    hashes = spark.read.format("file_hashes").option("glob", glob).option("larger_than", larger_than)
+    large = list_files(path, glob, max(larger_than, step)) if _openssl() else []
+    if not large:
+        return hashes.load(path)
+    rows = spark.createDataFrame([(i, f.path, f.place, f.size, f.modified, None) for i, f in enumerate(large)], "id int, path string, place string, size_bytes long, modified_at timestamp, state binary")
+    for k in range(-(-max(f.size for f in large) // step)):
+        if k and k % STEPS == 0:
+            rows = written(rows, "hash-states")
+        rows = rows.repartitionById(len(large), F.col("id")).mapInArrow(_stepping(path, k * step, step), rows.schema)
+    out = rows.select("path", F.substring_index("path", "/", -1).alias("filename"), "size_bytes", F.udf(lambda state: _digest(_openssl(), bytes(state)))("state").alias("sha256"), "modified_at")
+    return hashes.option("at_most", step).load(path).unionByName(out)
+
+
+def _stepping(path: str, start: int, step: int) -> Any:
+    """Takes the states of files' hashes on over the bytes from start to start + step; files that end before it are left as they are."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, lib = open_store(path)[0], _openssl()
+        if lib is None:
+            raise RuntimeError("the OpenSSL of this machine's Python gives no state of a SHA-256, unlike the driver's")
+        for batch in batches:
+            states = []
+            for place, size, state in zip(*(batch.column(c).to_pylist() for c in ("place", "size_bytes", "state")), strict=True):
+                at, end = start, min(size, start + step)
+                with store.open_input_file(place) as file:
+                    while at < end:
+                        data = file.read_at(min(PIECE, end - at), at)
+                        if not data:
+                            raise OSError(f"{place} is shorter than when it was listed ({size} bytes)")
+                        state = _resumed(lib, state, data)
+                        at += len(data)
+                states.append(state)
+            yield batch.set_column(batch.schema.get_field_index("state"), "state", pa.array(states, pa.binary()))
+
+    return run

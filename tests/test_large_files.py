@@ -106,3 +106,23 @@ def test_queries_read_the_tables_files(spark, small):
         data = open(f"{small}/{name}", "rb").read()
         want = {(i, hashlib.sha256(data[i : i + (1 << 20)]).hexdigest()) for i in range(0, len(data), 1 << 20)}
         assert {(r.start, r.sha256) for r in QUERIES["file_parts"](spark, small).filter(F.col("filename") == name).collect()} == want
+
+
+def test_a_task_reads_a_step_of_a_file(spark, tmp_path, monkeypatch):
+    """Hashes that go on from task to task, over sizes about the steps; a plan has a stage for each step of the largest file, each with a file a task."""
+    held = {f"{n}.bin": bytes(i * 7 % 251 for i in range(n)) for n in (0, 1, 999, 1000, 1001, 2000, 3500)}
+    for name, data in held.items():
+        (tmp_path / name).write_bytes(data)
+    want = {name: (len(data), hashlib.sha256(data).hexdigest()) for name, data in held.items()}
+    rows = L.file_hashes(spark, str(tmp_path), step=1000)
+    assert {r.filename: (r.size_bytes, r.sha256) for r in rows.collect()} == want and rows.count() == len(want)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 4 and plan.count("RepartitionByExpression") == 4
+    monkeypatch.setattr(L, "STEPS", 2)
+    assert {r.filename: (r.size_bytes, r.sha256) for r in L.file_hashes(spark, str(tmp_path), larger_than=1000, step=300).collect()} == {n: x for n, x in want.items() if x[0] > 1000}
+    monkeypatch.setattr(A, "STEP", 1000)
+    bare = A.read_raw_files(spark, str(tmp_path), content=False)
+    # Spark's own listing leaves out files without bytes
+    assert "content" not in bare.columns and {r.filename: (r.size_bytes, r.sha256) for r in bare.collect()} == {n: x for n, x in want.items() if x[0]}
+    monkeypatch.setattr(L, "_openssl", lambda: None)
+    assert {r.filename: (r.size_bytes, r.sha256) for r in L.file_hashes(spark, str(tmp_path), step=1000).collect()} == want
