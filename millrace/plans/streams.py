@@ -102,7 +102,7 @@ def upload_stream(spark, sf):
     base = f"{shared_dir(spark)}/uploads-{uuid.uuid4().hex}"
     for rows in rounds:
         sent = rows.select(F.col("doc_id").alias("file_id"), F.concat(F.lit("document-"), "doc_id", F.lit(".txt")).alias("filename"), F.lit("text/plain").alias("content_type"), F.col("text").alias("content"))
-        sent.write.mode("append").parquet(f"{base}/in")
+        sent.write.mode("append").option("compression", "zstd").parquet(f"{base}/in")
         U.upload_stream(N.read_stream(spark, f"{base}/in", sent.schema), f"{base}/lake", f"{base}/check", chunker=_pieces).awaitTermination()
     lake = {name: U.read_lake(spark, f"{base}/lake", name) for name in U.TABLES}
     none = lambda kind, name: F.lit(None).cast(kind).alias(name)

@@ -20,11 +20,11 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it again: the lineage ends at files that outlive executors."""
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write df as Parquet (the writer's options) into the shared folder and read it again: the lineage ends at files that outlive executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -75,7 +75,7 @@ def upload_batch(
     if not taken.filter("n > 1").isEmpty():
         texts = texts.unionByName(hashed.join(taken.filter("n > 1"), ["file_id", "sha256"]).dropDuplicates(["file_id"]))
     file = F.struct("file_id", "version", "sha256", "filename", "content_type").alias("file")
-    extracted = written(extract(texts.select(file, "content", "filename", "content_type"), adapters, id="file").select("file.*", "adapter", "blocks"), "extracted")
+    extracted = written(extract(texts.select(file, "content", "filename", "content_type"), adapters, id="file").select("file.*", "adapter", "blocks"), "extracted", compression="zstd")
 
     body = F.array_join(F.transform(F.coalesce("blocks", F.array().cast(extracted.schema["blocks"].dataType)), lambda b: b["content"]), "\n\n")
     documents = extracted.select("file_id", "version", "adapter", title_from_filename(F.col("filename")).alias("title"), body.alias("body"))
@@ -102,8 +102,8 @@ def _further(
     spark = taken.sparkSession
     versions = taken.filter("version > 1").select(F.col("file_id").alias("doc_id"), "version")
     again = versions.select(F.col("doc_id").alias("file_id"), (F.col("version") - 1).alias("version"))
-    fresh = written(cut(extracted.filter("version > 1").select("file_id", "blocks")).withColumnRenamed("file_id", "doc_id"), "fresh-chunks")
-    before = written(read_lake(spark, base, "chunks").join(again, ["file_id", "version"], "left_semi").withColumnRenamed("file_id", "doc_id"), "chunks-before")
+    fresh = written(cut(extracted.filter("version > 1").select("file_id", "blocks")).withColumnRenamed("file_id", "doc_id"), "fresh-chunks", compression="zstd")
+    before = written(read_lake(spark, base, "chunks").join(again, ["file_id", "version"], "left_semi").withColumnRenamed("file_id", "doc_id"), "chunks-before", compression="zstd")
     counts = written(delta_metadata(chunk_delta(before, fresh, threshold), reclassify), "counts")
     old_bodies = read_lake(spark, base, "documents").join(again, ["file_id", "version"], "left_semi").select(F.col("file_id").alias("doc_id"), "body")
     diffs = diff_log(counts, old_bodies, documents.filter("version > 1").select(F.col("file_id").alias("doc_id"), "body"))
