@@ -12,8 +12,8 @@ from millrace.sources.shared import written
 
 #: The order in which the first mention or relation counts.
 FIRST = ("created_at", "doc_id", "position")
-#: Names of a document that meet in one task; shares of a key's values that are sorted apart.
-PAIR_BLOCK, SHARES = 256, 64
+#: Names of a document that meet in one task; shares of a key's values that are sorted apart; shares of the other side where two sides of a key meet.
+PAIR_BLOCK, SHARES, OTHERS = 256, 64, 16
 
 
 def relation_type(c: Column) -> Column:
@@ -43,6 +43,12 @@ def _vertices(by_document: DataFrame) -> DataFrame:
         "canonical", "f.name", F.col("f.type").alias("entity_type"), "first_seen", "mention_count", "document_count")
 
 
+def entity_names(mentions: DataFrame) -> DataFrame:
+    """The keys of build_vertices alone (canonical), for walks: names are made distinct as they are spelt, so no mention is shuffled. They are written, or Spark
+    would make them distinct only once, after the patterns have run for every mention."""
+    return written(mentions.select("name").distinct(), "spelt").select(canonical_name(F.col("name")).alias("canonical")).filter("canonical <> ''").distinct()
+
+
 def build_mentions(mentions: DataFrame) -> DataFrame:
     """Distinct (entity, document) edges."""
     return canonical_mentions(mentions).select("canonical", "doc_id").distinct()
@@ -62,6 +68,15 @@ def build_edges(relations: DataFrame, vertices: DataFrame) -> DataFrame:
     return known.select("src", "dst", "rel", "weight", "f.description", "f.confidence", "f.source_document_id")
 
 
+def edge_weights(relations: DataFrame, vertices: DataFrame) -> DataFrame:
+    """build_edges without what is known of the first relation, for walks: src, dst, rel, weight. The spellings are written, or Spark would ask for every
+    relation whether it has ends, by running the patterns, before it counts."""
+    spelt = written(relations.groupBy("source", "target", "type").agg(F.count(F.lit(1)).alias("n")), "spelt")
+    rows = spelt.select(canonical_name(F.col("source")).alias("src"), canonical_name(F.col("target")).alias("dst"), relation_type(F.col("type")).alias("rel"), "n")
+    sums = rows.groupBy("src", "dst", "rel").agg(F.sum("n").alias("weight"))
+    return sums.join(vertices.select(F.col("canonical").alias("src")), "src", "left_semi").join(vertices.select(F.col("canonical").alias("dst")), "dst", "left_semi")
+
+
 def rebuild_graph(mentions: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Vertices, mention edges and relation edges of all documents. Mentions are merged by document once, and written, for the first two; vertices once, as
     edges look both of their ends up there."""
@@ -205,12 +220,22 @@ def _twins(pairs: DataFrame, ends: DataFrame) -> DataFrame:
     return named.join(checked.withColumn("odd", F.lit(True)), "end", "left").select("end", F.when(F.col("odd"), F.col("end")).otherwise(F.col("class")).alias("class"))
 
 
+def _crossed(left: DataFrame, right: DataFrame, key: list[str], a: str, b: str) -> DataFrame:
+    """Each row of left with each row of right that has the same key, by shares of both (by their columns a and b): a large key is dealt over tasks, and
+    what stands side by side repeats soon, so files of the result are packed well."""
+    parts, all_of = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    share = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    one = left.select("*", share(a, SHARES).alias("_a"), all_of(OTHERS).alias("_b")).repartition(parts, *key, "_a", "_b")
+    two = right.select("*", share(b, OTHERS).alias("_b"), all_of(SHARES).alias("_a")).repartition(parts, *key, "_a", "_b")
+    return one.join(two, [*key, "_a", "_b"]).drop("_a", "_b")
+
+
 def neighbors(edges: DataFrame, seeds: DataFrame, depth: int = 2, type: str | None = None, mentions: DataFrame | None = None) -> DataFrame:
     """Vertices within depth hops (at most 5) of each seed: seed, node, hop; the seed itself is left out.
 
     What lies beyond a seed's neighbours depends on these alone, so seeds with the same neighbours (_twins) walk once, from their set of neighbours. Breadth first
     for all sets at once: the frontier is distinct, visited pairs are anti-joined, each hop is written to the shared folder, and an empty frontier
-    ends the walk. In the end each set's vertices are given to its seeds, by shares of the vertices, so a large class is dealt over tasks.
+    ends the walk. In the end each set's vertices are given to its seeds (_crossed): the rows asked for are as many as that, and the last step only writes them.
     """
     pairs = written(_undirected(edges, mentions, type).select("a", "b"), "pairs")
     members = written(_twins(pairs, seeds.select(F.col("seed").alias("end"))), "members")
@@ -226,10 +251,7 @@ def neighbors(edges: DataFrame, seeds: DataFrame, depth: int = 2, type: str | No
         seen, frontier = seen.unionByName(new), new.select("class", "node")
     if mentions is not None:
         seen = seen.filter(~F.startswith("node", F.lit("doc:")))
-    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = seen.withColumn("share", F.pmod(F.xxhash64("node"), F.lit(SHARES)).cast("int")).repartition(parts, "class", "share")
-    shares = members.select("class", F.col("end").alias("seed"), F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share")).repartition(parts, "class", "share")
-    return dealt.join(shares, ["class", "share"]).filter("node <> seed").select("seed", "node", "hop")
+    return _crossed(seen, members.select("class", F.col("end").alias("seed")), ["class"], "node", "seed").filter("node <> seed").select("seed", "node", "hop")
 
 
 def neighborhood_edges(edges: DataFrame, found: DataFrame, min_weight: int = 1) -> DataFrame:

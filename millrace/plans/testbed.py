@@ -113,7 +113,8 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     line, sup, part = (read(spark, sf_dir, t) for t in ("lineitem", "supplier", "part"))
-    return line.join(sup, F.col("l_suppkey") == F.col("s_suppkey")).join(part, F.col("l_partkey") == F.col("p_partkey")).selectExpr(
+    # suppliers last: their lines then lie together, and are counted where they lie
+    return line.join(part, F.col("l_partkey") == F.col("p_partkey")).join(sup, F.col("l_suppkey") == F.col("s_suppkey")).selectExpr(
         "l_orderkey AS doc_id", "l_linenumber AS position", "CASE l_linenumber % 3 WHEN 0 THEN concat('The ', s_name) ELSE s_name END AS source", "CASE WHEN l_linenumber % 5 = 4 THEN 'Nobody Ltd' ELSE p_brand END AS target",
         "CASE l_returnflag WHEN 'R' THEN 'took back' WHEN 'A' THEN 'sells' ELSE 'ships-to' END AS type", "CAST(1 - l_discount AS double) AS confidence", "concat('line ', l_linenumber) AS description",
         "timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, l_orderkey) AS created_at",
