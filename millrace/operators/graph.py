@@ -298,6 +298,40 @@ def shortest_path(edges: DataFrame, wanted: DataFrame, max_hops: int = 4, mentio
     return out.unionByName(found.select("src", "dst", path.alias("path"), "hops", (F.col("w0") + F.col("weight") + F.col("w1")).alias("total_weight")))
 
 
+def paths_between(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_hops: int = 4, mentions: DataFrame | None = None) -> DataFrame:
+    """shortest_path for all pairs of a source (src) and a target (dst), without a table of pairs: only pairs of classes (_twins) are listed.
+
+    Vertices with the same neighbours are next to the same vertices, so a pair of classes is adjacent as a whole, or none of its members are; and members of one
+    class are never adjacent. What is left is the first way between two classes with each of their ends put on (_crossed).
+    """
+    pairs = written(_undirected(edges, mentions), "pairs")
+    src, dst = (written(df.select(c).distinct(), c) for df, c in ((sources, "src"), (targets, "dst")))
+    hops = lambda rows, n: rows.select("src", "dst", F.array_join("path", " > ").alias("path"), F.lit(n).alias("hops"), F.col("weight").alias("total_weight"))
+    both = src.join(dst.withColumnRenamed("dst", "src"), "src", "left_semi")
+    out = hops(both.select("src", F.col("src").alias("dst"), F.array("src").alias("path"), F.lit(0).cast("long").alias("weight")), 0)
+    if max_hops < 1:
+        return out
+    near = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight").join(src, "src", "left_semi").join(dst, "dst", "left_semi")
+    out = out.unionByName(hops(near.select("src", "dst", F.array("src", "dst").alias("path"), "weight"), 1))
+    if max_hops < 2:
+        return out
+    named = written(_twins(pairs, src.select(F.col("src").alias("end")).unionByName(dst.select(F.col("dst").alias("end")))), "members")
+    first = written(named.join(src.withColumnRenamed("src", "end"), "end", "left_semi").select(F.col("end").alias("src"), F.col("class").alias("first")), "firsts")
+    last = written(named.join(dst.withColumnRenamed("dst", "end"), "end", "left_semi").select(F.col("end").alias("dst"), F.col("class").alias("last")), "lasts")
+    # a class is named by one of its vertices, which stands for all of them
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = first.select(F.col("first").alias("src")).distinct().repartition(parts, "src").crossJoin(last.select(F.col("last").alias("dst")).distinct())
+    far = met.join(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")), ["src", "dst"], "left_anti")
+    ways = written(_ways(pairs, far, max_hops - 2), "ways").withColumns({"x": F.get("path", F.lit(0)), "y": F.element_at("path", -1)})
+    # an end and its weight: once for each vertex that a class's ways begin or finish with
+    begin = ways.select(F.col("src").alias("first"), "x").distinct().join(first, "first").join(pairs.select(F.col("a").alias("src"), F.col("b").alias("x"), F.col("weight").alias("w0")), ["src", "x"])
+    finish = ways.select(F.col("dst").alias("last"), "y").distinct().join(last, "last").join(pairs.select(F.col("a").alias("dst"), F.col("b").alias("y"), F.col("weight").alias("w1")), ["dst", "y"])
+    begun = ways.withColumnsRenamed({"src": "first", "dst": "last"}).join(begin, ["first", "x"])
+    begun = begun.select("src", "last", "y", "hops", F.array_join(F.concat(F.array("src"), "path", F.array(F.lit(""))), " > ").alias("path"), (F.col("w0") + F.col("weight")).alias("weight"))
+    found = _crossed(begun, finish, ["last", "y"], "src", "dst").filter("src <> dst")
+    return out.unionByName(found.select("src", "dst", F.concat("path", "dst").alias("path"), "hops", (F.col("weight") + F.col("w1")).alias("total_weight")))
+
+
 def _ways(pairs: DataFrame, open_: DataFrame, most: int) -> DataFrame:
     """For pairs of vertices (src, dst) the first of the shortest ways, of `most` hops at most, from a neighbour of src to one of dst: src, dst, path, weight, and
     hops (two more, for the ends)."""
